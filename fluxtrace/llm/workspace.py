@@ -12,8 +12,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Removes a query's shuffle files as soon as it ends; its result is a table by then.
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: a query's shuffle files go as soon as it ends, as its
+#: result is a table by then, and Python gets rows in batches of bounded size.
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,15 +42,17 @@ class Workspace:
     def save(self, frame: DataFrame, name: str) -> DataFrame:
         """Writes the frame and returns a reader of what was written."""
         path = f"{self.folder}/{name}"
-        before = self.spark.conf.get(SHUFFLE_CLEANUP, None)
-        self.spark.conf.set(SHUFFLE_CLEANUP, "true")
+        before = {key: self.spark.conf.get(key, None) for key in WRITING}
+        for key, value in WRITING.items():
+            self.spark.conf.set(key, value)
         try:
             frame.write.mode("overwrite").parquet(path)
         finally:
-            if before is None:
-                self.spark.conf.unset(SHUFFLE_CLEANUP)
-            else:
-                self.spark.conf.set(SHUFFLE_CLEANUP, before)
+            for key, value in before.items():
+                if value is None:
+                    self.spark.conf.unset(key)
+                else:
+                    self.spark.conf.set(key, value)
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def drop(self, name: str) -> None:
