@@ -3,13 +3,10 @@
 1. One scan makes each document's set of word shingles and from it a 128-bit set
    key, a SuperMinHash signature cut into band keys, and a 256-bit sketch.
 2. Documents with equal sets form a class at once; its least id stands for it.
-3. Representatives that share a band key are candidates.  Each bucket's least and
-   greatest id are paired with its other members, so pairs grow with the members
-   and not with their square.  Pairs whose sizes rule a link out, or whose
-   sketches differ in more bits than a link ever shows, are left out.
-4. Candidates are confirmed on their full sets; components join linked documents.
-5. Buckets that still hold several components are finished: their remaining pairs
-   across components go through the same filters and the same confirmation.
+3. Representatives that share a band key are candidates.  Pairs whose sizes rule a
+   link out, or whose sketches differ in more bits than a link ever shows, are left out.
+4. Candidates are confirmed on their full sets; union-find joins linked documents
+   (``lsh`` says how, without all pairs of a bucket).
 """
 
 from __future__ import annotations
@@ -22,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .lsh import bits_apart, linked_components
 from .superminhash import SuperMinHash, band_keys, bit_sketch
 from .textbuf import GOLDEN, hashed_words, lower_ascii, mix64, shingle_hashes, slices, utf8_buffer
 from .workspace import Workspace
@@ -86,23 +83,7 @@ def _full_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, sets in _sets(batch.column(1), width):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo : lo + len(sets)], pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "elements"])
-
-    return run
-
-
-def _confirm(percent: int):
-    """Rows (a, b, set of a, set of b) to the linked (a, b)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                linked.append(100 * both >= percent * (len(p) + len(q) - both))
-            keep = pa.array(linked, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo : lo + len(sets)], pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "elements"])
 
     return run
 
@@ -110,8 +91,7 @@ def _confirm(percent: int):
 def _possible(p: NearDedupParams, x: str, y: str) -> Column:
     """Whether sizes and sketches leave room for a link between the rows of two aliases."""
     n, m = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
-    apart = sum((F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(4)), F.lit(0))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * p.percent) & (apart <= p.far_bits)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * p.percent) & (bits_apart(x, y, 4) <= p.far_bits)
 
 
 def near_duplicates(docs: DataFrame, params: NearDedupParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,39 +111,13 @@ def near_duplicates(docs: DataFrame, params: NearDedupParams | None = None, id_c
     known = prints.where("n_shingles > 0 and doc_id is not null")
     classes = work.save(known.groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     reps = work.save(known.alias("k").join(classes.alias("c"), (F.col("k.doc_id") == F.col("c.rep")) & (F.col("k.key_a") == F.col("c.key_a")) & (F.col("k.key_b") == F.col("c.key_b")), "left_semi"), "reps")
-    sketches = reps.select("doc_id", "n_shingles", "s0", "s1", "s2", "s3")
-
-    entries = reps.select(F.explode("bands").alias("bucket"), "doc_id")
-    buckets = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    buckets = work.save(buckets, "buckets")
-    members = work.save(entries.join(buckets.where("n > 2"), "bucket").select("bucket", "doc_id", "low", "high"), "members")
-    pairs = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    pairs = pairs.unionByName(members.select(F.col("low").alias("a"), F.col("doc_id").alias("b"))).unionByName(members.select(F.col("doc_id").alias("a"), F.col("high").alias("b")))
-    pairs = pairs.where("a < b").distinct()
-    near = pairs.join(sketches.alias("x"), F.col("a") == F.col("x.doc_id")).join(sketches.alias("y"), F.col("b") == F.col("y.doc_id")).where(_possible(p, "x", "y")).select("a", "b")
-    first = work.save(near, "pairs-1")
-
-    def confirmed(candidates: DataFrame, name: str) -> DataFrame:
-        wanted = candidates.select(F.col("a").alias("doc_id")).unionByName(candidates.select(F.col("b").alias("doc_id"))).distinct()
-        sets = work.save(source.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets(p.width), "doc_id long, elements binary"), f"sets-{name}")
-        rows = candidates.join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("of_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("of_a")), "a")
-        links = work.save(rows.select("a", "b", "of_a", "of_b").mapInArrow(_confirm(p.percent), "a long, b long"), f"links-{name}")
-        work.drop(f"sets-{name}")
-        return links
-
-    links = confirmed(first, "1")
-    found = connected_components(links, work, "components-1")
-    labelled = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    labelled = work.save(labelled, "labelled")
-    open_ = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    rest = labelled.join(open_, "bucket", "left_semi").join(sketches, "doc_id")
-    rest = work.save(rest, "rest")
-    across = rest.alias("x").join(rest.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & _possible(p, "x", "y"))
-    across = across.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    second = work.save(across, "pairs-2")
-    if not second.isEmpty():
-        links = links.unionByName(confirmed(second, "2"))
-        found = connected_components(links, work, "components-2")
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        rows = source.hint("merge").join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+        return rows.mapInArrow(_full_sets(p.width), "node long, elements binary")
+
+    sketches = reps.select(F.col("doc_id").alias("node"), "n_shingles", "s0", "s1", "s2", "s3")
+    entries = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"))
+    found = linked_components(entries, sketches, lambda x, y: _possible(p, x, y), sets_of, p.percent, work)
 
     whole = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key_a", "key_b", F.col("n_shingles").alias("size"), F.coalesce("component", "rep").alias("component"))
     by_class = prints.select("doc_id", "n_shingles", "key_a", "key_b")

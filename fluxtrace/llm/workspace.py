@@ -12,12 +12,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: While a table is written: a query's shuffle files go as soon as it ends, as its
-#: result is a table by then, and Python gets rows in batches of bounded size.
-WRITING = {
-    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
-}
+#: Removes a query's shuffle files as soon as it ends; its result is a table by then.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,11 +36,15 @@ class Workspace:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def save(self, frame: DataFrame, name: str) -> DataFrame:
-        """Writes the frame and returns a reader of what was written."""
+    def save(self, frame: DataFrame, name: str, rows_per_batch: int = 500) -> DataFrame:
+        """Writes the frame and returns a reader of what was written.
+
+        rows_per_batch: what Python functions in its plan get at once, at most.
+        """
         path = f"{self.folder}/{name}"
-        before = {key: self.spark.conf.get(key, None) for key in WRITING}
-        for key, value in WRITING.items():
+        settings = {SHUFFLE_CLEANUP: "true", BATCH: str(rows_per_batch)}
+        before = {key: self.spark.conf.get(key, None) for key in settings}
+        for key, value in settings.items():
             self.spark.conf.set(key, value)
         try:
             frame.write.mode("overwrite").parquet(path)
