@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-REC = Window.partitionBy("rec")
+
+def _rec() -> Window:
+    return Window.partitionBy("rec")
 
 
 def dff_mean(samples: DataFrame, *channels: str) -> DataFrame:
     """Adds <channel>_dff = (x - mean) / mean * 100 by recording; nulls are skipped, a mean of 0 gives null."""
     for c in channels:
-        mean = F.avg(c).over(REC)
+        mean = F.avg(c).over(_rec())
         samples = samples.withColumn(f"{c}_dff", (F.col(c) - mean) / F.nullif(mean, F.lit(0.0)) * 100)
     return samples
 
@@ -23,6 +25,6 @@ def fit_terms(samples: DataFrame, ctrl: str = "ctrl", sig: str = "sig", keys: tu
 
 def dff_fit(samples: DataFrame, ctrl: str = "ctrl", sig: str = "sig") -> DataFrame:
     """Adds fit (the fitted control) and denoised = (signal - fit) / fit * 100."""
-    fitted = F.regr_slope(sig, ctrl).over(REC) * F.col(ctrl) + F.regr_intercept(sig, ctrl).over(REC)
+    fitted = F.regr_slope(sig, ctrl).over(_rec()) * F.col(ctrl) + F.regr_intercept(sig, ctrl).over(_rec())
     samples = samples.withColumn("fit", fitted)
     return samples.withColumn("denoised", (F.col(sig) - F.col("fit")) / F.nullif("fit", F.lit(0.0)) * 100)
