@@ -61,7 +61,8 @@ def _classes() -> np.ndarray:
 
 @cache
 def _monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The functions' numbers by symbol (8 more begin a text), their products, values, and start flags."""
+    """The functions' numbers by symbol (8 more begin a text), and as flat tables: the row offset of
+    each product, the functions' values by row offset and state, and start flags by state and symbol."""
     states = range(8)
     plain = [tuple(_step(s, x)[0] for s in states) for x in range(8)]
     generators = plain + [(f[FRESH],) * 8 for f in plain]
@@ -74,29 +75,36 @@ def _monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
             if h not in known:
                 known[h] = len(known)
                 waiting.append(h)
-    functions = list(known)
-    size = len(functions)
-    product = np.array([[known[tuple(g[s] for s in f)] for g in functions] for f in functions], np.uint16)
+    functions, size = list(known), len(known)
+    product = np.array([[known[tuple(g[s] for s in f)] * size for g in functions] for f in functions], np.int32)
+    values = np.zeros((size, size), np.uint8)
+    values[:, :8] = functions
     starts = np.array([[_step(s, x)[1] for x in range(8)] for s in states])
-    return np.array([known[f] for f in generators], np.uint16), product.ravel(), np.array(functions, np.uint8), starts
+    return np.array([known[f] for f in generators], np.int32), product.ravel(), values.ravel(), starts.ravel()
 
 
-def _prefix_states(numbers: np.ndarray, width: int = 512) -> np.ndarray:
-    """The state after each position, by a blocked scan: within blocks, over blocks, then both joined."""
+def _prefix_states(numbers: np.ndarray, width: int = 256) -> np.ndarray:
+    """The state after each position, by a blocked scan: within blocks, over blocks, then both joined.
+
+    A running product is kept as its row's offset in the product table, so that a step is
+    one addition and one look-up.
+    """
     _, product, values, _ = _monoid()
+    size = int(len(product) ** 0.5)
     rows = -(-len(numbers) // width)
-    size = len(values)
-    padded = np.zeros(rows * width, np.uint16)
+    padded = np.zeros(rows * width, np.int32)
     padded[: len(numbers)] = numbers
     steps = np.ascontiguousarray(padded.reshape(rows, width).T)
+    running = steps[0] * size
+    steps[0] = running
     for j in range(1, width):
-        steps[j] = product[steps[j - 1].astype(np.int32) * size + steps[j]]
-    state, entry = FRESH, np.zeros(rows, np.uint8)
+        running = product[running + steps[j]]
+        steps[j] = running
+    state, entry = FRESH, np.zeros(rows, np.int32)
     for i, total in enumerate(steps[-1].tolist()):
         entry[i] = state
-        state = values[total, state]
-    flat = values.ravel()
-    return np.ascontiguousarray(flat[(steps.astype(np.int32) << 3) | entry].T).ravel()[: len(numbers)]
+        state = int(values[total + state])
+    return np.ascontiguousarray(values[steps + entry].T).ravel()[: len(numbers)]
 
 
 def boundaries(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -133,7 +141,7 @@ def boundaries(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     before = np.zeros(n, np.uint8)
     before[1:] = states[:-1]
     before[begins] = FRESH
-    return np.flatnonzero(starts[before, symbols])
+    return np.flatnonzero(starts[(before << 3) | symbols])
 
 
 def pieces_of(data: np.ndarray, bounds: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:

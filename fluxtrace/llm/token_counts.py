@@ -32,7 +32,7 @@ UNKNOWN_PENALTY = 10.0
 class ViterbiCounter(dict):
     """Chunk to its number of pieces; filled as chunks come, emptied at ``most`` entries."""
 
-    def __init__(self, pieces: list[tuple[str, float]], most: int = 400_000) -> None:
+    def __init__(self, pieces: list[tuple[str, float]], most: int = 900_000) -> None:
         super().__init__()
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:

@@ -14,6 +14,7 @@ executor or a second attempt leaves no wrong reading.
 from __future__ import annotations
 
 import json
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,6 +34,9 @@ from .pretokenize import pieces_of
 from .textbuf import slices, utf8_buffer
 from .workspace import Workspace
 
+#: A space as byte-level vocabularies write it, and words that are encoded in one text.
+_SPACE_BYTE, _TOGETHER = "\u0120", 64
+
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -53,28 +57,52 @@ class PieceEncoder:
     The cache is emptied at ``most`` entries, which changes nothing but the time.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         setup = json.loads(self.tokenizer.to_str())
         splitter = setup.get("pre_tokenizer") or {}
         if setup.get("normalizer") or splitter.get("type") != "ByteLevel" or splitter.get("add_prefix_space") or not splitter.get("use_regex", True):
             raise ValueError("the tokenizer must be byte-level, without normaliser or added prefix space")
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(_SPACE_BYTE) for i in range(size)])
         self.most = most
         self.known: dict[str, bytes] = {}
 
+    def _learn(self, new: list[str]) -> None:
+        """Encodes pre-tokens.  Words with one space before them go together in texts of ``_TOGETHER``
+        words, which the library splits at the spaces again; tokens that begin with a space tell where."""
+        words = [p for p in new if p[0] == " " and p[1:].isalpha()]
+        groups = [words[i : i + _TOGETHER] for i in range(0, len(words), _TOGETHER)]
+        alone = [p for p in new if not (p[0] == " " and p[1:].isalpha())]
+        for group, found in zip(groups, self._ids(["".join(g) for g in groups]), strict=True):
+            starts = np.flatnonzero(self.opens[found])
+            if len(starts) != len(group) or starts[0]:
+                alone += group
+                continue
+            raw, cuts = found.tobytes(), (np.append(starts, len(found)) * self.dtype.itemsize).tolist()
+            self.known.update(zip(group, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+        self.known.update(zip(alone, [x.tobytes() for x in self._ids(alone)], strict=True))
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def rows(self, column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         """For slices of rows: the first row's number and each row's ids as bytes of ``dtype``."""
         data, bounds = utf8_buffer(column)
-        for lo, hi in slices(bounds):
+        for lo, hi in slices(bounds, 1 << 19):
             pieces, by_row, _ = pieces_of(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
             if len(self.known) > self.most:
                 self.known.clear()
-            new = list(set(pieces).difference(self.known))
-            for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(found.ids, self.dtype).tobytes()
-            parts, rows = list(map(self.known.__getitem__, pieces)), by_row.tolist()
+            parts = list(map(self.known.get, pieces))
+            gaps = [i for i, x in enumerate(parts) if x is None]
+            if gaps:
+                self._learn(list({pieces[i] for i in gaps}))
+                for i in gaps:
+                    parts[i] = self.known[pieces[i]]
+            rows = by_row.tolist()
             yield lo, [b"".join(parts[a:b]) for a, b in zip(rows, rows[1:], strict=False)]
 
 
