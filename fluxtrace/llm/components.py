@@ -59,7 +59,9 @@ def connected_components(links: DataFrame, work: Workspace, name: str = "compone
     """
     a, b = links.columns[:2]
     clean = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u != v")
-    edges = work.save(clean.mapInArrow(contract, "u long, v long").distinct(), f"{name}-0")
+    # As many tasks as hold all links, each as many as its union-find may hold.
+    tasks = -(-max(1, clean.count()) // LOCAL_LINKS)
+    edges = work.save(clean.coalesce(tasks).mapInArrow(contract, "u long, v long").distinct(), f"{name}-0")
     step = 0
     while True:
         ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("as_child"), F.lit(0).alias("as_root"))

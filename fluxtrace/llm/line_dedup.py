@@ -15,10 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lsh import bits_apart, linked_components
+from .lsh import linked_components
 from .superminhash import SuperMinHash, band_keys, bit_sketch
 from .textbuf import GOLDEN, mix64, slices, utf8_buffer
 from .workspace import Workspace
@@ -28,17 +28,17 @@ from .workspace import Workspace
 class LineDedupParams:
     """percent: two lines link if 100 * intersection >= percent * union of their shingle sets.
 
-    bands, rows: a pair at 75 % shares a band with chance 1 - (1 - 0.75**3)**10, above
-    0.995; at 80 % above 0.998.  far_bits: a linked pair's 64-bit sketches differ in 8 bits
-    on average (standard deviation 2.7); beyond 24, six deviations, a pair is left out.
+    bands, rows: a pair at 75 % shares a band with chance 1 - (1 - 0.75**3)**12, above
+    0.998; at 80 % above 0.9996.  far_bits: a linked pair's 64-bit sketches differ in 8 bits
+    on average (standard deviation 2.6); beyond 20, with a chance below 1e-5, a pair is left out.
     """
 
     width: int = 8
     percent: int = 75
     positions: int = 64
-    bands: int = 10
+    bands: int = 12
     rows: int = 3
-    far_bits: int = 24
+    far_bits: int = 20
 
 
 _FACTORS = mix64((np.arange(64, dtype=np.uint64) + np.uint64(901)) * GOLDEN) | np.uint64(1)
@@ -69,34 +69,47 @@ def _spread(bounds: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.repeat(bounds[0] - cuts[:-1], sizes) + np.arange(cuts[-1]), cuts
 
 
+def _windows(codes: np.ndarray, width: int) -> np.ndarray:
+    """For each position the hash of ``width`` characters from there on, by doubling."""
+    x = codes.astype(np.uint64) + np.uint64(1)
+    out, done, step, part = None, 0, 1, x
+    while True:
+        if width & step:
+            out = part if out is None else out[: len(part) - done] * _FACTORS[done] + part[done:] if done else part
+            done += step
+        if done == width:
+            return mix64(out)
+        part = part[:-step] * _FACTORS[32 + step] + part[step:]
+        step *= 2
+
+
 def _shingles(codes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each line's windows of ``width`` characters; a shorter line is one window."""
     lengths = bounds[1] - bounds[0]
     sizes = np.where(lengths >= width, lengths - width + 1, np.minimum(lengths, 1))
     first, cuts = _spread(bounds, sizes)
-    padded = np.concatenate([codes, np.zeros(width, np.uint32)]).astype(np.uint64)
-    window = np.repeat(np.minimum(lengths, width), sizes)
-    short = window < width
-    total = np.zeros(len(first), np.uint64)
-    for k in range(width):
-        part = (padded[first + k] + np.uint64(1)) * _FACTORS[k]
-        if short.any():
-            part[short & (window <= k)] = 0
-        total += part
-    return mix64(total), cuts
-
-
-def _keys(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each line's whole text."""
+    # Zeros after the text stand for the missing characters of short lines.
+    out = _windows(np.concatenate([codes, np.zeros(width, np.uint32)]), width)[first]
+    short = np.flatnonzero((lengths < width) & (lengths > 0))
+    if len(short):
+        out[cuts[:-1][short]] = mix64(_short_keys(codes, bounds[:, short]))
+    return out, cuts
+
+
+def _short_keys(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Hashes of the whole texts of short lines."""
     lengths = bounds[1] - bounds[0]
     at, cuts = _spread(bounds, lengths)
-    out = np.zeros(len(lengths), np.uint64)
-    full = np.flatnonzero(lengths)
-    if len(full):
-        place = (at - np.repeat(bounds[0], lengths)).astype(np.uint64)
-        values = mix64(((place << np.uint64(21)) | codes[at]) * GOLDEN + GOLDEN)
-        out[full] = np.add.reduceat(values, cuts[:-1][full])
-    return mix64(out + lengths.astype(np.uint64) * GOLDEN).view(np.int64)
+    place = (at - np.repeat(bounds[0], lengths)).astype(np.uint64)
+    values = mix64(((place << np.uint64(21)) | codes[at]) * GOLDEN + GOLDEN)
+    return np.add.reduceat(values, cuts[:-1]) + lengths.astype(np.uint64) * GOLDEN
+
+
+def _keys(hashes: np.ndarray, cuts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each line's whole text, from its windows and their places; lines must not be empty."""
+    place = np.arange(len(hashes)) - np.repeat(cuts[:-1], np.diff(cuts))
+    values = hashes * (place.astype(np.uint64) * np.uint64(2) + np.uint64(1))
+    return mix64(np.add.reduceat(values, cuts[:-1]) + lengths.astype(np.uint64) * GOLDEN).view(np.int64)
 
 
 _BLANK = np.array([0x20, *range(0x09, 0x0E)], np.uint32)
@@ -120,36 +133,33 @@ def _prints(p: LineDedupParams):
                 number = np.arange(len(owner)) - np.searchsorted(owner, owner)
                 keep = _with_words(codes, bounds)
                 bounds, owner, number = bounds[:, keep], owner[keep], number[keep]
-                signatures = hasher.signatures(*_shingles(codes, bounds, p.width))
+                if not len(owner):
+                    continue
+                hashes, cuts = _shingles(codes, bounds, p.width)
+                signatures = hasher.signatures(hashes, cuts)
                 bands = band_keys(signatures, p.bands, p.rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(owner) + 1) * p.bands, pa.int32()), pa.array(bands.ravel()))
                 rows = pa.array(owner + lo)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number, pa.int32()), pa.array(_keys(codes, bounds)), lists, pa.array(np.ascontiguousarray(bit_sketch(signatures)[:, 0]))],
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number, pa.int32()), pa.array(_keys(hashes, cuts, bounds[1] - bounds[0])), lists, pa.array(np.ascontiguousarray(bit_sketch(signatures)[:, 0]))],
                     ["doc_id", "row_key", "line_no", "key", "bands", "s0"],
                 )
 
     return run
 
 
-def _sets_of_lines(width: int):
-    """Rows (text, wanted line numbers, their keys) to (key as node, shingle set)."""
+def _line_sets(width: int):
+    """Lines to their sorted distinct shingle hashes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, codes, bounds, owner in _lines(batch.column(0)):
-                first = np.searchsorted(owner, np.arange(owner[-1] + 1))
-                n = len(first)
-                wanted = batch.column(1)[lo : lo + n]
-                counts = np.diff(wanted.offsets.to_numpy())
-                flat = wanted.flatten().to_numpy().astype(np.int64)
-                keys = batch.column(2)[lo : lo + n].flatten()
-                chosen = np.repeat(first, counts) + flat
-                hashes, cuts = _shingles(codes, bounds[:, chosen], width)
-                sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([keys, pa.array(sets, pa.binary())], ["node", "elements"])
+    def unpack(column: pa.Array) -> list[np.ndarray]:
+        data, bounds = utf8_buffer(column)
+        codes = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        if len(codes) != len(data):
+            bounds = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[bounds]
+        hashes, cuts = _shingles(codes, np.stack([bounds[:-1], bounds[1:]]), width)
+        return [np.unique(hashes[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    return run
+    return unpack
 
 
 def duplicate_lines(docs: DataFrame, params: LineDedupParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,38 +175,53 @@ def duplicate_lines(docs: DataFrame, params: LineDedupParams | None = None, id_c
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text"))
     prints = work.save(source.mapInArrow(_prints(p), _PRINT), "prints")
+    bands = prints
+    prints = work.save(prints.drop("bands"), "lines")
     where = F.struct("doc_id", "line_no", "row_key")
-    firsts = work.save(prints.groupBy("key").agg(F.min(where).alias("first"), F.first("s0").alias("s0")), "firsts")
-    sketches = firsts.select(F.col("key").alias("node"), "s0")
-
-    def possible(x: str, y: str) -> Column:
-        return bits_apart(x, y, 1) <= p.far_bits
+    known = work.save(prints.groupBy("key").agg(F.count("*").alias("copies"), F.min("s0").alias("s0")), "known")
+    sketches = known.select(F.col("key").alias("node"), F.lit(1).cast("long").alias("n"), "s0")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        placed = nodes.withColumnRenamed("node", "key").join(firsts, "key").select(F.col("first.doc_id").alias("doc_id"), F.col("first.row_key").alias("row_key"), F.struct(F.col("first.line_no").alias("line_no"), "key").alias("line"))
-        placed = placed.groupBy("doc_id", "row_key").agg(F.collect_list("line").alias("lines"))
-        rows = source.hint("merge").join(placed, ["doc_id", "row_key"]).groupBy("doc_id", "row_key").agg(F.first("text").alias("text"), F.first("lines").alias("lines"))
-        rows = rows.select("text", F.col("lines.line_no").alias("numbers"), F.col("lines.key").alias("keys"))
-        return rows.mapInArrow(_sets_of_lines(p.width), "node long, elements binary")
-
-    entries = prints.select(F.explode("bands").alias("bucket"), F.col("key").alias("node")).distinct()
-    found = linked_components(entries, sketches, possible, sets_of, p.percent, work)
-    joined = firsts.join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "first", F.coalesce("component", "key").alias("component"))
-    stays = joined.groupBy("component").agg(F.min("first").alias("stays"))
-    verdict = work.save(joined.select("key", "component").join(stays, "component").select("key", "stays"), "verdict")
-    gone = prints.select("doc_id", "row_key", "line_no", "key").join(verdict, "key").where(where != F.col("stays"))
+        placed = prints.join(nodes.withColumnRenamed("node", "key").hint("shuffle_hash"), "key").groupBy("key").agg(F.min(where).alias("first"))
+        placed = placed.groupBy("first.doc_id", "first.row_key").agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "key")).alias("lines"))
+        rows = source.hint("merge").join(placed, ["doc_id", "row_key"]).select("lines", F.split("text", "\n").alias("texts"))
+        texts = rows.select("texts", F.explode("lines").alias("line")).select(F.col("line.key").alias("node"), F.get("texts", "line.line_no").alias("elements"))
+        return texts.groupBy("node").agg(F.first("elements").alias("elements"))
+
+    entries = bands.select(F.explode("bands").alias("bucket"), F.col("key").alias("node"))
+    found = linked_components(entries, sketches, 1, p.far_bits, p.percent, sets_of, work, _line_sets(p.width), lambda: work.drop("prints"))
+    alone = known.where("copies > 1").select("key").join(found.select(F.col("node").alias("key")), "key", "left_anti").select("key", F.col("key").alias("component"))
+    shared = found.select(F.col("node").alias("key"), "component").unionByName(alone)
+    rows = work.save(prints.join(shared.hint("shuffle_hash"), "key").select("component", "doc_id", "row_key", "line_no"), "shared")
+    stays = rows.groupBy("component").agg(F.min(where).alias("stays"))
+    gone = rows.join(stays, "component").where(where != F.col("stays"))
     gone = gone.groupBy("doc_id", "row_key").agg(F.collect_set("line_no").alias("dropped"))
-    return work.save(gone.select("doc_id", "row_key", F.sort_array("dropped").alias("dropped")), "dropped")
+    gone = work.save(gone.select("doc_id", "row_key", F.sort_array("dropped").alias("dropped")), "dropped")
+    for name in ("lines", "known", "shared", "links", "links-2"):
+        work.drop(name)
+    return gone
+
+
+def _rebuilt(docs: DataFrame, params: LineDedupParams | None, id_col: str, text_col: str) -> DataFrame:
+    """(doc, doc_id, lines, dropped, text) of each row; doc holds all its columns."""
+    gone = duplicate_lines(docs, params, id_col, text_col).select(F.col("doc_id").alias("of_id"), F.col("row_key").alias("of_row"), "dropped")
+    text = F.col(text_col)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), text.alias("before"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("row_key"))
+    rows = rows.join(gone, (F.col("doc_id") == F.col("of_id")) & (F.col("row_key") == F.col("of_row")), "left")
+    lines = F.split("before", "\n")
+    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("dropped", i)), "\n")
+    return rows.select("doc", "doc_id", lines.alias("lines"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"), F.when(F.col("dropped").isNull(), F.col("before")).otherwise(kept).alias("text"))
+
+
+def line_report(docs: DataFrame, params: LineDedupParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_lines, n_dropped, dropped, text) of each row: how many lines it has, which
+    go, and the text of those that stay.  A null text stays null and has no lines."""
+    rows = _rebuilt(docs, params, id_col, text_col)
+    n_lines = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines"))
+    return rows.select("doc_id", n_lines.cast("long").alias("n_lines"), F.size("dropped").cast("long").alias("n_dropped"), "dropped", "text")
 
 
 def without_duplicate_lines(docs: DataFrame, params: LineDedupParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of docs with their texts rebuilt from the lines that stay, plus
-    ``_lines`` (lines before) and ``_dropped`` (numbers of the lines that went)."""
-    gone = duplicate_lines(docs, params, id_col, text_col).select(F.col("doc_id").alias("_of_id"), F.col("row_key").alias("_of_row"), F.col("dropped").alias("_gone"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("_row", F.xxhash64(text))
-    rows = rows.join(gone, (F.col(id_col) == F.col("_of_id")) & (F.col("_row") == F.col("_of_row")), "left")
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    rows = rows.withColumn("_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept))
-    return rows.withColumn("_dropped", F.coalesce("_gone", F.array().cast("array<int>"))).drop("_row", "_of_id", "_of_row", "_gone")
+    """All rows and columns of docs, the texts rebuilt from the lines that stay."""
+    rows = _rebuilt(docs, params, id_col, text_col)
+    return rows.select(*(F.col("text").alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns))

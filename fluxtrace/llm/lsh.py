@@ -6,24 +6,36 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .textbuf import slices
 from .workspace import Workspace
 
 #: Members of a block of a bucket, on average.
 BLOCK = 192
+#: The same where members carry only their sketches.
+SKETCH_BLOCK = 1024
+#: Pairs whose sketches are compared at once, and from how many confirmations matrices pay.
+PAIRS, MATRIX_FROM = 1 << 19, 200
 
 
-def _confirmed(percent: int):
+Sets = Callable[[pa.Array], list[np.ndarray]]
+
+
+def stored_sets(column: pa.Array) -> list[np.ndarray]:
+    """Sets whose elements are their sorted 64-bit hashes in a binary."""
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+
+
+def _confirmed(percent: int, unpack: Sets):
     """Rows (a, b, set of a, set of b) to the linked (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for p, q in zip(unpack(batch.column(2)), unpack(batch.column(3)), strict=True):
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 linked.append(100 * both >= percent * (len(p) + len(q) - both))
             keep = pa.array(linked, pa.bool_())
@@ -32,11 +44,41 @@ def _confirmed(percent: int):
     return run
 
 
-def _block(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Nodes, components and sets of a block."""
-    fields = column[row].values
-    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in fields.field("elements")]
-    return fields.field("node").to_numpy(), fields.field("component").to_numpy(), sets
+def _fitting(batch: pa.RecordBatch, x: int, y: int, words: int, percent: int, far_bits: int, across: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For groups of rows, all pairs of members of two block columns that may link: row, and place in either
+    column's flat members.  across: only pairs of different components."""
+    a, b = batch.column(x), batch.column(y)
+    sizes = [np.diff(c.offsets.to_numpy()) for c in (a, b)]
+    starts = [np.concatenate([[0], np.cumsum(n)]) for n in sizes]
+    fields = ["node", "n", *(f"s{i}" for i in range(words)), *(["component"] if across else [])]
+    left, right = ({f: c.flatten().field(f).to_numpy() for f in fields} for c in (a, b))
+    work = sizes[0].astype(np.int64) * sizes[1]
+    for lo, hi in slices(np.concatenate([[0], np.cumsum(work)]), PAIRS):
+        row = np.repeat(np.arange(lo, hi), work[lo:hi])
+        k = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(work[lo:hi])])[:-1], work[lo:hi])
+        i, j = starts[0][row] + k // np.maximum(sizes[1][row], 1), starts[1][row] + k % np.maximum(sizes[1][row], 1)
+        fit = left["node"][i] != right["node"][j]
+        if across:
+            fit &= left["component"][i] != right["component"][j]
+        row, i, j = row[fit], i[fit], j[fit]
+        apart = sum(np.bitwise_count((left[f"s{w}"][i] ^ right[f"s{w}"][j]).view(np.uint64)).astype(np.int32) for w in range(words))
+        n, m = left["n"][i], right["n"][j]
+        fit = (apart <= far_bits) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
+        yield row[fit], i[fit], j[fit]
+
+
+def _partners(words: int, percent: int, far_bits: int):
+    """Rows (bucket, block, block) to the (bucket, node) that may link with another node there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buckets = batch.column(0).to_numpy()
+            nodes = [batch.column(c).flatten().field("node").to_numpy() for c in (1, 2)]
+            for row, i, j in _fitting(batch, 1, 2, words, percent, far_bits, False):
+                found = np.unique(np.stack([np.concatenate([row, row]), np.concatenate([nodes[0][i], nodes[1][j]])]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(buckets[found[0]]), pa.array(found[1])], ["bucket", "node"])
+
+    return run
 
 
 def _incidence(sets: list[np.ndarray], common: np.ndarray) -> np.ndarray:
@@ -46,83 +88,121 @@ def _incidence(sets: list[np.ndarray], common: np.ndarray) -> np.ndarray:
     return out
 
 
-def _linked_blocks(percent: int):
-    """Rows of two blocks to links across components, no more than join these components."""
+def _matrix_links(s1: list[np.ndarray], s2: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of two lists' sets link, by a product of their incidence matrices."""
+    common = np.intersect1d(np.unique(np.concatenate(s1)), np.unique(np.concatenate(s2)), assume_unique=True)
+    both = (_incidence(s1, common) @ _incidence(s2, common).T).round().astype(np.int64)
+    union = np.array([len(s) for s in s1])[:, None] + np.array([len(s) for s in s2]) - both
+    return (100 * both >= percent * union) & (both > 0)
+
+
+def _linked_blocks(words: int, percent: int, far_bits: int, unpack: Sets):
+    """Rows (block, block) to links across components, no more than join these components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for row in range(len(batch)):
-                (n1, c1, s1), (n2, c2, s2) = _block(batch.column(0), row), _block(batch.column(1), row)
-                if len(n1) == 0 or len(n2) == 0 or (c1.min() == c1.max() == c2.min() == c2.max()):
-                    continue
-                common = np.intersect1d(np.unique(np.concatenate(s1)), np.unique(np.concatenate(s2)), assume_unique=True)
-                if not len(common):
-                    continue
-                both = (_incidence(s1, common) @ _incidence(s2, common).T).round().astype(np.int64)
-                union = np.array([len(s) for s in s1])[:, None] + np.array([len(s) for s in s2]) - both
-                parent: dict[int, int] = {}
-
-                def find(x: int, parent: dict[int, int] = parent) -> int:
-                    while (up := parent.get(x, x)) != x:
-                        x = up
-                    return x
-
-                for i, j in np.argwhere((100 * both >= percent * union) & (c1[:, None] != c2)).tolist():
-                    x, y = find(int(c1[i])), find(int(c2[j]))
-                    if x != y:
-                        parent[max(x, y)] = min(x, y)
-                        out.append((int(n1[i]), int(n2[j])))
+            flat = [batch.column(c).flatten() for c in (0, 1)]
+            nodes, parts = [f.field("node").to_numpy() for f in flat], [f.field("component").to_numpy() for f in flat]
+            for row, i, j in _fitting(batch, 0, 1, words, percent, far_bits, True):
+                ends = [np.unique(x, return_inverse=True) for x in (i, j)]
+                sets = [unpack(f.field("elements").take(pa.array(u))) for f, (u, _) in zip(flat, ends, strict=True)]
+                cuts = np.flatnonzero(np.diff(row, prepend=-1, append=-1))
+                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                    parent: dict[int, int] = {}
+
+                    def find(x: int, parent: dict[int, int] = parent) -> int:
+                        while (up := parent.get(x, x)) != x:
+                            x = up
+                        return x
+
+                    linked = None
+                    if hi - lo > MATRIX_FROM:
+                        (ua, ia), (ub, ib) = (np.unique(inverse[lo:hi], return_inverse=True) for _, inverse in ends)
+                        linked = _matrix_links([sets[0][k] for k in ua], [sets[1][k] for k in ub], percent)[ia, ib]
+                    for k in range(lo, hi):
+                        if linked is not None and not linked[k - lo]:
+                            continue
+                        c, d = find(int(parts[0][i[k]])), find(int(parts[1][j[k]]))
+                        if c == d:
+                            continue
+                        if linked is None:
+                            p, q = sets[0][ends[0][1][k]], sets[1][ends[1][1][k]]
+                            both = len(np.intersect1d(p, q, assume_unique=True))
+                            if 100 * both < percent * (len(p) + len(q) - both):
+                                continue
+                        parent[max(c, d)] = min(c, d)
+                        out.append((int(nodes[0][i[k]]), int(nodes[1][j[k]])))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
     return run
 
 
-def linked_components(entries: DataFrame, sketches: DataFrame, possible: Callable[[str, str], Column], sets_of: Callable[[DataFrame], DataFrame], percent: int, work: Workspace) -> DataFrame:
+def _meetings(members: DataFrame, size: int, fields: list, work: Workspace, name: str) -> DataFrame:
+    """(bucket, members, other_members): all pairs of the blocks of about ``size`` members that a bucket's are dealt into.
+
+    members: (bucket, n, node, fields), n being the bucket's number of members.
+    """
+    dealt = members.withColumn("n_blocks", F.ceil(F.col("n") / size)).withColumn("block", F.pmod(F.xxhash64("node"), "n_blocks"))
+    blocks = work.save(dealt.groupBy("bucket", "block", "n_blocks").agg(F.collect_list(F.struct("node", *fields)).alias("members")), name)
+    alone = blocks.where("n_blocks = 1").select("bucket", "members", F.col("members").alias("other_members"))
+    several = blocks.where("n_blocks > 1")
+    spread = several.select("bucket", "members", F.explode(F.sequence("block", F.col("n_blocks") - 1)).alias("other"))
+    others = several.select("bucket", F.col("block").alias("other"), F.col("members").alias("other_members"))
+    return alone.unionByName(spread.join(others, ["bucket", "other"]).select("bucket", "members", "other_members"))
+
+
+def linked_components(
+    entries: DataFrame, sketches: DataFrame, words: int, far_bits: int, percent: int, sets_of: Callable[[DataFrame], DataFrame], work: Workspace, unpack: Sets = stored_sets, release: Callable[[], None] | None = None
+) -> DataFrame:
     """(node, component) of every node with a link; component is the least node.
 
     Nodes that share a bucket are candidates; they link if their sets' Jaccard similarity
-    is at least percent.  entries: (bucket, node).  sketches: node and what ``possible``
-    needs of two aliases to rule a link out.  sets_of: a table of nodes to (node, elements),
-    elements being the set's sorted 64-bit hashes in a binary.
-
-    First each bucket's least node is paired with its other members, so pairs grow with
-    the members.  Then buckets whose members lie in one component are done.  The others
-    are dealt into blocks of about ``BLOCK`` members, and pairs of blocks are compared as
-    matrices; only links that join components leave a task.
+    is at least percent.  entries: (bucket, node).  sketches: (node, n, s0 ...), the set's
+    size, or 1 throughout if it isn't known, and ``words`` words of bits; nodes whose sizes
+    rule a link out, or that differ in over far_bits bits, are taken not to link.
+    sets_of: a table of nodes to (node, elements), which ``unpack`` turns into arrays of
+    sorted distinct hashes.  release is called once entries aren't needed any more.
+
+    First members without a possible partner leave their bucket, and each bucket's least
+    node is paired with its other members, so pairs grow with the members.  Buckets whose
+    members then lie in one component are done.  The others are dealt into blocks, and
+    pairs of blocks are compared as matrices; only links that join components leave a task.
     """
+    bits = [f"s{i}" for i in range(words)]
     buckets = work.save(entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high"), "buckets")
-    members = work.save(entries.join(buckets.where("n > 2"), "bucket").select("bucket", "node", "low").distinct(), "members")
+    members = entries.join(buckets.where("n > 2").select("bucket", "n").hint("shuffle_hash"), "bucket")
+    members = work.save(members.distinct(), "members")
+    if release:
+        release()
+    sketched = sketches.select("node", F.col("n").alias("size"), *bits)
+    near = members.join(sketched, "node")
+    near = _meetings(near.withColumn("k", F.col("size")), SKETCH_BLOCK, [F.col("k").alias("n"), *bits], work, "sketch-blocks")
+    members = work.save(near.mapInArrow(_partners(words, percent, far_bits), "bucket long, node long").distinct(), "partners")
+    work.drop("members")
+    work.drop("sketch-blocks")
+
+    least = members.groupBy("bucket").agg(F.min("node").alias("low"))
     pairs = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    pairs = pairs.unionByName(members.select(F.col("low").alias("a"), F.col("node").alias("b"))).where("a < b").distinct()
+    pairs = pairs.unionByName(members.join(least, "bucket").select(F.col("low").alias("a"), F.col("node").alias("b"))).where("a < b").distinct()
     near = pairs.join(sketches.alias("x"), F.col("a") == F.col("x.node")).join(sketches.alias("y"), F.col("b") == F.col("y.node"))
-    first = work.save(near.where(possible("x", "y")).select("a", "b").distinct(), "pairs")
+    n, m = F.col("x.n"), F.col("y.n")
+    apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in bits), F.lit(0))
+    first = work.save(near.where((F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (apart <= far_bits)).select("a", "b").distinct(), "pairs")
     work.drop("buckets")
 
     wanted = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct()
     sets = work.save(sets_of(wanted), "sets")
     rows = first.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("of_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("elements").alias("of_a")), "a")
-    links = work.save(rows.select("a", "b", "of_a", "of_b").mapInArrow(_confirmed(percent), "a long, b long"), "links")
+    links = work.save(rows.select("a", "b", "of_a", "of_b").mapInArrow(_confirmed(percent, unpack), "a long, b long"), "links")
     found = connected_components(links, work, "components-1")
 
     labelled = work.save(members.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "labelled")
-    work.drop("members")
+    work.drop("partners")
     several = labelled.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    dealt = labelled.join(several.select("bucket", F.ceil(F.col("n") / BLOCK).alias("n_blocks")), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "n_blocks"))
-    blocks = dealt.join(sets, "node").groupBy("bucket", "block", "n_blocks").agg(F.collect_list(F.struct("node", "component", "elements")).alias("members"))
-    blocks = work.save(blocks, "blocks")
-    work.drop("labelled")
-    work.drop("sets")
-    if blocks.isEmpty():
-        return found
-    meetings = blocks.select("bucket", "block", "members", F.explode(F.sequence("block", F.col("n_blocks") - 1)).alias("other"))
-    others = blocks.select("bucket", F.col("block").alias("other"), F.col("members").alias("other_members"))
-    met = meetings.join(others, ["bucket", "other"]).select("members", "other_members")
-    more = work.save(met.mapInArrow(_linked_blocks(percent), "a long, b long"), "links-2", rows_per_batch=4)
-    work.drop("blocks")
+    unfinished = labelled.join(several.select("bucket", "n"), "bucket").join(sketched, "node").join(sets, "node").withColumn("k", F.col("size"))
+    met = _meetings(unfinished, BLOCK, ["component", F.col("k").alias("n"), *bits, "elements"], work, "blocks").select("members", "other_members")
+    more = work.save(met.mapInArrow(_linked_blocks(words, percent, far_bits, unpack), "a long, b long"), "links-2", rows_per_batch=16)
+    for name in ("labelled", "sets", "blocks", "pairs"):
+        work.drop(name)
     return found if more.isEmpty() else connected_components(links.unionByName(more), work, "components-2")
-
-
-def bits_apart(x: str, y: str, words: int) -> Column:
-    """In how many bits the sketches s0, s1, ... of two aliases differ."""
-    return sum((F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(words)), F.lit(0))

@@ -16,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lsh import bits_apart, linked_components
+from .lsh import linked_components
 from .superminhash import SuperMinHash, band_keys, bit_sketch
 from .textbuf import GOLDEN, hashed_words, lower_ascii, mix64, shingle_hashes, slices, utf8_buffer
 from .workspace import Workspace
@@ -88,12 +88,6 @@ def _full_sets(width: int):
     return run
 
 
-def _possible(p: NearDedupParams, x: str, y: str) -> Column:
-    """Whether sizes and sketches leave room for a link between the rows of two aliases."""
-    n, m = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * p.percent) & (bits_apart(x, y, 4) <= p.far_bits)
-
-
 def near_duplicates(docs: DataFrame, params: NearDedupParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns (doc_id, n_shingles, component_id, kept), a row for each input row.
 
@@ -115,9 +109,9 @@ def near_duplicates(docs: DataFrame, params: NearDedupParams | None = None, id_c
         rows = source.hint("merge").join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
         return rows.mapInArrow(_full_sets(p.width), "node long, elements binary")
 
-    sketches = reps.select(F.col("doc_id").alias("node"), "n_shingles", "s0", "s1", "s2", "s3")
+    sketches = reps.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "s0", "s1", "s2", "s3")
     entries = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"))
-    found = linked_components(entries, sketches, lambda x, y: _possible(p, x, y), sets_of, p.percent, work)
+    found = linked_components(entries, sketches, 4, p.far_bits, p.percent, sets_of, work)
 
     whole = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key_a", "key_b", F.col("n_shingles").alias("size"), F.coalesce("component", "rep").alias("component"))
     by_class = prints.select("doc_id", "n_shingles", "key_a", "key_b")
@@ -126,7 +120,8 @@ def near_duplicates(docs: DataFrame, params: NearDedupParams | None = None, id_c
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, params: NearDedupParams | None = None) -> DataFrame:
-    """The rows of documents that are kept, all columns as they are; one for each id of a group's least document."""
-    verdict = near_duplicates(docs, params).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(verdict, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+def drop_near_duplicates(docs: DataFrame, params: NearDedupParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of documents that are kept, all columns as they are; of rows that repeat an id all stay or go."""
+    kept = near_duplicates(docs, params, id_col, text_col).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).cast("long").alias("id"))
+    return rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").select("doc.*")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .bpe import round_trip
+from .decontaminate import judge_contamination
 from .html_extract import extract_text
-from .line_dedup import without_duplicate_lines
+from .line_dedup import line_report
 from .near_dedup import near_duplicates
+from .quality_classifier import score_quality
+from .quality_rules import judge_quality
 from .token_counts import count_tokens
 from .token_files import token_digests
 from .url_filter import judge_urls
@@ -24,6 +26,19 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(_table(spark, sf_dir, "documents"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "p_text", "p_meta", "p_quality", "kept")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"))
 
@@ -33,8 +48,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = without_duplicate_lines(_table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", F.col("_lines").alias("n_lines"), F.size("_dropped").cast("long").alias("n_dropped"), F.col("_dropped").alias("dropped"), "text")
+    return line_report(_table(spark, sf_dir, "documents"))
 
 
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +65,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_decontamination": op2_decontamination,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_token_counts": op5_token_counts,
     "op6_token_files": op6_token_files,
     "op7_line_dedup": op7_line_dedup,

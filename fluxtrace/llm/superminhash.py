@@ -47,7 +47,8 @@ class SuperMinHash:
         for rank in range(self.size):
             if not len(elements):
                 break
-            fraction = (mix64(elements + _step(rank + 1)) & np.uint64(0xFFFFFF)).astype(np.uint32)
+            mixed = mix64(elements + _step(rank)) if rank else elements  # the low bits take no part in the place
+            fraction = (mixed & np.uint64(0xFFFFFF)).astype(np.uint32)
             place = self._ranked[rank][(elements >> np.uint64(52)).astype(np.int64)] ^ ((elements >> np.uint64(40)) & mask).astype(np.uint8)
             np.minimum.at(out, owner * self.size + place, fraction | np.uint32(rank << 24))
             live = np.unique(owner) if rank else np.arange(n)
