@@ -82,13 +82,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams |
     widths = sorted({_key_width(n) for n in sizes})
     rows = _rolling(rows, "words", max(widths, default=1))
     keyed = _rolling(windows, "window", max(widths, default=1))
+    keyed = work.save(keyed.select("item_id", "window", "length", *(F.element_at(f"_h{k}", 1).alias(f"key{k}") for k in widths or [1])), "keyed")
     found = None
     for k in widths or [1]:
         lengths = [n for n in sizes if _key_width(n) == k]
-        items = keyed.where(F.col("length").isin(lengths)).select("item_id", "window", "length", F.element_at(f"_h{k}", 1).alias("hash"))
+        items = keyed.where(F.col("length").isin(lengths)).select("item_id", "window", "length", F.col(f"key{k}").alias("hash"))
         if sum(sizes[n] for n in lengths) <= p.most_windows:
             items = F.broadcast(items)
-        placed = rows.select("doc_id", "row_key", "words", F.posexplode(f"_h{k}").alias("at", "hash"))
+        # Outer: from an inner one Spark would infer a filter that makes all hashes once more.
+        placed = rows.select("doc_id", "row_key", "words", F.posexplode_outer(f"_h{k}").alias("at", "hash"))
         same = (placed.hash == items.hash) & (F.slice(placed.words, placed["at"] + 1, items.length) == items.window)
         part = placed.join(items, same).select("doc_id", "row_key", "at", "length", "item_id")
         found = part if found is None else found.unionByName(part)
