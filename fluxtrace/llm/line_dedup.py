@@ -120,6 +120,8 @@ def _with_words(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return solid[bounds[1]] > solid[bounds[0]]
 
 
+#: Keys that a task remembers.
+REMEMBERED = 1 << 20
 _PRINT = "doc_id long, row_key long, line_no int, key long, bands array<long>, s0 long"
 
 
@@ -127,7 +129,7 @@ def _prints(p: LineDedupParams):
     """Rows (doc_id, row_key, text) to a row for each line that has a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = SuperMinHash(p.positions)
+        hasher, seen = SuperMinHash(p.positions), set()
         for batch in batches:
             for lo, codes, bounds, owner in _lines(batch.column(2)):
                 number = np.arange(len(owner)) - np.searchsorted(owner, owner)
@@ -136,12 +138,23 @@ def _prints(p: LineDedupParams):
                 if not len(owner):
                     continue
                 hashes, cuts = _shingles(codes, bounds, p.width)
-                signatures = hasher.signatures(hashes, cuts)
+                keys = _keys(hashes, cuts, bounds[1] - bounds[0])
+                # A text's bands are the same wherever it stands: a task gives those of a key once.
+                new = np.zeros(len(keys), bool)
+                first = np.unique(keys, return_index=True)[1]
+                new[first] = [k not in seen for k in keys[first].tolist()]
+                seen.update(keys[new].tolist())
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                sizes = np.diff(cuts)
+                signatures = hasher.signatures(hashes[np.repeat(new, sizes)], np.concatenate([[0], np.cumsum(sizes[new])]))
                 bands = band_keys(signatures, p.bands, p.rows)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(owner) + 1) * p.bands, pa.int32()), pa.array(bands.ravel()))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(new)]) * p.bands, pa.int32()), pa.array(bands.ravel()))
+                sketch = np.zeros(len(keys), np.int64)
+                sketch[new] = bit_sketch(signatures)[:, 0]
                 rows = pa.array(owner + lo)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number, pa.int32()), pa.array(_keys(hashes, cuts, bounds[1] - bounds[0])), lists, pa.array(np.ascontiguousarray(bit_sketch(signatures)[:, 0]))],
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number, pa.int32()), pa.array(keys), lists, pa.array(sketch, mask=~new)],
                     ["doc_id", "row_key", "line_no", "key", "bands", "s0"],
                 )
 
@@ -189,7 +202,7 @@ def duplicate_lines(docs: DataFrame, params: LineDedupParams | None = None, id_c
         return texts.groupBy("node").agg(F.first("elements").alias("elements"))
 
     entries = bands.select(F.explode("bands").alias("bucket"), F.col("key").alias("node"))
-    found = linked_components(entries, sketches, 1, p.far_bits, p.percent, sets_of, work, _line_sets(p.width), lambda: work.drop("prints"))
+    found = linked_components(entries, sketches, 1, p.far_bits, p.percent, sets_of, work, _line_sets(p.width), lambda: work.drop("prints"), 128)
     alone = known.where("copies > 1").select("key").join(found.select(F.col("node").alias("key")), "key", "left_anti").select("key", F.col("key").alias("component"))
     shared = found.select(F.col("node").alias("key"), "component").unionByName(alone)
     rows = work.save(prints.join(shared.hint("shuffle_hash"), "key").select("component", "doc_id", "row_key", "line_no"), "shared")

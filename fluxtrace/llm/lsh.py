@@ -17,8 +17,10 @@ from .workspace import Workspace
 BLOCK = 192
 #: The same where members carry only their sketches.
 SKETCH_BLOCK = 1024
-#: Pairs whose sketches are compared at once, and from how many confirmations matrices pay.
-PAIRS, MATRIX_FROM = 1 << 19, 200
+#: Rows of blocks whose sets are unpacked together.
+GROUP = 64
+#: Pairs of rows that are compared together, of one such row at most, and cells of an incidence matrix.
+PAIRS, SMALL, CELLS = 1 << 18, 4096, 1 << 22
 
 
 Sets = Callable[[pa.Array], list[np.ndarray]]
@@ -44,27 +46,46 @@ def _confirmed(percent: int, unpack: Sets):
     return run
 
 
-def _fitting(batch: pa.RecordBatch, x: int, y: int, words: int, percent: int, far_bits: int, across: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For groups of rows, all pairs of members of two block columns that may link: row, and place in either
-    column's flat members.  across: only pairs of different components."""
-    a, b = batch.column(x), batch.column(y)
-    sizes = [np.diff(c.offsets.to_numpy()) for c in (a, b)]
-    starts = [np.concatenate([[0], np.cumsum(n)]) for n in sizes]
-    fields = ["node", "n", *(f"s{i}" for i in range(words)), *(["component"] if across else [])]
-    left, right = ({f: c.flatten().field(f).to_numpy() for f in fields} for c in (a, b))
-    work = sizes[0].astype(np.int64) * sizes[1]
-    for lo, hi in slices(np.concatenate([[0], np.cumsum(work)]), PAIRS):
-        row = np.repeat(np.arange(lo, hi), work[lo:hi])
-        k = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(work[lo:hi])])[:-1], work[lo:hi])
-        i, j = starts[0][row] + k // np.maximum(sizes[1][row], 1), starts[1][row] + k % np.maximum(sizes[1][row], 1)
-        fit = left["node"][i] != right["node"][j]
+def _members(column: pa.Array, fields: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Where each row's members start among all, and their fields."""
+    flat = column.flatten()
+    return np.concatenate([[0], np.cumsum(np.diff(column.offsets.to_numpy()))]), {f: flat.field(f).to_numpy() for f in fields}
+
+
+def _fitting(batch: pa.RecordBatch, x: int, y: int, words: int, percent: int, far_bits: int, across: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For rows, the pairs of members of two block columns that may link: row, and places in either
+    column's flat members.  across: only pairs of different components.  A block that meets
+    itself gives each pair once.  Small rows are compared together, larger ones as matrices."""
+    fields = ["node", "n", *(f"s{w}" for w in range(words)), *(["component"] if across else [])]
+    (starts, left), (others, right) = (_members(batch.column(c), fields) for c in (x, y))
+    work = np.diff(starts) * np.diff(others)
+    itself = np.array([p - o == q - r and (left["node"][o:p] == right["node"][r:q]).all() for o, p, r, q in zip(starts, starts[1:], others, others[1:], strict=False)])
+
+    def fit(i: np.ndarray, j: np.ndarray, once: np.ndarray | bool) -> np.ndarray:
+        out = np.where(once, left["node"][i] < right["node"][j], left["node"][i] != right["node"][j])
         if across:
-            fit &= left["component"][i] != right["component"][j]
-        row, i, j = row[fit], i[fit], j[fit]
-        apart = sum(np.bitwise_count((left[f"s{w}"][i] ^ right[f"s{w}"][j]).view(np.uint64)).astype(np.int32) for w in range(words))
+            out &= left["component"][i] != right["component"][j]
+        apart = sum(np.bitwise_count((left[f"s{w}"][i] ^ right[f"s{w}"][j]).view(np.uint64)).astype(np.int16) for w in range(words))
         n, m = left["n"][i], right["n"][j]
-        fit = (apart <= far_bits) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
-        yield row[fit], i[fit], j[fit]
+        return out & (apart <= far_bits) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
+
+    small = np.flatnonzero(work <= SMALL)
+    for lo, hi in slices(np.concatenate([[0], np.cumsum(work[small])]), PAIRS):
+        rows = small[lo:hi]
+        row = np.repeat(rows, work[rows])
+        k = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(work[rows])])[:-1], work[rows])
+        wide = np.maximum(np.diff(others), 1)[row]
+        i, j = starts[row] + k // wide, others[row] + k % wide
+        keep = fit(i, j, itself[row])
+        row, i, j = row[keep], i[keep], j[keep]
+        cuts = np.flatnonzero(np.diff(row, prepend=-1, append=-1)) if len(row) else []
+        for p, q in zip(cuts[:-1], cuts[1:], strict=True):
+            yield int(row[p]), i[p:q], j[p:q]
+    for row in np.flatnonzero(work > SMALL).tolist():
+        i, j = np.arange(starts[row], starts[row + 1])[:, None], np.arange(others[row], others[row + 1])
+        p, q = np.nonzero(fit(i, j, itself[row]))
+        if len(p):
+            yield row, p + starts[row], q + others[row]
 
 
 def _partners(words: int, percent: int, far_bits: int):
@@ -73,27 +94,35 @@ def _partners(words: int, percent: int, far_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buckets = batch.column(0).to_numpy()
-            nodes = [batch.column(c).flatten().field("node").to_numpy() for c in (1, 2)]
-            for row, i, j in _fitting(batch, 1, 2, words, percent, far_bits, False):
-                found = np.unique(np.stack([np.concatenate([row, row]), np.concatenate([nodes[0][i], nodes[1][j]])]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(buckets[found[0]]), pa.array(found[1])], ["bucket", "node"])
+            sides = [_members(batch.column(c), ["node"]) for c in (1, 2)]
+            hits = [np.zeros(starts[-1], bool) for starts, _ in sides]
+            for _, i, j in _fitting(batch, 1, 2, words, percent, far_bits, False):
+                hits[0][i] = hits[1][j] = True
+            for (starts, fields), hit in zip(sides, hits, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(buckets, np.diff(starts))[hit]), pa.array(fields["node"][hit])], ["bucket", "node"])
 
     return run
 
 
-def _incidence(sets: list[np.ndarray], common: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(sets), len(common)), np.float32)
-    for i, elements in enumerate(sets):
-        out[i, np.flatnonzero(np.isin(common, elements, assume_unique=True))] = 1
-    return out
-
-
-def _matrix_links(s1: list[np.ndarray], s2: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which of two lists' sets link, by a product of their incidence matrices."""
-    common = np.intersect1d(np.unique(np.concatenate(s1)), np.unique(np.concatenate(s2)), assume_unique=True)
-    both = (_incidence(s1, common) @ _incidence(s2, common).T).round().astype(np.int64)
-    union = np.array([len(s) for s in s1])[:, None] + np.array([len(s) for s in s2]) - both
-    return (100 * both >= percent * union) & (both > 0)
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of two lists' sets, by products of incidence matrices."""
+    sets = [*left, *right]
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    both = np.zeros((len(left), len(right)), np.int64)
+    shared = np.bincount(column, minlength=len(values)) > 1
+    place = np.cumsum(shared) - 1
+    row, column = row[shared[column]], place[column[shared[column]]]
+    total = int(shared.sum())
+    step = max(1, min(total, CELLS // len(sets)))
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for at in range(0, total, step):
+        lo, hi = np.searchsorted(column, (at, at + step))
+        grid = np.zeros((len(sets), step), np.float32)
+        grid[row[lo:hi], column[lo:hi] - at] = 1
+        both += (grid[: len(left)] @ grid[len(left) :].T).astype(np.int64)
+    return both
 
 
 def _linked_blocks(words: int, percent: int, far_bits: int, unpack: Sets):
@@ -104,11 +133,19 @@ def _linked_blocks(words: int, percent: int, far_bits: int, unpack: Sets):
             out: list[tuple[int, int]] = []
             flat = [batch.column(c).flatten() for c in (0, 1)]
             nodes, parts = [f.field("node").to_numpy() for f in flat], [f.field("component").to_numpy() for f in flat]
-            for row, i, j in _fitting(batch, 0, 1, words, percent, far_bits, True):
-                ends = [np.unique(x, return_inverse=True) for x in (i, j)]
-                sets = [unpack(f.field("elements").take(pa.array(u))) for f, (u, _) in zip(flat, ends, strict=True)]
-                cuts = np.flatnonzero(np.diff(row, prepend=-1, append=-1))
-                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            found = list(_fitting(batch, 0, 1, words, percent, far_bits, True))
+            for at in range(0, len(found), GROUP):
+                group = found[at : at + GROUP]
+                # Each node's set is unpacked once for a group of rows.
+                needed = [np.unique(np.concatenate([x[side] for x in group])) for side in (1, 2)]
+                names, first = np.unique(np.concatenate([nodes[side][u] for side, u in enumerate(needed)]), return_index=True)
+                texts = pa.concat_arrays([f.field("elements").take(pa.array(u)) for f, u in zip(flat, needed, strict=True)])
+                sets = unpack(texts.take(pa.array(first)))
+                for _, i, j in group:
+                    (ua, ia), (ub, ib) = (np.unique(np.searchsorted(names, nodes[side][x]), return_inverse=True) for side, x in ((0, i), (1, j)))
+                    s1, s2 = [sets[k] for k in ua], [sets[k] for k in ub]
+                    both = _overlaps(s1, s2)[ia, ib]
+                    size = np.array([len(s) for s in s1])[ia] + np.array([len(s) for s in s2])[ib]
                     parent: dict[int, int] = {}
 
                     def find(x: int, parent: dict[int, int] = parent) -> int:
@@ -116,23 +153,11 @@ def _linked_blocks(words: int, percent: int, far_bits: int, unpack: Sets):
                             x = up
                         return x
 
-                    linked = None
-                    if hi - lo > MATRIX_FROM:
-                        (ua, ia), (ub, ib) = (np.unique(inverse[lo:hi], return_inverse=True) for _, inverse in ends)
-                        linked = _matrix_links([sets[0][k] for k in ua], [sets[1][k] for k in ub], percent)[ia, ib]
-                    for k in range(lo, hi):
-                        if linked is not None and not linked[k - lo]:
-                            continue
+                    for k in np.flatnonzero(100 * both >= percent * (size - both)).tolist():
                         c, d = find(int(parts[0][i[k]])), find(int(parts[1][j[k]]))
-                        if c == d:
-                            continue
-                        if linked is None:
-                            p, q = sets[0][ends[0][1][k]], sets[1][ends[1][1][k]]
-                            both = len(np.intersect1d(p, q, assume_unique=True))
-                            if 100 * both < percent * (len(p) + len(q) - both):
-                                continue
-                        parent[max(c, d)] = min(c, d)
-                        out.append((int(nodes[0][i[k]]), int(nodes[1][j[k]])))
+                        if c != d:
+                            parent[max(c, d)] = min(c, d)
+                            out.append((int(nodes[0][i[k]]), int(nodes[1][j[k]])))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
     return run
@@ -153,7 +178,7 @@ def _meetings(members: DataFrame, size: int, fields: list, work: Workspace, name
 
 
 def linked_components(
-    entries: DataFrame, sketches: DataFrame, words: int, far_bits: int, percent: int, sets_of: Callable[[DataFrame], DataFrame], work: Workspace, unpack: Sets = stored_sets, release: Callable[[], None] | None = None
+    entries: DataFrame, sketches: DataFrame, words: int, far_bits: int, percent: int, sets_of: Callable[[DataFrame], DataFrame], work: Workspace, unpack: Sets = stored_sets, release: Callable[[], None] | None = None, rows_per_batch: int = 16
 ) -> DataFrame:
     """(node, component) of every node with a link; component is the least node.
 
@@ -163,6 +188,7 @@ def linked_components(
     rule a link out, or that differ in over far_bits bits, are taken not to link.
     sets_of: a table of nodes to (node, elements), which ``unpack`` turns into arrays of
     sorted distinct hashes.  release is called once entries aren't needed any more.
+    rows_per_batch: pairs of blocks, with their members' elements, that a task gets at once.
 
     First members without a possible partner leave their bucket, and each bucket's least
     node is paired with its other members, so pairs grow with the members.  Buckets whose
@@ -202,7 +228,7 @@ def linked_components(
     several = labelled.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     unfinished = labelled.join(several.select("bucket", "n"), "bucket").join(sketched, "node").join(sets, "node").withColumn("k", F.col("size"))
     met = _meetings(unfinished, BLOCK, ["component", F.col("k").alias("n"), *bits, "elements"], work, "blocks").select("members", "other_members")
-    more = work.save(met.mapInArrow(_linked_blocks(words, percent, far_bits, unpack), "a long, b long"), "links-2", rows_per_batch=16)
+    more = work.save(met.mapInArrow(_linked_blocks(words, percent, far_bits, unpack), "a long, b long"), "links-2", rows_per_batch=rows_per_batch)
     for name in ("labelled", "sets", "blocks", "pairs"):
         work.drop(name)
     return found if more.isEmpty() else connected_components(links.unionByName(more), work, "components-2")
