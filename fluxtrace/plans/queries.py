@@ -168,12 +168,12 @@ def _gate_sql(name: str, flag: str) -> str:
 
 
 @query(f"""with {L_SQL}, {_gate_sql('ch405', 'R')}, {_gate_sql('ch470', 'A')}
-select rec, k - 1 as idx, round(nullif(coalesce((k - 1) * tmax / nullif(count(*) over (partition by rec) - 1, 0), 0.0), 0.0), 6) as time_s, nullif(ch405, 0) as ch405, nullif(ch470, 0) as ch470
+select rec, k - 1 as idx, round(nullif(coalesce((k - 1) * tmax / nullif(count(*) over (partition by rec) - 1, 0), 0.0), 0.0), 9) as time_s, nullif(ch405, 0) as ch405, nullif(ch470, 0) as ch470
 from (select rec, k, ch405, ch470, ch405.tmax as tmax from ch405 join ch470 using (rec, k))""")
 def q_deinterleave(spark, sf_dir):
     """Two channels out of one by their gates."""
     raw = rec_l(spark, sf_dir).withColumn("r", (F.col("flag") == "R").cast("int")).withColumn("a", (F.col("flag") == "A").cast("int"))
-    return rounded(edges.deinterleave(raw, {"ch405": "r", "ch470": "a"}, "sig", "time_s", 3), "time_s")
+    return edges.deinterleave(raw, {"ch405": "r", "ch470": "a"}, "sig", "time_s", 3).withColumn("time_s", F.round("time_s", 9))
 
 
 # --- relative change --------------------------------------------------------------------------
