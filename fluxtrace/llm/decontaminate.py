@@ -82,7 +82,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams |
     widths = sorted({_key_width(n) for n in sizes})
     rows = _rolling(rows, "words", max(widths, default=1))
     keyed = _rolling(windows, "window", max(widths, default=1))
-    keyed = work.save(keyed.select("item_id", "window", "length", *(F.element_at(f"_h{k}", 1).alias(f"key{k}") for k in widths or [1])), "keyed")
+    keyed = work.save(keyed.select("item_id", "window", "length", *(F.get(f"_h{k}", F.lit(0)).alias(f"key{k}") for k in widths or [1])), "keyed")
     found = None
     for k in widths or [1]:
         lengths = [n for n in sizes if _key_width(n) == k]
