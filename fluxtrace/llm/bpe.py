@@ -26,7 +26,7 @@ class PairMerger(dict):
     The cache is emptied at ``most`` entries, which changes nothing but the time.
     """
 
-    def __init__(self, path: str, most: int = 900_000) -> None:
+    def __init__(self, path: str, most: int = 300_000) -> None:
         super().__init__()
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
