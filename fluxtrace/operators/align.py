@@ -24,8 +24,8 @@ def align_behaviour(trace: DataFrame, channels: list[str], states: DataFrame, st
     out = times.select("rec", "idx", "t")
     for c in channels:
         out = out.join(present(trace, c), ["rec", "idx"])
-    shifted = states.join(F.broadcast(starts), "rec").select("rec", (F.col("idx") + F.col("start")).alias("idx"), "level")
-    out = out.join(F.broadcast(starts), "rec").join(shifted, ["rec", "idx"], "left")
+    shifted = states.join(starts, "rec").select("rec", (F.col("idx") + F.col("start")).alias("idx"), "level")
+    out = out.join(starts, "rec").join(shifted, ["rec", "idx"], "left")
     out = out.where((F.col("idx") < F.col("start")) | F.col("level").isNotNull())
     return out.select("rec", "idx", "t", *channels, F.coalesce("level", F.lit(0)).alias("level"))
 

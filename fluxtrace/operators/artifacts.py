@@ -21,7 +21,7 @@ def segments(samples: DataFrame, artifacts: DataFrame, time: str = "time_s") ->
     bounds = artifacts.select("rec", "k", "start_s", "stop_s").unionByName(
         count.join(artifacts.groupBy("rec").agg(F.max("k").alias("k")), "rec", "left").select("rec", (F.coalesce("k", F.lit(0)) + 1).alias("k"), F.col("n").cast("double").alias("start_s"), F.lit(None).cast("double").alias("stop_s"))
     )
-    met = samples.select("rec", "idx", time).join(F.broadcast(bounds), "rec")
+    met = samples.select("rec", "idx", time).join(bounds, "rec")
     ends = met.groupBy("rec", "k").agg(F.max(F.when(F.col(time) < F.col("start_s"), F.col("idx"))).alias("end"), F.min(F.when(F.col(time) > F.col("stop_s"), F.col("idx"))).alias("after"))
     ends = ends.withColumn("after", F.when(F.col("end").isNotNull(), F.col("after")))
     before = Window.partitionBy("rec").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
@@ -52,7 +52,7 @@ def remove_artifacts(samples: DataFrame, artifacts: DataFrame, channel: str, met
 def dff_or_default(samples: DataFrame, artifacts: DataFrame, channel: str) -> DataFrame:
     """Adds clean: by segments where a recording has artifacts, else by the whole recording's mean."""
     have = artifacts.select("rec").distinct().withColumn("listed", F.lit(True))
-    rows = samples.join(F.broadcast(have), "rec", "left")
+    rows = samples.join(have, "rec", "left")
     whole = F.avg(channel).over(Window.partitionBy("rec"))
     plain = rows.where("listed is null").withColumn("clean", (F.col(channel) - whole) / F.nullif(whole, F.lit(0.0)) * 100)
     cut = remove_artifacts(rows.where("listed"), artifacts, channel)

@@ -16,7 +16,7 @@ def first_events(events: DataFrame, most: int) -> DataFrame:
 def early_enough(events: DataFrame, samples: DataFrame, post: int) -> DataFrame:
     """Events with ``post`` samples after them."""
     sizes = samples.groupBy("rec").agg(F.count("*").alias("_n"))
-    return events.join(F.broadcast(sizes), "rec").where(F.col("idx") + post < F.col("_n")).drop("_n")
+    return events.join(sizes, "rec").where(F.col("idx") + post < F.col("_n")).drop("_n")
 
 
 def shift_to_trough(events: DataFrame, samples: DataFrame, before: int, after: int, value: str) -> DataFrame:
@@ -44,7 +44,7 @@ def peth(events: DataFrame, samples: DataFrame, pre: int, post: int, value: str,
         rows = rows.withColumn("_mean", F.avg(inside).over(each)).withColumn("_sd", F.stddev_samp(inside).over(each)).where(shown)
     else:
         whole = samples.groupBy("rec").agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"))
-        rows = rows.join(F.broadcast(whole), "rec")
+        rows = rows.join(whole, "rec")
     z = (F.col("value") - F.col("_mean")) / F.nullif("_sd", F.lit(0.0))
     return rows.select("rec", "bout", "idx", "rel_idx", z.alias("z"))
 
@@ -62,7 +62,7 @@ def average(rows: DataFrame, *keys: str) -> DataFrame:
 def pool(rows: DataFrame, groups: DataFrame, key: str = "grp") -> DataFrame:
     """(key, rel_idx, n, mean_z, sem_z): means of recordings' means by group."""
     each = rows.groupBy("rec", "rel_idx").agg(F.avg("z").alias("z"))
-    return average(each.join(F.broadcast(groups), "rec"), key)
+    return average(each.join(groups, "rec"), key)
 
 
 def mean_max(rows: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def detrend(samples: DataFrame, channel: str, out: str) -> DataFrame:
 def median_deviation(samples: DataFrame, channel: str) -> DataFrame:
     """(rec, median, mad): the median and the unscaled median absolute deviation."""
     median = samples.groupBy("rec").agg(F.median(channel).alias("median"))
-    rows = samples.join(F.broadcast(median), "rec")
+    rows = samples.join(median, "rec")
     return rows.groupBy("rec").agg(F.first("median").alias("median"), F.median(F.abs(F.col(channel) - F.col("median"))).alias("mad"))
 
 

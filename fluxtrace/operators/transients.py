@@ -20,7 +20,7 @@ def thresholds(samples: DataFrame, channel: str, threshold: str = "one_MAD") ->
 
 def peaks(samples: DataFrame, channel: str, rate: float, threshold: str = "one_MAD") -> DataFrame:
     """(rec, idx, height): maxima over the threshold, spaced by half a second."""
-    high = local_maxima(samples, channel).join(F.broadcast(thresholds(samples, channel, threshold)), "rec").where("height >= height_least")
+    high = local_maxima(samples, channel).join(thresholds(samples, channel, threshold), "rec").where("height >= height_least")
     return space_peaks(high.select("rec", "idx", "height"), rate)
 
 

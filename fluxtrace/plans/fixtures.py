@@ -33,7 +33,7 @@ def rec_l(spark: SparkSession, sf_dir: str) -> DataFrame:
 def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dimension (rec, subject, grp, batch) from suppliers, nations and regions."""
     s, n, r = (table(spark, sf_dir, x) for x in ("supplier", "nation", "region"))
-    rows = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+    rows = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
     return rows.select(F.col("s_suppkey").alias("rec"), F.col("s_name").alias("subject"), F.col("n_regionkey").alias("grp"), F.col("r_name").alias("batch"))
 
 

@@ -547,7 +547,7 @@ _DIM = "dim as (select s_suppkey as rec, s_name as subject, n_regionkey as grp,
 def q_subject_lookup(spark, sf_dir):
     """Recordings with their subject, group and batch."""
     means = rec_l(spark, sf_dir).groupBy("rec").agg(F.count("*").alias("n"), F.avg("sig").alias("mean_sig"))
-    return rounded(means.join(F.broadcast(subjects(spark, sf_dir)), "rec"), "mean_sig").select("rec", "subject", "grp", "batch", "n", "mean_sig")
+    return rounded(means.join(subjects(spark, sf_dir), "rec"), "mean_sig").select("rec", "subject", "grp", "batch", "n", "mean_sig")
 
 
 @query(f"with {L_SQL} select rec, count(*) as n from rec_l where rec in (select s_suppkey from supplier where s_acctbal > 0) group by rec")

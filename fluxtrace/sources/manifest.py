@@ -14,7 +14,7 @@ def session_manifest(protocol: DataFrame, subjects: DataFrame, task: str) -> Dat
     protocol: (task, batch, sessions), sessions separated by commas.
     """
     sessions = protocol.where(F.col("task") == task).select("batch", F.explode(F.split("sessions", ",")).alias("session")).distinct()
-    rows = subjects.join(F.broadcast(sessions), "batch")
+    rows = subjects.join(sessions, "batch")
     return rows.select("rec", "subject", "batch", "session", session_code(F.col("session")).alias("code"), filecode(F.lit(task), F.col("session"), F.col("subject")).alias("filecode"))
 
 
