@@ -2,15 +2,17 @@
 
 One view is the text's content (its characters and the shape of its words), the other
 the document's metadata (source, language, length).  Each has a logistic regression,
-fitted on a bounded sample of labelled documents.  Over some rounds each view scores a
-bounded pool of unlabelled documents and hands its most confident ones, with the label
-it gives them, to the other view's training set.  On labelled documents kept apart, a
-further logistic regression calibrates and combines the two views' log-odds.  All
-documents are then scored in one pass.
+fitted on a bounded sample of labelled documents.  In each round a distributed pass has
+both views score all unlabelled documents; the most confident ones, with the label that
+the view gives them, are handed to the other view, whose fit sees a bounded sample of
+them.  On labelled documents kept apart, a further logistic regression calibrates and
+combines the two views' log-odds.  All documents are then scored in one pass.
 """
 
 from __future__ import annotations
 
+import logging
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,12 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textbuf import slices, utf8_buffer
+from .workspace import Workspace
+
+log = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
 class CoTrainingParams:
-    """labelled, pool: documents that the fit sees at most, those of least id hash; all documents
-    are scored.  handed: share of the pool handed over by each view in a round.  threshold: least
+    """labelled: labelled documents that the fit sees at most, those of least id hash.  handed: share
+    of all unlabelled documents handed over by each view in a round.  pool: handed documents that a
+    view's fit sees at most, an equal part from each round, those of least row hash.  threshold: least
     probability of good quality to be kept, below a half so that doubt keeps a document."""
 
     labelled: int = 4000
@@ -40,6 +46,7 @@ class CoTrainingParams:
 
 _SHAPES = 12
 _META = 130
+_STEPS = 1000
 
 
 def _bytes_in(data: np.ndarray, members: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -123,13 +130,27 @@ class Logistic:
         return ((x - self.mean) / self.scale) @ self.weights + self.bias
 
 
+@dataclass(frozen=True)
+class HandOver:
+    """What a view gave in a round: of so many unlabelled documents, those called good and bad, and
+    those of them that the other view's fit saw."""
+
+    round: int
+    giver: str
+    unlabelled: int
+    good: int
+    bad: int
+    seen: int
+
+
 @dataclass
 class QualityModel:
-    """Both views' regressions and the regression that calibrates and combines them."""
+    """Both views' regressions, the regression that calibrates and combines them, and the exchange of their fit."""
 
     text: Logistic
     meta: Logistic
     both: Logistic
+    exchange: tuple[HandOver, ...] = ()
 
     def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probabilities of good quality: by text, by metadata, combined."""
@@ -137,32 +158,6 @@ class QualityModel:
         return tuple(1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in (a, b, self.both.odds(np.column_stack([a, b]))))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, p: CoTrainingParams) -> QualityModel:
-    """Fits on four of five labelled rows, in their order; every fifth calibrates."""
-    apart = np.arange(len(y)) % 5 == 4 if len(y) >= 10 else np.zeros(len(y), bool)
-    own = {"text": text[~apart], "meta": meta[~apart]}
-    pools = {"text": pool_text, "meta": pool_meta}
-    extra: dict[str, dict[int, float]] = {"text": {}, "meta": {}}
-
-    def fitted(view: str) -> Logistic:
-        rows = sorted(extra[view].items())
-        x = np.concatenate([own[view], pools[view][[i for i, _ in rows]]]) if rows else own[view]
-        return Logistic.fit(x, np.concatenate([y[~apart], [v for _, v in rows]]))
-
-    models = {view: fitted(view) for view in own}
-    for _ in range(p.rounds if len(pool_text) else 0):
-        for giver, taker in (("text", "meta"), ("meta", "text")):
-            chance = 1 / (1 + np.exp(-np.clip(models[giver].odds(pools[giver]), -30, 30)))
-            sure = np.abs(chance - 0.5) * 2
-            for i in np.argsort(-sure, kind="stable")[: int(p.handed * len(chance))].tolist():
-                if max(chance[i], 1 - chance[i]) >= p.sure:
-                    extra[taker].setdefault(i, float(chance[i] > 0.5))
-        models = {view: fitted(view) for view in own}
-    held = apart if apart.any() else ~apart
-    odds = np.column_stack([np.clip(models["text"].odds(text[held]), -20, 20), np.clip(models["meta"].odds(meta[held]), -20, 20)])
-    return QualityModel(models["text"], models["meta"], Logistic.fit(odds, y[held], 1e-3))
-
-
 def _features(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray, list]:
     """Both views of a bounded table (key, text, source, lang, n_chars), in the order of key."""
 
@@ -178,21 +173,93 @@ def _features(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray, li
     return table[:, :-_META], table[:, -_META:], [r.key for r in rows]
 
 
+def _steps(odds: np.ndarray) -> np.ndarray:
+    """Log-odds in whole steps, so that a bounded table counts them."""
+    return np.clip(np.floor(odds * _STEPS), -20 * _STEPS, 20 * _STEPS).astype(np.int32)
+
+
+def _scored(docs: DataFrame, models: dict[str, Logistic], buckets: int) -> DataFrame:
+    """(row, doc_id, text, meta) of all rows of docs: both views' log-odds in steps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            meta = metadata_view(*(batch.column(i).to_pylist() for i in (3, 4, 5)))
+            for lo, text in text_view(batch.column(2), buckets):
+                views = {"text": text, "meta": meta[lo : lo + len(text)]}
+                steps = [pa.array(_steps(models[v].odds(x)), pa.int32()) for v, x in views.items()]
+                yield pa.RecordBatch.from_arrays([batch.column(i)[lo : lo + len(text)] for i in (0, 1)] + steps, ["row", "doc_id", "text", "meta"])
+
+    return docs.mapInArrow(run, f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, text int, meta int")
+
+
+def _bars(counts: Counter, p: CoTrainingParams) -> tuple[int, int]:
+    """Steps up to which, and from which, a document is handed over: the surest share, if sure enough."""
+    left, sizes = int(p.handed * sum(counts.values())), Counter()
+    for step, n in counts.items():
+        sizes[abs(step)] += n
+    bar = 20 * _STEPS + 1
+    for step in sorted(sizes, reverse=True):
+        left -= sizes[step]
+        if left < 0:
+            break
+        bar = step
+    bar = max(bar, int(np.log(p.sure / (1 - p.sure)) * _STEPS))
+    return -bar, bar
+
+
 def train(docs: DataFrame, labels: DataFrame, params: CoTrainingParams | None = None) -> QualityModel:
-    """Fits on documents with a quality of 0 or 1 in labels; other labels and null ids are passed over."""
+    """Fits on documents with a quality of 0 or 1 in labels, and exchanges labels of all other documents.
+
+    Other labels and null ids in labels are passed over; documents with such a label or id are
+    unlabelled.  Four of five labelled rows, in their order, are fitted on; every fifth calibrates.
+    """
     p = params or CoTrainingParams()
     ids = docs.where("doc_id is not null").select("doc_id").distinct()
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = F.broadcast(known.join(ids, "doc_id", "left_semi").orderBy(*order).limit(p.labelled))
-    pool = F.broadcast(ids.join(known, "doc_id", "left_anti").orderBy(*order).limit(p.pool))
-    columns = [F.col("text"), F.col("source"), F.col("lang"), F.col("n_chars")]
-    mine = docs.select("doc_id", *columns)
+    chosen = F.broadcast(known.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.labelled))
+    columns = ["text", "source", "lang", "n_chars"]
+    mine = docs.select(F.xxhash64("doc_id", *columns).alias("row"), "doc_id", *columns)
     text, meta, keys = _features(mine.join(chosen, "doc_id").select(F.concat_ws(":", F.xxhash64("doc_id"), "quality").alias("key"), *columns), p.buckets)
-    pool_text, pool_meta, _ = _features(mine.join(pool, "doc_id").select(F.xxhash64("doc_id").cast("string").alias("key"), *columns), p.buckets)
     if not keys:
         raise ValueError("no labelled document to fit on")
-    return co_train(text, meta, np.array([float(k.rpartition(":")[2]) for k in keys]), pool_text, pool_meta, p)
+    y = np.array([float(k.rpartition(":")[2]) for k in keys])
+    apart = np.arange(len(y)) % 5 == 4 if len(y) >= 10 else np.zeros(len(y), bool)
+    fits = {"text": ([text[~apart]], [y[~apart]]), "meta": ([meta[~apart]], [y[~apart]])}
+    fitted = lambda: {view: Logistic.fit(np.concatenate(x), np.concatenate(v)) for view, (x, v) in fits.items()}
+    models = fitted()
+    work = Workspace(docs.sparkSession, "co-training")
+    exchange: list[HandOver] = []
+    taught: dict[str, set[int]] = {"text": set(), "meta": set()}
+    for turn in range(p.rounds if p.pool > 0 else 0):
+        unlabelled = work.save(_scored(mine, models, p.buckets).join(known, "doc_id", "left_anti"), f"round-{turn}")
+        counts = {"text": Counter(), "meta": Counter()}
+        for view, step, n in unlabelled.selectExpr("stack(2, 'text', text, 'meta', meta) as (view, step)").where("step is not null").groupBy("view", "step").count().collect():
+            counts[view][step] = n
+        share = p.pool * (turn + 1) // p.rounds - p.pool * turn // p.rounds
+        drawn: dict[str, dict[int, float]] = {}
+        for giver in counts:
+            low, high = _bars(counts[giver], p)
+            passed = unlabelled.where((F.col(giver) <= low) | (F.col(giver) >= high))
+            rows = passed.orderBy("row").limit(share).select("row", F.col(giver) >= high).collect()
+            drawn[giver] = {row: float(good) for row, good in rows if row not in taught[giver]}
+            taught[giver].update(drawn[giver])
+            good, bad = (sum(n for step, n in counts[giver].items() if test(step)) for test in (lambda s: s >= high, lambda s: s <= low))
+            exchange.append(HandOver(turn, giver, sum(counts[giver].values()), good, bad, len(drawn[giver])))
+            log.info("%s", exchange[-1])
+        work.drop(f"round-{turn}")
+        wanted = sorted({row for rows in drawn.values() for row in rows})
+        if not wanted:
+            break
+        new_text, new_meta, found = _features(mine.where(F.col("row").isin(wanted)).select(F.col("row").alias("key"), *columns), p.buckets)
+        place = {row: i for i, row in enumerate(found)}
+        for giver, taker, features in (("text", "meta", new_meta), ("meta", "text", new_text)):
+            if drawn[giver]:
+                fits[taker][0].append(features[[place[row] for row in drawn[giver]]])
+                fits[taker][1].append(np.array(list(drawn[giver].values())))
+        models = fitted()
+    held = apart if apart.any() else ~apart
+    odds = np.column_stack([np.clip(models["text"].odds(text[held]), -20, 20), np.clip(models["meta"].odds(meta[held]), -20, 20)])
+    return QualityModel(models["text"], models["meta"], Logistic.fit(odds, y[held], 1e-3), tuple(exchange))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, params: CoTrainingParams | None = None) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import pytest
 from oracle import DATA
 
-from fluxtrace.llm.quality_classifier import CoTrainingParams, keep_good, score_quality
+from fluxtrace.llm.quality_classifier import CoTrainingParams, keep_good, score_quality, train
 
 
 def made(n, seed=1):
@@ -50,3 +50,13 @@ def test_edge_cases(spark):
     assert keep_good(docs, one_kind).count() == len(rows)
     with pytest.raises(ValueError):
         score_quality(docs, marks.limit(0))
+
+
+def test_all_unlabelled_documents_are_scored_each_round(spark):
+    rows, labels = made(400)
+    rows.append((None, rows[7][1], "en", "good", 5))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    marks = spark.createDataFrame(labels[:100], "doc_id long, quality int, toxic int")
+    first = [x for x in train(docs, marks, CoTrainingParams(pool=9)).exchange if x.round == 0]
+    assert [x.unlabelled for x in first] == [301, 301]
+    assert all(x.seen <= 3 for x in first) and max(x.good + x.bad for x in first) > 9
