@@ -3,9 +3,9 @@
 One view is the text's content (its characters and the shape of its words), the other
 the document's metadata (source, language, length).  Each has a logistic regression,
 fitted on a bounded sample of labelled documents.  In each round a distributed pass has
-both views score all unlabelled documents; the most confident ones, with the label that
-the view gives them, are handed to the other view, whose fit sees a bounded sample of
-them.  On labelled documents kept apart, a further logistic regression calibrates and
+both views score all unlabelled documents; those that a view is surest of for its own
+distribution, and has not handed over before, go with its label to the other view, whose
+fit sees a bounded sample of them.  On labelled documents kept apart, a further logistic regression calibrates and
 combines the two views' log-odds.  All documents are then scored in one pass.
 """
 
@@ -31,7 +31,8 @@ log = logging.getLogger(__name__)
 @dataclass(frozen=True)
 class CoTrainingParams:
     """labelled: labelled documents that the fit sees at most, those of least id hash.  handed: share
-    of all unlabelled documents handed over by each view in a round.  pool: handed documents that a
+    of the unlabelled documents not yet handed over that each view hands over in a round, split between
+    good and bad as the labels are.  pool: handed documents that a
     view's fit sees at most, an equal part from each round, those of least row hash.  threshold: least
     probability of good quality to be kept, below a half so that doubt keeps a document."""
 
@@ -39,7 +40,6 @@ class CoTrainingParams:
     pool: int = 2000
     rounds: int = 3
     handed: float = 0.05
-    sure: float = 0.95
     threshold: float = 0.4
     buckets: int = 512
 
@@ -132,8 +132,8 @@ class Logistic:
 
 @dataclass(frozen=True)
 class HandOver:
-    """What a view gave in a round: of so many unlabelled documents, those called good and bad, and
-    those of them that the other view's fit saw."""
+    """What a view gave in a round: of so many unlabelled documents that it had not handed over before,
+    those called good and bad, and those of them that the other view's fit saw."""
 
     round: int
     giver: str
@@ -178,33 +178,50 @@ def _steps(odds: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(odds * _STEPS), -20 * _STEPS, 20 * _STEPS).astype(np.int32)
 
 
-def _scored(docs: DataFrame, models: dict[str, Logistic], buckets: int) -> DataFrame:
-    """(row, doc_id, text, meta) of all rows of docs: both views' log-odds in steps."""
+#: The views' regressions of a round, and for each view the steps up to which and from which it handed documents over.
+Round = tuple[dict[str, Logistic], dict[str, tuple[int, int]]]
+
+
+def _scored(docs: DataFrame, models: dict[str, Logistic], past: list[Round], buckets: int) -> DataFrame:
+    """(row, doc_id, text, meta) of all rows of docs: each view's log-odds in steps, null if it handed the row over in a past round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             meta = metadata_view(*(batch.column(i).to_pylist() for i in (3, 4, 5)))
             for lo, text in text_view(batch.column(2), buckets):
-                views = {"text": text, "meta": meta[lo : lo + len(text)]}
-                steps = [pa.array(_steps(models[v].odds(x)), pa.int32()) for v, x in views.items()]
-                yield pa.RecordBatch.from_arrays([batch.column(i)[lo : lo + len(text)] for i in (0, 1)] + steps, ["row", "doc_id", "text", "meta"])
+                found = []
+                for view, x in (("text", text), ("meta", meta[lo : lo + len(text)])):
+                    gone = np.zeros(len(x), bool)
+                    for old, bars in past:
+                        steps, (low, high) = _steps(old[view].odds(x)), bars[view]
+                        gone |= (steps <= low) | (steps >= high)
+                    found.append(pa.array(_steps(models[view].odds(x)), pa.int32(), mask=gone))
+                yield pa.RecordBatch.from_arrays([batch.column(i)[lo : lo + len(text)] for i in (0, 1)] + found, ["row", "doc_id", "text", "meta"])
 
     return docs.mapInArrow(run, f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, text int, meta int")
 
 
-def _bars(counts: Counter, p: CoTrainingParams) -> tuple[int, int]:
-    """Steps up to which, and from which, a document is handed over: the surest share, if sure enough."""
-    left, sizes = int(p.handed * sum(counts.values())), Counter()
-    for step, n in counts.items():
-        sizes[abs(step)] += n
-    bar = 20 * _STEPS + 1
-    for step in sorted(sizes, reverse=True):
-        left -= sizes[step]
-        if left < 0:
+def _bars(counts: Counter, good: float, p: CoTrainingParams) -> tuple[int, int]:
+    """Steps up to which, and from which, a view hands documents over: the ends of its own distribution.
+
+    An end has at least its share (and one document), ties included, and never reaches the median, so a
+    view that tells nothing apart hands nothing over.
+    """
+    total, bars = sum(counts.values()), []
+    steps, seen = sorted(counts), 0
+    for step in steps:
+        seen += counts[step]
+        if 2 * seen >= total:
+            middle = step
             break
-        bar = step
-    bar = max(bar, int(np.log(p.sure / (1 - p.sure)) * _STEPS))
-    return -bar, bar
+    for ends, share, outer in ((steps, 1 - good, -20 * _STEPS - 1), (steps[::-1], good, 20 * _STEPS + 1)):
+        bar, seen = outer, 0
+        for step in ends:
+            if seen >= max(1, p.handed * share * total) or step == middle:
+                break
+            bar, seen = step, seen + counts[step]
+        bars.append(bar)
+    return bars[0], bars[1]
 
 
 def train(docs: DataFrame, labels: DataFrame, params: CoTrainingParams | None = None) -> QualityModel:
@@ -229,24 +246,24 @@ def train(docs: DataFrame, labels: DataFrame, params: CoTrainingParams | None =
     models = fitted()
     work = Workspace(docs.sparkSession, "co-training")
     exchange: list[HandOver] = []
-    taught: dict[str, set[int]] = {"text": set(), "meta": set()}
+    past: list[Round] = []
     for turn in range(p.rounds if p.pool > 0 else 0):
-        unlabelled = work.save(_scored(mine, models, p.buckets).join(known, "doc_id", "left_anti"), f"round-{turn}")
+        unlabelled = work.save(_scored(mine, models, past, p.buckets).join(known, "doc_id", "left_anti"), f"round-{turn}")
         counts = {"text": Counter(), "meta": Counter()}
         for view, step, n in unlabelled.selectExpr("stack(2, 'text', text, 'meta', meta) as (view, step)").where("step is not null").groupBy("view", "step").count().collect():
             counts[view][step] = n
         share = p.pool * (turn + 1) // p.rounds - p.pool * turn // p.rounds
         drawn: dict[str, dict[int, float]] = {}
-        for giver in counts:
-            low, high = _bars(counts[giver], p)
+        bars = {giver: _bars(counts[giver], float(y.mean()), p) for giver in counts}
+        for giver, (low, high) in bars.items():
             passed = unlabelled.where((F.col(giver) <= low) | (F.col(giver) >= high))
             rows = passed.orderBy("row").limit(share).select("row", F.col(giver) >= high).collect()
-            drawn[giver] = {row: float(good) for row, good in rows if row not in taught[giver]}
-            taught[giver].update(drawn[giver])
+            drawn[giver] = {row: float(good) for row, good in rows}
             good, bad = (sum(n for step, n in counts[giver].items() if test(step)) for test in (lambda s: s >= high, lambda s: s <= low))
             exchange.append(HandOver(turn, giver, sum(counts[giver].values()), good, bad, len(drawn[giver])))
             log.info("%s", exchange[-1])
         work.drop(f"round-{turn}")
+        past.append((models, bars))
         wanted = sorted({row for rows in drawn.values() for row in rows})
         if not wanted:
             break

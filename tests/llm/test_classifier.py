@@ -60,3 +60,13 @@ def test_all_unlabelled_documents_are_scored_each_round(spark):
     first = [x for x in train(docs, marks, CoTrainingParams(pool=9)).exchange if x.round == 0]
     assert [x.unlabelled for x in first] == [301, 301]
     assert all(x.seen <= 3 for x in first) and max(x.good + x.bad for x in first) > 9
+
+
+def test_both_views_hand_over_new_documents_each_round(spark):
+    rows, labels = made(400)
+    marks = spark.createDataFrame(labels[:100], "doc_id long, quality int, toxic int")
+    exchange = train(spark.createDataFrame(rows, SCHEMA), marks, CoTrainingParams()).exchange
+    for giver in ("text", "meta"):
+        own = [x for x in exchange if x.giver == giver]
+        assert [x.round for x in own] == [0, 1, 2] and all(x.good and x.bad and x.seen for x in own)
+        assert all(b.unlabelled == a.unlabelled - a.good - a.bad for a, b in zip(own, own[1:], strict=False))
