@@ -30,7 +30,7 @@ class LineDedupParams:
 
     bands, rows: a pair at 75 % shares a band with chance 1 - (1 - 0.75**3)**12, above
     0.998; at 80 % above 0.9996.  far_bits: a linked pair's 64-bit sketches differ in 8 bits
-    on average (standard deviation 2.6); beyond 20, with a chance below 1e-5, a pair is left out.
+    on average (standard deviation 2.6); beyond 24, with a chance below 1e-7, a pair is left out.
     """
 
     width: int = 8
@@ -38,7 +38,7 @@ class LineDedupParams:
     positions: int = 64
     bands: int = 12
     rows: int = 3
-    far_bits: int = 20
+    far_bits: int = 24
 
 
 _FACTORS = mix64((np.arange(64, dtype=np.uint64) + np.uint64(901)) * GOLDEN) | np.uint64(1)

@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -115,3 +116,8 @@ def test_lines_edge_cases(spark):
     clash = docs_of(spark, ["x y", "x y"]).selectExpr("*", "1 as doc", "2 as dropped", "3 as row_key", "4 as lines")
     out = without_duplicate_lines(clash)
     assert out.columns == clash.columns and sorted((r.doc_id, r.text, r.dropped) for r in out.collect()) == [(0, "x y", 2), (1, "", 2)]
+
+
+def test_sketch_cut_of_lines_keeps_its_bound():
+    beyond = sum(math.comb(64, k) * 7 ** (64 - k) for k in range(LineDedupParams().far_bits + 1, 65)) / 8**64
+    assert beyond < 1e-7
