@@ -41,7 +41,9 @@ class ExtractParams:
 
 
 # Element names of HTML by their part in a page.
-RAW = frozenset(["script", "style", "noscript", "template", "iframe", "title", "textarea", "svg", "math", "object", "noembed", "noframes", "xmp", "select", "datalist", "canvas", "audio", "video", "map"])
+RAW = frozenset(["script", "style", "template", "iframe", "title", "textarea", "select", "datalist"])
+#: Elements whose text is read like any other; one without an end after it is passed over, so that its marks reach no further text.
+EMBEDDED = frozenset(["noscript", "svg", "math", "object", "noembed", "noframes", "xmp", "canvas", "audio", "video", "map"])
 VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
 BLOCK = frozenset(
     ["address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"]
@@ -59,7 +61,7 @@ CONTENT_WORDS = frozenset(["article", "articlebody", "content", "entry", "main",
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-_END_OF = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in RAW}
+_END_OF = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in RAW | EMBEDDED}
 
 
 @dataclass
@@ -112,11 +114,19 @@ def blocks_of(page: str) -> list[Block]:
     root = _Element("", 0, 0, False)
     stack, out, serial = [root], [], 0
     now: Block | None = None
+    ends: dict[str, int] = {}
+
+    def ended(tag: str, at: int) -> bool:
+        if tag not in ends:
+            ends[tag] = max((m.start() for m in _END_OF[tag].finditer(page)), default=-1)
+        return ends[tag] >= at
 
     def say(text: str) -> None:
         nonlocal now
         if not text:
             return
+        if now is not None and stack[-1].sign != now.sign and text.strip():
+            now = None
         if now is None:
             if not text.strip():
                 return
@@ -138,11 +148,13 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag, closing, attributes = name.lower(), bool(match[1] or match[4]), match[3] or match[6] or ""
         if closing:
+            if tag in EMBEDDED and tag != "math":
+                say(" ")
             if tag in BLOCK:
                 now = None
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    if any(stack[j].sign != stack[i - 1].sign for j in range(i, len(stack))):
+                    if tag not in EMBEDDED and any(stack[j].sign != stack[i - 1].sign for j in range(i, len(stack))):
                         now = None
                     del stack[i:]
                     break
@@ -150,16 +162,29 @@ def blocks_of(page: str) -> list[Block]:
                     break
             continue
         if tag in RAW:
-            if not attributes.rstrip().endswith("/") or tag not in ("svg", "math"):
-                end = _END_OF[tag].search(page, at)
-                at = end.end() if end else len(page)
+            end = _END_OF[tag].search(page, at)
+            at = end.end() if end else len(page)
             say(" ")
             continue
+        if tag in EMBEDDED:
+            if tag != "math":
+                say(" ")
+            if not ended(tag, at):
+                continue
+            if tag == "xmp":
+                end = _END_OF[tag].search(page, at)
+                now = None
+                say(html.escape(page[at : end.start()]))
+                now, at = None, end.end()
+                continue
         if tag == "br":
             say(" ")
             continue
         if tag in BLOCK:
             now = None
+            foreign = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in ("svg", "math", "foreignobject", "annotation-xml")), 0)
+            if stack[foreign].tag in ("svg", "math"):
+                del stack[foreign:]
             same, border = ENDS.get(tag, ({"p"}, {"td", "th", "li", "button"}))
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in same or (stack[i].tag == "p" and tag not in ("li", "td", "th", "tr", "dt", "dd")):
@@ -170,7 +195,7 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID:
             continue
         sign, named = _marks(tag, attributes, stack[-1])
-        if sign != stack[-1].sign:
+        if sign != stack[-1].sign and tag not in EMBEDDED:
             now = None
         if attributes.endswith("/") and tag not in BLOCK:
             continue

@@ -91,3 +91,23 @@ def test_cascade_is_exact_and_deep(spark):
     assert len(cascade.levels) > 2
     with pytest.raises(ValueError):
         U.build_cascade(table(listed), table(listed), U.UrlRules(most_bytes=8), Workspace(spark, "t"), "t")
+
+
+@pytest.mark.parametrize(
+    ("inside", "text"),
+    [
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math>.</p>", "so x=2."),
+        ("<xmp>if a < b: <b>&amp;</b></xmp><p>z", "if a < b: <b>&amp;</b>\nz"),
+        ("<p>a<object data=x>other <b>text</b></object><canvas>drawn</canvas> z", "a other text drawn z"),
+        ("<map name=m><p>map text</p></map><noscript><p>plain</p></noscript><video src=x>film</video>", "map text\nplain\nfilm"),
+        ("<p>a<svg aria-hidden=true class=menu><path d=x></svg>b<p>c", "a b\nc"),
+        ("<p>a<svg><title>t</title><text>label</text></svg>b", "a label b"),
+    ],
+)
+def test_embedded_text_is_read(inside, text):
+    assert text_of(f"<article>{inside}</article>") == text
+
+
+@pytest.mark.parametrize("tag", sorted(H.EMBEDDED))
+def test_unclosed_embedded_elements_leave_the_page(tag):
+    assert text_of(f"<article><p>a</p><{tag} aria-hidden=true><p>b</p><p>c</p></article>") == "a\nb\nc"
