@@ -332,7 +332,7 @@ def train_looks(pages: DataFrame, p: ExtractParams, id_col: str, html_col: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(looks(b), float(b.sign > 0)) for page in batch.column(0).to_pylist() for b in blocks_of(page or "")[:400] if b.sign]
+            found = [(looks(b), float(b.sign > 0)) for page in batch.column(0).to_pylist() for b in blocks_of(page or "") if b.sign]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.list_(pa.float64())), pa.array([y for _, y in found], pa.float64())], ["looks", "label"])
 
     chosen = pages.orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(p.sample).select(html_col)

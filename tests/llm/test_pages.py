@@ -111,3 +111,9 @@ def test_embedded_text_is_read(inside, text):
 @pytest.mark.parametrize("tag", sorted(H.EMBEDDED))
 def test_unclosed_embedded_elements_leave_the_page(tag):
     assert text_of(f"<article><p>a</p><{tag} aria-hidden=true><p>b</p><p>c</p></article>") == "a\nb\nc"
+
+
+def test_training_reads_whole_pages(spark):
+    page = "<article>" + "<p>A long sentence, and more.</p>" * 450 + "</article><footer>" + "<p><a href=x>Link</a></p>" * 30 + "</footer>"
+    weights = H.train_looks(spark.createDataFrame([(1, page)], "page_id long, html string"), P, "page_id", "html")
+    assert weights[1] < 0
