@@ -53,13 +53,13 @@ class PieceEncoder:
 
     The library encodes each new pre-token; a cache answers for those met before.
     A byte-level tokenizer splits a pre-token no further and joins none, so the ids
-    are those of the whole text.  Strings of special tokens are ordinary text.
+    are those of the whole text.  A text with the string of an added token goes to the
+    library whole.
     The cache is emptied at ``most`` entries, which changes nothing but the time.
     """
 
     def __init__(self, path: str, most: int = 600_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         setup = json.loads(self.tokenizer.to_str())
         splitter = setup.get("pre_tokenizer") or {}
         if setup.get("normalizer") or splitter.get("type") != "ByteLevel" or splitter.get("add_prefix_space") or not splitter.get("use_regex", True):
@@ -68,6 +68,7 @@ class PieceEncoder:
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(_SPACE_BYTE) for i in range(size)])
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most = most
         self.known: dict[str, bytes] = {}
 
@@ -89,6 +90,12 @@ class PieceEncoder:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _whole(self, raw: bytes, cut: np.ndarray) -> dict[int, bytes]:
+        """The ids of rows that hold the string of an added token."""
+        found = [i for i in range(len(cut) - 1) if any(t in raw[cut[i] : cut[i + 1]] for t in self.added)] if any(t in raw for t in self.added) else []
+        ids = self._ids([raw[cut[i] : cut[i + 1]].decode("utf-8") for i in found]) if found else []
+        return {i: x.tobytes() for i, x in zip(found, ids, strict=True)}
+
     def rows(self, column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         """For slices of rows: the first row's number and each row's ids as bytes of ``dtype``."""
         data, bounds = utf8_buffer(column)
@@ -103,7 +110,8 @@ class PieceEncoder:
                 for i in gaps:
                     parts[i] = self.known[pieces[i]]
             rows = by_row.tolist()
-            yield lo, [b"".join(parts[a:b]) for a, b in zip(rows, rows[1:], strict=False)]
+            whole = self._whole(data[bounds[lo] : bounds[hi]].tobytes(), bounds[lo : hi + 1] - bounds[lo])
+            yield lo, [whole[i] if i in whole else b"".join(parts[a:b]) for i, (a, b) in enumerate(zip(rows, rows[1:], strict=False))]
 
 
 @lru_cache(maxsize=2)

@@ -119,3 +119,11 @@ def test_counts(spark):
 def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError):
         token_files.PieceEncoder(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_added_tokens_in_texts_match_the_plain_library_call():
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endof", "text|>", "plain words", "<|endoftext|><|endoftext|>\nx", None, "", "é<|endoftext|>é"]
+    library = Tokenizer.from_file(token_files.TOKENIZER)
+    coder = token_files.PieceEncoder(token_files.TOKENIZER)
+    got = [x for _, ids in coder.rows(pa.array(texts)) for x in ids]
+    assert [np.frombuffer(x, coder.dtype).tolist() for x in got] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
