@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 # White space between words, and symbols that are counted.
 SPACES = "[ \\t-\\r]+"
 SYMBOLS = "[#*$%&|<>]"
+# Fixed value: hash of the window at i.
+WINDOW_HASH = "xxhash64(get(_words, i), get(_words, i + 1), get(_words, i + 2))"
 # Phrases of boilerplate lines, in lower case.
 BOILERPLATE = ("all rights reserved", "click here", "cookie", "follow us", "javascript", "licensed under", "log in", "lorem ipsum", "newsletter", "privacy policy", "read more", "released under", "share this", "sign up", "subscribe", "terms of service", "terms of use")
 
@@ -53,14 +55,21 @@ def _measured(docs: DataFrame, text_col: str) -> DataFrame:
     rows = rows.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda line: line.rlike("[^ \\t-\\r]")))
     rows = rows.withColumn("_n", F.size("_words")).withColumn("_bits", F.length(F.bin(F.col("_n"))))
     # A window's hash in the high bits, its place in the low ones: sorting brings equal windows together.
-    packed = "transform(sequence(0, _n - 3), i -> shiftleft(xxhash64(get(_words, i), get(_words, i + 1), get(_words, i + 2)), _bits) | cast(i as bigint))"
+    packed = f"transform(sequence(0, _n - 3), i -> shiftleft({WINDOW_HASH}, _bits) | cast(i as bigint))"
     rows = rows.withColumn("_packed", F.expr(f"if(_n >= 3, sort_array({packed}), cast(array() as array<bigint>))"))
     rows = rows.withColumn("_low", F.expr("shiftleft(cast(1 as bigint), _bits) - 1"))
     at = "cast({} & _low as int)"
     equal = " and ".join(f"get(_words, {at.format('{0}')} + {k}) = get(_words, {at.format('{1}')} + {k})" for k in range(3))
-    same = "(shiftright({0}, _bits) = shiftright({1}, _bits) and " + equal + ")"
+    bits = "shiftright({0}, _bits) = shiftright({1}, _bits)"
+    same = f"({bits} and {equal})"
     twin = f"(k > 0 and {same.format('x', 'get(_packed, k - 1)')}) or (k + 1 < size(_packed) and {same.format('x', 'get(_packed, k + 1)')})"
-    rows = rows.withColumn("_twins", F.expr(f"sort_array(transform(filter(_packed, (x, k) -> {twin}), x -> {at.format('x')}))"))
+    found = f"transform(filter(_packed, (x, k) -> {twin}), x -> {at.format('x')})"
+    # Different windows of equal hash bits may part equal ones: such a text's windows are sorted by their words.
+    rows = rows.withColumn("_clash", F.expr(f"exists(sequence(1, size(_packed)), k -> k < size(_packed) and {bits.format('get(_packed, k)', 'get(_packed, k - 1)')} and not ({equal.format('get(_packed, k)', 'get(_packed, k - 1)')}))"))
+    rows = rows.withColumn("_sorted", F.expr("if(_clash, sort_array(transform(sequence(0, _n - 3), i -> struct(get(_words, i) as a, get(_words, i + 1) as b, get(_words, i + 2) as c, i as at))), null)"))
+    alike = " and ".join(f"x.{f} = get(_sorted, k + {{0}}).{f}" for f in "abc")
+    exact = f"transform(filter(_sorted, (x, k) -> (k > 0 and {alike.format('-1')}) or (k + 1 < size(_sorted) and {alike.format('1')})), x -> x.at)"
+    rows = rows.withColumn("_twins", F.expr(f"sort_array(if(_clash, {exact}, {found}))"))
     covered = F.expr("aggregate(transform(_twins, (x, k) -> least(3, coalesce(get(_twins, k + 1) - x, 3))), 0, (a, x) -> a + x)")
     return rows.withColumn("_repeated", covered)
 

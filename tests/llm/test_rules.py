@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from brute import corpus, lower
 
+from fluxtrace.llm import quality_rules
 from fluxtrace.llm.decontaminate import DecontaminationParams, decontaminate, judge_contamination
 from fluxtrace.llm.quality_rules import clean_lines, judge_quality
 
@@ -80,3 +81,10 @@ def test_lines_are_judged_first(spark):
     cleaned = {r.doc_id: r.text for r in clean_lines(frame).collect()}
     assert cleaned[1] == clean and cleaned[3] == clean and cleaned[2] == ""
     assert judge_quality(frame.limit(0)).count() == 0
+
+
+def test_windows_of_equal_hash_bits_do_not_hide_repeats(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "WINDOW_HASH", f"pmod({quality_rules.WINDOW_HASH}, 2)")
+    texts = ["a b c d e f a b c g h a b c", "x y z " * 20, "one two", "", *corpus(10, 5)]
+    rows = judge_quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_repeat_words for r in rows} == {i: brute_rules(t)[4] for i, t in enumerate(texts)}
