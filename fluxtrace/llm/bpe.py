@@ -6,6 +6,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from contextlib import AbstractContextManager
 from functools import lru_cache
 
 import numpy as np
@@ -14,33 +15,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cache import Generations, borrowed
 from .pretokenize import pieces_of
 from .textbuf import slices, utf8_buffer
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-class PairMerger(dict):
-    """Pre-token to its ids as little-endian unsigned 32-bit integers; filled as pre-tokens come.
+class PairMerger(Generations):
+    """Pre-token to its ids as little-endian unsigned 32-bit integers."""
 
-    The cache is emptied at ``most`` entries, which changes nothing but the time.
-    """
-
-    def __init__(self, path: str, most: int = 300_000) -> None:
-        super().__init__()
+    def __init__(self, path: str, most: int = 48 << 20) -> None:
+        super().__init__(most)
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.vocabulary = {rank: token for token, rank in self.ranks.items()}
-        self.most = most
+        self.texts = Texts(self)
 
-    def __missing__(self, piece: str) -> bytes:
+    def make(self, piece: str) -> bytes:
         raw = piece.encode("utf-8")
         whole = self.ranks.get(raw)
         ids = [whole] if whole is not None else (self._short(raw) if len(raw) <= 48 else self._long(raw))
-        if len(self) >= self.most:
-            self.clear()
-        self[piece] = out = np.array(ids, "<u4").tobytes()
-        return out
+        return np.array(ids, "<u4").tobytes()
 
     def _short(self, raw: bytes) -> list[int]:
         """Merges the pair of least rank, the leftmost of equals, until none is left."""
@@ -82,72 +78,107 @@ class PairMerger(dict):
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
+    def decode_pieces(self, ids: bytes, firsts: list[int]) -> bytes:
+        """The same by pre-tokens: ``firsts`` says which id each begins with, and what a slice says is looked up once."""
+        if not firsts:
+            return self.decode(ids)
+        return b"".join([self.texts[ids[4 * a : 4 * b]] for a, b in zip(firsts, [*firsts[1:], len(ids) // 4], strict=True)])
+
+
+class Texts(Generations):
+    """A pre-token's ids to its bytes."""
+
+    def __init__(self, merger: PairMerger, most: int = 12 << 20) -> None:
+        super().__init__(most)
+        self.merger = merger
+
+    def make(self, ids: bytes) -> bytes:
+        return self.merger.decode(ids)
+
 
 @lru_cache(maxsize=2)
-def merger(path: str) -> PairMerger:
+def _loaded(path: str) -> PairMerger:
     """One for each Python worker and vocabulary."""
     return PairMerger(path)
 
 
-def encoded(column: pa.Array, path: str) -> Iterator[tuple[int, list[bytes], list[np.ndarray]]]:
-    """For slices of rows: the first row's number, each row's ids, and each row's pre-token starts in code points."""
-    bpe = merger(path)
+def merger(path: str) -> AbstractContextManager[PairMerger]:
+    """The worker's merger, for a task."""
+    bpe = _loaded(path)
+    return borrowed(bpe, bpe, bpe.texts)
+
+
+def encoded(column: pa.Array, bpe: PairMerger) -> Iterator[tuple[int, list[bytes], list[np.ndarray], list[list[int]]]]:
+    """For slices of rows: the first row's number, each row's ids, where its pre-tokens start in code points,
+    and which of its ids each pre-token begins with."""
     data, bounds = utf8_buffer(column)
     for lo, hi in slices(bounds):
         cut = bounds[lo : hi + 1] - bounds[lo]
         pieces, by_row, starts = pieces_of(data[bounds[lo] : bounds[hi]], cut)
         parts = list(map(bpe.__getitem__, pieces))
+        firsts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4)])
         rows = by_row.tolist()
-        own = [starts[a:b] - (starts[a] if b > a else 0) for a, b in zip(rows, rows[1:], strict=False)]
-        yield lo, [b"".join(parts[a:b]) for a, b in zip(rows, rows[1:], strict=False)], own
+        own = [(starts[a:b] - (starts[a] if b > a else 0), (firsts[a:b] - firsts[a]).tolist()) for a, b in zip(rows, rows[1:], strict=False)]
+        yield lo, [b"".join(parts[a:b]) for a, b in zip(rows, rows[1:], strict=False)], [s for s, _ in own], [f for _, f in own]
 
 
 def encode(docs: DataFrame, path: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, piece_starts): ids as little-endian unsigned 32-bit integers in a
-    binary, and where each pre-token starts, in code points.
+    """(doc_id, ids, piece_starts, piece_ids): ids as little-endian unsigned 32-bit integers in a
+    binary; where each pre-token starts, in code points; and which id it begins with.
 
     A null or empty text gives empty arrays; rows with a null or repeated id are
-    encoded as they are; other columns are neither read nor returned.
+    encoded as they are; other columns are neither read nor returned; an empty table
+    gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, ids, starts in encoded(batch.column(1), path):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo : lo + len(ids)], pa.array(ids, pa.binary()), pa.array([s.tolist() for s in starts], pa.list_(pa.int64()))], ["doc_id", "ids", "piece_starts"])
+        with merger(path) as bpe:
+            for batch in batches:
+                for lo, ids, starts, firsts in encoded(batch.column(1), bpe):
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0)[lo : lo + len(ids)], pa.array(ids, pa.binary()), pa.array([s.tolist() for s in starts], pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64()))],
+                        ["doc_id", "ids", "piece_starts", "piece_ids"],
+                    )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary, piece_starts array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary, piece_starts array<long>, piece_ids array<long>")
 
 
-def decode(tokens: DataFrame, path: str = RANKS, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+def decode(tokens: DataFrame, path: str = RANKS, id_col: str = "doc_id", ids_col: str = "ids", pieces_col: str | None = None) -> DataFrame:
     """(doc_id, text) of rows of ids as ``encode`` returns them; null ids give an empty text.
 
+    pieces_col: ``encode``'s piece_ids, if ids are to be decoded by pre-tokens.
     Bytes that are no UTF-8, as a cut in the middle of a character leaves, become U+FFFD.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = merger(path)
-        for batch in batches:
-            texts = [bpe.decode(x or b"").decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+        with merger(path) as bpe:
+            for batch in batches:
+                ids = [x or b"" for x in batch.column(1).to_pylist()]
+                raw = map(bpe.decode, ids) if pieces_col is None else map(bpe.decode_pieces, ids, [x or [] for x in batch.column(2).to_pylist()])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.decode("utf-8", "replace") for x in raw], pa.string())], ["doc_id", "text"])
 
-    return tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
+    columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids"), *([F.col(pieces_col).alias("pieces")] if pieces_col else [])]
+    return tokens.select(*columns).mapInArrow(run, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text is encoded and its ids decoded, in one pass."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text is encoded, and its ids decoded by the offsets kept, in one pass.
+
+    Null, empty and repeated rows as in ``encode``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = merger(path)
-        for batch in batches:
-            for lo, ids, _ in encoded(batch.column(1), path):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0)[lo : lo + len(ids)],
-                        pa.array([len(x) // 4 for x in ids], pa.int64()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                        pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids], pa.string()),
-                    ],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+        with merger(path) as bpe:
+            for batch in batches:
+                for lo, ids, _, firsts in encoded(batch.column(1), bpe):
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0)[lo : lo + len(ids)],
+                            pa.array([len(x) // 4 for x in ids], pa.int64()),
+                            pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                            pa.array([hashlib.sha256(bpe.decode_pieces(x, f)).hexdigest() for x, f in zip(ids, firsts, strict=True)], pa.string()),
+                        ],
+                        ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                    )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

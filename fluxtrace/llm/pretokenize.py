@@ -13,13 +13,10 @@ space before it, and white space.
 
 from __future__ import annotations
 
-import unicodedata
 from functools import cache
 
 import numpy as np
-
-# The code points with the Unicode property White_Space.
-WHITE_SPACE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, 0x2000, 0x2001, 0x2002, 0x2003, 0x2004, 0x2005, 0x2006, 0x2007, 0x2008, 0x2009, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+import tiktoken
 
 LETTER, NUMBER, OTHER, SHORT, LONG, PREFIX, ALONE, WHITE = range(8)
 """Symbols: letter, number, other; an apostrophe with one or two contraction letters
@@ -52,10 +49,16 @@ def _step(state: int, symbol: int) -> tuple[int, bool]:
 
 @cache
 def _classes() -> np.ndarray:
-    """LETTER, NUMBER, OTHER or WHITE for each code point."""
-    major = {"L": LETTER, "N": NUMBER}
-    table = np.array([major.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)], np.uint8)
-    table[WHITE_SPACE] = WHITE
+    """LETTER, NUMBER, OTHER or WHITE for each code point, by the Unicode version of the tokenizer library.
+
+    The library itself is asked, once for each Python worker, since Python's own tables are of
+    another version: with a vocabulary of single bytes it returns what a class matches.
+    """
+    table = np.full(0x110000, OTHER, np.uint8)
+    everything = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    for name, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (WHITE, r"\s+")):
+        engine = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        table[np.frombuffer(bytes(engine.encode_ordinary(everything)).decode("utf-8").encode("utf-32-le"), np.uint32)] = name
     return table
 
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import AbstractContextManager
 from functools import lru_cache
 
 import ahocorasick
@@ -23,30 +24,31 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cache import Generations, borrowed
+
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
 #: Below the least score, for a character without a piece.
 UNKNOWN_PENALTY = 10.0
 
 
-class ViterbiCounter(dict):
-    """Chunk to its number of pieces; filled as chunks come, emptied at ``most`` entries."""
+class ViterbiCounter(Generations):
+    """Chunk to its number of pieces."""
 
-    def __init__(self, pieces: list[tuple[str, float]], most: int = 400_000) -> None:
-        super().__init__()
+    def __init__(self, pieces: list[tuple[str, float]], most: int = 64 << 20) -> None:
+        super().__init__(most)
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
         self.single = {piece for piece, _ in pieces if len(piece) == 1}
-        self.most = most
         inner = any(SPACE in piece.lstrip(SPACE) for piece, _ in pieces)
         newline = any("\n" in piece for piece, _ in pieces)
         body = "" if newline else "\n"
         self.chunks = re.compile(r"(?s).+" if inner else f"{SPACE}+[^{SPACE}{body}]*|[^{SPACE}{body}]+|\n").findall
 
-    def __missing__(self, chunk: str) -> int:
+    def make(self, chunk: str) -> int:
         n = len(chunk)
         best, count = [0.0] * (n + 1), [0] * (n + 1)
         matches: list[list[tuple[int, float]]] = [[] for _ in range(n)]
@@ -62,9 +64,6 @@ class ViterbiCounter(dict):
             if chunk[end] not in self.single and (top is None or best[end] + self.unknown > top):
                 top, pieces = best[end] + self.unknown, count[end] + len(chunk[end].encode("utf-8"))
             best[end + 1], count[end + 1] = top, pieces
-        if len(self) >= self.most:
-            self.clear()
-        self[chunk] = count[n]
         return count[n]
 
     def count(self, text: str) -> int:
@@ -82,11 +81,17 @@ def normal_pieces(path: str) -> list[tuple[str, float]]:
 
 
 @lru_cache(maxsize=2)
-def counter(path: str) -> ViterbiCounter:
+def _loaded(path: str) -> ViterbiCounter:
     """One for each Python worker and vocabulary."""
     return ViterbiCounter(normal_pieces(path))
 
 
+def counter(path: str) -> AbstractContextManager[ViterbiCounter]:
+    """The worker's counter, for a task."""
+    viterbi = _loaded(path)
+    return borrowed(viterbi, viterbi)
+
+
 def count_tokens(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens) for each row; a null or empty text has none.
 
@@ -95,9 +100,9 @@ def count_tokens(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id"
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        viterbi = counter(path)
-        for batch in batches:
-            counts = [viterbi.count(text.as_py() or "") for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
+        with counter(path) as viterbi:
+            for batch in batches:
+                counts = [viterbi.count(text.as_py() or "") for text in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long")

@@ -18,6 +18,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import AbstractContextManager
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .cache import Generations, borrowed
 from .pretokenize import pieces_of
 from .textbuf import slices, utf8_buffer
 from .workspace import Workspace
@@ -55,10 +57,10 @@ class PieceEncoder:
     A byte-level tokenizer splits a pre-token no further and joins none, so the ids
     are those of the whole text.  A text with the string of an added token goes to the
     library whole.
-    The cache is emptied at ``most`` entries, which changes nothing but the time.
+    most: bytes of the cache.
     """
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 64 << 20) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         setup = json.loads(self.tokenizer.to_str())
         splitter = setup.get("pre_tokenizer") or {}
@@ -69,23 +71,26 @@ class PieceEncoder:
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(_SPACE_BYTE) for i in range(size)])
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.most = most
-        self.known: dict[str, bytes] = {}
+        self.known = Generations(most)
 
-    def _learn(self, new: list[str]) -> None:
-        """Encodes pre-tokens.  Words with one space before them go together in texts of ``_TOGETHER``
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of pre-tokens.  Words with one space before them go together in texts of ``_TOGETHER``
         words, which the library splits at the spaces again; tokens that begin with a space tell where."""
         words = [p for p in new if p[0] == " " and p[1:].isalpha()]
         groups = [words[i : i + _TOGETHER] for i in range(0, len(words), _TOGETHER)]
         alone = [p for p in new if not (p[0] == " " and p[1:].isalpha())]
+        learnt: dict[str, bytes] = {}
         for group, found in zip(groups, self._ids(["".join(g) for g in groups]), strict=True):
             starts = np.flatnonzero(self.opens[found])
             if len(starts) != len(group) or starts[0]:
                 alone += group
                 continue
             raw, cuts = found.tobytes(), (np.append(starts, len(found)) * self.dtype.itemsize).tolist()
-            self.known.update(zip(group, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
-        self.known.update(zip(alone, [x.tobytes() for x in self._ids(alone)], strict=True))
+            learnt.update(zip(group, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+        learnt.update(zip(alone, [x.tobytes() for x in self._ids(alone)], strict=True))
+        for piece, ids in learnt.items():
+            self.known.keep(piece, ids)
+        return learnt
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -101,25 +106,31 @@ class PieceEncoder:
         data, bounds = utf8_buffer(column)
         for lo, hi in slices(bounds, 1 << 19):
             pieces, by_row, _ = pieces_of(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
-            if len(self.known) > self.most:
-                self.known.clear()
             parts = list(map(self.known.get, pieces))
             gaps = [i for i, x in enumerate(parts) if x is None]
             if gaps:
-                self._learn(list({pieces[i] for i in gaps}))
+                wanted = {pieces[i] for i in gaps}
+                found = {p: ids for p in wanted if (ids := self.known.recall(p)) is not None}
+                found |= self._learn(list(wanted - found.keys()))
                 for i in gaps:
-                    parts[i] = self.known[pieces[i]]
+                    parts[i] = found[pieces[i]]
             rows = by_row.tolist()
             whole = self._whole(data[bounds[lo] : bounds[hi]].tobytes(), bounds[lo : hi + 1] - bounds[lo])
             yield lo, [whole[i] if i in whole else b"".join(parts[a:b]) for i, (a, b) in enumerate(zip(rows, rows[1:], strict=False))]
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> PieceEncoder:
+def _loaded(path: str) -> PieceEncoder:
     """One for each Python worker and tokenizer."""
     return PieceEncoder(path)
 
 
+def encoder(path: str) -> AbstractContextManager[PieceEncoder]:
+    """The worker's encoder, for a task."""
+    coder = _loaded(path)
+    return borrowed(coder, coder.known)
+
+
 def _place(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     """A file system and a path in it; local files by path or file: URI, others as Arrow knows them."""
     if uri.startswith("file:"):
@@ -185,14 +196,14 @@ def write_token_files(docs: DataFrame, folder: str, params: TokenFileParams | No
     p = params or TokenFileParams()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(p.tokenizer)
-        end = np.array([p.end_id], coder.dtype).tobytes()
         part = TaskContext.get().partitionId()
         uri, out = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.arrow", None
-        for batch in batches:
-            for lo, ids in coder.rows(batch.column(1)):
-                out = out or _Writer(uri, coder.dtype, p)
-                out.add(batch.column(0)[lo : lo + len(ids)], [x + end for x in ids])
+        with encoder(p.tokenizer) as coder:
+            end = np.array([p.end_id], coder.dtype).tobytes()
+            for batch in batches:
+                for lo, ids in coder.rows(batch.column(1)):
+                    out = out or _Writer(uri, coder.dtype, p)
+                    out.add(batch.column(0)[lo : lo + len(ids)], [x + end for x in ids])
         if out:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([uri]), pa.array([out.docs], pa.int64()), pa.array([out.total], pa.int64())], ["part", "uri", "n_docs", "n_tokens"])

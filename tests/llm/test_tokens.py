@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -12,9 +13,10 @@ import tiktoken
 from brute import corpus
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer, models
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from fluxtrace.llm import bpe, pretokenize, token_counts, token_files
+from fluxtrace.llm.cache import Generations
 
 SPLIT = regex.compile(public_tokenizers.PATTERN)
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(bpe.RANKS, "rb"))}
@@ -43,10 +45,37 @@ def test_long_scan_matches_the_pattern():
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=60))
 def test_ids_match_the_library(text):
-    (_, ids, _), = bpe.encoded(pa.array([text]), bpe.RANKS)
+    with bpe.merger(bpe.RANKS) as merger:
+        (_, ids, _, _), = bpe.encoded(pa.array([text]), merger)
     assert np.frombuffer(ids[0], "<u4").tolist() == PUBLIC.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("around", ["a{}a", "1{}1", "!{} "])
+def test_every_code_point_is_split_as_in_the_libraries(around):
+    """A code point's ids among letters, numbers and symbols are the one library's, its borders also the other's."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(around.format(c) for c in points[i : i + 4096]) for i in range(0, len(points), 4096)]
+    theirs = PUBLIC.encode_ordinary_batch(texts)
+    with bpe.merger(bpe.RANKS) as merger:
+        ours = [np.frombuffer(x, "<u4").tolist() for _, ids, _, _ in bpe.encoded(pa.array(texts), merger) for x in ids]
+    assert ours == theirs
+    splitter = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    assert split(texts) == [[t[a:b] for _, (a, b) in splitter.pre_tokenize_str(t)] for t in texts]
+
+
+def test_null_and_repeated_ids_and_very_long_texts(spark):
+    long = "Ünd so weiter, " * 200_000
+    docs = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b"), (1, "c"), (2, long), (3, "x" * 300_000)], "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_tokens) for r in bpe.round_trip(docs).collect())
+    assert got == Counter((i, len(PUBLIC.encode_ordinary(t))) for i, t in [(None, "a b"), (1, "a b"), (1, "a b"), (1, "c"), (2, long), (3, "x" * 300_000)])
+
+
+def test_a_task_leaves_no_cache():
+    with bpe.merger(bpe.RANKS) as merger:
+        assert merger["some"] and merger.decode_pieces(merger["some"], [0]) == b"some" and len(merger) == len(merger.texts) == 1
+    assert not merger and not merger.texts
+
+
 def test_round_trip(spark):
     texts = corpus(20, 2) + ODD
     docs = spark.createDataFrame([(i, t, 9) for i, t in enumerate(texts)], "doc_id long, text string, ids int")
@@ -56,15 +85,16 @@ def test_round_trip(spark):
         assert (rows[i].n_tokens, rows[i].ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
         assert rows[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     tokens = bpe.encode(docs)
-    back = {r.doc_id: r.text for r in bpe.decode(tokens).collect()}
-    assert back == {i: t or "" for i, t in enumerate(texts)}
+    for pieces in (None, "piece_ids"):
+        back = {r.doc_id: r.text for r in bpe.decode(tokens, pieces_col=pieces).collect()}
+        assert back == {i: t or "" for i, t in enumerate(texts)}
     first = {r.doc_id: r.piece_starts for r in tokens.collect()}
     assert all(first[i] == [m.start() for m in SPLIT.finditer(t or "")] for i, t in enumerate(texts))
     assert bpe.round_trip(docs.limit(0)).count() == 0
 
 
 def test_token_files(spark, tmp_path):
-    texts = corpus(40, 6) + ODD[:-2]
+    texts = corpus(40, 6) + ODD
     rng = random.Random(4)
     rows = [(i * 3, t) for i, t in enumerate(texts)]
     rng.shuffle(rows)
@@ -72,7 +102,6 @@ def test_token_files(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     manifest = spark.createDataFrame(token_files.write_token_files(docs, str(tmp_path / "f"), p).collect(), "part int, uri string, n_docs long, n_tokens long")
     library, stream, want = Tokenizer.from_file(p.tokenizer), [], {}
-    library.encode_special_tokens = True
     for i, t in sorted(rows):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, p.end_id]
         want[i] = (len(stream), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
@@ -127,3 +156,28 @@ def test_added_tokens_in_texts_match_the_plain_library_call():
     coder = token_files.PieceEncoder(token_files.TOKENIZER)
     got = [x for _, ids in coder.rows(pa.array(texts)) for x in ids]
     assert [np.frombuffer(x, coder.dtype).tolist() for x in got] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_token_files_take_null_and_repeated_ids_and_clashing_names(spark):
+    long = "very Long text, 1 " * 100_000
+    rows = [(2, "b", 1), (None, "a <|endoftext|>", 2), (2, "b", 3), (2, None, 4), (None, "a <|endoftext|>", 5), (9, long, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part int").selectExpr("*", "1 as start", "2 as n_tokens", "3 as tie", "4 as uri")
+    library = Tokenizer.from_file(token_files.TOKENIZER)
+    got = token_files.token_digests(docs).collect()
+    want = Counter((i, len(library.encode(t or "", add_special_tokens=False).ids) + 1) for i, t, _ in rows)
+    assert Counter((r.doc_id, r.n_tokens) for r in got) == want
+    ordered = sorted(got, key=lambda r: r.start)
+    assert [r.start for r in ordered] == [sum(r.n_tokens for r in ordered[:i]) for i in range(len(ordered))]
+    assert [r.doc_id for r in ordered] == [None, None, 2, 2, 2, 9]
+
+
+def test_caches_keep_what_is_in_use_within_their_bytes():
+    cache = Generations(1000)
+    cache.make = lambda key: key.upper().encode()
+    for n in range(50):
+        assert cache["often"] == b"OFTEN" and cache[f"k{n}"] == f"K{n}".encode()
+    assert len(cache) + len(cache.older) <= 8 and "often" in {*cache, *cache.older}
+    cache["x" * 5000]
+    assert "x" * 5000 not in cache and cache.recall("nothing") is None
+    cache.forget()
+    assert not cache and not cache.older
