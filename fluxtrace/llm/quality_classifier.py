@@ -5,8 +5,8 @@ the document's metadata (source, language, length).  Each has a logistic regress
 fitted on a bounded sample of labelled documents.  In each round a distributed pass has
 both views score all unlabelled documents; those that a view is surest of for its own
 distribution, and has not handed over before, go with its label to the other view, whose
-fit sees a bounded sample of them.  On labelled documents kept apart, a further logistic regression calibrates and
-combines the two views' log-odds.  All documents are then scored in one pass.
+fit sees a bounded sample of them.  A further logistic regression calibrates and combines the two views' log-odds,
+taken for each labelled document from fits without its fold.  All documents are then scored in one pass.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import logging
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sampled import least_by_hash
 from .textbuf import slices, utf8_buffer
 from .workspace import Workspace
 
@@ -33,13 +35,15 @@ class CoTrainingParams:
     """labelled: labelled documents that the fit sees at most, those of least id hash.  handed: share
     of the unlabelled documents not yet handed over that each view hands over in a round, split between
     good and bad as the labels are.  pool: handed documents that a
-    view's fit sees at most, an equal part from each round, those of least row hash.  threshold: least
-    probability of good quality to be kept, below a half so that doubt keeps a document."""
+    view's fit sees at most, an equal part from each round, those of least row hash.  folds: of the
+    calibration.  threshold: least probability of good quality to be kept, below a half so that doubt
+    keeps a document."""
 
     labelled: int = 4000
     pool: int = 2000
     rounds: int = 3
     handed: float = 0.05
+    folds: int = 5
     threshold: float = 0.4
     buckets: int = 512
 
@@ -49,42 +53,60 @@ _META = 130
 _STEPS = 1000
 
 
-def _bytes_in(data: np.ndarray, members: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    seen = np.concatenate([[0], np.cumsum(members)])
-    return seen[bounds[1:]] - seen[bounds[:-1]]
+#: Bytes of a text that are counted at once.
+_CHUNK = 1 << 16
+# Groups of characters that the text view counts by bytes, or by words.
+_UPPER, _DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
+_BY_BYTE = (_UPPER, _DIGITS, bytes(range(128, 256)), b"\n")
+_BY_WORD = (b"!", b"|", b"#*$%&<>", b".,;:?", b"@/_=")
+_MEMBERS = np.array([[b in group for group in (*_BY_BYTE, *_BY_WORD)] for b in range(256)], np.int64)
+_SPACES = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
+_PRINTS = (np.arange(256) * 31 + np.where(_SPACES, 0, 7)).astype(np.uint16)
+
+
+@cache
+def _pair_buckets(buckets: int) -> np.ndarray:
+    """The bucket of each pair of bytes."""
+    first, second = np.divmod(np.arange(1 << 16, dtype=np.int64), 256)
+    return (((first * 0x9E3779B1 + second * 0x85EBCA77) >> 7) % buckets).astype(np.uint16)
 
 
 def text_view(column: pa.Array, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """For slices of rows: the first row's number and a row of features for each text.
 
     Shares of kinds of bytes and of words, and square roots of the shares of hashed byte pairs.
+    A text's features do not depend on the rows around it.
     """
     data, bounds = utf8_buffer(column)
+    table = _pair_buckets(buckets)
     for lo, hi in slices(bounds):
-        part = data[bounds[lo] : bounds[hi]].astype(np.int64)
+        part = data[bounds[lo] : bounds[hi]]
         cut = bounds[lo : hi + 1] - bounds[lo]
-        n = np.maximum(np.diff(cut), 1)
-        space = (part == 32) | ((part >= 9) & (part <= 13))
-        follows = np.concatenate([[True], space[:-1]]) if len(part) else space
-        words = np.maximum(_bytes_in(part, ~space & follows, cut), 1)
-        upper = (part >= 65) & (part <= 90)
-        kinds = [upper, (part >= 48) & (part <= 57), part >= 128, part == 10]
-        per_word = [np.isin(part, [ord(c) for c in chars]) for chars in ("!", "|", "#*$%&<>", ".,;:?", "@/_=")]
-        shapes = [_bytes_in(part, k, cut) / n for k in kinds] + [np.minimum(3, _bytes_in(part, k, cut) / words) for k in per_word]
-        shapes += [np.minimum(3, n / words / 10), np.log1p(np.diff(cut)) / 10]
-        where = np.repeat(np.arange(hi - lo), np.diff(cut))
-        pairs = ((part[:-1] * 0x9E3779B1 + part[1:] * 0x85EBCA77) >> 7) % buckets if len(part) else part
-        inside = where[:-1] == where[1:] if len(part) else where
-        grams = np.bincount((where[:-1] * buckets + pairs)[inside], minlength=(hi - lo) * buckets) if len(part) else np.zeros((hi - lo) * buckets)
-        # Copies of one word in a row show as equal bytes at a short distance.
-        echo = np.zeros(hi - lo)
+        sizes, rows = np.diff(cut), hi - lo
+        kinds, grams = np.zeros((rows, 256), np.int64), np.zeros((rows, buckets), np.int64)
+        for i, (a, b) in enumerate(zip(cut.tolist(), cut[1:].tolist(), strict=False)):
+            for at in range(a, b, _CHUNK):
+                some = part[at : min(at + _CHUNK + 1, b)]
+                kinds[i] += np.bincount(some[:_CHUNK], minlength=256)
+                grams[i] += np.bincount(table[(some[:-1].astype(np.uint16) << 8) | some[1:]], minlength=buckets)
+        space = _SPACES[part]
+        starts = ~space
         if len(part):
-            starts = np.flatnonzero(~space & follows)
-            prints = np.add.reduceat(part * 31 + np.where(space, 0, 7), starts) if len(starts) else starts
-            owner = where[starts]
+            first = np.zeros(len(part), bool)
+            first[cut[:-1][sizes > 0]] = True
+            starts[1:] &= space[:-1] | first[1:]
+        starts = np.flatnonzero(starts)
+        owner = np.searchsorted(cut, starts, "right") - 1
+        n, words = np.maximum(sizes, 1), np.maximum(np.bincount(owner, minlength=rows), 1)
+        # Copies of one word in a row show as equal sums of bytes.
+        echo = np.zeros(rows)
+        if len(starts):
+            prints = np.add.reduceat(_PRINTS[part], starts, dtype=np.int64)
             twice = (prints[1:] == prints[:-1]) & (owner[1:] == owner[:-1])
-            echo = np.bincount(owner[1:][twice], minlength=hi - lo) / words
-        yield lo, np.column_stack([*shapes, echo, np.sqrt(grams.reshape(hi - lo, buckets) / n[:, None])]).astype(np.float32)
+            echo = np.bincount(owner[1:][twice], minlength=rows) / words
+        counts = kinds @ _MEMBERS
+        shapes = np.column_stack([counts[:, : len(_BY_BYTE)] / n[:, None], np.minimum(3, counts[:, len(_BY_BYTE) :] / words[:, None]), np.minimum(3, n / words / 10), np.log1p(sizes) / 10, echo])
+        yield lo, np.column_stack([shapes, np.sqrt(grams / n[:, None])]).astype(np.float32)
 
 
 def metadata_view(source: list, lang: list, n_chars: list) -> np.ndarray:
@@ -98,6 +120,17 @@ def metadata_view(source: list, lang: list, n_chars: list) -> np.ndarray:
     return out
 
 
+def _top_eigenvalue(z: np.ndarray, steps: int = 30) -> float:
+    """About the largest eigenvalue of the mean outer product of rows, by power iteration."""
+    v, size = z.std(axis=0) + np.float32(1e-3), 0.0
+    for _ in range(steps):
+        v = z.T @ (z @ (v / np.linalg.norm(v))) / len(z)
+        size = float(np.linalg.norm(v))
+        if not size:
+            break
+    return size
+
+
 @dataclass
 class Logistic:
     """Logistic regression on standardised features."""
@@ -115,7 +148,7 @@ class Logistic:
         share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
         w, b = np.zeros(z.shape[1], np.float32), float(np.log(share / (1 - share)))
         if 0 < y.mean() < 1:
-            step = 4.0 / max(float(np.linalg.norm(z, 2) ** 2) / len(z), 1.0)
+            step = 4.0 / max(1.1 * _top_eigenvalue(z), 1.0)
             last_w, last_b = w.copy(), b
             for k in range(steps):
                 look = k / (k + 3)
@@ -227,21 +260,23 @@ def _bars(counts: Counter, good: float, p: CoTrainingParams) -> tuple[int, int]:
 def train(docs: DataFrame, labels: DataFrame, params: CoTrainingParams | None = None) -> QualityModel:
     """Fits on documents with a quality of 0 or 1 in labels, and exchanges labels of all other documents.
 
+    Without a labelled document every probability is a half.
     Other labels and null ids in labels are passed over; documents with such a label or id are
-    unlabelled.  Four of five labelled rows, in their order, are fitted on; every fifth calibrates.
+    unlabelled.  All labelled rows of the sample are fitted on, and calibrate by folds.
     """
     p = params or CoTrainingParams()
     ids = docs.where("doc_id is not null").select("doc_id").distinct()
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = F.broadcast(known.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.labelled))
+    chosen = F.broadcast(least_by_hash(known.join(ids, "doc_id", "left_semi"), "doc_id", p.labelled))
     columns = ["text", "source", "lang", "n_chars"]
     mine = docs.select(F.xxhash64("doc_id", *columns).alias("row"), "doc_id", *columns)
-    text, meta, keys = _features(mine.join(chosen, "doc_id").select(F.concat_ws(":", F.xxhash64("doc_id"), "quality").alias("key"), *columns), p.buckets)
+    # Of rows that repeat a labelled id, the one of least row hash is fitted on.
+    one = mine.join(chosen, "doc_id").groupBy("doc_id", "quality").agg(F.min_by(F.struct(*columns), "row").alias("of"))
+    text, meta, keys = _features(one.select(F.concat_ws(":", F.xxhash64("doc_id"), "quality").alias("key"), "of.*"), p.buckets)
     if not keys:
-        raise ValueError("no labelled document to fit on")
+        return QualityModel(*(Logistic(np.zeros(n), np.ones(n), np.zeros(n), 0.0) for n in (_SHAPES + p.buckets, _META, 2)))
     y = np.array([float(k.rpartition(":")[2]) for k in keys])
-    apart = np.arange(len(y)) % 5 == 4 if len(y) >= 10 else np.zeros(len(y), bool)
-    fits = {"text": ([text[~apart]], [y[~apart]]), "meta": ([meta[~apart]], [y[~apart]])}
+    fits = {"text": ([text], [y]), "meta": ([meta], [y])}
     fitted = lambda: {view: Logistic.fit(np.concatenate(x), np.concatenate(v)) for view, (x, v) in fits.items()}
     models = fitted()
     work = Workspace(docs.sparkSession, "co-training")
@@ -256,8 +291,8 @@ def train(docs: DataFrame, labels: DataFrame, params: CoTrainingParams | None =
         drawn: dict[str, dict[int, float]] = {}
         bars = {giver: _bars(counts[giver], float(y.mean()), p) for giver in counts}
         for giver, (low, high) in bars.items():
-            passed = unlabelled.where((F.col(giver) <= low) | (F.col(giver) >= high))
-            rows = passed.orderBy("row").limit(share).select("row", F.col(giver) >= high).collect()
+            passed = unlabelled.where((F.col(giver) <= low) | (F.col(giver) >= high)).groupBy("row").agg(F.first(F.col(giver) >= high).alias("good"))
+            rows = least_by_hash(passed, "row", share, hashed=True).collect()
             drawn[giver] = {row: float(good) for row, good in rows}
             good, bad = (sum(n for step, n in counts[giver].items() if test(step)) for test in (lambda s: s >= high, lambda s: s <= low))
             exchange.append(HandOver(turn, giver, sum(counts[giver].values()), good, bad, len(drawn[giver])))
@@ -274,9 +309,15 @@ def train(docs: DataFrame, labels: DataFrame, params: CoTrainingParams | None =
                 fits[taker][0].append(features[[place[row] for row in drawn[giver]]])
                 fits[taker][1].append(np.array(list(drawn[giver].values())))
         models = fitted()
-    held = apart if apart.any() else ~apart
-    odds = np.column_stack([np.clip(models["text"].odds(text[held]), -20, 20), np.clip(models["meta"].odds(meta[held]), -20, 20)])
-    return QualityModel(models["text"], models["meta"], Logistic.fit(odds, y[held], 1e-3), tuple(exchange))
+    # Each labelled row's odds come from views that were fitted without its fold.
+    odds, fold = np.zeros((len(y), 2)), np.arange(len(y)) % p.folds
+    for k in range(p.folds):
+        inside, outside = fold == k, fold != k
+        for column, (view, x) in enumerate((("text", text), ("meta", meta))):
+            rows, marks = [x[outside], *fits[view][0][1:]], [y[outside], *fits[view][1][1:]]
+            if inside.any() and sum(map(len, marks)):
+                odds[inside, column] = np.clip(Logistic.fit(np.concatenate(rows), np.concatenate(marks)).odds(x[inside]), -20, 20)
+    return QualityModel(models["text"], models["meta"], Logistic.fit(odds, y, 1e-3), tuple(exchange))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, params: CoTrainingParams | None = None) -> DataFrame:
@@ -285,7 +326,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, params: CoTrainingParams |
     Null and empty texts and null metadata have features of their own and are scored like
     others.  Rows with null or repeated ids are scored as they are.  Columns beyond
     doc_id, text, source, lang, n_chars are not read.  An empty table gives an empty
-    result; labels that name no document raise, unless there are no documents.
+    result.  If no document has a usable label, all probabilities are a half, and all
+    documents are kept.
     """
     p = params or CoTrainingParams()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang", "n_chars")
