@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import skew
 from .lsh import linked_components
 from .superminhash import SuperMinHash, band_keys, bit_sketch
 from .textbuf import GOLDEN, mix64, slices, utf8_buffer
@@ -184,7 +185,7 @@ def duplicate_lines(docs: DataFrame, params: LineDedupParams | None = None, id_c
     of a whole row each keeps the same lines.  An empty table gives an empty result.
     """
     p = params or LineDedupParams()
-    work = Workspace(docs.sparkSession, "line-dedup")
+    work, linking = Workspace(docs.sparkSession, "line-dedup"), Workspace(docs.sparkSession, "line-links")
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text"))
     prints = work.save(source.mapInArrow(_prints(p), _PRINT), "prints")
@@ -195,23 +196,27 @@ def duplicate_lines(docs: DataFrame, params: LineDedupParams | None = None, id_c
     sketches = known.select(F.col("key").alias("node"), F.lit(1).cast("long").alias("n"), "s0")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        placed = prints.join(nodes.withColumnRenamed("node", "key").hint("shuffle_hash"), "key").groupBy("key").agg(F.min(where).alias("first"))
+        # The lines that a task met first: a very common line has few of these.
+        met = prints.where("s0 is not null").join(nodes.withColumnRenamed("node", "key").hint("shuffle_hash"), "key")
+        placed = met.groupBy("key").agg(F.min(where).alias("first"))
         placed = placed.groupBy("first.doc_id", "first.row_key").agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "key")).alias("lines"))
         rows = source.hint("merge").join(placed, ["doc_id", "row_key"]).select("lines", F.split("text", "\n").alias("texts"))
         texts = rows.select("texts", F.explode("lines").alias("line")).select(F.col("line.key").alias("node"), F.get("texts", "line.line_no").alias("elements"))
         return texts.groupBy("node").agg(F.first("elements").alias("elements"))
 
     entries = bands.select(F.explode("bands").alias("bucket"), F.col("key").alias("node"))
-    found = linked_components(entries, sketches, 1, p.far_bits, p.percent, sets_of, work, _line_sets(p.width), lambda: work.drop("prints"), 128)
+    found = linked_components(entries, sketches, 1, p.far_bits, p.percent, sets_of, linking, _line_sets(p.width), lambda: work.drop("prints"), 128)
     alone = known.where("copies > 1").select("key").join(found.select(F.col("node").alias("key")), "key", "left_anti").select("key", F.col("key").alias("component"))
     shared = found.select(F.col("node").alias("key"), "component").unionByName(alone)
-    rows = work.save(prints.join(shared.hint("shuffle_hash"), "key").select("component", "doc_id", "row_key", "line_no"), "shared")
-    stays = rows.groupBy("component").agg(F.min(where).alias("stays"))
-    gone = rows.join(stays, "component").where(where != F.col("stays"))
+    total = known.agg(F.sum("copies")).first()[0] or 0
+    rows = skew.joined(prints, shared, "key", skew.hot_keys(known, "key", "copies", total), "doc_id")
+    rows = work.save(rows.select("component", "doc_id", "row_key", "line_no"), "shared")
+    stays = work.save(rows.groupBy("component").agg(F.min(where).alias("stays"), F.count("*").alias("n")), "stays")
+    gone = skew.joined(rows, stays.select("component", "stays"), "component", skew.hot_keys(stays, "component", "n", total), "doc_id").where(where != F.col("stays"))
     gone = gone.groupBy("doc_id", "row_key").agg(F.collect_set("line_no").alias("dropped"))
     gone = work.save(gone.select("doc_id", "row_key", F.sort_array("dropped").alias("dropped")), "dropped")
-    for name in ("lines", "known", "shared", "links", "links-2"):
-        work.drop(name)
+    work.drop("lines", "known", "shared", "stays")
+    linking.remove()
     return gone
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import skew
 from .components import connected_components
 from .textbuf import slices
 from .workspace import Workspace
@@ -19,6 +20,10 @@ BLOCK = 192
 SKETCH_BLOCK = 1024
 #: Rows of blocks whose sets are unpacked together.
 GROUP = 64
+#: Further rounds of centres for buckets that hold several components, at most.
+TURNS = 8
+#: Pairs that a centre's set goes out for at once.
+LEAVES = 256
 #: Pairs of rows that are compared together, of one such row at most, and cells of an incidence matrix.
 PAIRS, SMALL, CELLS = 1 << 18, 4096, 1 << 22
 
@@ -32,16 +37,23 @@ def stored_sets(column: pa.Array) -> list[np.ndarray]:
 
 
 def _confirmed(percent: int, unpack: Sets):
-    """Rows (a, b, set of a, set of b) to the linked (a, b)."""
+    """Rows (a, share, b, elements), sorted so that a row without b, which holds the set of a, comes
+    before those of its leaves, to the linked (a, b).  Only the set of the current a is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, centre = None, np.zeros(0, np.uint64)
         for batch in batches:
-            linked = []
-            for p, q in zip(unpack(batch.column(2)), unpack(batch.column(3)), strict=True):
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                linked.append(100 * both >= percent * (len(p) + len(q) - both))
-            keep = pa.array(linked, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+            linked: list[tuple[int, int]] = []
+            for a, b, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), unpack(batch.column(3)), strict=True):
+                if b is None:
+                    hub, centre = a, own
+                    continue
+                if a != hub:
+                    raise RuntimeError(f"no set came for node {a}")
+                both = len(np.intersect1d(centre, own, assume_unique=True))
+                if 100 * both >= percent * (len(centre) + len(own) - both):
+                    linked.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in linked], pa.int64()), pa.array([y for _, y in linked], pa.int64())], ["a", "b"])
 
     return run
 
@@ -52,19 +64,18 @@ def _members(column: pa.Array, fields: list[str]) -> tuple[np.ndarray, dict[str,
     return np.concatenate([[0], np.cumsum(np.diff(column.offsets.to_numpy()))]), {f: flat.field(f).to_numpy() for f in fields}
 
 
-def _fitting(batch: pa.RecordBatch, x: int, y: int, words: int, percent: int, far_bits: int, across: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For rows, the pairs of members of two block columns that may link: row, and places in either
-    column's flat members.  across: only pairs of different components.  A block that meets
-    itself gives each pair once.  Small rows are compared together, larger ones as matrices."""
-    fields = ["node", "n", *(f"s{w}" for w in range(words)), *(["component"] if across else [])]
+def _fitting(batch: pa.RecordBatch, x: int, y: int, words: int, percent: int, far_bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For rows, the pairs of members of two block columns, of different components, that may link:
+    row, and places in either column's flat members.  A block that meets itself gives each pair
+    once.  Small rows are compared together, larger ones as matrices."""
+    fields = ["node", "n", "component", *(f"s{w}" for w in range(words))]
     (starts, left), (others, right) = (_members(batch.column(c), fields) for c in (x, y))
     work = np.diff(starts) * np.diff(others)
     itself = np.array([p - o == q - r and (left["node"][o:p] == right["node"][r:q]).all() for o, p, r, q in zip(starts, starts[1:], others, others[1:], strict=False)])
 
     def fit(i: np.ndarray, j: np.ndarray, once: np.ndarray | bool) -> np.ndarray:
         out = np.where(once, left["node"][i] < right["node"][j], left["node"][i] != right["node"][j])
-        if across:
-            out &= left["component"][i] != right["component"][j]
+        out &= left["component"][i] != right["component"][j]
         apart = sum(np.bitwise_count((left[f"s{w}"][i] ^ right[f"s{w}"][j]).view(np.uint64)).astype(np.int16) for w in range(words))
         n, m = left["n"][i], right["n"][j]
         return out & (apart <= far_bits) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
@@ -89,14 +100,14 @@ def _fitting(batch: pa.RecordBatch, x: int, y: int, words: int, percent: int, fa
 
 
 def _partners(words: int, percent: int, far_bits: int):
-    """Rows (bucket, block, block) to the (bucket, node) that may link with another node there."""
+    """Rows (bucket, block, block) to the (bucket, node) that may link with a node of another component there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buckets = batch.column(0).to_numpy()
             sides = [_members(batch.column(c), ["node"]) for c in (1, 2)]
             hits = [np.zeros(starts[-1], bool) for starts, _ in sides]
-            for _, i, j in _fitting(batch, 1, 2, words, percent, far_bits, False):
+            for _, i, j in _fitting(batch, 1, 2, words, percent, far_bits):
                 hits[0][i] = hits[1][j] = True
             for (starts, fields), hit in zip(sides, hits, strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(buckets, np.diff(starts))[hit]), pa.array(fields["node"][hit])], ["bucket", "node"])
@@ -133,7 +144,7 @@ def _linked_blocks(words: int, percent: int, far_bits: int, unpack: Sets):
             out: list[tuple[int, int]] = []
             flat = [batch.column(c).flatten() for c in (0, 1)]
             nodes, parts = [f.field("node").to_numpy() for f in flat], [f.field("component").to_numpy() for f in flat]
-            found = list(_fitting(batch, 0, 1, words, percent, far_bits, True))
+            found = list(_fitting(batch, 0, 1, words, percent, far_bits))
             for at in range(0, len(found), GROUP):
                 group = found[at : at + GROUP]
                 # Each node's set is unpacked once for a group of rows.
@@ -164,17 +175,38 @@ def _linked_blocks(words: int, percent: int, far_bits: int, unpack: Sets):
 
 
 def _meetings(members: DataFrame, size: int, fields: list, work: Workspace, name: str) -> DataFrame:
-    """(bucket, members, other_members): all pairs of the blocks of about ``size`` members that a bucket's are dealt into.
+    """(bucket, members, other_members): the blocks of about ``size`` members that a bucket's are dealt into, by
+    pairs, but for pairs within one component.
 
-    members: (bucket, n, node, fields), n being the bucket's number of members.
+    members: (bucket, node, component, fields).  A component of ``size`` members of a bucket, or more,
+    has blocks of its own; the others share mixed blocks.
     """
-    dealt = members.withColumn("n_blocks", F.ceil(F.col("n") / size)).withColumn("block", F.pmod(F.xxhash64("node"), "n_blocks"))
-    blocks = work.save(dealt.groupBy("bucket", "block", "n_blocks").agg(F.collect_list(F.struct("node", *fields)).alias("members")), name)
-    alone = blocks.where("n_blocks = 1").select("bucket", "members", F.col("members").alias("other_members"))
-    several = blocks.where("n_blocks > 1")
-    spread = several.select("bucket", "members", F.explode(F.sequence("block", F.col("n_blocks") - 1)).alias("other"))
-    others = several.select("bucket", F.col("block").alias("other"), F.col("members").alias("other_members"))
-    return alone.unionByName(spread.join(others, ["bucket", "other"]).select("bucket", "members", "other_members"))
+    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("k"))
+    large = sizes.where(F.col("k") >= size).select("bucket", "component", F.ceil(F.col("k") / size).alias("own_parts"))
+    rest = sizes.where(F.col("k") < size).groupBy("bucket").agg(F.ceil(F.sum("k") / size).alias("mixed_parts"))
+    groups = large.select("bucket", F.col("component").alias("own"), F.lit(False).alias("mixed"), F.col("own_parts").alias("parts"))
+    groups = work.save(groups.unionByName(rest.select("bucket", F.lit(0).cast("long").alias("own"), F.lit(True).alias("mixed"), F.col("mixed_parts").alias("parts"))), f"{name}-groups")
+    dealt = members.join(large, ["bucket", "component"], "left").join(rest, "bucket", "left").withColumn("mixed", F.col("own_parts").isNull())
+    part = F.when(F.col("mixed"), F.pmod(F.xxhash64("component"), "mixed_parts")).otherwise(F.pmod(F.xxhash64("node"), "own_parts"))
+    dealt = dealt.select("bucket", "mixed", F.when(F.col("mixed"), 0).otherwise(F.col("component")).alias("own"), part.alias("part"), F.struct("node", "component", *fields).alias("member"))
+    blocks = work.save(dealt.groupBy("bucket", "mixed", "own", "part").agg(F.collect_list("member").alias("members")), name)
+    x, y = (groups.select("bucket", *(F.col(c).alias(f"{c}_{i}") for c in ("own", "mixed", "parts"))) for i in (1, 2))
+    same = F.col("mixed_1") & F.col("mixed_2")
+    met = x.join(y, "bucket").where(same | (F.col("mixed_1") & ~F.col("mixed_2")) | (~F.col("mixed_1") & ~F.col("mixed_2") & (F.col("own_1") < F.col("own_2"))))
+    met = met.withColumn("part_1", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts_1") - 1)))
+    met = met.withColumn("part_2", F.explode(F.sequence(F.when(same, F.col("part_1")).otherwise(0).cast("long"), F.col("parts_2") - 1)))
+    for i in (1, 2):
+        side = blocks.select("bucket", *(F.col(c).alias(f"{c}_{i}") for c in ("mixed", "own", "part")), F.col("members").alias(f"members_{i}"))
+        met = met.join(side, ["bucket", f"mixed_{i}", f"own_{i}", f"part_{i}"])
+    return met.select("bucket", F.col("members_1").alias("members"), F.col("members_2").alias("other_members"))
+
+
+def _pairs_a_member(left: DataFrame) -> float:
+    """How many members of its bucket in other components a member has, on average."""
+    by_component = left.groupBy("bucket", "component").agg(F.count("*").cast("double").alias("k"))
+    by_bucket = by_component.groupBy("bucket").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("within"))
+    n, across = by_bucket.agg(F.sum("n"), F.sum(F.col("n") * F.col("n") - F.col("within"))).first()
+    return across / n if n else 0.0
 
 
 def linked_components(
@@ -190,45 +222,86 @@ def linked_components(
     sorted distinct hashes.  release is called once entries aren't needed any more.
     rows_per_batch: pairs of blocks, with their members' elements, that a task gets at once.
 
-    First members without a possible partner leave their bucket, and each bucket's least
-    node is paired with its other members, so pairs grow with the members.  Buckets whose
-    members then lie in one component are done.  The others are dealt into blocks, and
-    pairs of blocks are compared as matrices; only links that join components leave a task.
+    Each bucket's least node is paired with its other members, so pairs grow with the
+    members.  Buckets whose members then lie in one component are done.  As long as the
+    others' members have more than ``SKETCH_BLOCK`` members of other components beside them,
+    on average, they are paired with other centres, ``TURNS`` times at most.  What is left is
+    dealt into blocks by component, and blocks of different components are compared as
+    matrices: first the sketches, then the sets of those that may link.
+
+    A hot bucket (``skew``) is split by salt: each part has a centre of its own, and the
+    centres are paired with the least of them.  A centre's set goes out once for
+    ``LEAVES`` pairs.
     """
     bits = [f"s{i}" for i in range(words)]
     buckets = work.save(entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high"), "buckets")
-    members = entries.join(buckets.where("n > 2").select("bucket", "n").hint("shuffle_hash"), "bucket")
-    members = work.save(members.distinct(), "members")
+    total = buckets.agg(F.sum("n")).first()[0] or 0
+    hot = skew.hot_keys(buckets, "bucket", "n", total)
+    large = buckets.where("n > 2").join(hot, "bucket", "left").select("bucket", "low", F.coalesce("hot", F.lit(False)).alias("hot"))
+    members = skew.flagged(entries, "bucket", hot, "node").join(skew.repeated(large).hint("shuffle_hash"), ["bucket", "salt"])
+    members = work.save(members.select("bucket", "salt", "hot", "low", "node").distinct(), "members")
     if release:
         release()
     sketched = sketches.select("node", F.col("n").alias("size"), *bits)
-    near = members.join(sketched, "node")
-    near = _meetings(near.withColumn("k", F.col("size")), SKETCH_BLOCK, [F.col("k").alias("n"), *bits], work, "sketch-blocks")
-    members = work.save(near.mapInArrow(_partners(words, percent, far_bits), "bucket long, node long").distinct(), "partners")
-    work.drop("members")
-    work.drop("sketch-blocks")
 
-    least = members.groupBy("bucket").agg(F.min("node").alias("low"))
+    def centred(rows: DataFrame, turn: int) -> DataFrame:
+        """(a, b): the pairs of each part's centre and its members, and of a hot bucket's centres."""
+        rank = F.col("node") if not turn else F.xxhash64("node", F.lit(turn))
+        centres = rows.groupBy("bucket", "salt", "hot").agg(F.min(rank).alias("rank"))
+        centres = rows.withColumn("rank", rank).join(centres, ["bucket", "salt", "hot", "rank"]).groupBy("bucket", "salt", "hot").agg(F.min("node").alias("centre"))
+        heads = centres.where("hot").groupBy("bucket").agg(F.min("centre").alias("head"))
+        stars = rows.join(centres, ["bucket", "salt"]).select(F.col("centre").alias("a"), F.col("node").alias("b"))
+        return stars.unionByName(centres.join(heads, "bucket").select(F.col("head").alias("a"), F.col("centre").alias("b")))
+
+    def confirmed(pairs: DataFrame, turn: int) -> DataFrame:
+        """The pairs that link."""
+        pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        near = pairs.join(sketches.alias("x"), F.col("a") == F.col("x.node")).join(sketches.alias("y"), F.col("b") == F.col("y.node"))
+        n, m = F.col("x.n"), F.col("y.n")
+        apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in bits), F.lit(0))
+        near = work.save(near.where((F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (apart <= far_bits)).select("a", "b"), f"pairs-{turn}")
+        sets = work.save(sets_of(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()), f"sets-{turn}")
+        shares = near.groupBy("a").agg(F.ceil(F.count("*") / LEAVES).alias("shares"))
+        dealt = near.join(shares, "a").select("a", F.pmod(F.xxhash64("b"), "shares").alias("share"), "b")
+        heads = shares.join(sets, shares.a == sets.node).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("b"), "elements")
+        leaves = dealt.join(sets, dealt.b == sets.node).select("a", "share", "b", "elements")
+        rows = heads.unionByName(leaves).repartition("a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
+        found = work.save(rows.mapInArrow(_confirmed(percent, unpack), "a long, b long"), f"links-{turn}")
+        work.drop(f"pairs-{turn}", f"sets-{turn}")
+        return found
+
+    def unfinished(rows: DataFrame, found: DataFrame, name: str) -> DataFrame:
+        """The members of buckets that hold several components, with these."""
+        labelled = work.save(rows.join(found, "node", "left").select("bucket", "salt", "hot", "node", F.coalesce("component", "node").alias("component")), f"{name}-all")
+        several = labelled.groupBy("bucket", "hot").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        return work.save(labelled.join(skew.repeated(several.select("bucket", "hot")), ["bucket", "salt"], "left_semi"), name)
+
     pairs = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    pairs = pairs.unionByName(members.join(least, "bucket").select(F.col("low").alias("a"), F.col("node").alias("b"))).where("a < b").distinct()
-    near = pairs.join(sketches.alias("x"), F.col("a") == F.col("x.node")).join(sketches.alias("y"), F.col("b") == F.col("y.node"))
-    n, m = F.col("x.n"), F.col("y.n")
-    apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in bits), F.lit(0))
-    first = work.save(near.where((F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (apart <= far_bits)).select("a", "b").distinct(), "pairs")
-    work.drop("buckets")
-
-    wanted = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct()
-    sets = work.save(sets_of(wanted), "sets")
-    rows = first.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("of_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("elements").alias("of_a")), "a")
-    links = work.save(rows.select("a", "b", "of_a", "of_b").mapInArrow(_confirmed(percent, unpack), "a long, b long"), "links")
-    found = connected_components(links, work, "components-1")
-
-    labelled = work.save(members.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "labelled")
-    work.drop("partners")
-    several = labelled.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    unfinished = labelled.join(several.select("bucket", "n"), "bucket").join(sketched, "node").join(sets, "node").withColumn("k", F.col("size"))
-    met = _meetings(unfinished, BLOCK, ["component", F.col("k").alias("n"), *bits, "elements"], work, "blocks").select("members", "other_members")
-    more = work.save(met.mapInArrow(_linked_blocks(words, percent, far_bits, unpack), "a long, b long"), "links-2", rows_per_batch=rows_per_batch)
-    for name in ("labelled", "sets", "blocks", "pairs"):
-        work.drop(name)
-    return found if more.isEmpty() else connected_components(links.unionByName(more), work, "components-2")
+    pairs = pairs.unionByName(members.where("not hot").select(F.col("low").alias("a"), F.col("node").alias("b")))
+    links = confirmed(pairs.unionByName(centred(members.where("hot").select("bucket", "salt", "hot", "node"), 0)), 0)
+    found = connected_components(links, work, "components-0")
+    left = unfinished(members, found, "left-0")
+    work.drop("buckets", "members", "left-0-all")
+    turn = 0
+    while turn < TURNS and _pairs_a_member(left) > SKETCH_BLOCK:
+        turn += 1
+        more = confirmed(centred(left.select("bucket", "salt", "hot", "node"), turn), turn)
+        if more.isEmpty():
+            continue
+        links = links.unionByName(more)
+        found = connected_components(links, work, f"components-{turn}")
+        left = unfinished(left.drop("component"), found, f"left-{turn}")
+        work.drop(*(f"left-{k}" for k in range(turn)), f"left-{turn}-all")
+
+    if left.isEmpty():
+        return found
+    fields = [F.col("size").alias("n"), *bits]
+    met = _meetings(left.select("bucket", "node", "component").join(sketched, "node"), SKETCH_BLOCK, fields, work, "sketch-blocks")
+    near = work.save(met.mapInArrow(_partners(words, percent, far_bits), "bucket long, node long").distinct(), "partners")
+    rows = left.select("bucket", "node", "component").join(near, ["bucket", "node"], "left_semi").join(sketched, "node").join(sets_of(near.select("node").distinct()), "node")
+    met = _meetings(work.save(rows, "partner-sets"), BLOCK, [*fields, "elements"], work, "blocks").select("members", "other_members")
+    more = work.save(met.mapInArrow(_linked_blocks(words, percent, far_bits, unpack), "a long, b long"), "links-left", rows_per_batch=rows_per_batch)
+    if not more.isEmpty():
+        found = connected_components(links.unionByName(more), work, "components-left")
+    work.drop(*(f"{name}-{k}" for k in range(turn + 1) for name in ("links", "left")), "sketch-blocks", "sketch-blocks-groups", "partners", "partner-sets", "blocks", "blocks-groups", "links-left")
+    return found

@@ -99,21 +99,25 @@ def near_duplicates(docs: DataFrame, params: NearDedupParams | None = None, id_c
     An empty table gives an empty result.
     """
     p = params or NearDedupParams()
-    work = Workspace(docs.sparkSession, "near-dedup")
+    work, linking = Workspace(docs.sparkSession, "near-dedup"), Workspace(docs.sparkSession, "near-links")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     prints = work.save(source.mapInArrow(_fingerprints(p), _FINGERPRINT), "prints")
     known = prints.where("n_shingles > 0 and doc_id is not null")
     classes = work.save(known.groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     reps = work.save(known.alias("k").join(classes.alias("c"), (F.col("k.doc_id") == F.col("c.rep")) & (F.col("k.key_a") == F.col("c.key_a")) & (F.col("k.key_b") == F.col("c.key_b")), "left_semi"), "reps")
+
     def sets_of(nodes: DataFrame) -> DataFrame:
         rows = source.hint("merge").join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
         return rows.mapInArrow(_full_sets(p.width), "node long, elements binary")
 
     sketches = reps.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "s0", "s1", "s2", "s3")
     entries = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"))
-    found = linked_components(entries, sketches, 4, p.far_bits, p.percent, sets_of, work)
+    found = linked_components(entries, sketches, 4, p.far_bits, p.percent, sets_of, linking)
 
     whole = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key_a", "key_b", F.col("n_shingles").alias("size"), F.coalesce("component", "rep").alias("component"))
+    whole = work.save(whole, "components")
+    linking.remove()
+    work.drop("classes", "reps")
     by_class = prints.select("doc_id", "n_shingles", "key_a", "key_b")
     joined = by_class.join(whole, (by_class.key_a == whole.key_a) & (by_class.key_b == whole.key_b) & (by_class.n_shingles == whole.size), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,12 +31,42 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Lists of the folders that were opened within each ``scratch`` block that runs.
+_WATCHED: list[list[str]] = []
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of whatever file system it names."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Operators' tables that are made inside are deleted at the end; save what is wanted of their results before."""
+    opened: list[str] = []
+    _WATCHED.append(opened)
+    try:
+        yield
+    finally:
+        _WATCHED.remove(opened)
+        for folder in opened:
+            delete(spark, folder)
+
+
 class Workspace:
-    """Named tables of one operator run, in a fresh subfolder."""
+    """Named tables of one operator run, in a fresh subfolder.
+
+    An operator drops what its result doesn't read; the rest goes with the ``scratch`` block around
+    it, or stays with the shared folder.
+    """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        if _WATCHED:
+            _WATCHED[-1].append(self.folder)
 
     def save(self, frame: DataFrame, name: str, rows_per_batch: int = 500) -> DataFrame:
         """Writes the frame and returns a reader of what was written.
@@ -56,8 +88,11 @@ class Workspace:
                     self.spark.conf.set(key, value)
         return self.spark.read.schema(frame.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Deletes a table that no later step reads."""
-        context = self.spark.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Deletes tables that no later step reads."""
+        for name in names:
+            delete(self.spark, f"{self.folder}/{name}")
+
+    def remove(self) -> None:
+        """Deletes all tables."""
+        delete(self.spark, self.folder)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from brute import SPACES, components, corpus, shingles, similar
 
-from fluxtrace.llm import lsh
+from fluxtrace.llm import lsh, skew
 from fluxtrace.llm.components import connected_components
 from fluxtrace.llm.line_dedup import LineDedupParams, line_report, without_duplicate_lines
 from fluxtrace.llm.near_dedup import drop_near_duplicates, near_duplicates
@@ -44,6 +44,43 @@ def test_chain_of_near_copies_joins_whole(spark):
     assert {r.doc_id: r.component_id for r in near_duplicates(docs_of(spark, chain)).collect()} == want
 
 
+def template_cluster(n, words, changed, seed):
+    """Copies of one text, each with its own changes, in runs of words so that few shingles go."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        text, at = list(base), rng.randrange(words - changed)
+        text[at : at + changed] = [f"x{rng.randrange(10**6)}" for _ in range(changed)]
+        out.append(" ".join(text))
+    return out
+
+
+def test_doubling_a_cluster_doubles_its_member_pairs(spark, monkeypatch):
+    """A cluster of near copies that ends as one component leaves nothing to the pairs of blocks."""
+    met = []
+    plain = lsh._meetings
+    monkeypatch.setattr(lsh, "_meetings", lambda members, *rest: (met.append(members.count()), plain(members, *rest))[1])
+    for n in (150, 300):
+        rows = near_duplicates(docs_of(spark, template_cluster(n, 300, 5, n))).collect()
+        assert {r.component_id for r in rows} == {0}
+    assert not any(met)
+
+
+@pytest.mark.parametrize("changed", [18, 24])
+def test_loose_clusters_in_hot_buckets_match_brute_force(spark, monkeypatch, changed):
+    """Centres miss part of such a cluster: further rounds, salted parts and blocks find the rest."""
+    for name, value in {"LEAVES": 4, "SKETCH_BLOCK": 6, "BLOCK": 4}.items():
+        monkeypatch.setattr(lsh, name, value)
+    for name, value in {"LEAST": 10, "SHARE": 10**9, "SALTS": 3}.items():
+        monkeypatch.setattr(skew, name, value)
+    texts = template_cluster(60, 200, changed, changed) + template_cluster(20, 200, 3, 5) + corpus(20, 8)
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    want = components(sets, similar({i: s for i, s in sets.items() if s}, 75))
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs_of(spark, texts)).collect()}
+    assert got == want and len(set(want.values())) < len(texts)
+
+
 def test_near_duplicates_edge_cases(spark):
     rows = near_duplicates(docs_of(spark, ["a b c d e f", "A b\tc D e f", "", None], [(None, "a b c d e f"), (1, "A b\tc D e f")])).collect()
     assert Counter((r.doc_id, r.component_id, r.kept) for r in rows) == Counter([(0, 0, True), (1, 0, False), (1, 0, False), (2, 2, True), (3, 3, True), (None, None, True)])
@@ -96,7 +133,9 @@ def brute_lines(texts, width, percent):
     return gone
 
 
-def test_lines_match_brute_force(spark):
+@pytest.mark.parametrize("least", [20_000, 5])
+def test_lines_match_brute_force(spark, monkeypatch, least):
+    monkeypatch.setattr(skew, "LEAST", least)
     texts = corpus(70, 4)
     p = LineDedupParams()
     want = brute_lines(texts, p.width, p.percent)
