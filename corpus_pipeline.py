@@ -14,7 +14,7 @@ from fluxtrace.llm.decontaminate import decontaminate
 from fluxtrace.llm.line_dedup import without_duplicate_lines
 from fluxtrace.llm.near_dedup import drop_near_duplicates
 from fluxtrace.llm.quality_classifier import keep_good
-from fluxtrace.llm.workspace import Workspace
+from fluxtrace.llm.workspace import Workspace, scratch
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,6 +58,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies all stages to documents."""
     work = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = work.save(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark):
+            docs = work.save(stage(spark, docs, sf_dir), name)
+        work.drop(*[before for before, _ in STAGES[max(i - 1, 0) : i]])
     return STAGES[-1][1](spark, docs, sf_dir)
