@@ -100,21 +100,33 @@ def _fitting(batch: pa.RecordBatch, x: int, y: int, words: int, percent: int, fa
 
 
 def _partners(words: int, percent: int, far_bits: int):
-    """Rows (bucket, block, block) to the (bucket, node) that may link with a node of another component there."""
+    """Rows (bucket, block, block) to (bucket, node, centre): the nodes that may link with one of another
+    component there, and the least of them if it is a node's possible partner, or the node itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buckets = batch.column(0).to_numpy()
             sides = [_members(batch.column(c), ["node"]) for c in (1, 2)]
             hits = [np.zeros(starts[-1], bool) for starts, _ in sides]
+            centres = [np.zeros(len(hit), np.int64) for hit in hits]
+            fits = [np.zeros(len(hit), bool) for hit in hits]
+            left, right = (fields["node"] for _, fields in sides)
             for _, i, j in _fitting(batch, 1, 2, words, percent, far_bits):
                 hits[0][i] = hits[1][j] = True
-            for (starts, fields), hit in zip(sides, hits, strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(buckets, np.diff(starts))[hit]), pa.array(fields["node"][hit])], ["bucket", "node"])
+                low = left[i].min()
+                mine = j[left[i] == low]
+                centres[1][mine], fits[1][mine] = low, True
+                own = i[left[i] == low]
+                centres[0][own], fits[0][own] = low, True
+            for (starts, fields), hit, centre, fit in zip(sides, hits, centres, fits, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(buckets, np.diff(starts))[hit]), pa.array(fields["node"][hit]), pa.array(centre[hit], mask=~fit[hit])], ["bucket", "node", "centre"])
 
     return run
 
 
+_PARTNERS = "bucket long, node long, centre long"
+
+
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of two lists' sets, by products of incidence matrices."""
     sets = [*left, *right]
@@ -222,8 +234,9 @@ def linked_components(
     sorted distinct hashes.  release is called once entries aren't needed any more.
     rows_per_batch: pairs of blocks, with their members' elements, that a task gets at once.
 
-    Each bucket's least node is paired with its other members, so pairs grow with the
-    members.  Buckets whose members then lie in one component are done.  As long as the
+    Members of buckets of at most ``SKETCH_BLOCK`` whose sketches leave them no partner there
+    go first.  Then each bucket's least node is paired with its other members, so pairs grow with
+    the members.  Buckets whose members then lie in one component are done.  As long as the
     others' members have more than ``SKETCH_BLOCK`` members of other components beside them,
     on average, they are paired with other centres, ``TURNS`` times at most.  What is left is
     dealt into blocks by component, and blocks of different components are compared as
@@ -237,29 +250,35 @@ def linked_components(
     buckets = work.save(entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high"), "buckets")
     total = buckets.agg(F.sum("n")).first()[0] or 0
     hot = skew.hot_keys(buckets, "bucket", "n", total)
-    large = buckets.where("n > 2").join(hot, "bucket", "left").select("bucket", "low", F.coalesce("hot", F.lit(False)).alias("hot"))
-    members = skew.flagged(entries, "bucket", hot, "node").join(skew.repeated(large).hint("shuffle_hash"), ["bucket", "salt"])
-    members = work.save(members.select("bucket", "salt", "hot", "low", "node").distinct(), "members")
+    large = buckets.where("n > 2").join(hot, "bucket", "left").select("bucket", F.col("n").alias("of"), F.coalesce("hot", F.lit(False)).alias("hot"))
+    members = skew.flagged(entries, "bucket", hot, "node").drop("hot").join(skew.repeated(large.withColumn("is_hot", F.col("hot"))).hint("shuffle_hash"), ["bucket", "salt"])
+    members = work.save(members.select("bucket", "salt", F.col("is_hot").alias("hot"), "of", "node").distinct(), "members")
     if release:
         release()
     sketched = sketches.select("node", F.col("n").alias("size"), *bits)
+    fields = [F.col("size").alias("n"), *bits]
+    small = members.where(F.col("of") <= SKETCH_BLOCK).join(sketched, "node").groupBy("bucket").agg(F.collect_list(F.struct("node", F.col("node").alias("component"), *fields)).alias("members"))
+    small = small.where(F.size("members") > 1).select("bucket", "members", F.col("members").alias("other_members"))
+    near = small.mapInArrow(_partners(words, percent, far_bits), _PARTNERS).groupBy("bucket", "node").agg(F.min("centre").alias("centre"))
+    partners = work.save(near, "partners")
+    large = members.where(F.col("of") > SKETCH_BLOCK).select("bucket", "salt", "hot", "node")
 
     def centred(rows: DataFrame, turn: int) -> DataFrame:
         """(a, b): the pairs of each part's centre and its members, and of a hot bucket's centres."""
         rank = F.col("node") if not turn else F.xxhash64("node", F.lit(turn))
-        centres = rows.groupBy("bucket", "salt", "hot").agg(F.min(rank).alias("rank"))
-        centres = rows.withColumn("rank", rank).join(centres, ["bucket", "salt", "hot", "rank"]).groupBy("bucket", "salt", "hot").agg(F.min("node").alias("centre"))
+        centres = rows.groupBy("bucket", "salt", "hot").agg(F.min_by("node", rank).alias("centre"))
         heads = centres.where("hot").groupBy("bucket").agg(F.min("centre").alias("head"))
-        stars = rows.join(centres, ["bucket", "salt"]).select(F.col("centre").alias("a"), F.col("node").alias("b"))
+        stars = rows.join(centres.drop("hot"), ["bucket", "salt"]).select(F.col("centre").alias("a"), F.col("node").alias("b"))
         return stars.unionByName(centres.join(heads, "bucket").select(F.col("head").alias("a"), F.col("centre").alias("b")))
 
-    def confirmed(pairs: DataFrame, turn: int) -> DataFrame:
-        """The pairs that link."""
+    def confirmed(pairs: DataFrame, turn: int, tried: DataFrame | None = None) -> DataFrame:
+        """The pairs that link; of those that are tried, the sketches have been compared."""
         pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         near = pairs.join(sketches.alias("x"), F.col("a") == F.col("x.node")).join(sketches.alias("y"), F.col("b") == F.col("y.node"))
         n, m = F.col("x.n"), F.col("y.n")
         apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in bits), F.lit(0))
-        near = work.save(near.where((F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (apart <= far_bits)).select("a", "b"), f"pairs-{turn}")
+        near = near.where((F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (apart <= far_bits)).select("a", "b")
+        near = work.save(near if tried is None else near.unionByName(tried.where("a != b")).distinct(), f"pairs-{turn}")
         sets = work.save(sets_of(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()), f"sets-{turn}")
         shares = near.groupBy("a").agg(F.ceil(F.count("*") / LEAVES).alias("shares"))
         dealt = near.join(shares, "a").select("a", F.pmod(F.xxhash64("b"), "shares").alias("share"), "b")
@@ -276,12 +295,12 @@ def linked_components(
         several = labelled.groupBy("bucket", "hot").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
         return work.save(labelled.join(skew.repeated(several.select("bucket", "hot")), ["bucket", "salt"], "left_semi"), name)
 
-    pairs = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    pairs = pairs.unionByName(members.where("not hot").select(F.col("low").alias("a"), F.col("node").alias("b")))
-    links = confirmed(pairs.unionByName(centred(members.where("hot").select("bucket", "salt", "hot", "node"), 0)), 0)
+    two = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
+    tried = partners.where("centre is not null").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    links = confirmed(two.unionByName(centred(large, 0)), 0, tried)
     found = connected_components(links, work, "components-0")
-    left = unfinished(members, found, "left-0")
-    work.drop("buckets", "members", "left-0-all")
+    left = unfinished(partners.select("bucket", F.lit(0).alias("salt"), F.lit(False).alias("hot"), "node").unionByName(large), found, "left-0")
+    work.drop("buckets", "members", "partners", "left-0-all")
     turn = 0
     while turn < TURNS and _pairs_a_member(left) > SKETCH_BLOCK:
         turn += 1
@@ -295,13 +314,12 @@ def linked_components(
 
     if left.isEmpty():
         return found
-    fields = [F.col("size").alias("n"), *bits]
     met = _meetings(left.select("bucket", "node", "component").join(sketched, "node"), SKETCH_BLOCK, fields, work, "sketch-blocks")
-    near = work.save(met.mapInArrow(_partners(words, percent, far_bits), "bucket long, node long").distinct(), "partners")
+    near = work.save(met.mapInArrow(_partners(words, percent, far_bits), _PARTNERS).select("bucket", "node").distinct(), "near")
     rows = left.select("bucket", "node", "component").join(near, ["bucket", "node"], "left_semi").join(sketched, "node").join(sets_of(near.select("node").distinct()), "node")
     met = _meetings(work.save(rows, "partner-sets"), BLOCK, [*fields, "elements"], work, "blocks").select("members", "other_members")
     more = work.save(met.mapInArrow(_linked_blocks(words, percent, far_bits, unpack), "a long, b long"), "links-left", rows_per_batch=rows_per_batch)
     if not more.isEmpty():
         found = connected_components(links.unionByName(more), work, "components-left")
-    work.drop(*(f"{name}-{k}" for k in range(turn + 1) for name in ("links", "left")), "sketch-blocks", "sketch-blocks-groups", "partners", "partner-sets", "blocks", "blocks-groups", "links-left")
+    work.drop(*(f"{name}-{k}" for k in range(turn + 1) for name in ("links", "left")), "sketch-blocks", "sketch-blocks-groups", "near", "partner-sets", "blocks", "blocks-groups", "links-left")
     return found
