@@ -25,12 +25,11 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 class PairMerger(Generations):
     """Pre-token to its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, most: int = 48 << 20) -> None:
+    def __init__(self, path: str, most: int = 64 << 20) -> None:
         super().__init__(most)
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.vocabulary = {rank: token for token, rank in self.ranks.items()}
-        self.texts = Texts(self)
 
     def make(self, piece: str) -> bytes:
         raw = piece.encode("utf-8")
@@ -78,22 +77,10 @@ class PairMerger(Generations):
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
-    def decode_pieces(self, ids: bytes, firsts: list[int]) -> bytes:
-        """The same by pre-tokens: ``firsts`` says which id each begins with, and what a slice says is looked up once."""
-        if not firsts:
-            return self.decode(ids)
-        return b"".join([self.texts[ids[4 * a : 4 * b]] for a, b in zip(firsts, [*firsts[1:], len(ids) // 4], strict=True)])
-
-
-class Texts(Generations):
-    """A pre-token's ids to its bytes."""
-
-    def __init__(self, merger: PairMerger, most: int = 12 << 20) -> None:
-        super().__init__(most)
-        self.merger = merger
-
-    def make(self, ids: bytes) -> bytes:
-        return self.merger.decode(ids)
+    def decode_pieces(self, ids: bytes, firsts: list[int]) -> list[bytes]:
+        """What each pre-token's ids say; ``firsts`` tells which id each begins with."""
+        tokens = list(map(self.vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return [b"".join(tokens[a:b]) for a, b in zip(firsts, [*firsts[1:], len(tokens)], strict=True)] if firsts else []
 
 
 @lru_cache(maxsize=2)
@@ -105,7 +92,7 @@ def _loaded(path: str) -> PairMerger:
 def merger(path: str) -> AbstractContextManager[PairMerger]:
     """The worker's merger, for a task."""
     bpe = _loaded(path)
-    return borrowed(bpe, bpe, bpe.texts)
+    return borrowed(bpe, bpe)
 
 
 def encoded(column: pa.Array, bpe: PairMerger) -> Iterator[tuple[int, list[bytes], list[np.ndarray], list[list[int]]]]:
@@ -143,26 +130,36 @@ def encode(docs: DataFrame, path: str = RANKS, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary, piece_starts array<long>, piece_ids array<long>")
 
 
-def decode(tokens: DataFrame, path: str = RANKS, id_col: str = "doc_id", ids_col: str = "ids", pieces_col: str | None = None) -> DataFrame:
+def decode(tokens: DataFrame, path: str = RANKS, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, text) of rows of ids as ``encode`` returns them; null ids give an empty text.
 
-    pieces_col: ``encode``'s piece_ids, if ids are to be decoded by pre-tokens.
     Bytes that are no UTF-8, as a cut in the middle of a character leaves, become U+FFFD.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with merger(path) as bpe:
             for batch in batches:
-                ids = [x or b"" for x in batch.column(1).to_pylist()]
-                raw = map(bpe.decode, ids) if pieces_col is None else map(bpe.decode_pieces, ids, [x or [] for x in batch.column(2).to_pylist()])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.decode("utf-8", "replace") for x in raw], pa.string())], ["doc_id", "text"])
+                texts = [bpe.decode(x or b"").decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
+
+
+def decode_pieces(tokens: DataFrame, path: str = RANKS) -> DataFrame:
+    """(doc_id, piece, start, text): the pre-tokens of ``encode``'s rows by the offsets it kept, start in code points."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with merger(path) as bpe:
+            for batch in batches:
+                for doc, ids, starts, firsts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    texts = [x.decode("utf-8") for x in bpe.decode_pieces(ids, firsts)]
+                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(texts), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(starts, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "piece", "start", "text"])
 
-    columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids"), *([F.col(pieces_col).alias("pieces")] if pieces_col else [])]
-    return tokens.select(*columns).mapInArrow(run, "doc_id long, text string")
+    return tokens.select("doc_id", "ids", "piece_starts", "piece_ids").mapInArrow(run, "doc_id long, piece long, start long, text string")
 
 
 def round_trip(docs: DataFrame, path: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text is encoded, and its ids decoded by the offsets kept, in one pass.
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text is encoded and its ids decoded, in one pass.
 
     Null, empty and repeated rows as in ``encode``.
     """
@@ -170,13 +167,13 @@ def round_trip(docs: DataFrame, path: str = RANKS, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with merger(path) as bpe:
             for batch in batches:
-                for lo, ids, _, firsts in encoded(batch.column(1), bpe):
+                for lo, ids, _, _ in encoded(batch.column(1), bpe):
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0)[lo : lo + len(ids)],
                             pa.array([len(x) // 4 for x in ids], pa.int64()),
                             pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                            pa.array([hashlib.sha256(bpe.decode_pieces(x, f)).hexdigest() for x, f in zip(ids, firsts, strict=True)], pa.string()),
+                            pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids], pa.string()),
                         ],
                         ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                     )

@@ -72,8 +72,8 @@ def test_null_and_repeated_ids_and_very_long_texts(spark):
 
 def test_a_task_leaves_no_cache():
     with bpe.merger(bpe.RANKS) as merger:
-        assert merger["some"] and merger.decode_pieces(merger["some"], [0]) == b"some" and len(merger) == len(merger.texts) == 1
-    assert not merger and not merger.texts
+        assert merger["some"] and merger.decode_pieces(merger["some"], [0]) == [b"some"] and len(merger) == 1
+    assert not merger
 
 
 def test_round_trip(spark):
@@ -85,9 +85,10 @@ def test_round_trip(spark):
         assert (rows[i].n_tokens, rows[i].ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
         assert rows[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     tokens = bpe.encode(docs)
-    for pieces in (None, "piece_ids"):
-        back = {r.doc_id: r.text for r in bpe.decode(tokens, pieces_col=pieces).collect()}
-        assert back == {i: t or "" for i, t in enumerate(texts)}
+    back = {r.doc_id: r.text for r in bpe.decode(tokens).collect()}
+    assert back == {i: t or "" for i, t in enumerate(texts)}
+    spans = sorted((r.doc_id, r.piece, r.start, r.text) for r in bpe.decode_pieces(tokens).collect())
+    assert spans == [(i, k, m.start(), m[0]) for i, t in enumerate(texts) for k, m in enumerate(SPLIT.finditer(t or ""))]
     first = {r.doc_id: r.piece_starts for r in tokens.collect()}
     assert all(first[i] == [m.start() for m in SPLIT.finditer(t or "")] for i, t in enumerate(texts))
     assert bpe.round_trip(docs.limit(0)).count() == 0
