@@ -30,7 +30,9 @@ def bouts(edges: DataFrame, keys: tuple[str, ...] = ("rec",), strict: bool = Fal
     state is on at the first sample.
     """
     if strict:
-        later = F.min(F.when(F.col("edge") == -1, F.col("idx"))).over(by_sample(*keys).rowsBetween(1, Window.unboundedFollowing))
+        # Frames that end at the current row are filled once, also backwards; those that begin there anew for each row.
+        back = Window.partitionBy(*keys).orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
+        later = F.last(F.when(F.col("edge") == -1, F.col("idx")), ignorenulls=True).over(back)
         found = edges.withColumn("idx_off", later).where("edge = 1 and idx_off is not null")
         return found.select(*keys, F.row_number().over(by_sample(*keys)).cast("long").alias("bout"), F.col("idx").alias("idx_on"), "idx_off")
     return _numbered(edges, 1, "idx_on", keys).join(_numbered(edges, -1, "idx_off", keys), [*keys, "bout"])
@@ -62,16 +64,18 @@ def deinterleave(raw: DataFrame, gates: dict[str, str], signal: str, time: str,
     """(rec, idx, time_s, one column for each gate): the signal ``offset`` samples after each rising edge.
 
     gates: output column to gate column.  The k-th samples of all gates make row k - 1, as
-    far as the gate with the fewest; times run evenly from 0 to the last raw time, and
-    zeros become null in every column.
+    far as the gate with the fewest; edges whose sample lies beyond the recording don't count, a
+    missing sample does.  Times run evenly from 0 to the last raw time, and zeros become null in
+    every column.
     """
-    w = by_sample()
-    rows = raw.withColumn("_later", F.lead(signal, offset).over(w)).withColumn("_last", F.max(time).over(Window.partitionBy("rec")))
+    w, whole = by_sample(), Window.partitionBy("rec")
+    rows = raw.withColumn("_later", F.lead(signal, offset).over(w)).withColumn("_last", F.max(time).over(whole))
+    rows = rows.withColumn("_inside", F.col("idx") + offset <= F.max("idx").over(whole))
     for name, gate in gates.items():
         rows = rows.withColumn(f"_rise_{name}", F.col(gate) - F.lag(gate).over(w) == 1)
     found = None
     for name in gates:
-        part = rows.where(F.col(f"_rise_{name}") & F.col("_later").isNotNull())
+        part = rows.where(F.col(f"_rise_{name}") & F.col("_inside"))
         part = part.select("rec", F.row_number().over(w).cast("long").alias("k"), F.col("_later").alias(name), F.col("_last").alias(f"_t_{name}"))
         found = part if found is None else found.join(part, ["rec", "k"])
     n = F.count("*").over(Window.partitionBy("rec"))
@@ -80,9 +84,3 @@ def deinterleave(raw: DataFrame, gates: dict[str, str], signal: str, time: str,
     rows = found.withColumn("time_s", F.coalesce(t, F.lit(0.0)))
     zero = lambda c: F.nullif(F.col(c), F.lit(0.0)).alias(c)
     return rows.select("rec", (F.col("k") - 1).alias("idx"), zero("time_s"), *map(zero, gates))
-
-
-def edge_at(edges: DataFrame, sign: int, extra: Column | None = None) -> DataFrame:
-    """The rows with an onset (1) or offset (-1)."""
-    rows = edges.where(F.col("edge") == sign)
-    return rows if extra is None else rows.where(extra)

@@ -11,9 +11,10 @@ from .sampling import by_sample
 def interpolate(samples: DataFrame, channel: str, out: str) -> DataFrame:
     """Adds out: the channel with gaps filled linearly by sample number, both ends extended flat."""
     past = by_sample().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = by_sample().rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # Backwards, since a frame that ends at the current row is filled once and one that begins there for each row.
+    ahead = Window.partitionBy("rec").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     known = F.when(F.col(channel).isNotNull(), F.struct("idx", F.col(channel).cast("double").alias("v")))
-    rows = samples.withColumn("_a", F.last(known, ignorenulls=True).over(past)).withColumn("_b", F.first(known, ignorenulls=True).over(ahead))
+    rows = samples.withColumn("_a", F.last(known, ignorenulls=True).over(past)).withColumn("_b", F.last(known, ignorenulls=True).over(ahead))
     share = (F.col("idx") - F.col("_a.idx")) / F.nullif(F.col("_b.idx") - F.col("_a.idx"), F.lit(0))
     between = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * share
     return rows.withColumn(out, F.coalesce(F.col(channel).cast("double"), between, F.col("_a.v"), F.col("_b.v"))).drop("_a", "_b")
@@ -27,8 +28,3 @@ def mean_pad(samples: DataFrame, channel: str, out: str) -> DataFrame:
 def zero_to_null(samples: DataFrame, *columns: str) -> DataFrame:
     """Zeros of the columns become null."""
     return samples.withColumns({c: F.when(F.col(c) != 0, F.col(c)) for c in columns})
-
-
-def without_nan(samples: DataFrame, *columns: str) -> DataFrame:
-    """NaN of the columns becomes null, as every source should do."""
-    return samples.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in columns})

@@ -55,19 +55,38 @@ def butterworth(order: int, cut: float | tuple[float, float], rate: float, kind:
     return np.array(sections)
 
 
+#: Samples that a filter handles by one matrix product.
+BLOCK = 256
+
+
+def _section(x: np.ndarray, section: list[float], state: tuple[float, float]) -> np.ndarray:
+    """One second-order section by blocks: the answer to a block's own samples, all blocks at once, and to the state it begins in."""
+    b0, b1, b2, _, a1, a2 = section
+    step, enter = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
+    powers = [np.eye(2)]
+    for _ in range(BLOCK):
+        powers.append(step @ powers[-1])
+    powers = np.array(powers)
+    impulse = np.concatenate([[b0], (powers[: BLOCK - 1] @ enter)[:, 0]])
+    lag = np.arange(BLOCK)[:, None] - np.arange(BLOCK)
+    own = np.where(lag >= 0, impulse[lag], 0.0)
+    into = powers[BLOCK - 1 :: -1][:BLOCK] @ enter
+    blocks = np.pad(x, (0, -len(x) % BLOCK)).reshape(-1, BLOCK)
+    states, z, gains = np.empty((len(blocks), 2)), np.array(state), blocks @ into
+    for k, gain in enumerate(gains):
+        states[k] = z
+        z = powers[BLOCK] @ z + gain
+    return (blocks @ own.T + states @ powers[:BLOCK, 0].T).ravel()[: len(x)]
+
+
 def sos_filter(sections: np.ndarray, x: np.ndarray, state: np.ndarray | None = None) -> np.ndarray:
-    """Direct form II transposed, from ``state`` or rest; a NaN poisons what follows."""
-    y = np.asarray(x, float)
-    for k, (b0, b1, b2, _, a1, a2) in enumerate(np.asarray(sections).tolist()):
-        z1, z2 = (0.0, 0.0) if state is None else state[k]
-        out = np.empty_like(y)
-        for i, v in enumerate(y.tolist()):
-            w = b0 * v + z1
-            z1 = b1 * v - a1 * w + z2
-            z2 = b2 * v - a2 * w
-            out[i] = w
-        y = out
-    return y
+    """Direct form II transposed, from ``state`` or rest; from the first sample on that is no finite number, all is NaN."""
+    x = np.asarray(x, float)
+    broken = np.flatnonzero(~np.isfinite(x))
+    y = x[: broken[0]] if len(broken) else x
+    for k, section in enumerate(np.asarray(sections).tolist()):
+        y = _section(y, section, (0.0, 0.0) if state is None else tuple(state[k]))
+    return np.concatenate([y, np.full(len(x) - len(y), np.nan)])
 
 
 def step_state(sections: np.ndarray) -> np.ndarray:
@@ -94,18 +113,22 @@ def zero_phase(sections: np.ndarray, x: np.ndarray, pad: int) -> np.ndarray:
 
 
 def suppress_near(positions: np.ndarray, heights: np.ndarray, distance: int) -> np.ndarray:
-    """Which peaks stay when higher ones remove all nearer than ``distance``; of equals the later goes first."""
+    """Which peaks stay when higher ones remove all nearer than ``distance``; of equals the later goes first.
+
+    positions: in ascending order; a peak looks only at those within its distance.
+    """
     stays = np.ones(len(positions), bool)
+    first = np.searchsorted(positions, positions - distance, "right")
+    last = np.searchsorted(positions, positions + distance, "left")
     for k in np.argsort(heights, kind="stable")[::-1]:
         if stays[k]:
-            near = np.abs(positions - positions[k]) < distance
-            near[k] = False
-            stays &= ~near
+            stays[first[k] : k] = False
+            stays[k + 1 : last[k]] = False
     return stays
 
 
 def _by_recording(samples: DataFrame, columns: list[str], kernel, schema: str) -> DataFrame:
-    """Runs a kernel on each recording in the order of idx; a kernel's error becomes a status, not a failure."""
+    """Runs a kernel on each recording in the order of idx."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         return kernel(frame.sort_values("idx"))
@@ -114,6 +137,8 @@ def _by_recording(samples: DataFrame, columns: list[str], kernel, schema: str) -
 
 
 def _filtered(samples: DataFrame, channel: str, apply) -> DataFrame:
+    """A filter on each recording; where it can't be applied, nulls and a status that says why."""
+
     def kernel(frame: pd.DataFrame) -> pd.DataFrame:
         out = frame[["rec", "idx"]].copy()
         x = frame[channel].to_numpy(float)

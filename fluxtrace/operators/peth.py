@@ -26,12 +26,13 @@ def shift_to_trough(events: DataFrame, samples: DataFrame, before: int, after: i
     return events.join(found, ["rec", "bout", "idx"]).withColumn("idx", F.col("idx") + F.col("_by")).drop("_by")
 
 
-def peth(events: DataFrame, samples: DataFrame, pre: int, post: int, value: str, baseline: tuple[int, int] | None = None) -> DataFrame:
+def peth(events: DataFrame, samples: DataFrame, pre: int, post: int, value: str, baseline: tuple[int, int] | None = None, raw_if_flat: bool = False) -> DataFrame:
     """(rec, bout, idx, rel_idx, z) of samples pre before to post after each event (rec, bout, idx).
 
     z uses the mean and sample deviation of the whole trace, or, with a baseline
     (first, last) in samples relative to the event, both included, those of that window.
-    Windows that the recording doesn't hold whole are left out.  A deviation of 0 gives null.
+    Windows that the recording doesn't hold whole are left out.  Without a deviation above 0 z is null,
+    or, if raw_if_flat (respiration), the value as it is.
     """
     first = min(-pre, baseline[0]) if baseline else -pre
     last = max(post, baseline[1]) if baseline else post
@@ -45,15 +46,12 @@ def peth(events: DataFrame, samples: DataFrame, pre: int, post: int, value: str,
     else:
         whole = samples.groupBy("rec").agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"))
         rows = rows.join(whole, "rec")
-    z = (F.col("value") - F.col("_mean")) / F.nullif("_sd", F.lit(0.0))
+    z = F.when(F.col("_sd") > 0, (F.col("value") - F.col("_mean")) / F.col("_sd"))
+    if raw_if_flat:
+        z = F.when(F.col("_sd") > 0, z).otherwise(F.col("value"))
     return rows.select("rec", "bout", "idx", "rel_idx", z.alias("z"))
 
 
-def guarded(rows: DataFrame) -> DataFrame:
-    """z with the raw value's place taken by 0 where the deviation was 0, as padded matrices have it."""
-    return rows.withColumn("z", F.coalesce("z", F.lit(0.0)))
-
-
 def average(rows: DataFrame, *keys: str) -> DataFrame:
     """(keys, rel_idx, n, mean_z, sem_z); the standard error uses the population deviation."""
     return rows.groupBy(*keys, "rel_idx").agg(F.count("z").alias("n"), F.avg("z").alias("mean_z"), (F.stddev_pop("z") / F.sqrt(F.nullif(F.count("z"), F.lit(0)))).alias("sem_z"))

@@ -164,15 +164,15 @@ def q_match_counts(spark, sf_dir):
 
 def _gate_sql(name: str, flag: str) -> str:
     rise = f"(flag = '{flag}')::int - lag((flag = '{flag}')::int) over (partition by rec order by idx)"
-    return f"{name} as (select rec, row_number() over (partition by rec order by idx) as k, later as {name}, tmax from (select *, {rise} as r, lead(sig, 3) over (partition by rec order by idx) as later, max(time_s) over (partition by rec) as tmax from rec_l) where r = 1 and later is not null)"
+    return f"{name} as (select rec, row_number() over (partition by rec order by idx) as k, later as {name}, tmax from (select *, {rise} as r, lead(case when idx % 13 <> 5 then sig end, 3) over (partition by rec order by idx) as later, max(time_s) over (partition by rec) as tmax, max(idx) over (partition by rec) as top from rec_l) where r = 1 and idx + 3 <= top)"
 
 
 @query(f"""with {L_SQL}, {_gate_sql('ch405', 'R')}, {_gate_sql('ch470', 'A')}
 select rec, k - 1 as idx, round(nullif(coalesce((k - 1) * tmax / nullif(count(*) over (partition by rec) - 1, 0), 0.0), 0.0), 9) as time_s, nullif(ch405, 0) as ch405, nullif(ch470, 0) as ch470
 from (select rec, k, ch405, ch470, ch405.tmax as tmax from ch405 join ch470 using (rec, k))""")
 def q_deinterleave(spark, sf_dir):
-    """Two channels out of one by their gates."""
-    raw = rec_l(spark, sf_dir).withColumn("r", (F.col("flag") == "R").cast("int")).withColumn("a", (F.col("flag") == "A").cast("int"))
+    """Two channels out of one, which has missing samples, by their gates."""
+    raw = rec_l(spark, sf_dir).withColumn("sig", F.when(F.col("idx") % 13 != 5, F.col("sig"))).withColumn("r", (F.col("flag") == "R").cast("int")).withColumn("a", (F.col("flag") == "A").cast("int"))
     return edges.deinterleave(raw, {"ch405": "r", "ch470": "a"}, "sig", "time_s", 3).withColumn("time_s", F.round("time_s", 9))
 
 
@@ -444,12 +444,12 @@ def q_peth_baseline(spark, sf_dir):
     return rounded(peth.peth(events, e, 10, 20, "x", (-10, -2)), "z").drop("idx")
 
 
-@query(f"""with {E_SQL}, {EDGES_SQL}, {BOUTS_SQL}, {_KEPT.replace('idx_off - idx_on > 1 and idx_off - idx_on >= 3 and ', '').replace('idx_on + 20', 'idx_on + 0')}, {_TROUGH.format(lo=-10, hi=0)}, {_WHOLE.format(src='moved')} select rel_idx, {_AVERAGE} from pz group by rel_idx""")
+@query(f"""with {E_SQL}, flat_e as (select * replace (case when rec = 3 then 7.5 else x end as x) from rec_e), {EDGES_SQL}, {BOUTS_SQL}, {_KEPT.replace('idx_off - idx_on > 1 and idx_off - idx_on >= 3 and ', '').replace('idx_on + 20', 'idx_on + 0')}, {_TROUGH.format(lo=-10, hi=0).replace('join rec_e', 'join flat_e')}, {_WHOLE.format(src='moved').replace('(r.x - mu) / nullif(sd, 0)', 'case when sd > 0 then (r.x - mu) / sd else r.x end').replace('from rec_e', 'from flat_e').replace('join rec_e', 'join flat_e')} select rel_idx, {_AVERAGE} from pz group by rel_idx""")
 def q_peth_sniff(spark, sf_dir):
-    """Onsets moved to the trough before them, no duration filter."""
-    e = rec_e(spark, sf_dir)
+    """Onsets moved to the trough before them, no duration filter; a flat trace as it is."""
+    e = rec_e(spark, sf_dir).withColumn("x", F.when(F.col("rec") == 3, 7.5).otherwise(F.col("x")))
     events = edges.bouts(edges.derive(e)).select("rec", "bout", F.col("idx_on").alias("idx"))
-    return rounded(peth.average(peth.peth(peth.shift_to_trough(events, e, -10, 0, "x"), e, 10, 20, "x")), "mean_z", "sem_z")
+    return rounded(peth.average(peth.peth(peth.shift_to_trough(events, e, -10, 0, "x"), e, 10, 20, "x", raw_if_flat=True)), "mean_z", "sem_z")
 
 
 @query(f"with {E_SQL}, {_SIGNUPS}, {_WHOLE.format(src='ev')} select rel_idx, {_AVERAGE} from pz group by rel_idx")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluxtrace.functions import scalars as S
-from fluxtrace.operators import artifacts, dff, edges, fill, runs, sampling, smooth
+from fluxtrace.operators import artifacts, dff, edges, fill, peth, runs, sampling, smooth
 
 
 def series(spark, values, name="level", kind="int"):
@@ -113,6 +113,25 @@ def test_deinterleave(spark):
     assert [r.time_s for r in out] == [None, pytest.approx(1.15), pytest.approx(2.3)]
 
 
+def test_deinterleave_keeps_the_place_of_missing_samples(spark):
+    rows = [(0, i, i / 10, None if i == 10 else float(i), int(i % 8 in (1, 2)), int(i % 8 in (5, 6))) for i in range(24)]
+    raw = spark.createDataFrame(rows, "rec long, idx long, time_s double, ain double, a int, b int")
+    out = edges.deinterleave(raw, {"c405": "a", "c470": "b"}, "ain", "time_s", 1).orderBy("idx").collect()
+    assert [(r.c405, r.c470) for r in out] == [(2, 6), (None, 14), (18, 22)]
+
+
+def test_flat_traces_keep_their_values(spark):
+    rows = series(spark, [4.0] * 9, "x", "double")
+    events = spark.createDataFrame([(0, 1, 4)], "rec long, bout long, idx long")
+    assert {r.z for r in peth.peth(events, rows, 2, 2, "x").collect()} == {None}
+    assert {r.z for r in peth.peth(events, rows, 2, 2, "x", raw_if_flat=True).collect()} == {4.0}
+
+
+def test_strict_bouts_pair_with_the_next_offset(spark):
+    found = edges.bouts(edges.derive(series(spark, [1, 0, 1, 1, 0, 0, 1])), strict=True)
+    assert [(r.bout, r.idx_on, r.idx_off) for r in found.collect()] == [(1, 2, 4)]
+
+
 def test_empty_recordings(spark):
     empty = series(spark, [])
     for frame in (runs.fuse(empty, 0.3, 10), edges.derive(empty), edges.bouts(edges.derive(empty)), smooth.detrend(empty, "level", "y"), sampling.sample_rate(empty)):

@@ -61,3 +61,32 @@ def test_spectrum_finds_a_sine(spark):
     rows = spark.createDataFrame([(0, i, float(np.sin(2 * np.pi * 2.5 * i / 10))) for i in range(2048)], "rec long, idx long, x double")
     top = max(K.spectrum(rows, "x", RATE).collect(), key=lambda r: r.power)
     assert top.freq == pytest.approx(2.5)
+
+
+def plain_filter(sections, x):
+    y = list(map(float, x))
+    for b0, b1, b2, _, a1, a2 in sections.tolist():
+        z1 = z2 = 0.0
+        for i, v in enumerate(y):
+            w = b0 * v + z1
+            z1, z2 = b1 * v - a1 * w + z2, b2 * v - a2 * w
+            y[i] = w
+    return y
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 1500])
+def test_blocks_give_what_a_step_for_each_sample_gives(n):
+    x = np.random.default_rng(n).normal(size=n)
+    for s in (K.butterworth(4, 1.0, RATE), K.butterworth(3, (0.05, 0.5), RATE, "band"), K.butterworth(2, 1.0, RATE, "high")):
+        assert K.sos_filter(s, x) == pytest.approx(plain_filter(s, x), abs=1e-9)
+
+
+def test_many_peaks_match_a_plain_search():
+    rng = np.random.default_rng(4)
+    at, heights = np.sort(rng.choice(2000, 500, replace=False)), rng.integers(0, 20, 500).astype(float)
+    left, stays = set(range(500)), set()
+    for k in sorted(range(500), key=lambda k: (heights[k], k), reverse=True):
+        if k in left:
+            stays.add(k)
+            left -= {j for j in left if abs(at[j] - at[k]) < 7}
+    assert np.flatnonzero(K.suppress_near(at, heights, 7)).tolist() == sorted(stays)

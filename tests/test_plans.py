@@ -25,3 +25,8 @@ def test_a_chain_of_windows_shuffles_by_recording_and_run_only(spark):
     chain = runs.fuse(edges.derive(rec_e(spark, DATA)), 0.3, 10)
     keys = [line for line in plan(chain).splitlines() if "Exchange hashpartitioning" in line]
     assert len(keys) <= 3
+
+
+def test_no_frame_is_evaluated_anew_for_each_row(spark):
+    for name in ("q_interp_linear", "q_bouts", "q_align_zip"):
+        assert "unboundedfollowing$()), specifiedwindowframe(RowFrame, currentrow" not in plan(QUERIES[name](spark, DATA)) and "currentrow$(), unboundedfollowing$()" not in plan(QUERIES[name](spark, DATA)), name
