@@ -6,9 +6,10 @@ the two terminals; neighbours in the page, and blocks under one parent, get edge
 that grow with their nearness in the tree.  The minimum cut, found by maximum flow,
 labels all blocks of a page at once.
 
-The classifier adds what markup says (elements, class and id words) to a logistic
-regression over the looks of a block (links, length, punctuation), which is trained
-on a bounded sample of pages whose markup leaves no doubt.
+The classifier is a logistic regression over the looks of a block (links, length,
+punctuation), trained on the blocks of a bounded sample of pages whose markup leaves no
+doubt, with what markup says (elements, names in class and id) as prior log-odds.  It judges
+every block; priors that rest on part of a name are within reach of neighbours.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,16 +26,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sampled import least_by_hash
+
 
 @dataclass(frozen=True)
 class ExtractParams:
-    """sample: pages for the regression at most, those of least id hash.  The rest are log-odds and capacities."""
+    """sample: pages for the regression at most, those of least id hash.  The rest are log-odds and capacities:
+    of any block, of one inside an article, of one outside on a page that has an article, of a name that
+    is boilerplate in all its words (in part of them: that part), of a name of content, at most of the looks."""
 
     sample: int = 400
-    marked_content: float = 6.0
-    marked_boilerplate: float = 12.0
+    any_block: float = 1.0
+    in_article: float = 2.0
     outside_article: float = 4.0
-    named_content: float = 2.0
+    boilerplate: float = 8.0
+    named_content: float = 1.0
     looks: float = 2.0
     next_block: float = 0.8
     same_parent: float = 0.4
@@ -58,7 +64,11 @@ BOILERPLATE_WORDS = frozenset(
 )
 CONTENT_WORDS = frozenset(["article", "articlebody", "content", "entry", "main", "post", "story", "text", "body"])
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)", re.S)
+_COMMENT, _OPEN = r"<!--.*?(?:-->|\Z)", r"<(/?)([a-zA-Z][^\s/>]*)"
+_QUOTED = r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+_TAG = re.compile(rf"{_COMMENT}|{_OPEN}{_QUOTED}|{_OPEN}([^>]*)>|<[!?/][^>]*(?:>|\Z)", re.S)
+#: The same without quotes, for what follows so many tags whose quotes don't end: each of these was looked for to the page's end.
+_PLAIN, UNENDED = re.compile(rf"{_COMMENT}|{_OPEN}(?!)()>|{_OPEN}([^>]*)>|<[!?/][^>]*(?:>|\Z)", re.S), 8
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _END_OF = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in RAW | EMBEDDED}
@@ -66,11 +76,17 @@ _END_OF = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for na
 
 @dataclass
 class Block:
-    """A run of text: its place (element numbers from the root), sign (1 marked content, -1 marked
-    boilerplate, 0 neither), whether a content word names it, its element, and letters inside links."""
+    """A run of text: its element's parent, how deep it lies in block elements and how many of these it shares
+    with the block before, its marks, its element, and letters inside links.
+
+    mark: 0 to 1, how surely markup calls it boilerplate.  inside: in an article.  named: a content word names it.
+    """
 
-    path: tuple[int, ...]
-    sign: int
+    parent: int
+    depth: int
+    shared: int
+    mark: float
+    inside: bool
     named: bool
     tag: str
     parts: list[str]
@@ -82,81 +98,113 @@ class Block:
 class _Element:
     tag: str
     number: int
-    sign: int
+    mark: float
+    inside: bool
     named: bool
 
+    @property
+    def kind(self) -> tuple[float, bool]:
+        return self.mark, self.inside
+
+
+def _marks(tag: str, attributes: str, outer: _Element) -> tuple[float, bool, bool]:
+    """An element's mark, whether it is in an article, and whether a content word names it; all are handed down.
 
-def _marks(tag: str, attributes: str, inside: _Element) -> tuple[int, bool]:
-    """The sign of an element and whether a content word names it; boilerplate hands its sign down."""
-    if inside.sign < 0:
-        return -1, False
-    words: set[str] = set()
-    hidden = False
+    A name (class, id, role) is boilerplate by the share of its words that are.
+    """
+    if outer.mark == 1:
+        return 1.0, outer.inside, False
+    names: list[set[str]] = []
+    hidden = main = False
     if attributes.strip():
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), html.unescape(value.strip("\"'"))
             if name in ("class", "id", "role", "itemprop"):
-                words.update(w.lower() for w in _WORD.findall(value))
+                own = [{w.lower() for w in _WORD.findall(token)} for token in value.split()]
+                names += [words for words in own if words]
+                main |= (name == "role" and {"main"} in own) or (name == "itemprop" and value.lower() == "articlebody")
             hidden |= name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.lower().replace(" ", ""))
-    content = tag in CONTENT_TAGS or bool({"articlebody"} & words) or ("role" in attributes and "main" in words and "complementary" not in words)
-    bad = words & BOILERPLATE_WORDS
-    if bad == {"header"} and (inside.sign > 0 or words & CONTENT_WORDS):
-        bad = set()
+    article = tag in CONTENT_TAGS or main
+    words = set().union(*names)
+    heading = outer.inside or bool(words & CONTENT_WORDS)
+    mark = max((len(w & BOILERPLATE_WORDS) / len(w) for w in names if not (heading and w & BOILERPLATE_WORDS == {"header"})), default=0.0)
     if tag in ("body", "html"):
-        bad = set()
-    if hidden or bad or tag in BOILERPLATE_TAGS or (tag == "header" and inside.sign <= 0):
-        return -1, False
-    return (1 if content else inside.sign), inside.named or bool(words & CONTENT_WORDS)
+        mark = 0.0
+    if hidden or tag in BOILERPLATE_TAGS or (tag == "header" and not outer.inside):
+        mark = 1.0
+    mark = max(mark, outer.mark)
+    return mark, outer.inside or article, mark < 1 and (outer.named or bool(words & CONTENT_WORDS))
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page with text, in order; markup may be unfinished or badly nested."""
-    root = _Element("", 0, 0, False)
+    root = _Element("", 0, 0.0, False, False)
     stack, out, serial = [root], [], 0
+    levels = [root]  # the stack's block elements
+    opened: Counter[str] = Counter()
+    low = 1  # the least depth since the last block
     now: Block | None = None
     ends: dict[str, int] = {}
 
+    def close(i: int) -> None:
+        """Closes the stack from its i-th element on."""
+        nonlocal low
+        for element in reversed(stack[i:]):
+            opened[element.tag] -= 1
+            if element is levels[-1]:
+                levels.pop()
+        del stack[i:]
+        low = min(low, len(levels))
+
     def ended(tag: str, at: int) -> bool:
         if tag not in ends:
             ends[tag] = max((m.start() for m in _END_OF[tag].finditer(page)), default=-1)
         return ends[tag] >= at
 
     def say(text: str) -> None:
-        nonlocal now
+        nonlocal now, low
         if not text:
             return
-        if now is not None and stack[-1].sign != now.sign and text.strip():
+        top = stack[-1]
+        if now is not None and top.kind != (now.mark, now.inside) and text.strip():
             now = None
         if now is None:
             if not text.strip():
                 return
-            top = stack[-1]
-            near = next((e.tag for e in reversed(stack) if e.tag in BLOCK), "")
-            now = Block(tuple(e.number for e in stack if e is root or e.tag in BLOCK), top.sign, top.named, near, [])
+            parent = levels[-2].number if len(levels) > 1 else -1
+            now = Block(parent, len(levels), low, top.mark, top.inside, top.named, levels[-1].tag, [])
+            low = len(levels)
             out.append(now)
         text = html.unescape(text)
         now.parts.append(text)
         if any(e.tag == "a" for e in stack[-4:]):
             now.linked += len(text)
 
-    at = 0
-    while match := _TAG.search(page, at):
+    # No tag ends behind the last bracket.
+    at, stop, tags, unended = 0, page.rfind(">") + 1, _TAG, 0
+    while match := tags.search(page, at, stop):
         say(page[at : match.start()])
         at = match.end()
+        if page.startswith("<!--", match.start()) and not page.startswith("-->", max(at - 3, match.start() + 4)):
+            at = len(page)
+            break
         name = match[2] or match[5]
         if not name:
             continue
+        if match[5]:
+            unended += 1
+            tags = _TAG if unended < UNENDED else _PLAIN
         tag, closing, attributes = name.lower(), bool(match[1] or match[4]), match[3] or match[6] or ""
         if closing:
             if tag in EMBEDDED and tag != "math":
                 say(" ")
             if tag in BLOCK:
                 now = None
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[tag] > 0 else ():
                 if stack[i].tag == tag:
-                    if tag not in EMBEDDED and any(stack[j].sign != stack[i - 1].sign for j in range(i, len(stack))):
+                    if tag not in EMBEDDED and any(stack[j].kind != stack[i - 1].kind for j in range(i, len(stack))):
                         now = None
-                    del stack[i:]
+                    close(i)
                     break
                 if tag not in BLOCK and stack[i].tag in BLOCK:
                     break
@@ -182,51 +230,60 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in BLOCK:
             now = None
-            foreign = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in ("svg", "math", "foreignobject", "annotation-xml")), 0)
-            if stack[foreign].tag in ("svg", "math"):
-                del stack[foreign:]
+            if opened["svg"] + opened["math"] > 0:
+                foreign = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in ("svg", "math", "foreignobject", "annotation-xml")), 0)
+                if stack[foreign].tag in ("svg", "math"):
+                    close(foreign)
             same, border = ENDS.get(tag, ({"p"}, {"td", "th", "li", "button"}))
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened["p"] > 0 or any(opened[x] > 0 for x in same) else ():
                 if stack[i].tag in same or (stack[i].tag == "p" and tag not in ("li", "td", "th", "tr", "dt", "dd")):
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in border or (stack[i].tag in BLOCK and stack[i].tag not in same and stack[i].tag not in ("ul", "ol") and tag not in ENDS):
                     break
         if tag in VOID:
             continue
-        sign, named = _marks(tag, attributes, stack[-1])
-        if sign != stack[-1].sign and tag not in EMBEDDED:
+        mark, inside, named = _marks(tag, attributes, stack[-1])
+        if (mark, inside) != stack[-1].kind and tag not in EMBEDDED:
             now = None
         if attributes.endswith("/") and tag not in BLOCK:
             continue
         serial += 1
-        stack.append(_Element(tag, serial, sign, named))
-    say(page[at:] if not page[at:].startswith("<") or not re.match(r"<[a-zA-Z/!?]", page[at:]) else "")
+        stack.append(_Element(tag, serial, mark, inside, named))
+        opened[tag] += 1
+        if tag in BLOCK:
+            levels.append(stack[-1])
+    rest = page[at:]
+    unclosed = re.search(r"<[a-zA-Z/!?]", rest)
+    say(rest[: unclosed.start()] if unclosed else rest)
     for block in out:
         block.text = " ".join("".join(block.parts).split())
     return [b for b in out if b.text]
 
 
 def looks(block: Block) -> list[float]:
-    """What the regression sees of a block: no markup but the element's kind."""
+    """What the regression sees of a block: its text and links, no markup."""
     text = block.text
     n = len(text)
-    ends = text[-1] in ".!?…:;\"»”"
-    return [1.0, min(1.0, block.linked / n), min(1.0, math.log1p(n) / 7), float(ends), min(1.0, sum(map(text.count, ".,;:!?")) * 10 / n), float("|" in text or "©" in text or "·" in text), float(block.tag == "p"), float(block.tag in ("li", "td", "th", "dd", "dt")), float(block.tag[:1] == "h" and block.tag[1:].isdigit())]
+    return [1.0, min(1.0, block.linked / n), min(1.0, math.log1p(n) / 7), float(text[-1] in ".!?…:;\"»”"), min(1.0, sum(map(text.count, ".,;:!?")) * 10 / n), float("|" in text or "©" in text or "·" in text)]
+
 
+N_LOOKS = 6
 
-N_LOOKS = 9
 
+def fit_looks(rows: np.ndarray, labels: np.ndarray, ridge: float = 0.02, steps: int = 12) -> np.ndarray:
+    """Logistic regression by Newton's method; zeros if either class is missing.
 
-def fit_looks(rows: np.ndarray, labels: np.ndarray, ridge: float = 1.0, steps: int = 12) -> np.ndarray:
-    """Logistic regression by Newton's method; zeros if either class is missing."""
+    ridge: for each row, so that pages whose markup settles all don't make their looks sure.
+    """
     weights = np.zeros(N_LOOKS)
     if len(labels) == 0 or labels.min() == labels.max():
         return weights
+    hold = ridge * len(labels) * np.eye(N_LOOKS)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-rows @ weights))
-        gradient = rows.T @ (labels - p) - ridge * weights
-        hessian = (rows * (p * (1 - p))[:, None]).T @ rows + ridge * np.eye(N_LOOKS)
+        gradient = rows.T @ (labels - p) - hold @ weights
+        hessian = (rows * (p * (1 - p))[:, None]).T @ rows + hold
         weights = weights + np.linalg.solve(hessian, gradient)
     return weights
 
@@ -235,7 +292,7 @@ def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[
     """Labels that cost least: |odds| for a label against its sign, an edge's weight for two unequal ends.
 
     Dinic's maximum flow from content to boilerplate; a node is content if the
-    source still reaches it.  Odds of zero alone are boilerplate.
+    source still reaches it, so what costs the same either way is boilerplate.
     """
     n = len(odds)
     source, sink = n, n + 1
@@ -296,14 +353,26 @@ def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[
             u = to[path[-1]]
 
 
-def _near(a: tuple[int, ...], b: tuple[int, ...]) -> float:
-    """1 for blocks of one element, less the more steps lie between them in the tree."""
-    shared = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        shared += 1
-    return 1 / (1 + 0.5 * max(0, len(a) + len(b) - 2 * shared - 2))
+def _near(a: Block, b: Block) -> float:
+    """1 for a block and the next of one element, less the more steps lie between them in the tree."""
+    return 1 / (1 + 0.5 * max(0, a.depth + b.depth - 2 * b.shared - 2))
+
+
+def costs(blocks: list[Block], weights: np.ndarray, p: ExtractParams) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Each block's log-odds of being content, and the edges between blocks."""
+    article = any(b.inside and b.mark < 1 for b in blocks)
+    odds = []
+    for b in blocks:
+        seen = max(-p.looks, min(p.looks, float(np.dot(looks(b), weights))))
+        place = p.in_article if b.inside else -p.outside_article if article else 0.0
+        odds.append(p.any_block + seen + place - p.boilerplate * b.mark + (p.named_content if b.named else 0.0))
+    edges = [(i, i + 1, p.next_block * _near(blocks[i], blocks[i + 1])) for i in range(len(blocks) - 1)]
+    last: dict[int, int] = {}
+    for i, b in enumerate(blocks):
+        if b.parent in last and last[b.parent] != i - 1:
+            edges.append((last[b.parent], i, p.same_parent))
+        last[b.parent] = i
+    return odds, edges
 
 
 def main_text(page: str | None, weights: np.ndarray, p: ExtractParams) -> str:
@@ -311,20 +380,7 @@ def main_text(page: str | None, weights: np.ndarray, p: ExtractParams) -> str:
     blocks = blocks_of(page or "")
     if not blocks:
         return ""
-    article = any(b.sign > 0 for b in blocks)
-    odds = []
-    for b in blocks:
-        seen = max(-p.looks, min(p.looks, float(np.dot(looks(b), weights)))) if not b.sign else 0.0
-        marked = p.marked_content if b.sign > 0 else -p.marked_boilerplate if b.sign < 0 else (-p.outside_article if article else 0.0)
-        odds.append(seen + marked + (p.named_content if b.named and not b.sign else 0.0))
-    edges = [(i, i + 1, p.next_block * _near(blocks[i].path, blocks[i + 1].path)) for i in range(len(blocks) - 1)]
-    last: dict[tuple[int, ...], int] = {}
-    for i, b in enumerate(blocks):
-        parent = b.path[:-1]
-        if parent in last and last[parent] != i - 1:
-            edges.append((last[parent], i, p.same_parent))
-        last[parent] = i
-    return "\n".join(b.text for b, content in zip(blocks, minimum_cut(odds, edges), strict=True) if content)
+    return "\n".join(b.text for b, content in zip(blocks, minimum_cut(*costs(blocks, weights, p)), strict=True) if content)
 
 
 def train_looks(pages: DataFrame, p: ExtractParams, id_col: str, html_col: str) -> np.ndarray:
@@ -332,11 +388,13 @@ def train_looks(pages: DataFrame, p: ExtractParams, id_col: str, html_col: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(looks(b), float(b.sign > 0)) for page in batch.column(0).to_pylist() for b in blocks_of(page or "") if b.sign]
+            found = [(looks(b), float(b.mark == 0)) for page in batch.column(0).to_pylist() for b in blocks_of(page or "") if b.mark == 1 or (b.inside and b.mark == 0)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.list_(pa.float64())), pa.array([y for _, y in found], pa.float64())], ["looks", "label"])
 
-    chosen = pages.orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(p.sample).select(html_col)
-    rows = chosen.mapInArrow(run, "looks array<double>, label double").groupBy("looks", "label").count().collect()
+    # Ids first, so that whole pages move only if chosen; of pages that repeat an id, the one of least hash.
+    ids = least_by_hash(pages.where(F.col(id_col).isNotNull()).select(id_col).distinct(), id_col, p.sample)
+    chosen = pages.join(F.broadcast(ids), id_col, "left_semi").groupBy(id_col).agg(F.min_by(html_col, F.xxhash64(html_col)).alias("html"))
+    rows = chosen.select("html").mapInArrow(run, "looks array<double>, label double").groupBy("looks", "label").count().collect()
     rows = sorted((tuple(r.looks), r.label, r["count"]) for r in rows)
     if not rows:
         return np.zeros(N_LOOKS)

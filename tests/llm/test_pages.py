@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import time
 
 import pytest
 
@@ -117,3 +118,76 @@ def test_training_reads_whole_pages(spark):
     page = "<article>" + "<p>A long sentence, and more.</p>" * 450 + "</article><footer>" + "<p><a href=x>Link</a></p>" * 30 + "</footer>"
     weights = H.train_looks(spark.createDataFrame([(1, page)], "page_id long, html string"), P, "page_id", "html")
     assert weights[1] < 0
+
+
+#: Weights as a fit gives them: links and separators speak against a block, length and a full stop for it.
+WEIGHTS = [0.0, -2.2, 1.0, 0.9, -0.1, -1.0]
+P1, P2 = "<p>The first paragraph, which says something.</p>", "<p>The last one, which says more than that.</p>"
+T1, T2 = "The first paragraph, which says something.", "The last one, which says more than that."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<nav><a href=x>Menu</a></nav><article>{P1}<p class='related-work'>Prior studies, and more.</p>{P2}</article>", f"{T1}\nPrior studies, and more.\n{T2}"),
+        (f"<article>{P1}<section id='search-methods'><p>We searched.</p></section>{P2}</article>", f"{T1}\nWe searched.\n{T2}"),
+        (f"<article>{P1}<div class='side-by-side'>Two figures.</div>{P2}</article>", f"{T1}\nTwo figures.\n{T2}"),
+        (f"<article><h2 id='notice-period'>Notice period</h2>{P1}</article>", f"Notice period\n{T1}"),
+        (f"<article>{P1}<p><code class='text-reply'>x = 1</code></p>{P2}</article>", f"{T1}\nx = 1\n{T2}"),
+        (f"<article>{P1}<div class='cookie-notice'>We use cookies, as all do.</div>{P2}</article>", f"{T1}\n{T2}"),
+        (f"<article>{P1}<div class='ad-banner'><p>Buy our things, they are good.</p></div>{P2}</article>", f"{T1}\n{T2}"),
+        (f"<article>{P1}<section id=comments><p>I think so too, and thanks.</p><p>Me too.</p></section></article>", T1),
+        (f"<main>{P1}<div hidden>Not shown.</div><p style='display: none'>Nor this.</p></main>", T1),
+        (f"<body><div>{T1}</div><div>{T2}</div></body>", f"{T1}\n{T2}"),
+        ("<body><table><tr><td>cell one<td>cell two</table><ul><li>item<li>other item</ul></body>", "cell one\ncell two\nitem\nother item"),
+        (f"<body><ul><li><a href=a>Home</a><li><a href=b>About us</a></ul><div>{T1}</div></body>", T1),
+        (f"<header>Site</header><div class='content'>{P1}{P2}</div><footer>Imprint</footer>", f"{T1}\n{T2}"),
+        (f"<div role=main>{P1}</div><div role=complementary>{P2}</div>", T1),
+        (f"<div class='sidebar'>{P2}</div><article>{P1}</article><div class='share-buttons'><a href=s>Share</a></div>", T1),
+        (f"<article><header><h1>Title</h1><p class=byline>By me.</p></header>{P1}</article>", f"Title\nBy me.\n{T1}"),
+        (f"<body class='search form'>{P1}</body>", T1),
+        (f"<article>{P1}<blockquote>Quoted words.</blockquote><pre>a  b\n c</pre></article>", f"{T1}\nQuoted words.\na b c"),
+        (f"<article>{P1}<figure><img><figcaption>A figure.</figcaption></figure><aside>Aside.</aside></article>", f"{T1}\nA figure."),
+        (f"<form><p>Your name</p></form><article>{P1}<button>Send</button></article>", T1),
+    ],
+)
+def test_varied_pages(page, text):
+    assert H.main_text(page, WEIGHTS, P) == text
+
+
+def test_neighbours_move_what_part_of_a_name_says():
+    page = f"<article>{P1}<p class='promo-code'>Ten | two</p>{P2}</article>"
+    odds, edges = H.costs(H.blocks_of(page), WEIGHTS, H.ExtractParams(in_article=1.0, next_block=2.0))
+    assert odds[1] < 0 and H.minimum_cut(odds, edges) == [True, True, True]
+    alone = H.costs(H.blocks_of(page.replace("promo-code", "promo")), WEIGHTS, P)
+    assert H.minimum_cut(*alone) == [True, False, True]
+
+
+def test_labels_of_pages_are_of_least_cost():
+    rng = random.Random(2)
+    for _ in range(60):
+        parts = [rng.choice([P1, "<p class='promo-box'>x | y</p>", "<div class=ad>z</div>", "<li><a href=x>a</a>", "<h2>Head</h2>", "<td>cell"]) for _ in range(rng.randint(1, 7))]
+        page = "".join(parts)
+        odds, edges = H.costs(H.blocks_of(rng.choice(["{}", "<article>{}</article>", "<div class=content>{}</div>"]).format(page)), WEIGHTS, P)
+
+        def cost(labels, odds=odds, edges=edges):
+            return sum(abs(x) for x, y in zip(odds, labels, strict=True) if (x > 0) != y) + sum(w for i, j, w in edges if labels[i] != labels[j])
+
+        assert cost(H.minimum_cut(odds, edges)) == pytest.approx(min(map(cost, itertools.product([False, True], repeat=len(odds)))))
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a '>", '<a ">" ', "<ul>x", "<div>x", "</section>", "<!-- ", "<b>x", "<svg><p>"])
+def test_time_grows_with_the_page(piece):
+    def seconds(n):
+        start = time.process_time()
+        H.main_text(piece * n, WEIGHTS, P)
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(40_000) < 12 * max(seconds(10_000), 0.05)
+
+
+def test_training_takes_one_page_an_id_and_no_null_id(spark):
+    good = "<article><p>A long sentence, and more.</p></article><footer><a href=x>Link</a></footer>"
+    pages = spark.createDataFrame([(1, good), (1, good), (None, "<article>" + "x " * 50 + "</article>"), (2, None)], "page_id long, html string")
+    assert H.train_looks(pages, P, "page_id", "html").tolist() == pytest.approx(H.train_looks(pages.where("page_id = 1").limit(1), P, "page_id", "html").tolist())
