@@ -89,8 +89,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams |
         items = keyed.where(F.col("length").isin(lengths)).select("item_id", "window", "length", F.col(f"key{k}").alias("hash"))
         if sum(sizes[n] for n in lengths) <= p.most_windows:
             items = F.broadcast(items)
-        # Outer: from an inner one Spark would infer a filter that makes all hashes once more.
-        placed = rows.select("doc_id", "row_key", "words", F.posexplode_outer(f"_h{k}").alias("at", "hash"))
+            # Outer: from an inner one Spark would infer a filter that makes all hashes once more.
+            placed = rows.select("doc_id", "row_key", "words", F.posexplode_outer(f"_h{k}").alias("at", "hash"))
+        else:
+            # Only hashes and their places are shuffled; texts come back for those that some window has.
+            met = rows.select("doc_id", "row_key", F.posexplode(f"_h{k}").alias("at", "hash")).join(items.select("hash").distinct(), "hash", "left_semi")
+            met = met.groupBy(F.col("doc_id").alias("met_id"), F.col("row_key").alias("met_row")).agg(F.collect_set(F.struct("at", "hash")).alias("met"))
+            placed = rows.join(met, (F.col("row_key") == F.col("met_row")) & F.col("doc_id").eqNullSafe(F.col("met_id"))).select("doc_id", "row_key", "words", F.inline("met"))
         same = (placed.hash == items.hash) & (F.slice(placed.words, placed["at"] + 1, items.length) == items.window)
         part = placed.join(items, same).select("doc_id", "row_key", "at", "length", "item_id")
         found = part if found is None else found.unionByName(part)
