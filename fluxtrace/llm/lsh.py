@@ -250,9 +250,12 @@ def linked_components(
     buckets = work.save(entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high"), "buckets")
     total = buckets.agg(F.sum("n")).first()[0] or 0
     hot = skew.hot_keys(buckets, "bucket", "n", total)
-    large = buckets.where("n > 2").join(hot, "bucket", "left").select("bucket", F.col("n").alias("of"), F.coalesce("hot", F.lit(False)).alias("hot"))
-    members = skew.flagged(entries, "bucket", hot, "node").drop("hot").join(skew.repeated(large.withColumn("is_hot", F.col("hot"))).hint("shuffle_hash"), ["bucket", "salt"])
-    members = work.save(members.select("bucket", "salt", F.col("is_hot").alias("hot"), "of", "node").distinct(), "members")
+    large = skew.marked(buckets.where("n > 2"), "bucket", hot).select("bucket", F.col("n").alias("of"), "hot")
+    if hot is None:
+        members = entries.join(large.hint("shuffle_hash"), "bucket").withColumn("salt", F.lit(0))
+    else:
+        members = skew.flagged(entries, "bucket", hot, "node").drop("hot").join(skew.repeated(large.withColumn("is_hot", F.col("hot"))).hint("shuffle_hash"), ["bucket", "salt"]).withColumnRenamed("is_hot", "hot")
+    members = work.save(members.select("bucket", "salt", "hot", "of", "node").distinct(), "members")
     if release:
         release()
     sketched = sketches.select("node", F.col("n").alias("size"), *bits)

@@ -10,15 +10,23 @@ from pyspark.sql import functions as F
 LEAST, SHARE, SALTS = 20_000, 100_000, 256
 
 
-def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """(key, hot): the keys with so many rows, marked for a broadcast."""
-    return F.broadcast(counts.where(F.col(n) > max(LEAST, total // SHARE)).select(key, F.lit(True).alias("hot")))
+def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame | None:
+    """(key, hot): the keys with so many rows, marked for a broadcast; None if there are none."""
+    hot = counts.where(F.col(n) > max(LEAST, total // SHARE))
+    return None if hot.isEmpty() else F.broadcast(hot.select(key, F.lit(True).alias("hot")))
 
 
-def flagged(rows: DataFrame, key: str, hot: DataFrame, spread: str) -> DataFrame:
+def marked(rows: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """Rows with hot: whether their key is."""
+    if hot is None:
+        return rows.withColumn("hot", F.lit(False))
+    return rows.join(hot, key, "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+
+
+def flagged(rows: DataFrame, key: str, hot: DataFrame | None, spread: str) -> DataFrame:
     """Rows with hot, and salt: the hash of spread in parts for a hot key, 0 for others."""
     part = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
-    return rows.join(hot, key, "left").withColumn("salt", F.when(F.col("hot"), part).otherwise(0)).withColumn("hot", F.coalesce("hot", F.lit(False)))
+    return marked(rows, key, hot).withColumn("salt", F.lit(0) if hot is None else F.when(F.col("hot"), part).otherwise(0))
 
 
 def repeated(rows: DataFrame) -> DataFrame:
@@ -27,7 +35,8 @@ def repeated(rows: DataFrame) -> DataFrame:
     return rows.withColumn("salt", F.explode(salts)).drop("hot")
 
 
-def joined(rows: DataFrame, side: DataFrame, key: str, hot: DataFrame, spread: str) -> DataFrame:
+def joined(rows: DataFrame, side: DataFrame, key: str, hot: DataFrame | None, spread: str) -> DataFrame:
     """Inner join of rows with side, which has each key once; the rows of a hot key are spread over tasks."""
-    side = repeated(side.join(hot, key, "left").withColumn("hot", F.coalesce("hot", F.lit(False))))
-    return flagged(rows, key, hot, spread).drop("hot").join(side.hint("shuffle_hash"), [key, "salt"]).drop("salt")
+    if hot is None:
+        return rows.join(side.hint("shuffle_hash"), key)
+    return flagged(rows, key, hot, spread).drop("hot").join(repeated(marked(side, key, hot)).hint("shuffle_hash"), [key, "salt"]).drop("salt")
