@@ -501,41 +501,89 @@ def q_butter(spark, sf_dir):
     return rounded(kernels.low_pass(rec_e(spark, sf_dir), "x", rate=RATE).select("rec", "idx", "filtered"), "filtered")
 
 
-@query()
+def _cascade_sql(name: str, source: str, sections: list, states: list) -> list[str]:
+    """Sections one after another over source (rec, idx, y), each from its state times the source's first value."""
+    out, before = [], source
+    for k, ((b0, b1, b2, _, a1, a2), (s1, s2)) in enumerate(zip(sections, states, strict=True)):
+        here = f"{name}{k}"
+        first, later = f"{b0!r} * b.y + {s1!r} * p.y", f"{b0!r} * b.y + f.z1"
+        out.append(
+            f"{here} as (select b.rec, b.idx, {first} as y, {b1!r} * b.y - {a1!r} * ({first}) + {s2!r} * p.y as z1, {b2!r} * b.y - {a2!r} * ({first}) as z2 from {before} b join {source} p on p.rec = b.rec and p.idx = 0 where b.idx = 0"
+            f" union all select b.rec, b.idx, {later}, {b1!r} * b.y - {a1!r} * ({later}) + f.z2, {b2!r} * b.y - {a2!r} * ({later}) from {here} f join {before} b on b.rec = f.rec and b.idx = f.idx + 1)"
+        )
+        before = here
+    return out
+
+
+def _zero_phase_sql(sections, pad: int) -> str:
+    """Forward and backward over ends extended oddly by pad samples."""
+    states, sections = kernels.step_state(sections).tolist(), sections.tolist()
+    top = len(sections) - 1
+    parts = [
+        E_SQL,
+        "ends as (select rec, count(*) as n, arg_min(x, idx) as x0, arg_max(x, idx) as x1 from rec_e group by rec)",
+        f"""ahead as (select rec, idx + {pad} as idx, x as y from rec_e union all select rec, {pad} - idx, 2 * x0 - x from rec_e join ends using (rec) where idx between 1 and {pad}
+union all select rec, {pad} + 2 * (n - 1) - idx, 2 * x1 - x from rec_e join ends using (rec) where idx between n - 1 - {pad} and n - 2)""",
+        *_cascade_sql("f", "ahead", sections, states),
+        f"back as (select rec, n + {2 * pad - 1} - idx as idx, y from f{top} join ends using (rec))",
+        *_cascade_sql("g", "back", sections, states),
+    ]
+    return f"with recursive {', '.join(parts)} select rec, n + {pad - 1} - idx as idx, round(y, 4) as filtered, 'ok' as status from g{top} join ends using (rec) where n + {pad - 1} - idx between 0 and n - 1"
+
+
+@query(_zero_phase_sql(kernels.butterworth(3, (0.05, 0.5), RATE, "band"), 21))
 def q_bandpass(spark, sf_dir):
     """Zero-phase band-pass."""
-    return kernels.band_pass(rec_e(spark, sf_dir), "x", 0.05, 0.5, RATE)
+    return kernels.band_pass(rec_e(spark, sf_dir), "x", 0.05, 0.5, RATE).withColumn("filtered", F.round("filtered", 4))
 
 
-@query()
+@query(_zero_phase_sql(kernels.butterworth(2, 1.0, RATE, "high"), 9))
 def q_highpass(spark, sf_dir):
     """Zero-phase high-pass."""
-    return kernels.high_pass(rec_e(spark, sf_dir), "x", 1.0, RATE)
+    return kernels.high_pass(rec_e(spark, sf_dir), "x", 1.0, RATE).withColumn("filtered", F.round("filtered", 4))
+
+
+def _peaks_sql(deviations: float) -> str:
+    """kept(rec, idx, height): the highest peak left removes those less than five samples away, and so on."""
+    return f"""{E_SQL}, c as (select rec, idx, x, coalesce((x <> lag(x) over (partition by rec order by idx))::int, 0) as ch from rec_e),
+r as (select *, sum(ch) over (partition by rec order by idx rows unbounded preceding) as run from c),
+g as (select rec, run, min(idx) as a, max(idx) as b, min(x) as height from r group by all),
+n as (select *, lag(height) over (partition by rec order by run) as before, lead(height) over (partition by rec order by run) as after from g),
+m as (select rec, median(x) as median from rec_e group by rec), d as (select rec, any_value(median) as median, median(abs(x - median)) as mad from rec_e join m using (rec) group by rec),
+high as (select rec, (a + b) // 2 as idx, height from n join d using (rec) where height > before and height > after and height >= median + {deviations} * mad),
+todo as (select rec, list(struct_pack(i := idx, h := height) order by height desc, idx desc) as rest from high group by rec
+union all select rec, list_filter(rest, lambda p: abs(p.i - rest[1].i) >= 5) from todo where len(rest) > 0),
+kept as (select rec, rest[1].i as idx, rest[1].h as height from todo where len(rest) > 0)"""
 
 
-@query()
+@query(f"with recursive {_peaks_sql(1.0)} select rec, idx, height from kept")
 def q_peaks(spark, sf_dir):
     """Peaks over the threshold, spaced by half a second."""
     return transients.peaks(rec_e(spark, sf_dir), "x", RATE)
 
 
-@query()
+@query(f"with recursive {_peaks_sql(1.0)} select e.rec, e.idx, (k.idx is not null)::int as peak from rec_e e left join kept k on k.rec = e.rec and k.idx = e.idx")
 def q_mark_peaks(spark, sf_dir):
     """Peaks as a column of zeros and ones."""
     e = rec_e(spark, sf_dir)
     return transients.mark_peaks(e, transients.peaks(e, "x", RATE)).select("rec", "idx", "peak")
 
 
-@query()
+@query(f"""with recursive {_peaks_sql(2.0)}, s as (select rec, max(time_s) - min(time_s) as span from rec_e group by rec)
+select rec, count(k.idx) as n_peaks, round(count(k.idx) / nullif(any_value(span), 0), 6) as frequency, round(avg(height), 6) as mean_height from s left join kept k using (rec) group by rec""")
 def q_transients(spark, sf_dir):
     """Number, frequency and mean height of peaks."""
-    return transients.transients(rec_e(spark, sf_dir), "x", RATE, "two_MAD")
+    return rounded(transients.transients(rec_e(spark, sf_dir), "x", RATE, "two_MAD"), "frequency", "mean_height")
 
 
-@query()
+@query(f"""with {E_SQL}, w as (select j, 0.5::double - 0.5::double * cos(2 * pi() * j / 1023) as w from (select unnest(generate_series(0, 1023)) as j)),
+sizes as (select rec, greatest(count(*), 1024) // 1024 as parts from rec_e group by rec),
+v as (select rec, idx // 1024 as part, j, coalesce(x, 0) * w as v from rec_e join w on j = idx % 1024 join sizes using (rec) where idx // 1024 < parts),
+d as (select rec, part, bin, sum(v * cos(2 * pi() * ((bin * j) % 1024) / 1024)) as re, sum(v * sin(2 * pi() * ((bin * j) % 1024) / 1024)) as im from v cross join (select unnest(generate_series(0, 512)) as bin) group by all)
+select rec, bin, bin * 10 / 1024::double as freq, round(avg(re * re + im * im) / (10 * (select sum(w * w) from w)) * case when bin in (0, 512) then 1 else 2 end, 4) as power from d group by rec, bin""")
 def q_psd(spark, sf_dir):
     """Power spectral density."""
-    return kernels.spectrum(rec_e(spark, sf_dir), "x", RATE)
+    return kernels.spectrum(rec_e(spark, sf_dir), "x", RATE).withColumn("power", F.round("power", 4))
 
 
 # --- dimensions, manifests, tables ------------------------------------------------------------
