@@ -48,6 +48,32 @@ def number_intervals(intervals: DataFrame, order: str) -> DataFrame:
     return intervals.withColumn("ordinal", (F.row_number().over(w) - 1).cast("long"))
 
 
+def by_name(intervals: DataFrame, part: str | None = None, prefix: str | None = None) -> DataFrame:
+    """Rows whose name, ``<kind> <odor> <ordinal>``, holds a part, or starts with a prefix, or both."""
+    name = F.concat_ws(" ", "kind", "odor", "ordinal")
+    rows = intervals if part is None else intervals.where(name.contains(part))
+    return rows if prefix is None else rows.where(name.startswith(prefix))
+
+
+def interval_events(covered: DataFrame, samples: DataFrame, event: str = "onset") -> DataFrame:
+    """(rec, kind, odor, ordinal, idx, bout): where intervals' samples begin, or, for a withdrawal, the first sample after.
+
+    covered: (rec, kind, odor, ordinal, idx).  Intervals that overlap or touch are one if their ordinal is
+    the same, and apart otherwise.  One that begins with the recording has no onset, one that lasts
+    to its end no withdrawal.  bout counts a recording's events from 1.
+    """
+    if event not in ("onset", "withdrawal"):
+        raise ValueError("event must be 'onset' or 'withdrawal'")
+    w = Window.partitionBy("rec", "kind", "odor", "ordinal").orderBy("idx")
+    if event == "onset":
+        rows = covered.withColumn("_beside", F.lag("idx").over(w)).where("(_beside is null or _beside < idx - 1) and idx > 0")
+    else:
+        rows = covered.withColumn("_beside", F.lead("idx").over(w)).where("_beside is null or _beside > idx + 1").withColumn("idx", F.col("idx") + 1)
+        rows = rows.join(samples.groupBy("rec").agg(F.max("idx").alias("_top")), "rec").where("idx <= _top").drop("_top")
+    bout = F.row_number().over(Window.partitionBy("rec").orderBy("kind", "odor", "ordinal", "idx"))
+    return rows.drop("_beside").select("rec", "kind", "odor", "ordinal", "idx", bout.alias("bout"))
+
+
 def roll_up(states: DataFrame) -> DataFrame:
     """(rec, idx, kind, odor, level): levels of all ordinals of an odor added up."""
     return states.groupBy("rec", "idx", "kind", "odor").agg(F.sum("level").cast("long").alias("level"))

@@ -57,6 +57,11 @@ def average(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys, "rel_idx").agg(F.count("z").alias("n"), F.avg("z").alias("mean_z"), (F.stddev_pop("z") / F.sqrt(F.nullif(F.count("z"), F.lit(0)))).alias("sem_z"))
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, rel_idx, n, mean_z, sd_z): the mean over bouts and the population deviation around it."""
+    return rows.groupBy(*keys, "rel_idx").agg(F.count("z").alias("n"), F.avg("z").alias("mean_z"), F.stddev_pop("z").alias("sd_z"))
+
+
 def pool(rows: DataFrame, groups: DataFrame, key: str = "grp") -> DataFrame:
     """(key, rel_idx, n, mean_z, sem_z): means of recordings' means by group."""
     each = rows.groupBy("rec", "rel_idx").agg(F.avg("z").alias("z"))

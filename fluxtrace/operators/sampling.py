@@ -53,6 +53,12 @@ def camera_window(samples: DataFrame, gate: Column, time: str = "time_s") -> Dat
     return on.select("rec", cut("a").alias("t_start"), cut("b").alias("t_stop"))
 
 
-def camera_start(samples: DataFrame, start: float, time: str = "time_s") -> DataFrame:
-    """(rec, idx): the first sample whose time rounds, halves to even, to ``start`` in tenths."""
-    return samples.where(F.rint(F.col(time) * 10) == round(start * 10)).groupBy("rec").agg(F.min("idx").alias("idx"))
+def camera_start(samples: DataFrame, start: float, time: str = "time_s", required: bool = False) -> DataFrame:
+    """(rec, idx): the first sample whose time rounds, halves to even, to ``start`` in tenths.
+
+    A recording without one has no row, or, if it is required, is an error.
+    """
+    found = samples.where(F.rint(F.col(time) * 10) == round(start * 10)).groupBy("rec").agg(F.min("idx").alias("idx"))
+    if required and (without := samples.select("rec").join(found, "rec", "left_anti").head(1)):
+        raise ValueError(f"recording {without[0].rec} has no sample at {start} s")
+    return found

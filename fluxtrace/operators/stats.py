@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Behaviours that are marks and no states.
+# Behaviours that are marks and no states.
 NO_STATES = ("Entry in arena", "Gate opens", "Tail suspension")
 
 

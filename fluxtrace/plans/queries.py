@@ -311,6 +311,33 @@ def q_rollup(spark, sf_dir):
     return align.roll_up(_stim_samples(spark, sf_dir).withColumn("level", F.lit(1)))
 
 
+@query(f"with {E_SQL}, {_STIMS} select distinct rec, kind, odor, ordinal, contains(kind || ' ' || odor || ' ' || ordinal, 'Clean 1') as part, starts_with(kind || ' ' || odor || ' ' || ordinal, 'Sniff Clean') as prefix from stim where contains(kind || ' ' || odor || ' ' || ordinal, 'Clean 1') or starts_with(kind || ' ' || odor || ' ' || ordinal, 'Sniff Clean')")
+def q_by_name(spark, sf_dir):
+    """P5: intervals by a part of their name, and by its beginning."""
+    names = _stim_samples(spark, sf_dir).select("rec", "kind", "odor", "ordinal").distinct()
+    keys = ["rec", "kind", "odor", "ordinal"]
+    part = align.by_name(names, part="Clean 1").withColumn("part", F.lit(True))
+    prefix = align.by_name(names, prefix="Sniff Clean").withColumn("prefix", F.lit(True))
+    return part.join(prefix, keys, "full").fillna(False, ["part", "prefix"])
+
+
+@query(f"with {E_SQL} select rec, idx, time_s, x from rec_e where time_s > 40")
+def q_plot_trace(spark, sf_dir):
+    """V2, F2: what the plot of a trace shows."""
+    return stats.after_warm_up(rec_e(spark, sf_dir), 40.0).select("rec", "idx", "time_s", "x")
+
+
+@query(f"""with {E_SQL}, slow as (select rec, time_s, x, row_number() over (partition by rec order by idx) - 1 as j, count(*) over (partition by rec) as m from rec_e where idx % 7 = 0), fast as (select rec, count(*) as n from rec_e group by rec)
+select s.rec, j, s.time_s, s.x as dff, e.x as breath from slow s join fast f on f.rec = s.rec join rec_e e on e.rec = s.rec and e.idx = case when m > 1 then round_even(j * (n - 1) / (m - 1)::double, 0)::bigint else 0 end""")
+def q_plot_respiration(spark, sf_dir):
+    """V6: a trace with the respiration, sampled faster, beside it."""
+    fast = rec_e(spark, sf_dir)
+    slow = sampling.by_sample()
+    trace = fast.where("idx % 7 = 0").select("rec", (F.row_number().over(slow) - 1).cast("long").alias("j"), "time_s", F.col("x").alias("dff"))
+    breath = sampling.resample_nearest(fast, trace, "x").select("rec", "j", F.col("x").alias("breath"))
+    return trace.join(breath, ["rec", "j"])
+
+
 # --- statistics -------------------------------------------------------------------------------
 
 
@@ -472,6 +499,36 @@ def q_peth_meanmax(spark, sf_dir):
     return rounded(peth.mean_max(_peth(spark, sf_dir)), "mean_before", "mean_after", "max_before", "max_after")
 
 
+@query(f"with {_PETH} select rec, rel_idx, count(z) as n, round(avg(z), 6) as mean_z, round(stddev_pop(z), 6) as sd_z from pz group by all")
+def q_plot_peth(spark, sf_dir):
+    """V8: the mean over a recording's bouts and the deviation around it."""
+    return rounded(peth.spread(_peth(spark, sf_dir), "rec"), "mean_z", "sd_z")
+
+
+def _odor_sql(event: str) -> str:
+    edge = "idx - 1 as here, lag(idx) over w as beside" if event == "onset" else "idx + 1 as here, lead(idx) over w as beside"
+    kept = "beside is distinct from idx - 1 and idx > 0" if event == "onset" else "beside is distinct from idx + 1 and here <= top"
+    at = "idx" if event == "onset" else "here"
+    return f"""{E_SQL}, {_STIMS}, sides as (select rec, odor, ordinal, idx, {edge} from stim where kind = 'Sniff' window w as (partition by rec, odor, ordinal order by idx)),
+kept as (select rec, odor, {at} as idx, row_number() over (partition by rec order by odor, ordinal, {at}) as bout from sides join tops using (rec) where {kept})"""
+
+
+@query(f"with {_odor_sql('onset')}, {_TROUGH.format(lo=-10, hi=0)}, {_WHOLE.format(src='moved')} select odor, rel_idx, {_AVERAGE} from pz join (select rec, bout, odor from kept) using (rec, bout) group by odor, rel_idx")
+def q_peth_odor(spark, sf_dir):
+    """The sniffs of an odor, whatever their number, pooled."""
+    e = rec_e(spark, sf_dir)
+    events = align.interval_events(align.by_name(_stim_samples(spark, sf_dir), prefix="Sniff "), e)
+    rows = peth.peth(peth.shift_to_trough(events.select("rec", "bout", "idx"), e, -10, 0, "x"), e, 10, 20, "x")
+    return rounded(peth.average(rows.join(events.select("rec", "bout", "odor"), ["rec", "bout"]), "odor"), "mean_z", "sem_z")
+
+
+@query(f"with {_odor_sql('withdrawal')} select rec, odor, idx, bout from kept")
+def q_sniff_ends(spark, sf_dir):
+    """Withdrawals, the first samples after sniffs."""
+    e = rec_e(spark, sf_dir)
+    return align.interval_events(align.by_name(_stim_samples(spark, sf_dir), prefix="Sniff "), e, "withdrawal").select("rec", "odor", "idx", "bout")
+
+
 @query(f"with {_PETH} select rec, rel_idx, " + ", ".join(f"round(max(case when bout = {b} then z end), 6) as bout_{b}" for b in (1, 2, 3)) + " from pz where bout in (1, 2, 3) group by all")
 def q_peth_wide(spark, sf_dir):
     """Time by bouts."""
@@ -619,9 +676,15 @@ def q_manifest_cross(spark, sf_dir):
     return manifest.session_manifest(_protocol(spark), subjects(spark, sf_dir), "Fear")
 
 
+@query(f"with {_DIM} select '/data/' || batch as folder, count(*) as n from dim group by batch having count(*) > 1")
+def q_folder_guard(spark, sf_dir):
+    """Folders that hold more than one file."""
+    return manifest.folders(subjects(spark, sf_dir).select(F.concat(F.lit("/data/"), "batch", F.lit("/"), "subject", F.lit(".csv")).alias("path")))
+
+
 @query(f"with {_DIM} select count(*) filter (where rec % 3 <> 0) as waiting, count(*) filter (where rec % 3 = 0) as done from dim")
 def q_ready_manifest(spark, sf_dir):
-    """Inputs without an output yet."""
+    """Inputs without an output yet."""
     inputs = subjects(spark, sf_dir).select("rec")
     waiting = manifest.waiting(inputs, inputs.where("rec % 3 = 0"), "rec")
     return inputs.join(waiting.withColumn("open", F.lit(1)), "rec", "left").agg(F.count("open").alias("waiting"), F.sum(F.col("open").isNull().cast("long")).alias("done"))

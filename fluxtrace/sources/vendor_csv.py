@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RAW = {"Time(s)": "time_s", "AIn-1": "ain1", "AIn-4": "ain4", "DI/O-1": "gate405", "DI/O-2": "gate470", "DI/O-3": "camera"}
+# The columns of the files that each step writes.
+DEINTERLEAVED = {"Time(s)": "time_s", "405 Deinterleaved": "ctrl", "470 Deinterleaved": "sig"}
 TRACE = {"Time(s)": "time_s", "405 dFF": "ctrl", "470 dFF": "sig", "Denoised dFF": "denoised"}
+ALIGNED = {"Time(s)": "time_s", "Denoised dFF": "denoised", "405nm dFF": "ctrl", "470nm dFF": "sig"}
 
 
 def header_of(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", time: str = "Time(s)") -> list[str]:
@@ -46,6 +49,25 @@ def read_behaviour(spark: SparkSession, path: str) -> DataFrame:
     return rows.unpivot(["rec", "time_s"], states, "behaviour", "level")
 
 
+def read_aligned(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The trace (rec, idx, time_s, denoised, ctrl, sig) and the states (rec, idx, behaviour, level) of aligned frames.
+
+    States are the columns whose name is none of ``ALIGNED``, wherever they stand; a column of row
+    numbers, whose name is empty, is none.
+    """
+    names = header_of(spark, path)
+    trace = [to for name, to in ALIGNED.items() if name in names]
+    states = {name: f"level_{i}" for i, name in enumerate(n for n in names if n and n not in ALIGNED)}
+    rows = read_recording(spark, path, ALIGNED | states)
+    levels = rows.select("rec", "idx", *(F.col(c).cast("int").alias(name) for name, c in states.items()))
+    return rows.select("rec", "idx", *trace), levels.unpivot(["rec", "idx"], list(states), "behaviour", "level")
+
+
+def shown_names(frame: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The frame's columns under the names that files show, such as those of ``ALIGNED``."""
+    return frame.withColumnsRenamed({to: name for name, to in columns.items()})
+
+
 def write_csv(frame: DataFrame, path: str, index: bool = False) -> None:
     """CSV with a header; idx only if it is asked for."""
     (frame if index or "idx" not in frame.columns else frame.drop("idx")).write.mode("overwrite").option("header", True).csv(path)
