@@ -21,8 +21,17 @@ def segments(samples: DataFrame, artifacts: DataFrame, time: str = "time_s") ->
     bounds = artifacts.select("rec", "k", "start_s", "stop_s").unionByName(
         count.join(artifacts.groupBy("rec").agg(F.max("k").alias("k")), "rec", "left").select("rec", (F.coalesce("k", F.lit(0)) + 1).alias("k"), F.col("n").cast("double").alias("start_s"), F.lit(None).cast("double").alias("stop_s"))
     )
-    met = samples.select("rec", "idx", time).join(bounds, "rec")
-    ends = met.groupBy("rec", "k").agg(F.max(F.when(F.col(time) < F.col("start_s"), F.col("idx"))).alias("end"), F.min(F.when(F.col(time) > F.col("stop_s"), F.col("idx"))).alias("after"))
+    # One pass over samples and bounds in the order of time: a sample at a bound's own time is neither before nor after it.
+    marks = [
+        samples.where(F.col(time).isNotNull()).select("rec", F.col(time).cast("double").alias("at"), F.lit(1).alias("rank"), "idx", F.lit(None).cast("long").alias("k")),
+        bounds.where("start_s is not null").select("rec", F.col("start_s").alias("at"), F.lit(0).alias("rank"), F.lit(None).cast("long").alias("idx"), F.col("k").cast("long").alias("k")),
+        bounds.where("stop_s is not null").select("rec", F.col("stop_s").alias("at"), F.lit(2).alias("rank"), F.lit(None).cast("long").alias("idx"), F.col("k").cast("long").alias("k")),
+    ]
+    rows, frame = marks[0].unionByName(marks[1]).unionByName(marks[2]), (Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_before", F.max("idx").over(Window.partitionBy("rec").orderBy("at", "rank").rowsBetween(*frame)))
+    rows = rows.withColumn("_after", F.min("idx").over(Window.partitionBy("rec").orderBy(F.desc("at"), F.desc("rank")).rowsBetween(*frame)))
+    found = rows.where("rank != 1").groupBy("rec", "k").agg(F.max(F.when(F.col("rank") == 0, F.col("_before"))).alias("end"), F.min(F.when(F.col("rank") == 2, F.col("_after"))).alias("after"))
+    ends = bounds.select("rec", "k").distinct().join(found.withColumnRenamed("k", "_k"), ["rec"]).where("k = _k").drop("_k")
     ends = ends.withColumn("after", F.when(F.col("end").isNotNull(), F.col("after")))
     before = Window.partitionBy("rec").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     return ends.select("rec", "k", F.coalesce(F.last("after", ignorenulls=True).over(before), F.lit(0).cast("long")).alias("begin"), "end").where("end is not null")

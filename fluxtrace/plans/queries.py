@@ -219,6 +219,16 @@ def q_dff_artifacts(spark, sf_dir):
     return rounded(artifacts.dff_or_default(rec_e(spark, sf_dir), artifact_rows(spark), "x").select("rec", "idx", "clean"), "clean")
 
 
+@query(f"""with {E_SQL}, {_SEGMENTS}, cover as (select rec, idx, max(k) as k from (select rec, k, unnest(generate_series(b + 1, e - 1)) as idx from segs where e - b > 1) group by all),
+placed as (select r.rec, r.idx, r.x, r.time_s, c.k from rec_e r left join cover c on r.rec = c.rec and r.idx = c.idx),
+terms as (select rec, k, regr_slope(x, time_s) as a, regr_intercept(x, time_s) as b from placed where k is not null group by all)
+select p.rec, p.idx, round((x - (a * time_s + b)) / nullif(a * time_s + b, 0) * 100, 4) as clean from placed p left join terms t on t.rec = p.rec and t.k = p.k""")
+def q_artifact_fit(spark, sf_dir):
+    """Relative change by the line fitted to each segment."""
+    rows = artifacts.remove_artifacts(rec_e(spark, sf_dir), artifact_rows(spark), "x", "fit", "time_s")
+    return rows.select("rec", "idx", F.round("clean", 4).alias("clean"))
+
+
 @query(f"""with {E_SQL}, w as (select *, max(case when g is not null then idx end) over (partition by rec order by idx rows unbounded preceding) as p, min(case when g is not null then idx end) over (partition by rec order by idx rows between current row and unbounded following) as q from rec_e)
 select w.rec, w.idx, round(coalesce(w.g, a.g + (b.g - a.g) * ((w.idx - p) / nullif(q - p, 0)::double), a.g, b.g), 6) as filled
 from w left join rec_e a on a.rec = w.rec and a.idx = p left join rec_e b on b.rec = w.rec and b.idx = q""")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ARTIFACTS = "filecode string, intervals array<struct<start: double, stop: double>>"
 SNIFFS = "subject string, grp string, odor string, n int, stim struct<start: double, stop: double>, sniffs array<struct<start: double, stop: double>>"
@@ -16,15 +19,23 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def create_or_load(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The table at a path; an empty one, which is written there, if there is none."""
+    """The table at a path; an empty one, which is written there, if there is none.
+
+    Where an upsert ended between its two renames, the table from before it is put back.
+    """
+    if not exists(spark, path) and exists(spark, f"{path}.old"):
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(hadoop(f"{path}.old"), hadoop(path))
     if not exists(spark, path):
         spark.createDataFrame([], schema).write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
 def merged(known: DataFrame, newer: DataFrame, keys: list[str]) -> DataFrame:
-    """All newer rows, and the known rows without their keys."""
-    return known.join(newer.select(*keys).distinct(), keys, "left_anti").select(*known.columns).unionByName(newer, allowMissingColumns=True)
+    """All newer rows, and the known rows without their keys; a null in a key is a value like others."""
+    replaced = newer.select(*(F.col(k).alias(f"_new_{i}") for i, k in enumerate(keys))).distinct()
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_new_{i}")) for i, k in enumerate(keys)))
+    return known.join(replaced, same, "left_anti").unionByName(newer, allowMissingColumns=True)
 
 
 def upsert(spark: SparkSession, path: str, newer: DataFrame, keys: list[str]) -> None:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluxtrace.functions import scalars as S
-from fluxtrace.operators import artifacts, dff, edges, fill, peth, runs, sampling, smooth
+from fluxtrace.operators import align, artifacts, dff, edges, fill, guards, peth, runs, sampling, smooth
 
 
 def series(spark, values, name="level", kind="int"):
@@ -136,3 +136,51 @@ def test_empty_recordings(spark):
     empty = series(spark, [])
     for frame in (runs.fuse(empty, 0.3, 10), edges.derive(empty), edges.bouts(edges.derive(empty)), smooth.detrend(empty, "level", "y"), sampling.sample_rate(empty)):
         assert frame.count() == 0
+
+
+def test_segments_at_the_very_times_of_artifacts(spark):
+    s = series(spark, [1.0] * 10, "x", "double")
+    listed = spark.createDataFrame([(0, 1, 0.2, 0.4), (0, 2, 0.7, 0.9)], "rec long, k int, start_s double, stop_s double")
+    assert sorted((r.k, r.begin, r.end) for r in artifacts.segments(s, listed).collect()) == [(1, 0, 1), (2, 5, 6), (3, 5, 9)]
+
+
+def test_interval_events(spark):
+    rows = [(0, "Sniff", "Clean", 0, i) for i in (0, 1, 4, 5)] + [(0, "Sniff", "Clean", 1, i) for i in (5, 6, 9)]
+    covered = spark.createDataFrame(rows, "rec long, kind string, odor string, ordinal long, idx long")
+    s = series(spark, [0] * 10)
+    at = lambda event: sorted((r.ordinal, r.idx) for r in align.interval_events(covered, s, event).collect())
+    assert at("onset") == [(0, 4), (1, 5), (1, 9)]
+    assert at("withdrawal") == [(0, 2), (0, 6), (1, 7)]
+    with pytest.raises(ValueError):
+        align.interval_events(covered, s, "middle")
+
+
+def test_names(spark):
+    rows = spark.createDataFrame([("Sniff", "HC", 1), ("Sniff", "HC", 10), ("Stim", "HC", 1)], "kind string, odor string, ordinal int")
+    assert align.by_name(rows, part="HC 1").count() == 3 and align.by_name(rows, prefix="Sniff HC").count() == 2
+    assert align.by_name(rows, part="10", prefix="Sniff").count() == 1
+
+
+def test_guards(spark):
+    s = series(spark, [0])
+    assert guards.require_rows(guards.require_columns(s, ["level"])) is s
+    for frame, columns, error in ((s, ["none"], ValueError), (s, "level", TypeError), ([], ["level"], TypeError)):
+        with pytest.raises(error):
+            guards.require_columns(frame, columns)
+    with pytest.raises(ValueError):
+        guards.require_rows(s.where("idx < 0"))
+    with pytest.raises(ValueError):
+        sampling.camera_start(s, 12.3, required=True)
+
+
+def test_warm_up_of_nothing_and_of_forty_seconds(spark):
+    from fluxtrace.operators import stats
+
+    s = spark.createDataFrame([(0, i, 10.0 * i) for i in range(6)], "rec long, idx long, time_s double")
+    assert [stats.after_warm_up(s, x).count() for x in (0.0, 40.0)] == [5, 1]
+
+
+def test_interval_texts_both_ways(spark):
+    pairs = spark.createDataFrame([([[1.5, 2.0], [3.0, 4.25]],)], "p array<array<double>>")
+    text = pairs.select(S.format_intervals(F.col("p")).alias("t"))
+    assert text.select(S.parse_intervals(F.col("t")).alias("p")).first().p == [[1.5, 2.0], [3.0, 4.25]]

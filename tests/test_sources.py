@@ -51,3 +51,53 @@ def test_hdf5_needs_its_library():
     except ImportError:
         with pytest.raises(ImportError):
             hdf5.table_of(b"")
+
+
+def test_files_of_every_step(spark, tmp_path):
+    """Headers with and without the vendor's line before them, and a column of row numbers."""
+    (tmp_path / "d1.csv").write_text("Time(s),405 Deinterleaved,470 Deinterleaved\n0.0,1,2\n0.1,,3\n")
+    rows = vendor_csv.read_recording(spark, str(tmp_path / "d1.csv"), vendor_csv.DEINTERLEAVED).orderBy("idx").collect()
+    assert [(r.idx, r.ctrl, r.sig) for r in rows] == [(0, 1.0, 2.0), (1, None, 3.0)]
+    (tmp_path / "t1.csv").write_text(",Time(s),405 dFF,470 dFF,Denoised dFF\n0,0.0,1,2,5\n1,0.1,1,3,6\n")
+    rows = vendor_csv.read_recording(spark, str(tmp_path / "t1.csv"), vendor_csv.TRACE).orderBy("idx").collect()
+    assert [(r.idx, r.ctrl, r.sig, r.denoised) for r in rows] == [(0, 1.0, 2.0, 5.0), (1, 1.0, 3.0, 6.0)]
+    (tmp_path / "a1.csv").write_text(",Time(s),Denoised dFF,405nm dFF,470nm dFF,Rearing,Gate opens\n0,0.0,5,1,2,0,1\n1,0.1,6,1,3,1,0\n")
+    trace, states = vendor_csv.read_aligned(spark, str(tmp_path / "a1.csv"))
+    assert [tuple(r)[1:] for r in trace.orderBy("idx").collect()] == [(0, 0.0, 5.0, 1.0, 2.0), (1, 0.1, 6.0, 1.0, 3.0)]
+    assert sorted(tuple(r)[1:] for r in states.collect()) == [(0, "Gate opens", 1), (0, "Rearing", 0), (1, "Gate opens", 0), (1, "Rearing", 1)]
+    assert vendor_csv.shown_names(trace, vendor_csv.ALIGNED).columns == ["rec", "idx", "Time(s)", "Denoised dFF", "405nm dFF", "470nm dFF"]
+
+
+def test_written_csv_is_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([(0, 0.0, 1.5), (1, 0.1, None)], "idx long, time_s double, x double")
+    vendor_csv.write_csv(rows, str(tmp_path / "plain"))
+    back = spark.read.option("header", True).schema("time_s double, x double").csv(str(tmp_path / "plain"))
+    assert back.columns == ["time_s", "x"] and sorted(map(tuple, back.collect())) == [(0.0, 1.5), (0.1, None)]
+    vendor_csv.write_csv(rows, str(tmp_path / "numbered"), index=True)
+    assert spark.read.option("header", True).csv(str(tmp_path / "numbered")).columns == ["idx", "time_s", "x"]
+
+
+def test_folders_and_protocol(spark, tmp_path):
+    made = manifest.lay_out(spark, str(tmp_path), "Fear", ["S1", "S2"])
+    assert [(tmp_path / "Fear" / s).is_dir() for s in ("S1", "S2")] == [True, True] and made == manifest.lay_out(spark, str(tmp_path), "Fear", ["S1", "S2"])
+    for name in ("a.csv", "b.csv"):
+        (tmp_path / "Fear" / "S1" / name).write_text("1")
+    (tmp_path / "Fear" / "S2" / "a.csv").write_text("1")
+    found = manifest.folders(manifest.files(spark, str(tmp_path))).collect()
+    assert [(r.folder.rpartition("/")[2], r.n) for r in found] == [("S1", 2)]
+    protocol = spark.createDataFrame([("Fear", "B1", "S1,S2", "raw/x")], "task string, batch string, sessions string, data_path string")
+    assert manifest.protocol_value(protocol, "Fear", "B1", "sessions") == "S1,S2"
+    assert manifest.data_folder(protocol, "/d", "Fear", "B1") == "/d/B1/raw/x"
+    with pytest.raises(ValueError):
+        manifest.protocol_value(protocol, "Fear", "B2", "sessions")
+
+
+def test_upsert_of_sniffs(spark, tmp_path):
+    path, keys = str(tmp_path / "sniffs"), ["subject", "odor", "n"]
+    assert upsert.create_or_load(spark, path, upsert.SNIFFS).count() == 0
+    row = lambda odor, stop: spark.createDataFrame([("m1", "CD", odor, 1, (0.0, stop), [(0.5, 1.0)])], upsert.SNIFFS)
+    for odor, stop in (("HC", 2.0), (None, 3.0), ("HC", 4.0), (None, 5.0)):
+        upsert.upsert(spark, path, row(odor, stop), keys)
+    assert {(r.odor, r.stim.stop) for r in spark.read.parquet(path).collect()} == {("HC", 4.0), (None, 5.0)}
+    (tmp_path / "sniffs").rename(tmp_path / "sniffs.old")
+    assert upsert.create_or_load(spark, path, upsert.SNIFFS).count() == 2
