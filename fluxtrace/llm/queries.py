@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import round_trip
 from .decontaminate import judge_contamination
+from .hard_negatives import mine_hard_negatives
 from .html_extract import extract_text
 from .line_dedup import line_report
 from .near_dedup import near_duplicates
+from .packing import pack, piece_digests
+from .periodic_runs import find_runs, run_digests, with_long_runs
 from .quality_classifier import score_quality
 from .quality_rules import judge_quality
 from .token_counts import count_tokens
@@ -63,6 +67,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return mine_hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(find_runs(with_long_runs(_table(spark, sf_dir, "documents"))))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(pack(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_decontamination": op2_decontamination,
@@ -74,4 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extract": op8_html_extract,
     "op9_url_filter": op9_url_filter,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_packing": op13_packing,
 }
