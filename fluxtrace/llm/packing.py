@@ -8,7 +8,10 @@ attention mask is needed.  Everything happens in one pass over the texts, withou
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from contextlib import AbstractContextManager
@@ -30,6 +33,10 @@ from .textbuf import slices, utf8_buffer
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+# How tokenizers of this kind split a text into words.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 @dataclass(frozen=True)
 class PackingParams:
     """most: the longest sequence, a power of two.  end_id: appended to each document."""
@@ -40,54 +47,87 @@ class PackingParams:
 
 
 class ChunkEncoder(Generations):
-    """What stands between ASCII white space, as UTF-8, to its ids as little-endian unsigned 32-bit integers.
+    """Words and other chunks of text to their ids as little-endian unsigned 32-bit integers.
 
     For tokenizers that drop white space before they split, and whose normaliser neither joins nor
-    looks across it: then a text's ids are those of its chunks, which the library encodes when
-    they are new.
+    looks across it: then a text's ids are those of what stands between ASCII white space.  If the
+    tokenizer splits by ``WORDS``, text of common Latin characters, which no normal form changes
+    but for their case, is split here, and the library's merges are applied to new words.  The
+    whole library encodes all other chunks.
     """
 
-    #: Bytes of new chunks that the library gets in one call.
+    #: Bytes of chunks that the library gets in one call.
     TOGETHER = 1 << 20
+    LETTERS = "a-zß-öø-ÿ"
+    PLAIN = re.compile("[ \\t-\\r!-~À-ÖØ-öø-ÿ¡¿«»–—‘’“”…]*")
+    SPLIT = re.compile(WORDS.replace(r"[\p{L}]", f"[{LETTERS}]").replace(r"[\p{N}]", "[0-9]").replace(r"[^\s\p{L}\p{N}]", f"[^{LETTERS}0-9 \\t-\\r]"))
+    #: Bytes that the byte-level alphabet writes as other characters: its rule for what isn't printable.
+    UNPRINTABLE = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}
 
     def __init__(self, path: str, most: int = 64 << 20) -> None:
         super().__init__(most)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        for text in ("a  b\n\tc", " é́ 'S x "):
-            if self._ids([text])[0] != b"".join(self._ids(text.encode().split())):
+        setup = json.loads(self.tokenizer.to_str())
+        kinds = [x["type"] for x in (setup.get("normalizer") or {}).get("normalizers", [])]
+        first = (setup.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+        self.splits = kinds == ["NFC", "Replace", "Lowercase"] and first.get("pattern") == {"Regex": WORDS} and first.get("invert", False)
+        self.merge = self.tokenizer.model.tokenize
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) if added else "(?!)")
+        for text in ("a  b\n\tc", " é́ 'S x "):
+            if self._ids([text]) != [b"".join(self._ids(text.split()))]:
                 raise ValueError("the tokenizer must drop white space and encode what lies between on its own")
 
-    def _ids(self, chunks: list) -> list[bytes]:
-        texts = [c if isinstance(c, str) else c.decode("utf-8") for c in chunks]
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        learnt, at, size = {}, 0, 0
-        for end, chunk in enumerate(chunks, 1):
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _plain(self, text: str) -> bool:
+        return self.splits and self.PLAIN.fullmatch(text) is not None and self.added.search(text) is None
+
+    def _keys(self, raw: bytes) -> list[str]:
+        """A text's words where they are plain, its chunks elsewhere."""
+        text = raw.decode("utf-8")
+        if self._plain(text):
+            return self.SPLIT.findall(text.lower())
+        chunks = [c.decode("utf-8") for c in raw.split()]
+        return list(chain.from_iterable(self.SPLIT.findall(c.lower()) if self._plain(c) else [c] for c in chunks))
+
+    def make(self, word: str) -> bytes:
+        """The ids of a plain word as the splitter leaves it."""
+        written = word if word.isascii() else word.encode().decode("latin-1").translate(self.UNPRINTABLE)
+        return array("I", [t.id for t in self.merge(written)]).tobytes()
+
+    def _learn(self, keys: list[str]) -> dict[str, bytes]:
+        """The ids of words and chunks that aren't remembered."""
+        odd = [k for k in keys if not self._plain(k)]
+        learnt, at, size = dict.fromkeys(odd, b""), 0, 0
+        for end, chunk in enumerate(odd, 1):
             size += len(chunk)
-            if size >= self.TOGETHER or end == len(chunks):
-                learnt.update(zip(chunks[at:end], self._ids(chunks[at:end]), strict=True))
+            if size >= self.TOGETHER or end == len(odd):
+                learnt.update(zip(odd[at:end], self._ids(odd[at:end]), strict=True))
                 at, size = end, 0
-        for chunk, ids in learnt.items():
-            self.keep(chunk, ids)
+        for key in keys:
+            if key not in learnt:
+                learnt[key] = self.make(key)
+            self.keep(key, learnt[key])
         return learnt
 
     def rows(self, column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         """For slices of rows: the first row's number and each row's ids."""
         data, bounds = utf8_buffer(column)
         for lo, hi in slices(bounds, 1 << 19):
-            words = [data[bounds[i] : bounds[i + 1]].tobytes().split() for i in range(lo, hi)]
-            chunks = list(chain.from_iterable(words))
-            parts = list(map(self.get, chunks))
+            keys = [self._keys(data[bounds[i] : bounds[i + 1]].tobytes()) for i in range(lo, hi)]
+            flat = list(chain.from_iterable(keys))
+            parts = list(map(self.get, flat))
             gaps = [i for i, x in enumerate(parts) if x is None]
             if gaps:
-                wanted = dict.fromkeys(chunks[i] for i in gaps)
+                wanted = dict.fromkeys(flat[i] for i in gaps)
                 found = {c: ids for c in wanted if (ids := self.recall(c)) is not None}
                 found |= self._learn([c for c in wanted if c not in found])
                 for i in gaps:
-                    parts[i] = found[chunks[i]]
-            ends = np.cumsum([0, *map(len, words)]).tolist()
+                    parts[i] = found[flat[i]]
+            ends = np.cumsum([0, *map(len, keys)]).tolist()
             yield lo, [b"".join(parts[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
 
 

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import corpus
 from hypothesis import given, settings
@@ -40,7 +41,23 @@ def checked(pieces, texts):
 @given(st.text(max_size=60))
 def test_ids_match_the_library(text):
     with packing.encoder(packing.TOKENIZER) as coder:
-        assert np.frombuffer(b"".join(coder._ids(text.encode().split())), "<u4").tolist() == plain(text)[:-1]
+        assert np.frombuffer(b"".join(coder._ids([c.decode() for c in text.encode().split()])), "<u4").tolist() == plain(text)[:-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from(list("'sTtreLd aé1À×÷ÿß–“9!?<|\u0301\u00ad日")), max_size=12), max_size=8))
+def test_chunks_of_plain_characters_match_the_library(texts):
+    with packing.encoder(packing.TOKENIZER) as coder:
+        ours = [np.frombuffer(x, "<u4").tolist() for _, rows in coder.rows(pa.array(texts, pa.string())) for x in rows]
+    assert ours == [plain(t)[:-1] for t in texts]
+
+
+def test_all_plain_characters_match_the_library():
+    points = [chr(c) for c in range(0x2100) if packing.ChunkEncoder.PLAIN.fullmatch(chr(c))]
+    texts = [f"{x}{a}{b}{y}" for a in points for b in ("a", "É", "7", "'", "s") for x, y in (("", ""), ("b", "'re"))]
+    coder = packing.ChunkEncoder(packing.TOKENIZER)
+    assert len(points) > 150
+    assert [np.frombuffer(x, "<u4").tolist() for _, rows in coder.rows(pa.array(texts)) for x in rows] == [plain(t)[:-1] for t in texts]
 
 
 def test_query_matches_the_library(spark):
@@ -72,14 +89,13 @@ def test_null_and_repeated_ids_and_empty_tables(spark):
 
 
 def test_small_caches_change_nothing():
-    import pyarrow as pa
-
     coder = packing.ChunkEncoder(packing.TOKENIZER, most=2000)
     texts = corpus(30)
     for _ in range(2):
         assert [np.frombuffer(x, "<u4").tolist() for _, rows in coder.rows(pa.array(texts)) for x in rows] == [plain(t)[:-1] for t in texts]
 
 
+@settings(deadline=None)
 @given(st.integers(1, 10**6), st.integers(0, 12))
 def test_binary_lengths(n, k):
     found = binary_lengths(n, 1 << k)
