@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sampling import by_sample
+from . import blocks
+from .sampling import renumber
 
 
-def present(samples: DataFrame, channel: str) -> DataFrame:
+def present(samples: DataFrame, channel: str, size: int = blocks.BLOCK) -> DataFrame:
     """(rec, idx, channel): a channel without its missing samples, numbered anew."""
-    rows = samples.where(F.col(channel).isNotNull())
-    return rows.select("rec", (F.row_number().over(by_sample()) - 1).cast("long").alias("idx"), channel)
+    return renumber(samples.where(F.col(channel).isNotNull()).select("rec", "idx", channel), size=size)
 
 
 def align_behaviour(trace: DataFrame, channels: list[str], states: DataFrame, starts: DataFrame, times: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def align_behaviour(trace: DataFrame, channels: list[str], states: DataFrame, st
     return out.select("rec", "idx", "t", *channels, F.coalesce("level", F.lit(0)).alias("level"))
 
 
-def interval_samples(samples: DataFrame, intervals: DataFrame, rate: float) -> DataFrame:
+def interval_samples(samples: DataFrame, intervals: DataFrame, rate: float, size: int = blocks.BLOCK) -> DataFrame:
     """(rec, kind, odor, ordinal, idx): the samples of intervals (rec, kind, odor, ordinal, start_s, stop_s).
 
     Ends are rounded to samples, halves to even, clamped to the recording, and included;
@@ -39,7 +39,8 @@ def interval_samples(samples: DataFrame, intervals: DataFrame, rate: float) -> D
     top = samples.groupBy("rec").agg((F.count("*") - 1).alias("top"))
     clamp = lambda c: F.greatest(F.lit(0).cast("long"), F.least(F.rint(F.col(c) * rate).cast("long"), F.col("top")))
     rows = intervals.where("not (start_s = 0 and stop_s = 0)").join(top, "rec").withColumn("i0", clamp("start_s")).withColumn("i1", clamp("stop_s")).where("i1 > i0")
-    return rows.select("rec", "kind", "odor", "ordinal", F.explode(F.sequence("i0", "i1")).alias("idx")).distinct()
+    found = blocks.within(samples.select("rec", "idx"), rows.select("rec", "kind", "odor", "ordinal", "i0", "i1"), "i0", "i1", size=size)
+    return found.select("rec", "kind", "odor", "ordinal", "idx").distinct()
 
 
 def number_intervals(intervals: DataFrame, order: str) -> DataFrame:
@@ -55,7 +56,7 @@ def by_name(intervals: DataFrame, part: str | None = None, prefix: str | None =
     return rows if prefix is None else rows.where(name.startswith(prefix))
 
 
-def interval_events(covered: DataFrame, samples: DataFrame, event: str = "onset") -> DataFrame:
+def interval_events(covered: DataFrame, samples: DataFrame, event: str = "onset", size: int = blocks.BLOCK) -> DataFrame:
     """(rec, kind, odor, ordinal, idx, bout): where intervals' samples begin, or, for a withdrawal, the first sample after.
 
     covered: (rec, kind, odor, ordinal, idx).  Intervals that overlap or touch are one if their ordinal is
@@ -64,11 +65,11 @@ def interval_events(covered: DataFrame, samples: DataFrame, event: str = "onset"
     """
     if event not in ("onset", "withdrawal"):
         raise ValueError("event must be 'onset' or 'withdrawal'")
-    w = Window.partitionBy("rec", "kind", "odor", "ordinal").orderBy("idx")
+    rows = blocks.Carried(covered, ("rec", "kind", "odor", "ordinal"), size)
     if event == "onset":
-        rows = covered.withColumn("_beside", F.lag("idx").over(w)).where("(_beside is null or _beside < idx - 1) and idx > 0")
+        rows = rows.lag("_beside", F.col("idx")).frame().where("(_beside is null or _beside < idx - 1) and idx > 0")
     else:
-        rows = covered.withColumn("_beside", F.lead("idx").over(w)).where("_beside is null or _beside > idx + 1").withColumn("idx", F.col("idx") + 1)
+        rows = rows.next("_beside", F.col("idx"), after=True).frame().where("_beside is null or _beside > idx + 1").withColumn("idx", F.col("idx") + 1)
         rows = rows.join(samples.groupBy("rec").agg(F.max("idx").alias("_top")), "rec").where("idx <= _top").drop("_top")
     bout = F.row_number().over(Window.partitionBy("rec").orderBy("kind", "odor", "ordinal", "idx"))
     return rows.drop("_beside").select("rec", "kind", "odor", "ordinal", "idx", bout.alias("bout"))

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks
 from .dff import fit_terms
 
 
-def segments(samples: DataFrame, artifacts: DataFrame, time: str = "time_s") -> DataFrame:
+def segments(samples: DataFrame, artifacts: DataFrame, time: str = "time_s", seconds: float = 60.0) -> DataFrame:
     """(rec, k, begin, end): for each artifact (rec, k, start_s, stop_s) in the order of k, and
     for the end of the recording, the segment before it.
 
     end is the last sample before the artifact starts, begin the first after the one
     before it stopped (0 at first); samples strictly between belong to the segment.  The
     end of a recording counts as an artifact that starts at its number of samples, in
-    seconds.  An artifact that starts before the first sample has no segment.
+    seconds.  An artifact that starts before the first sample has no segment.  seconds: the time
+    that a task looks at.
     """
     count = samples.groupBy("rec").agg(F.count("*").alias("n"), F.max("idx").alias("top"))
     bounds = artifacts.select("rec", "k", "start_s", "stop_s").unionByName(
@@ -27,9 +29,8 @@ def segments(samples: DataFrame, artifacts: DataFrame, time: str = "time_s") ->
         bounds.where("start_s is not null").select("rec", F.col("start_s").alias("at"), F.lit(0).alias("rank"), F.lit(None).cast("long").alias("idx"), F.col("k").cast("long").alias("k")),
         bounds.where("stop_s is not null").select("rec", F.col("stop_s").alias("at"), F.lit(2).alias("rank"), F.lit(None).cast("long").alias("idx"), F.col("k").cast("long").alias("k")),
     ]
-    rows, frame = marks[0].unionByName(marks[1]).unionByName(marks[2]), (Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_before", F.max("idx").over(Window.partitionBy("rec").orderBy("at", "rank").rowsBetween(*frame)))
-    rows = rows.withColumn("_after", F.min("idx").over(Window.partitionBy("rec").orderBy(F.desc("at"), F.desc("rank")).rowsBetween(*frame)))
+    rows = marks[0].unionByName(marks[1]).unionByName(marks[2])
+    rows = blocks.Carried(rows, order=("at", "rank"), block=F.floor(F.col("at") / seconds)).highest("_before", F.col("idx")).lowest("_after", F.col("idx")).frame()
     found = rows.where("rank != 1").groupBy("rec", "k").agg(F.max(F.when(F.col("rank") == 0, F.col("_before"))).alias("end"), F.min(F.when(F.col("rank") == 2, F.col("_after"))).alias("after"))
     ends = bounds.select("rec", "k").distinct().join(found.withColumnRenamed("k", "_k"), ["rec"]).where("k = _k").drop("_k")
     ends = ends.withColumn("after", F.when(F.col("end").isNotNull(), F.col("after")))
@@ -37,10 +38,11 @@ def segments(samples: DataFrame, artifacts: DataFrame, time: str = "time_s") ->
     return ends.select("rec", "k", F.coalesce(F.last("after", ignorenulls=True).over(before), F.lit(0).cast("long")).alias("begin"), "end").where("end is not null")
 
 
-def in_segments(samples: DataFrame, parts: DataFrame) -> DataFrame:
+def in_segments(samples: DataFrame, parts: DataFrame, size: int = blocks.BLOCK) -> DataFrame:
     """Adds k, the last segment that holds the sample; null outside all."""
-    ranges = parts.where("end - begin > 1").select("rec", "k", F.explode(F.sequence(F.col("begin") + 1, F.col("end") - 1)).alias("idx"))
-    return samples.join(ranges.groupBy("rec", "idx").agg(F.max("k").alias("k")), ["rec", "idx"], "left")
+    inner = parts.select("rec", "k", (F.col("begin") + 1).alias("_lo"), (F.col("end") - 1).alias("_hi"))
+    held = blocks.within(samples.select("rec", "idx"), inner, "_lo", "_hi", size=size)
+    return samples.join(held.groupBy("rec", "idx").agg(F.max("k").alias("k")), ["rec", "idx"], "left")
 
 
 def remove_artifacts(samples: DataFrame, artifacts: DataFrame, channel: str, method: str = "mean", control: str | None = None) -> DataFrame:

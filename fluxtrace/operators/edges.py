@@ -5,37 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sampling import by_sample
+from . import blocks
 
 
-def derive(states: DataFrame, level: str = "level", keys: tuple[str, ...] = ("rec",)) -> DataFrame:
+def derive(states: DataFrame, level: str = "level", keys: tuple[str, ...] = ("rec",), size: int = blocks.BLOCK) -> DataFrame:
     """Adds edge: the level's first difference; null for the first sample."""
-    return states.withColumn("edge", F.col(level) - F.lag(level).over(by_sample(*keys)))
+    return blocks.Carried(states, keys, size).lag("_before", F.col(level)).frame().withColumn("edge", F.col(level) - F.col("_before")).drop("_before")
 
 
-def derive_filled(states: DataFrame, level: str = "level", keys: tuple[str, ...] = ("rec",)) -> DataFrame:
+def derive_filled(states: DataFrame, level: str = "level", keys: tuple[str, ...] = ("rec",), size: int = blocks.BLOCK) -> DataFrame:
     """As ``derive``, with 0 for a difference that is missing."""
-    return states.withColumn("edge", F.coalesce(F.col(level) - F.lag(level).over(by_sample(*keys)), F.lit(0)))
+    return derive(states, level, keys, size).withColumn("edge", F.coalesce("edge", F.lit(0)))
 
 
-def _numbered(edges: DataFrame, sign: int, name: str, keys: tuple[str, ...]) -> DataFrame:
-    k = F.row_number().over(by_sample(*keys)).cast("long")
-    return edges.where(F.col("edge") == sign).select(*keys, k.alias("bout"), F.col("idx").alias(name))
+def _numbered(edges: DataFrame, sign: int, name: str, keys: tuple[str, ...], size: int) -> DataFrame:
+    rows = blocks.numbered(edges.where(F.col("edge") == sign).select(*keys, "idx"), "bout", keys, size)
+    return rows.select(*keys, "bout", F.col("idx").alias(name))
 
 
-def bouts(edges: DataFrame, keys: tuple[str, ...] = ("rec",), strict: bool = False) -> DataFrame:
+def bouts(edges: DataFrame, keys: tuple[str, ...] = ("rec",), strict: bool = False, size: int = blocks.BLOCK) -> DataFrame:
     """(keys, bout, idx_on, idx_off): the k-th onset with the k-th offset.
 
     strict pairs each onset with the next offset after it instead, which differs where a
     state is on at the first sample.
     """
     if strict:
-        # Frames that end at the current row are filled once, also backwards; those that begin there anew for each row.
-        back = Window.partitionBy(*keys).orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
-        later = F.last(F.when(F.col("edge") == -1, F.col("idx")), ignorenulls=True).over(back)
-        found = edges.withColumn("idx_off", later).where("edge = 1 and idx_off is not null")
-        return found.select(*keys, F.row_number().over(by_sample(*keys)).cast("long").alias("bout"), F.col("idx").alias("idx_on"), "idx_off")
-    return _numbered(edges, 1, "idx_on", keys).join(_numbered(edges, -1, "idx_off", keys), [*keys, "bout"])
+        marked = blocks.Carried(edges.where("edge <> 0").select(*keys, "idx", "edge"), keys, size)
+        found = marked.next("idx_off", F.when(F.col("edge") == -1, F.col("idx")), after=True).frame().where("edge = 1 and idx_off is not null")
+        return blocks.numbered(found, "bout", keys, size).select(*keys, "bout", F.col("idx").alias("idx_on"), "idx_off")
+    return _numbered(edges, 1, "idx_on", keys, size).join(_numbered(edges, -1, "idx_off", keys, size), [*keys, "bout"])
 
 
 def long_enough(pairs: DataFrame, least_s: float, rate: float) -> DataFrame:
@@ -44,12 +42,11 @@ def long_enough(pairs: DataFrame, least_s: float, rate: float) -> DataFrame:
     return pairs.where((duration > 1) & (duration >= least_s * rate))
 
 
-def highlight_intervals(edges: DataFrame, time: str = "time_s", keys: tuple[str, ...] = ("rec",)) -> DataFrame:
+def highlight_intervals(edges: DataFrame, time: str = "time_s", keys: tuple[str, ...] = ("rec",), size: int = blocks.BLOCK) -> DataFrame:
     """(keys, t_on, t_off): for each offset the last onset before it; an onset at time 0 doesn't count."""
-    w = by_sample(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    onset = F.last(F.when((F.col("edge") == 1) & (F.col(time) != 0), F.col(time)), ignorenulls=True).over(w)
-    previous = F.last(F.when(F.col("edge") == -1, F.col(time)), ignorenulls=True).over(by_sample(*keys).rowsBetween(Window.unboundedPreceding, -1))
-    found = edges.withColumn("t_on", onset).withColumn("before", previous).where("edge = -1 and t_on is not null and (before is null or before < t_on)")
+    rows = blocks.Carried(edges.where("edge <> 0").select(*keys, "idx", "edge", time), keys, size)
+    rows = rows.last("t_on", F.when((F.col("edge") == 1) & (F.col(time) != 0), F.col(time))).last("before", F.when(F.col("edge") == -1, F.col(time)), before=True)
+    found = rows.frame().where("edge = -1 and t_on is not null and (before is null or before < t_on)")
     return found.select(*keys, "t_on", F.col(time).alias("t_off"))
 
 
@@ -60,27 +57,28 @@ def click_pairs(clicks: DataFrame, key: str, order: list[str], value: str) -> Da
     return pairs.agg(F.min(value).alias("start"), F.max(value).alias("stop"), F.count("*").alias("n")).where("n = 2").drop("n")
 
 
-def deinterleave(raw: DataFrame, gates: dict[str, str], signal: str, time: str, offset: int = 250) -> DataFrame:
+def deinterleave(raw: DataFrame, gates: dict[str, str], signal: str, time: str, offset: int = 250, size: int = blocks.BLOCK) -> DataFrame:
     """(rec, idx, time_s, one column for each gate): the signal ``offset`` samples after each rising edge.
 
     gates: output column to gate column.  The k-th samples of all gates make row k - 1, as
     far as the gate with the fewest; edges whose sample lies beyond the recording don't count, a
-    missing sample does.  Times run evenly from 0 to the last raw time, and zeros become null in
+    missing sample does.  Numbers have no gaps.  Times run evenly from 0 to the last raw time, and zeros become null in
     every column.
     """
-    w, whole = by_sample(), Window.partitionBy("rec")
-    rows = raw.withColumn("_later", F.lead(signal, offset).over(w)).withColumn("_last", F.max(time).over(whole))
-    rows = rows.withColumn("_inside", F.col("idx") + offset <= F.max("idx").over(whole))
+    gated = blocks.Carried(raw.select("rec", "idx", *gates.values()), size=size)
     for name, gate in gates.items():
-        rows = rows.withColumn(f"_rise_{name}", F.col(gate) - F.lag(gate).over(w) == 1)
-    found = None
+        gated.lag(f"_before_{name}", F.col(gate))
+    rose = {name: F.coalesce((F.col(gate) - F.col(f"_before_{name}") == 1).cast("long"), F.lit(0).cast("long")) for name, gate in gates.items()}
+    rises = gated.frame().select("rec", "idx", *(rise.alias(f"_rose_{name}") for name, rise in rose.items())).where(" or ".join(f"_rose_{name} = 1" for name in gates))
+    later = raw.select("rec", (F.col("idx") - offset).alias("idx"), F.col(signal).alias("_v"))
+    marked = blocks.Carried(rises.join(later, ["rec", "idx"]), size=size)
     for name in gates:
-        part = rows.where(F.col(f"_rise_{name}") & F.col("_inside"))
-        part = part.select("rec", F.row_number().over(w).cast("long").alias("k"), F.col("_later").alias(name), F.col("_last").alias(f"_t_{name}"))
-        found = part if found is None else found.join(part, ["rec", "k"])
-    n = F.count("*").over(Window.partitionBy("rec"))
-    first = next(iter(gates))
-    t = (F.col("k") - 1) * F.col(f"_t_{first}") / F.nullif(n - 1, F.lit(0))
-    rows = found.withColumn("time_s", F.coalesce(t, F.lit(0.0)))
+        marked.total(f"_k_{name}", F.col(f"_rose_{name}"))
+    each = F.explode(F.filter(F.array(*(F.struct(F.lit(name).alias("gate"), F.col(f"_rose_{name}").alias("rose"), F.col(f"_k_{name}").alias("k")) for name in gates)), lambda x: x.rose == 1))
+    rows = marked.frame().select("rec", "_v", each.alias("_of")).groupBy("rec", F.col("_of.k").alias("k"))
+    found = rows.agg(F.count("*").alias("_gates"), *(F.max(F.when(F.col("_of.gate") == name, F.col("_v"))).alias(name) for name in gates)).where(F.col("_gates") == len(gates))
+    whole = found.groupBy("rec").agg(F.count("*").alias("_n")).join(raw.groupBy("rec").agg(F.max(time).alias("_last")), "rec")
+    t = (F.col("k") - 1) * F.col("_last") / F.nullif(F.col("_n") - 1, F.lit(0))
+    rows = found.join(whole, "rec").withColumn("time_s", F.coalesce(t, F.lit(0.0)))
     zero = lambda c: F.nullif(F.col(c), F.lit(0.0)).alias(c)
     return rows.select("rec", (F.col("k") - 1).alias("idx"), zero("time_s"), *map(zero, gates))

@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sampling import by_sample
+from . import blocks
 
 
-def interpolate(samples: DataFrame, channel: str, out: str) -> DataFrame:
+def interpolate(samples: DataFrame, channel: str, out: str, size: int = blocks.BLOCK) -> DataFrame:
     """Adds out: the channel with gaps filled linearly by sample number, both ends extended flat."""
-    past = by_sample().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # Backwards, since a frame that ends at the current row is filled once and one that begins there for each row.
-    ahead = Window.partitionBy("rec").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     known = F.when(F.col(channel).isNotNull(), F.struct("idx", F.col(channel).cast("double").alias("v")))
-    rows = samples.withColumn("_a", F.last(known, ignorenulls=True).over(past)).withColumn("_b", F.last(known, ignorenulls=True).over(ahead))
+    rows = blocks.Carried(samples, size=size).last("_a", known).next("_b", known).frame()
     share = (F.col("idx") - F.col("_a.idx")) / F.nullif(F.col("_b.idx") - F.col("_a.idx"), F.lit(0))
     between = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * share
     return rows.withColumn(out, F.coalesce(F.col(channel).cast("double"), between, F.col("_a.v"), F.col("_b.v"))).drop("_a", "_b")

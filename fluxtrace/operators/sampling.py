@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks
+
 
 def by_sample(*keys: str) -> Window:
     """The window of a recording in the order of its samples."""
@@ -17,30 +19,35 @@ def sample_rate(samples: DataFrame, time: str = "time_s") -> DataFrame:
     return samples.groupBy("rec").agg(F.count("*").alias("n"), (F.count("*") / F.nullif(span, F.lit(0.0))).alias("samplerate"))
 
 
-def time_vector(samples: DataFrame, rate: float, time: str = "time_s") -> DataFrame:
+def time_vector(samples: DataFrame, rate: float, time: str = "time_s", size: int = blocks.BLOCK) -> DataFrame:
     """(rec, i, t): a uniform vector from 0 to the last but one time rounded up, i of int(duration * rate) + 1 points."""
-    ends = samples.withColumn("rank", F.row_number().over(Window.partitionBy("rec").orderBy(F.col("idx").desc()))).where("rank = 2")
-    duration = ends.select("rec", F.ceil(time).cast("double").alias("duration"))
-    points = duration.withColumn("n", F.floor(F.col("duration") * rate).cast("long"))
-    grid = points.select("rec", "duration", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))).alias("i"))
+    last = samples.groupBy("rec").agg((F.max("idx") - 1).alias("idx"))
+    duration = samples.select("rec", "idx", time).join(last, ["rec", "idx"]).select("rec", F.ceil(time).cast("double").alias("duration"))
+    points = duration.withColumn("n", F.floor(F.col("duration") * rate).cast("long")).withColumn("points", F.col("n") + 1)
+    grid = blocks.counted(points, "points", "i", size)
     return grid.select("rec", "i", F.coalesce(F.col("i") * F.col("duration") / F.nullif("n", F.lit(0)), F.lit(0.0)).alias("t"))
 
 
-def crop(samples: DataFrame, first: int) -> DataFrame:
+def renumber(samples: DataFrame, keys: tuple[str, ...] = ("rec",), size: int = blocks.BLOCK) -> DataFrame:
+    """Samples numbered anew from 0, without gaps."""
+    return blocks.numbered(samples.drop("_block"), "_k", keys, size).withColumn("idx", F.col("_k") - 1).drop("_k")
+
+
+def crop(samples: DataFrame, first: int, size: int = blocks.BLOCK) -> DataFrame:
     """Samples from number ``first`` on, numbered anew from 0."""
-    return samples.where(F.col("idx") >= first).withColumn("idx", F.row_number().over(by_sample()).cast("long") - 1)
+    return renumber(samples.where(F.col("idx") >= first), size=size)
 
 
 def decimate(samples: DataFrame, step: int = 600) -> DataFrame:
-    """Every ``step``-th sample, the first included."""
+    """Every ``step``-th sample, the first included; numbers stay as they are (see ``renumber``)."""
     return samples.where(F.col("idx") % step == 0)
 
 
-def resample_nearest(fast: DataFrame, slow: DataFrame, value: str) -> DataFrame:
+def resample_nearest(fast: DataFrame, slow: DataFrame, value: str, size: int = blocks.BLOCK) -> DataFrame:
     """(rec, j, idx, value): for each of the M samples of ``slow`` the one of N of ``fast`` at
     round(j * (N - 1) / (M - 1)), halves to even."""
     sizes = fast.groupBy("rec").agg(F.count("*").alias("n")).join(slow.groupBy("rec").agg(F.count("*").alias("m")), "rec")
-    grid = sizes.select("rec", "n", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("j"))
+    grid = blocks.counted(sizes, "m", "j", size)
     at = F.rint(F.col("j") * (F.col("n") - 1) / F.nullif(F.col("m") - 1, F.lit(0))).cast("long")
     grid = grid.select("rec", "j", F.coalesce(at, F.lit(0).cast("long")).alias("idx"))
     return grid.join(fast.select("rec", "idx", value), ["rec", "idx"])

@@ -5,26 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sampling import by_sample
+from . import blocks
 
 
-def moving_average(samples: DataFrame, channel: str, width: int, out: str) -> DataFrame:
-    """Adds out: the mean of the last ``width`` samples, fewer at the start; nulls are skipped."""
-    return samples.withColumn(out, F.avg(channel).over(by_sample().rowsBetween(1 - width, 0)))
+def moving_average(samples: DataFrame, channel: str, width: int, out: str, size: int = blocks.BLOCK) -> DataFrame:
+    """Adds out: the mean of the last ``width`` samples, fewer at the start; nulls are skipped.  Numbers have no gaps."""
+    rows = blocks.haloed(samples, width - 1, 0, size)
+    return rows.withColumn(out, F.avg(channel).over(blocks.in_block().rowsBetween(1 - width, 0))).where("_own").drop("_block", "_own")
 
 
-def hampel(samples: DataFrame, channel: str, out: str, half: int = 5, sigmas: float = 5.0) -> DataFrame:
+def hampel(samples: DataFrame, channel: str, out: str, half: int = 5, sigmas: float = 5.0, size: int = blocks.BLOCK) -> DataFrame:
     """Adds out: values further than sigmas * 1.4826 * MAD from the median of the window of
-    2 * half + 1 samples become that median; the first and last ``half`` samples stay."""
-    frame = by_sample().rowsBetween(-half, half)
-    rows = samples.withColumn("_window", F.collect_list(channel).over(frame)).withColumn("_size", F.count("*").over(frame))
+    2 * half + 1 samples become that median; the first and last ``half`` samples stay.  Numbers have no gaps."""
+    frame = blocks.in_block().rowsBetween(-half, half)
+    rows = blocks.haloed(samples, half, half, size).withColumn("_window", F.collect_list(channel).over(frame)).withColumn("_size", F.count("*").over(frame)).where("_own")
     middle = lambda a: (F.get(a, F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(a, F.floor(F.size(a) / 2).cast("int"))) / 2
     rows = rows.withColumn("_sorted", F.sort_array("_window"))
     rows = rows.withColumn("_median", middle("_sorted"))
     rows = rows.withColumn("_apart", F.sort_array(F.transform("_window", lambda v: F.abs(v - F.col("_median")))))
     rows = rows.withColumn("_mad", 1.4826 * middle("_apart"))
     odd = (F.col("_size") == 2 * half + 1) & (F.abs(F.col(channel) - F.col("_median")) > sigmas * F.col("_mad"))
-    return rows.withColumn(out, F.when(odd, F.col("_median")).otherwise(F.col(channel))).drop("_window", "_size", "_sorted", "_median", "_apart", "_mad")
+    return rows.withColumn(out, F.when(odd, F.col("_median")).otherwise(F.col(channel))).drop("_block", "_own", "_window", "_size", "_sorted", "_median", "_apart", "_mad")
 
 
 def detrend(samples: DataFrame, channel: str, out: str) -> DataFrame:
@@ -41,12 +42,8 @@ def median_deviation(samples: DataFrame, channel: str) -> DataFrame:
     return rows.groupBy("rec").agg(F.first("median").alias("median"), F.median(F.abs(F.col(channel) - F.col("median"))).alias("mad"))
 
 
-def local_maxima(samples: DataFrame, channel: str) -> DataFrame:
-    """(rec, idx, height): samples, or the middles of plateaus, higher than both neighbours."""
-    w = by_sample()
-    changed = F.coalesce((F.col(channel) != F.lag(channel).over(w)).cast("int"), F.lit(0))
-    runs = samples.withColumn("_run", F.sum(changed).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    runs = runs.groupBy("rec", "_run").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.min(channel).alias("height"))
-    order = Window.partitionBy("rec").orderBy("_run")
-    runs = runs.withColumn("before", F.lag("height").over(order)).withColumn("after", F.lead("height").over(order))
-    return runs.where("height > before and height > after").select("rec", F.floor((F.col("first") + F.col("last")) / 2).cast("long").alias("idx"), "height")
+def local_maxima(samples: DataFrame, channel: str, size: int = blocks.BLOCK) -> DataFrame:
+    """(rec, idx, height): samples, or the middles of plateaus, higher than both neighbours; none beside a missing sample."""
+    rows = blocks.runs(samples.select("rec", "idx", channel), channel, size=size).where("idx = _first")
+    found = rows.where((F.col(channel) > F.col("_prev.v")) & (F.col(channel) > F.col("_next.v")))
+    return found.select("rec", F.floor((F.col("idx") + F.col("_next.idx") - 1) / 2).cast("long").alias("idx"), F.col(channel).alias("height"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks
+
 # Behaviours that are marks and no states.
 NO_STATES = ("Entry in arena", "Gate opens", "Tail suspension")
 
@@ -43,17 +45,17 @@ def window_samples(events: DataFrame, samples: DataFrame, before: int, after: in
     return spread.join(right, (F.col("rec") == F.col("_rec")) & (F.col("_at") == F.col("_idx"))).drop("_rec", "_idx", "_at")
 
 
-def bout_stats(pairs: DataFrame, samples: DataFrame, value: str, around: int = 5) -> DataFrame:
+def bout_stats(pairs: DataFrame, samples: DataFrame, value: str, around: int = 5, size: int = blocks.BLOCK) -> DataFrame:
     """(rec, bout, idx_on, idx_off, mean, max, delta): of onset .. offset, both included, and the
     mean around the offset less that around the onset, windows clipped to the recording.
 
-    A bout that ends before it starts has nulls.
+    A bout that ends before it starts has nulls.  Numbers have no gaps.
     """
     keys = ["rec", "bout", "idx_on", "idx_off"]
-    inside = pairs.where("idx_off >= idx_on").withColumn("idx", F.explode(F.sequence("idx_on", "idx_off"))).join(samples.select("rec", "idx", value), ["rec", "idx"])
+    inside = blocks.within(samples.select("rec", "idx", value), pairs.select(*keys), "idx_on", "idx_off", size=size)
     inside = inside.groupBy(*keys).agg(F.avg(value).alias("mean"), F.max(value).alias("max"))
-    nearby = F.avg(value).over(Window.partitionBy("rec").orderBy("idx").rowsBetween(-around, around))
-    local = samples.select("rec", "idx", nearby.alias("local"))
+    nearby = F.avg(value).over(blocks.in_block().rowsBetween(-around, around))
+    local = blocks.haloed(samples.select("rec", "idx", value), around, around, size).withColumn("local", nearby).where("_own").select("rec", "idx", "local")
     on = local.select("rec", F.col("idx").alias("idx_on"), F.col("local").alias("at_on"))
     off = local.select("rec", F.col("idx").alias("idx_off"), F.col("local").alias("at_off"))
     rows = pairs.join(inside, keys, "left").join(on, ["rec", "idx_on"], "left").join(off, ["rec", "idx_off"], "left")

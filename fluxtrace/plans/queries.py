@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import align, artifacts, dff, edges, fill, kernels, peth, runs, sampling, smooth, stats, transients
+from ..operators import align, artifacts, blocks, dff, edges, fill, kernels, peth, runs, sampling, smooth, stats, transients
 from ..sources import manifest, upsert
 from .fixtures import ARTIFACTS, BOUTS_SQL, E_SQL, EDGES_SQL, INTERVALS, L_SQL, RATE, rec_e, rec_l, subjects, table, values_sql
 from .fixtures import artifacts as artifact_rows
@@ -106,31 +106,31 @@ def _runs_sql(source: str, name: str, target: int, least: int, most: int) -> str
 
 
 def _fused(spark, sf_dir, least):
-    return runs.fuse(rec_e(spark, sf_dir).select("rec", "idx", "level"), 0.3, RATE, least)
+    return runs.fuse(blocks.deal(rec_e(spark, sf_dir).select("rec", "idx", "level")), 0.3, RATE, least)
 
 
 @query(f"with {E_SQL}, {_runs_sql('rec_e', 'fused', 0, 2, 3)} select rec, idx, level from fused")
 def q_fuse_behav(spark, sf_dir):
     """Gap fusion of scored behaviour."""
-    return _fused(spark, sf_dir, runs.BEHAVIOUR)
+    return _fused(spark, sf_dir, runs.BEHAVIOUR).drop("_block")
 
 
 @query(f"with {E_SQL}, {_runs_sql('rec_e', 'fused', 0, 2, 3)}, {_runs_sql('fused', 'pruned', 1, 2, 4)} select rec, idx, level from pruned")
 def q_prune_behav(spark, sf_dir):
     """Short bouts of scored behaviour cleared, after fusion."""
-    return runs.prune(_fused(spark, sf_dir, runs.BEHAVIOUR), 0.4, RATE, runs.BEHAVIOUR)
+    return runs.prune(_fused(spark, sf_dir, runs.BEHAVIOUR), 0.4, RATE, runs.BEHAVIOUR).drop("_block")
 
 
 @query(f"with {E_SQL}, {_runs_sql('rec_e', 'fused', 0, 1, 3)} select rec, idx, level from fused")
 def q_fuse_sniff(spark, sf_dir):
     """Gap fusion of respiration intervals."""
-    return _fused(spark, sf_dir, runs.SNIFFS)
+    return _fused(spark, sf_dir, runs.SNIFFS).drop("_block")
 
 
 @query(f"with {E_SQL}, {_runs_sql('rec_e', 'fused', 0, 1, 3)}, {_runs_sql('fused', 'pruned', 1, 1, 4)} select rec, idx, level from pruned")
 def q_prune_sniff(spark, sf_dir):
     """Short respiration intervals cleared, after fusion."""
-    return runs.prune(_fused(spark, sf_dir, runs.SNIFFS), 0.4, RATE, runs.SNIFFS)
+    return runs.prune(_fused(spark, sf_dir, runs.SNIFFS), 0.4, RATE, runs.SNIFFS).drop("_block")
 
 
 @query(f"with {E_SQL}, {EDGES_SQL}, {BOUTS_SQL} select rec, bout, idx_on, idx_off from bouts where idx_off - idx_on > 1 and idx_off - idx_on >= 3")
