@@ -325,26 +325,22 @@ def high_pass(samples: DataFrame, channel: str, cut: float, rate: float, order:
 def space_peaks(maxima: DataFrame, rate: float, seconds: float = 0.5, size: int = 16 * blocks.BLOCK) -> DataFrame:
     """(rec, idx, height): peaks, the highest first, at least ceil(seconds * rate) samples apart.
 
-    Peaks further apart than that never meet, so a recording's fall into chains.  A peak alone in its
-    chain stays; the chains that begin in one block of ``size`` sample numbers make a group.  Only a
+    Peaks further apart than that never meet, so a recording's fall into chains, and the
+    chains that begin in one block of ``size`` sample numbers make a group.  Only a
     chain without such a gap, of one peak in every ceil(seconds * rate) samples throughout, is as
     long as its recording.  Of equal peaks at one place one stays.
     """
     distance = math.ceil(seconds * rate)
-    rows = maxima.select("rec", "idx", "height")
-    found = blocks.Carried(rows, size=size).lag("_before", F.col("idx")).next("_after", F.col("idx"), after=True).frame()
+    rows = blocks.Carried(blocks.deal(maxima.select("rec", "idx", "height"), size=size)).lag("_before", F.col("idx")).frame()
     starts = F.col("_before").isNull() | (F.col("idx") - F.col("_before") >= distance)
-    ends = F.col("_after").isNull() | (F.col("_after") - F.col("idx") >= distance)
-    found = found.withColumn("_starts", starts).withColumn("_ends", ends)
-    alone = found.where("_starts and _ends").select("rec", "idx", "height")
-    chained = blocks.Carried(found.where("not (_starts and _ends)"), size=size).last("_chain", F.when(F.col("_starts"), F.col("idx"))).frame()
+    chained = blocks.Carried(rows).last("_chain", F.when(starts, F.col("idx"))).frame()
 
     def kernel(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("idx", kind="stable")[["rec", "idx", "height"]]
         return frame[suppress_near(frame["idx"].to_numpy(), frame["height"].to_numpy(float), distance)]
 
     groups = chained.withColumn("_group", blocks.block_of("_chain", size)).groupBy("rec", "_group")
-    return alone.unionByName(groups.applyInPandas(kernel, rows.schema))
+    return groups.applyInPandas(kernel, f"rec {_rec_type(maxima)}, idx long, height double")
 
 
 def spectrum(samples: DataFrame, channel: str, rate: float, size: int = 1024) -> DataFrame:
