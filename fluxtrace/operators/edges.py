@@ -18,11 +18,6 @@ def derive_filled(states: DataFrame, level: str = "level", keys: tuple[str, ...]
     return derive(states, level, keys, size).withColumn("edge", F.coalesce("edge", F.lit(0)))
 
 
-def _numbered(edges: DataFrame, sign: int, name: str, keys: tuple[str, ...], size: int) -> DataFrame:
-    rows = blocks.numbered(edges.where(F.col("edge") == sign).select(*keys, "idx"), "bout", keys, size)
-    return rows.select(*keys, "bout", F.col("idx").alias(name))
-
-
 def bouts(edges: DataFrame, keys: tuple[str, ...] = ("rec",), strict: bool = False, size: int = blocks.BLOCK) -> DataFrame:
     """(keys, bout, idx_on, idx_off): the k-th onset with the k-th offset.
 
@@ -33,7 +28,10 @@ def bouts(edges: DataFrame, keys: tuple[str, ...] = ("rec",), strict: bool = Fal
         marked = blocks.Carried(edges.where("edge <> 0").select(*keys, "idx", "edge"), keys, size)
         found = marked.next("idx_off", F.when(F.col("edge") == -1, F.col("idx")), after=True).frame().where("edge = 1 and idx_off is not null")
         return blocks.numbered(found, "bout", keys, size).select(*keys, "bout", F.col("idx").alias("idx_on"), "idx_off")
-    return _numbered(edges, 1, "idx_on", keys, size).join(_numbered(edges, -1, "idx_off", keys, size), [*keys, "bout"])
+    on, off = F.col("edge") == 1, F.col("edge") == -1
+    marked = blocks.Carried(edges.where(on | off).select(*keys, "idx", "edge"), keys, size).total("_on", on.cast("long")).total("_off", off.cast("long")).frame()
+    pairs = marked.groupBy(*keys, F.when(on, F.col("_on")).otherwise(F.col("_off")).alias("bout")).agg(F.max(F.when(on, F.col("idx"))).alias("idx_on"), F.max(F.when(off, F.col("idx"))).alias("idx_off"))
+    return pairs.where("idx_on is not null and idx_off is not null")
 
 
 def long_enough(pairs: DataFrame, least_s: float, rate: float) -> DataFrame:

@@ -38,11 +38,29 @@ def period_means(samples: DataFrame, mark: Column, idle: Column, value: str) ->
     return rows.groupBy("rec").agg(F.first("start").alias("start"), mean(F.col("idx") <= F.col("start")).alias("baseline"), mean((F.col("idx") >= F.col("start")) & idle).alias("post_baseline"), mean(idle).alias("mean_idle"))
 
 
-def window_samples(events: DataFrame, samples: DataFrame, before: int, after: int, value: str, at: str = "idx") -> DataFrame:
-    """Each event with the samples before .. after around it, by equi-join on the sample number; adds rel_idx and value."""
-    spread = events.withColumn("rel_idx", F.explode(F.sequence(F.lit(before), F.lit(after)))).withColumn("_at", F.col(at) + F.col("rel_idx"))
-    right = samples.select(F.col("rec").alias("_rec"), F.col("idx").alias("_idx"), F.col(value).alias("value"))
-    return spread.join(right, (F.col("rec") == F.col("_rec")) & (F.col("_at") == F.col("_idx"))).drop("_rec", "_idx", "_at")
+#: Samples of the arrays that events are joined with.
+ARRAY = 1024
+
+
+def window_samples(events: DataFrame, samples: DataFrame, before: int, after: int, value: str, at: str = "idx", size: int = ARRAY) -> DataFrame:
+    """Each event with the samples before .. after around it; adds rel_idx and value.
+
+    Samples are packed into arrays of ``size`` numbers; an event is joined with the few arrays that its
+    window touches, by recording and array number, and what lies outside is cut off before the
+    rest is unpacked.  The join gets rows in proportion to events, not to their windows.
+    """
+    lo, hi = F.col(at) + before, F.col(at) + after
+    held = samples.where("rec is not null and idx is not null").groupBy(F.col("rec").alias("_rec"), blocks.block_of("idx", size).alias("_array"))
+    held = held.agg(F.sort_array(F.collect_list(F.struct(F.col("idx").alias("_idx"), F.col(value).alias("value")))).alias("_held"))
+    touched = events.withColumn("_array", F.explode(F.sequence(blocks.block_of(lo, size), blocks.block_of(hi, size))))
+    rows = touched.alias("e").join(held.alias("h"), (F.col("e.rec") == F.col("h._rec")) & (F.col("e._array") == F.col("h._array"))).drop("_rec", "_array")
+    # Numbers rise by one at least from place to place, which bounds the places of lo and hi from both ends.
+    n = F.size("_held")
+    first = F.greatest(F.lit(1).cast("long"), n - (F.element_at("_held", -1)["_idx"] - lo))
+    last = F.least(n.cast("long"), hi - F.element_at("_held", 1)["_idx"] + 1)
+    part = F.slice("_held", first.cast("int"), F.greatest(F.lit(0).cast("long"), last - first + 1).cast("int"))
+    rows = rows.withColumn("_s", F.explode(part)).where(F.col("_s._idx").between(lo, hi))
+    return rows.select(*events.columns, (F.col("_s._idx") - F.col(at)).cast("int").alias("rel_idx"), F.col("_s.value").alias("value"))
 
 
 def bout_stats(pairs: DataFrame, samples: DataFrame, value: str, around: int = 5, size: int = blocks.BLOCK) -> DataFrame:

@@ -150,3 +150,25 @@ def test_rows_without_a_recording_or_number_are_left_out(spark):
     rows = spark.createDataFrame([(None, 0, 0.0, 1.0, 1), (1, None, 0.0, 1.0, 1), (1, 0, 0.0, 1.0, 1)], SCHEMA)
     assert [tuple(r) for r in edges.derive(rows).select("rec", "idx", "edge").collect()] == [(1, 0, None)]
     assert edges.derive(rows.limit(0)).count() == 0 == runs.fuse(rows.limit(0), 1, 10).count()
+
+
+@pytest.mark.parametrize("size", [1, 7, 100, 1024])
+def test_windows_around_events_come_from_arrays(spark, samples, size):
+    events = spark.createDataFrame([(0, 1, 0), (0, 2, 3), (0, 3, 99), (0, 3, 99), (0, 4, 449), (1, 1, 60), (2, 1, 0), (3, 1, 5000), (9, 1, 1), (None, 1, 1), (1, 2, None)], "rec long, bout long, idx long")
+    gaps = samples.where("idx % 13 != 5 and idx % 100 < 80")
+    for rows in (samples, gaps):
+        for before, after in ((-20, 30), (0, 0), (5, 9), (-500, 500)):
+            e, s = events.alias("e"), rows.alias("s")
+            inside = (F.col("e.rec") == F.col("s.rec")) & (F.col("s.idx") - F.col("e.idx")).between(before, after)
+            theirs = e.join(s, inside).select("e.rec", "bout", "e.idx", (F.col("s.idx") - F.col("e.idx")).cast("int").alias("rel_idx"), F.col("x").alias("value"))
+            same(stats.window_samples(events, rows, before, after, "x", size=size), theirs)
+
+
+def test_events_are_joined_in_proportion_to_their_number(spark):
+    samples = spark.range(20_000).select(F.lit(0).cast("long").alias("rec"), F.col("id").alias("idx"), F.col("id").cast("double").alias("x"))
+    events = spark.range(5).select(F.lit(0).cast("long").alias("rec"), F.col("id").alias("bout"), (F.col("id") * 3000 + 3000).alias("idx"))
+    out = stats.window_samples(events, samples, -300, 3000, "x")
+    assert out.count() == 5 * 3301
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    below = text[text.index("Join") :]
+    assert below.count("Generate") == 1 and "sequence(" in below  # the events' arrays; windows are unpacked above the join
