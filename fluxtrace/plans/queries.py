@@ -713,43 +713,65 @@ def q_unpivot(spark, sf_dir):
     return wide.unpivot(["rec", "idx"], ["a", "b"], "name", "level")
 
 
-_KNOWN = [("f1", "[(1.5, 2), (3.0, 4.25)]"), ("f2", "[]"), ("f3", "[[0.5, 0.75]]")]
-_NEWER = [("f2", "[(9.0, 10.0)]"), ("f4", "[(2.0, 2.5)]")]
+_SHEET = "select 'f' || (user_id % 500)::varchar as filecode, event_id as k, value as v, user_id, event_type from events"
 
 
-@query(f"select * from (values {values_sql([_KNOWN[0], _KNOWN[2], *_NEWER])}) t(filecode, artifacts)")
+def _lists_sql(which: str) -> str:
+    return f"""sheet as ({_SHEET}), lists as (
+    select filecode, '[' || string_agg(format('({{:.2f}}, {{:.2f}})', v, v + 1.25), ', ' order by k) || ']' as artifacts
+    from sheet where {which} group by filecode)"""
+
+
+def _lists(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    """(filecode, artifacts): interval lists as text, as a sheet of artifacts has them, written from some events' values."""
+    rows = table(spark, sf_dir, "events").where(which).select(F.concat(F.lit("f"), (F.col("user_id") % 500).cast("string")).alias("filecode"), "event_id", F.format_string("(%.2f, %.2f)", "value", F.col("value") + 1.25).alias("one"))
+    rows = rows.groupBy("filecode").agg(F.sort_array(F.collect_list(F.struct("event_id", "one"))).alias("all"))
+    return rows.select("filecode", F.concat(F.lit("["), F.array_join(F.transform("all", lambda x: x["one"]), ", "), F.lit("]")).alias("artifacts"))
+
+
+@query(f"""with known as (with {_lists_sql("event_type = 'click'")} select * from lists), newer as (with {_lists_sql("event_type = 'error' and user_id % 500 < 300")} select * from lists)
+select * from known where filecode not in (select filecode from newer) union all select * from newer""")
 def q_upsert_artifacts(spark, sf_dir):
     """Rows replaced or added by their key."""
-    schema = "filecode string, artifacts string"
-    return upsert.merged(spark.createDataFrame(_KNOWN, schema), spark.createDataFrame(_NEWER, schema), ["filecode"])
+    return upsert.merged(_lists(spark, sf_dir, "event_type = 'click'"), _lists(spark, sf_dir, "event_type = 'error' and user_id % 500 < 300"), ["filecode"])
 
 
-_SNIFFS = [("m1", "CD", "Clean", 1, "[1, 2]"), ("m1", "CD", "HC", 1, "[3, 4]"), ("m2", "HFD", "Clean", 2, "[5, 6]")]
-_SNIFFS_NEW = [("m1", "CD", "HC", 1, "[7, 8]"), ("m2", "HFD", "Clean", 3, "[9, 9]")]
+_STIMS = """select user_id % 500 as subject, case when user_id % 3 = 0 then null else 'g' || (user_id % 3)::varchar end as grp, event_type as odor, max(event_id) as last, count(*) as n
+from events where {} group by all"""
 
 
-@query(f"select * from (values {values_sql([_SNIFFS[0], _SNIFFS[2], *_SNIFFS_NEW])}) t(subject, grp, odor, n, stim)")
+def _stims(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    """(subject, grp, odor, last, n) of some events; every third subject's group is null."""
+    rows = table(spark, sf_dir, "events").where(which).select((F.col("user_id") % 500).alias("subject"), F.when(F.col("user_id") % 3 != 0, F.concat(F.lit("g"), (F.col("user_id") % 3).cast("string"))).alias("grp"), F.col("event_type").alias("odor"), "event_id")
+    return rows.groupBy("subject", "grp", "odor").agg(F.max("event_id").alias("last"), F.count("*").alias("n"))
+
+
+@query(f"""with known as ({_STIMS.format("event_id % 2 = 0")}), newer as (select *, last * 2 as twice from ({_STIMS.format("event_id % 3 = 0 and value < 60")}))
+select k.*, null::bigint as twice from known k where not exists (select 1 from newer n where n.subject is not distinct from k.subject and n.grp is not distinct from k.grp and n.odor is not distinct from k.odor)
+union all select * from newer""")
 def q_upsert_sniffs(spark, sf_dir):
-    """K6: rows replaced or added by four keys."""
-    schema = "subject string, grp string, odor string, n int, stim string"
-    return upsert.merged(spark.createDataFrame(_SNIFFS, schema), spark.createDataFrame(_SNIFFS_NEW, schema), ["subject", "grp", "odor", "n"])
+    """K6: rows replaced or added by several keys, nulls among them, with a column that only newer rows have."""
+    newer = _stims(spark, sf_dir, "event_id % 3 = 0 and value < 60").withColumn("twice", F.col("last") * 2)
+    return upsert.merged(_stims(spark, sf_dir, "event_id % 2 = 0"), newer, ["subject", "grp", "odor"])
 
 
-@query("""select f as filecode, i as k, a as start_s, b as stop_s from (values ('f1', 0::bigint, 1.5::double, 2.0::double), ('f1', 1, 3.0, 4.25), ('f3', 0, 0.5, 0.75)) t(f, i, a, b)""")
+@query(f"with sheet as ({_SHEET}) select filecode, row_number() over (partition by filecode order by k) - 1 as k, format('{{:.2f}}', v)::double as start_s, format('{{:.2f}}', v + 1.25)::double as stop_s from sheet where event_type = 'click'")
 def q_parse_intervals(spark, sf_dir):
     """Interval lists read from text."""
-    rows = spark.createDataFrame(_KNOWN, "filecode string, artifacts string").select("filecode", F.posexplode(S.parse_intervals(F.col("artifacts"))).alias("k", "pair"))
+    rows = _lists(spark, sf_dir, "event_type = 'click'").select("filecode", F.posexplode(S.parse_intervals(F.col("artifacts"))).alias("k", "pair"))
     return rows.select("filecode", F.col("k").cast("long").alias("k"), F.get("pair", F.lit(0)).alias("start_s"), F.get("pair", F.lit(1)).alias("stop_s"))
 
 
-_NAMES = ["behav_0_m1.csv", "x_1_m2_m2.csv", "x_9_m3_m3.csv", "a_b_c.csv", "m4_m4.csv", "single.csv"]
-
-
-@query("select * from (values ('behav_0_m1.csv', 'behav_0_m1.csv', 'keep', true), ('x_1_m2_m2.csv', 'behav_1_m2.csv', 'rename', false), ('x_9_m3_m3.csv', 'behav_0_m3.csv', 'rename', false), ('a_b_c.csv', null, 'delete', false), ('m4_m4.csv', 'behav_0_m4.csv', 'rename', false), ('single.csv', null, 'delete', false)) t(old_name, new_name, action, scored)")
+@query("""with names as (select s_suppkey % 6 as kind, s_suppkey % 2 as code, 'm' || s_suppkey::varchar as m from supplier)
+select case kind when 0 then 'behav_' || code || '_' || m || '.csv' when 1 then 'x_1_' || m || '_' || m || '.csv' when 2 then 'x_9_' || m || '_' || m || '.csv' when 3 then 'a_b_' || m || '.csv' when 4 then m || '_' || m || '.csv' else m || '.csv' end as old_name,
+       case kind when 0 then 'behav_' || code || '_' || m || '.csv' when 1 then 'behav_1_' || m || '.csv' when 2 then 'behav_0_' || m || '.csv' when 4 then 'behav_0_' || m || '.csv' end as new_name,
+       case when kind = 0 then 'keep' when kind in (1, 2, 4) then 'rename' else 'delete' end as action, kind = 0 as scored from names""")
 def q_rename_plan(spark, sf_dir):
-    """What would become of scored files' names."""
+    """What would become of scored files' names, made from suppliers' numbers."""
+    m, kind = F.concat(F.lit("m"), F.col("s_suppkey").cast("string")), F.col("s_suppkey") % 6
+    forms = [F.concat(F.lit("behav_"), (F.col("s_suppkey") % 2).cast("string"), F.lit("_"), m), F.concat(F.lit("x_1_"), m, F.lit("_"), m), F.concat(F.lit("x_9_"), m, F.lit("_"), m), F.concat(F.lit("a_b_"), m), F.concat(m, F.lit("_"), m), m]
+    rows = table(spark, sf_dir, "supplier").select(F.concat(F.get(F.array(*forms), kind.cast("int")), F.lit(".csv")).alias("old_name"))
     new, action = S.renamed(F.col("old_name"))
-    rows = spark.createDataFrame([(n,) for n in _NAMES], "old_name string")
     return rows.select("old_name", new.alias("new_name"), action.alias("action"), F.col("old_name").startswith("behav_").alias("scored"))
 
 
@@ -780,9 +802,11 @@ def q_first_two(spark, sf_dir):
     return peth.first_events(events, 2).select("rec", "idx")
 
 
-@query("select e.event, w.pre, w.post from (select unnest(['onset', 'withdrawal']) as event, unnest([1, 2]) as k) e join (select unnest([5, 3]) as pre, unnest([30, 10]) as post, unnest([1, 2]) as k) w using (k)")
+@query("""with lists as (select user_id, list(event_type order by event_id) as events, list(value order by event_id) as windows from events group by user_id)
+select user_id, k, events[k + 1] as event, round(windows[k + 1], 6) as pre from (select *, unnest(range(len(events))) as k from lists)""")
 def q_event_windows(spark, sf_dir):
-    """Parallel lists zipped."""
-    lists = spark.createDataFrame([(["onset", "withdrawal"], [[5, 30], [3, 10]])], "events array<string>, windows array<array<int>>")
-    rows = lists.select(F.explode(F.arrays_zip("events", "windows")).alias("z"))
-    return rows.select(F.col("z.events").alias("event"), F.get("z.windows", F.lit(0)).alias("pre"), F.get("z.windows", F.lit(1)).alias("post"))
+    """Parallel lists zipped: each user's events with their windows."""
+    each = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type", "value"))).alias("all"))
+    lists = each.select("user_id", F.transform("all", lambda x: x["event_type"]).alias("events"), F.transform("all", lambda x: x["value"]).alias("windows"))
+    rows = lists.select("user_id", F.posexplode(F.arrays_zip("events", "windows")).alias("k", "z"))
+    return rows.select("user_id", F.col("k").cast("long").alias("k"), F.col("z.events").alias("event"), F.round("z.windows", 6).alias("pre"))
