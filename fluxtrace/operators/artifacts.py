@@ -52,9 +52,8 @@ def remove_artifacts(samples: DataFrame, artifacts: DataFrame, channel: str, met
         raise ValueError("method must be 'mean' or 'fit'")
     rows = in_segments(samples, segments(samples, artifacts))
     if method == "mean":
-        mean = F.avg(channel).over(Window.partitionBy("rec", "k"))
-        clean = (F.col(channel) - mean) / F.nullif(mean, F.lit(0.0)) * 100
-        return rows.withColumn("clean", F.when(F.col("k").isNotNull(), clean))
+        clean = (F.col(channel) - F.col("_mean")) / F.nullif(F.col("_mean"), F.lit(0.0)) * 100
+        return blocks.with_totals(rows, ("rec", "k"), _mean=F.avg(channel)).withColumn("clean", clean).drop("_mean")
     terms = fit_terms(rows.where("k is not null"), control, channel, ("rec", "k"))
     rows = rows.join(terms, ["rec", "k"], "left").withColumn("fit", F.col("slope") * F.col(control) + F.col("intercept"))
     return rows.withColumn("clean", (F.col(channel) - F.col("fit")) / F.nullif("fit", F.lit(0.0)) * 100).drop("slope", "intercept")
@@ -64,7 +63,7 @@ def dff_or_default(samples: DataFrame, artifacts: DataFrame, channel: str) -> Da
     """Adds clean: by segments where a recording has artifacts, else by the whole recording's mean."""
     have = artifacts.select("rec").distinct().withColumn("listed", F.lit(True))
     rows = samples.join(have, "rec", "left")
-    whole = F.avg(channel).over(Window.partitionBy("rec"))
-    plain = rows.where("listed is null").withColumn("clean", (F.col(channel) - whole) / F.nullif(whole, F.lit(0.0)) * 100)
+    plain = blocks.with_totals(rows.where("listed is null"), ("rec",), _mean=F.avg(channel))
+    plain = plain.withColumn("clean", (F.col(channel) - F.col("_mean")) / F.nullif(F.col("_mean"), F.lit(0.0)) * 100).drop("_mean")
     cut = remove_artifacts(rows.where("listed"), artifacts, channel)
     return plain.drop("listed").unionByName(cut.drop("listed", "k"))

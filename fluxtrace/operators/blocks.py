@@ -154,6 +154,16 @@ def runs(samples: DataFrame, value: str, keys: tuple[str, ...] = ("rec",), size:
     return rows.select(*samples.columns, "_first", "_next", "_prev")
 
 
+def with_totals(samples: DataFrame, keys: tuple[str, ...], **totals: Column) -> DataFrame:
+    """Samples with aggregates over their whole recording, joined by key.
+
+    A window would hold the recording in one task.  Of the join's sides one has a row a key: Spark
+    sends it to all tasks if it is small, and else splits a key with many samples.  Samples
+    whose key is null get nulls.
+    """
+    return samples.join(samples.groupBy(*keys).agg(*(value.alias(name) for name, value in totals.items())), list(keys), "left")
+
+
 def haloed(samples: DataFrame, before: int, after: int, size: int = BLOCK) -> DataFrame:
     """Samples with _block and _own; those up to ``before`` numbers ahead of a block, or ``after`` beyond it,
     are repeated there with _own false.  Frames of rows within a block then see what they would in the

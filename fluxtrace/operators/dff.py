@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _rec() -> Window:
-    return Window.partitionBy("rec")
+from . import blocks
 
 
 def dff_mean(samples: DataFrame, *channels: str) -> DataFrame:
     """Adds <channel>_dff = (x - mean) / mean * 100 by recording; nulls are skipped, a mean of 0 gives null."""
-    for c in channels:
-        mean = F.avg(c).over(_rec())
-        samples = samples.withColumn(f"{c}_dff", (F.col(c) - mean) / F.nullif(mean, F.lit(0.0)) * 100)
-    return samples
+    rows = blocks.with_totals(samples, ("rec",), **{f"_mean_{c}": F.avg(c) for c in channels})
+    change = {f"{c}_dff": (F.col(c) - F.col(f"_mean_{c}")) / F.nullif(F.col(f"_mean_{c}"), F.lit(0.0)) * 100 for c in channels}
+    return rows.withColumns(change).drop(*(f"_mean_{c}" for c in channels))
 
 
 def fit_terms(samples: DataFrame, ctrl: str = "ctrl", sig: str = "sig", keys: tuple[str, ...] = ("rec",)) -> DataFrame:
@@ -25,6 +22,6 @@ def fit_terms(samples: DataFrame, ctrl: str = "ctrl", sig: str = "sig", keys: tu
 
 def dff_fit(samples: DataFrame, ctrl: str = "ctrl", sig: str = "sig") -> DataFrame:
     """Adds fit (the fitted control) and denoised = (signal - fit) / fit * 100."""
-    fitted = F.regr_slope(sig, ctrl).over(_rec()) * F.col(ctrl) + F.regr_intercept(sig, ctrl).over(_rec())
-    samples = samples.withColumn("fit", fitted)
-    return samples.withColumn("denoised", (F.col(sig) - F.col("fit")) / F.nullif("fit", F.lit(0.0)) * 100)
+    rows = blocks.with_totals(samples, ("rec",), _slope=F.regr_slope(sig, ctrl), _intercept=F.regr_intercept(sig, ctrl))
+    rows = rows.withColumn("fit", F.col("_slope") * F.col(ctrl) + F.col("_intercept")).drop("_slope", "_intercept")
+    return rows.withColumn("denoised", (F.col(sig) - F.col("fit")) / F.nullif("fit", F.lit(0.0)) * 100)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
@@ -19,7 +19,8 @@ def interpolate(samples: DataFrame, channel: str, out: str, size: int = blocks.B
 
 def mean_pad(samples: DataFrame, channel: str, out: str) -> DataFrame:
     """Adds out: the channel with the recording's mean for what is missing."""
-    return samples.withColumn(out, F.coalesce(F.col(channel), F.avg(channel).over(Window.partitionBy("rec"))))
+    rows = blocks.with_totals(samples, ("rec",), _mean=F.avg(channel))
+    return rows.withColumn(out, F.coalesce(F.col(channel), "_mean")).drop("_mean")
 
 
 def zero_to_null(samples: DataFrame, *columns: str) -> DataFrame:

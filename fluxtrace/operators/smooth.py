@@ -30,16 +30,42 @@ def hampel(samples: DataFrame, channel: str, out: str, half: int = 5, sigmas: fl
 
 def detrend(samples: DataFrame, channel: str, out: str) -> DataFrame:
     """Adds out: the channel without its least-squares line over the sample number."""
-    rec = Window.partitionBy("rec")
-    line = F.regr_slope(channel, "idx").over(rec) * F.col("idx") + F.regr_intercept(channel, "idx").over(rec)
-    return samples.withColumn(out, F.col(channel) - line)
+    rows = blocks.with_totals(samples, ("rec",), _slope=F.regr_slope(channel, "idx"), _intercept=F.regr_intercept(channel, "idx"))
+    return rows.withColumn(out, F.col(channel) - (F.col("_slope") * F.col("idx") + F.col("_intercept"))).drop("_slope", "_intercept")
 
 
-def median_deviation(samples: DataFrame, channel: str) -> DataFrame:
-    """(rec, median, mad): the median and the unscaled median absolute deviation."""
-    median = samples.groupBy("rec").agg(F.median(channel).alias("median"))
-    rows = samples.join(median, "rec")
-    return rows.groupBy("rec").agg(F.first("median").alias("median"), F.median(F.abs(F.col(channel) - F.col("median"))).alias("mad"))
+#: Bins that a recording's values are counted in.
+BINS = 1 << 16
+
+
+def medians(values: DataFrame, bins: int = BINS) -> DataFrame:
+    """(rec, median) of values (rec, v), the mean of the middle two of an even number; nulls don't count, and without a value there is none.
+
+    Exact, by selection: a count in equal bins between a recording's least and greatest value finds those
+    that hold the middle two, and only these bins' values are counted one by one.  An aggregate would hold all
+    distinct values of a recording in one buffer; here a task holds a recording's bins, or one bin's values.
+    """
+    rows = values.select("rec", F.col("v").cast("double").alias("v")).where("v is not null")
+    ends = rows.groupBy("rec").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    ends = ends.withColumn("first", F.floor((F.col("n") - 1) / 2)).withColumn("second", F.floor(F.col("n") / 2))
+    share = (F.col("v") / 2 - F.col("lo") / 2) / F.nullif(F.col("hi") / 2 - F.col("lo") / 2, F.lit(0.0))
+    rows = rows.join(ends, "rec").withColumn("bin", F.coalesce(F.least(F.floor(F.nanvl(share, F.lit(0.0)) * bins), F.lit(bins - 1)), F.lit(0)).cast("long"))
+    counts = rows.groupBy("rec", "bin").agg(F.count("*").alias("c"), F.first("first").alias("first"), F.first("second").alias("second"))
+    holds = lambda rank: (F.col("before") <= F.col(rank)) & (F.col(rank) < F.col("before") + F.col("c"))
+    counts = counts.withColumn("before", F.sum("c").over(Window.partitionBy("rec").orderBy("bin")) - F.col("c"))
+    middle = counts.where(holds("first") | holds("second")).select("rec", "bin", F.col("before").alias("ahead"))
+    each = rows.join(middle, ["rec", "bin"]).groupBy("rec", "bin", "v").agg(F.count("*").alias("c"), F.first("ahead").alias("ahead"), F.first("first").alias("first"), F.first("second").alias("second"))
+    each = each.withColumn("before", F.col("ahead") + F.sum("c").over(Window.partitionBy("rec", "bin").orderBy("v")) - F.col("c"))
+    found = each.groupBy("rec").agg(F.max(F.when(holds("first"), F.col("v"))).alias("a"), F.max(F.when(holds("second"), F.col("v"))).alias("b"))
+    return found.select("rec", (F.col("a") * 0.5 + F.col("b") * 0.5).alias("median"))
+
+
+def median_deviation(samples: DataFrame, channel: str, bins: int = BINS) -> DataFrame:
+    """(rec, median, mad): the median and the unscaled median absolute deviation; nulls without a value."""
+    median = medians(samples.select("rec", F.col(channel).alias("v")), bins)
+    apart = samples.join(median, "rec").select("rec", F.abs(F.col(channel) - F.col("median")).alias("v"))
+    rows = samples.select("rec").distinct().join(median, "rec", "left")
+    return rows.join(medians(apart, bins).withColumnRenamed("median", "mad"), "rec", "left")
 
 
 def local_maxima(samples: DataFrame, channel: str, size: int = blocks.BLOCK) -> DataFrame:

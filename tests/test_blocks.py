@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fluxtrace.operators import align, artifacts, blocks, edges, fill, runs, sampling, smooth, stats
+from fluxtrace.operators import align, artifacts, blocks, dff, edges, fill, runs, sampling, smooth, stats
 
 SIZES = [1, 7, 100, 4096]
 SCHEMA = "rec long, idx long, time_s double, x double, level int"
@@ -172,3 +172,24 @@ def test_events_are_joined_in_proportion_to_their_number(spark):
     text = out._jdf.queryExecution().optimizedPlan().toString()
     below = text[text.index("Join") :]
     assert below.count("Generate") == 1 and "sequence(" in below  # the events' arrays; windows are unpacked above the join
+
+
+@pytest.mark.parametrize("bins", [1, 3, 1 << 16])
+def test_medians_are_exact(spark, samples, bins):
+    rng = random.Random(8)
+    rows = [(r, v) for r, n in ((0, 1), (1, 2), (2, 99), (3, 100)) for v in [rng.choice([0.1, 0.2, 7.0, -3.25]) for _ in range(n)]]
+    rows += [(4, 5.0)] * 7 + [(5, 1e308), (5, -1e308), (5, 0.25), (5, float("inf")), (6, None)] + [(7, 1e30)] + [(7, i / 1000) for i in range(500)]
+    values = spark.createDataFrame(rows, "rec long, v double").repartition(4)
+    assert sorted(map(tuple, smooth.medians(values, bins).collect())) == sorted(map(tuple, values.groupBy("rec").agg(F.median("v").alias("m")).where("m is not null").collect()))
+    whole = samples.join(samples.groupBy("rec").agg(F.median("x").alias("median")), "rec").groupBy("rec").agg(F.first("median").alias("median"), F.median(F.abs(F.col("x") - F.col("median"))).alias("mad"))
+    same(smooth.median_deviation(samples, "x", bins), whole)
+
+
+def test_totals_of_recordings(spark, samples):
+    rec = Window.partitionBy("rec")
+    some = samples.where("rec < 4 and rec <> 2")
+    rounded = lambda frame, *names: frame.withColumns({n: F.round(n, 8) for n in names})
+    same(rounded(dff.dff_mean(some, "x", "idx"), "x_dff", "idx_dff"), rounded(some.withColumns({f"{c}_dff": (F.col(c) - F.avg(c).over(rec)) / F.nullif(F.avg(c).over(rec), F.lit(0.0)) * 100 for c in ("x", "idx")}), "x_dff", "idx_dff"))
+    same(rounded(fill.mean_pad(some, "x", "y"), "y"), rounded(some.withColumn("y", F.coalesce("x", F.avg("x").over(rec))), "y"))
+    line = F.regr_slope("x", "idx").over(rec) * F.col("idx") + F.regr_intercept("x", "idx").over(rec)
+    same(rounded(smooth.detrend(some, "x", "y"), "y"), rounded(some.withColumn("y", F.col("x") - line), "y"))
