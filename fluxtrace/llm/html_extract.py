@@ -56,6 +56,9 @@ BLOCK = frozenset(
 )
 BOILERPLATE_TAGS = frozenset(["nav", "footer", "aside", "form", "head", "button", "menu", "dialog", "fieldset", "search"])
 CONTENT_TAGS = frozenset(["article", "main"])
+#: Elements and names that may stand around a whole page: an article that opens inside them is one all the same.
+AROUND_TAGS, AROUND_WORDS = frozenset(["form", "fieldset", "dialog"]), frozenset(["overlay", "modal", "popup"])
+HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 #: An opening element ends an open one of these, up to the given borders.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 # Words in a class, id or role that mark boilerplate, or content.
@@ -101,25 +104,28 @@ class _Element:
     mark: float
     inside: bool
     named: bool
+    around: bool = False  # whether its mark comes only from what may stand around an article
 
     @property
     def kind(self) -> tuple[float, bool]:
         return self.mark, self.inside
 
 
-def _marks(tag: str, attributes: str, outer: _Element) -> tuple[float, bool, bool]:
-    """An element's mark, whether it is in an article, and whether a content word names it; all are handed down.
+def _marks(tag: str, attributes: str, outer: _Element) -> tuple[float, bool, bool, bool]:
+    """An element's mark, whether it is in an article, whether a content word names it, and whether its mark
+    comes only from what may stand around an article; all are handed down.
 
-    A name (class, id, role) is boilerplate by the share of its words that are.
+    A name (class, id, role) is boilerplate by the share of its words that are; a heading's id is an
+    anchor and names nothing.
     """
-    if outer.mark == 1:
-        return 1.0, outer.inside, False
+    if outer.mark == 1 and not outer.around:
+        return 1.0, outer.inside, False, False
     names: list[set[str]] = []
     hidden = main = False
     if attributes.strip():
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), html.unescape(value.strip("\"'"))
-            if name in ("class", "id", "role", "itemprop"):
+            if name in ("class", "id", "role", "itemprop") and not (name == "id" and tag in HEADINGS):
                 own = [{w.lower() for w in _WORD.findall(token)} for token in value.split()]
                 names += [words for words in own if words]
                 main |= (name == "role" and {"main"} in own) or (name == "itemprop" and value.lower() == "articlebody")
@@ -130,10 +136,13 @@ def _marks(tag: str, attributes: str, outer: _Element) -> tuple[float, bool, boo
     mark = max((len(w & BOILERPLATE_WORDS) / len(w) for w in names if not (heading and w & BOILERPLATE_WORDS == {"header"})), default=0.0)
     if tag in ("body", "html"):
         mark = 0.0
+    around = not outer.inside and not hidden and (tag in AROUND_TAGS or (mark == 1 and all(w <= AROUND_WORDS for w in names if w <= BOILERPLATE_WORDS)))
     if hidden or tag in BOILERPLATE_TAGS or (tag == "header" and not outer.inside):
         mark = 1.0
-    mark = max(mark, outer.mark)
-    return mark, outer.inside or article, mark < 1 and (outer.named or bool(words & CONTENT_WORDS))
+    if not (article and outer.around):
+        around = (around or mark < 1) if outer.around else around
+        mark = max(mark, outer.mark)
+    return mark, outer.inside or article, mark < 1 and (outer.named or bool(words & CONTENT_WORDS)), around and mark == 1
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -210,6 +219,8 @@ def blocks_of(page: str) -> list[Block]:
                     break
             continue
         if tag in RAW:
+            if tag in ("select", "datalist") and not ended(tag, at):
+                continue
             end = _END_OF[tag].search(page, at)
             at = end.end() if end else len(page)
             say(" ")
@@ -243,13 +254,13 @@ def blocks_of(page: str) -> list[Block]:
                     break
         if tag in VOID:
             continue
-        mark, inside, named = _marks(tag, attributes, stack[-1])
+        mark, inside, named, around = _marks(tag, attributes, stack[-1])
         if (mark, inside) != stack[-1].kind and tag not in EMBEDDED:
             now = None
         if attributes.endswith("/") and tag not in BLOCK:
             continue
         serial += 1
-        stack.append(_Element(tag, serial, mark, inside, named))
+        stack.append(_Element(tag, serial, mark, inside, named, around))
         opened[tag] += 1
         if tag in BLOCK:
             levels.append(stack[-1])

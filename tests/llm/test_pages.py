@@ -191,3 +191,22 @@ def test_training_takes_one_page_an_id_and_no_null_id(spark):
     good = "<article><p>A long sentence, and more.</p></article><footer><a href=x>Link</a></footer>"
     pages = spark.createDataFrame([(1, good), (1, good), (None, "<article>" + "x " * 50 + "</article>"), (2, None)], "page_id long, html string")
     assert H.train_looks(pages, P, "page_id", "html").tolist() == pytest.approx(H.train_looks(pages.where("page_id = 1").limit(1), P, "page_id", "html").tolist())
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<body><form id="aspnetForm"><nav>menu</nav><article><h1>Title</h1><p>Some prose, long enough.</p></article><footer>f</footer></form></body>', "Title\nSome prose, long enough."),
+        ("<body><form action=x><input><div><article><p>Prose after an unclosed form.</p></article></div></body>", "Prose after an unclosed form."),
+        ('<div class="overlay"><article><p>In an overlay.</p></article></div>', "In an overlay."),
+        ("<dialog open><main><p>A page in a dialog, whole.</p></main></dialog>", "A page in a dialog, whole."),
+        ('<article><h2 id="notice">Notice</h2><p>Words of it.</p></article>', "Notice\nWords of it."),
+        ('<article><p>First.</p><p>Choose <select><option>one</select> or not.</p><p>Third one.</p></article>', "First.\nChoose or not.\nThird one."),
+        ("<article><p>First.</p><datalist><p>Second para.</p><p>Third one.</p></article>", "First.\nSecond para.\nThird one."),
+        ('<article><p>Own text.</p></article><div class="comments"><article><p>A comment.</p></article></div><aside><article>Related.</article></aside><form><article class="ad">Buy.</article></form>', "Own text."),
+        ("<article><p>Own text.</p><form><p>Subscribe now.</p></form></article><form><nav><article>Menu.</article></nav></form>", "Own text."),
+    ],
+)
+def test_articles_inside_what_stands_around_pages(page, text):
+    """Forms, dialogs and overlays may hold a page; what they hold besides an article stays boilerplate."""
+    assert H.main_text(page, WEIGHTS, P) == text
