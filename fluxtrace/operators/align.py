@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks
+from .guards import require_columns
 from .sampling import renumber
 
 
@@ -21,6 +22,8 @@ def align_behaviour(trace: DataFrame, channels: list[str], states: DataFrame, st
     before it have level 0.  times: (rec, idx, t).  Each channel drops its missing samples
     first; the shortest of channels, times and shifted states cuts all.
     """
+    require_columns(trace, ["rec", "idx", *channels])
+    require_columns(states, ["rec", "idx", "level"])
     out = times.select("rec", "idx", "t")
     for c in channels:
         out = out.join(present(trace, c), ["rec", "idx"])

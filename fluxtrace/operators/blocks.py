@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .guards import require_columns
+
 #: Sample numbers of a block.
 BLOCK = 4096
 
@@ -62,7 +64,7 @@ class Carried:
     """
 
     def __init__(self, samples: DataFrame, keys: tuple[str, ...] = ("rec",), size: int = BLOCK, order: tuple[str, ...] = ("idx",), block: Column | None = None) -> None:
-        self.samples, self.keys, self.order = samples, keys, order
+        self.samples, self.keys, self.order = require_columns(samples, [*keys, *order]), keys, order
         self.block = block_of("idx", size) if block is None else block
         self.values: dict[str, Column] = {}
         self.summaries: list[Column] = []
@@ -139,7 +141,7 @@ def runs(samples: DataFrame, value: str, keys: tuple[str, ...] = ("rec",), size:
     """
     v = F.struct(F.col(value).alias("v"))
     at = F.struct("idx", F.col(value).alias("v"))
-    rows = _dealt(samples, keys, block_of("idx", size)).withColumn("_lag", F.lag(v).over(_within(keys)))
+    rows = _dealt(require_columns(samples, [*keys, "idx", value]), keys, block_of("idx", size)).withColumn("_lag", F.lag(v).over(_within(keys)))
     rows = rows.withColumn("_starts", F.when(F.col("_lag").isNotNull(), ~F.col(value).eqNullSafe(F.col("_lag.v"))))
     blocks = rows.groupBy(*keys, "_block").agg(F.min(F.struct("idx", v.alias("v"))).alias("head"), F.max(F.struct("idx", v.alias("v"))).alias("tail"), F.min(F.when(F.col("_starts"), at)).alias("low"), F.max(F.when(F.col("_starts"), F.col("idx"))).alias("high"))
     blocks = blocks.withColumn("_c_prev", F.lag("tail.v").over(_along(keys)))
@@ -169,6 +171,7 @@ def haloed(samples: DataFrame, before: int, after: int, size: int = BLOCK) -> Da
     are repeated there with _own false.  Frames of rows within a block then see what they would in the
     recording, if its numbers have no gaps.
     """
+    require_columns(samples, ["rec", "idx"])
     first, last = block_of(F.col("idx") - after, size), block_of(F.col("idx") + before, size)
     rows = samples.drop("_block").withColumn("_block", F.explode(F.sequence(F.greatest(first, F.lit(0).cast("long")), last)))
     return rows.withColumn("_own", F.col("_block") == block_of("idx", size)).repartition("rec", "_block")

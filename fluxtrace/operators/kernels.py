@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
+from .guards import require_columns
 
 
 def _poles(order: int) -> list[complex]:
@@ -293,6 +294,7 @@ def low_pass(samples: DataFrame, channel: str, order: int = 4, cut: float = 1.0,
     """(rec, idx, filtered, status): causal low-pass from rest.  Without a rate it is taken from
     samples 0 and 1000, so shorter recordings get a status and nulls, as do those whose rate is
     too low for the cut-off.  Numbers have no gaps."""
+    require_columns(samples, ["rec", "idx", channel, *(["time_s"] if rate is None else [])])
     if rate is None:
         at = lambda i: F.max(F.when(F.col("idx") == i, F.col("time_s")))
         found = samples.groupBy("rec").agg(F.count("*").alias("n"), (F.lit(1000.0) / F.nullif(at(1000) - at(0), F.lit(0.0))).alias("rate"))
@@ -304,7 +306,7 @@ def low_pass(samples: DataFrame, channel: str, order: int = 4, cut: float = 1.0,
 
 
 def _long_enough(samples: DataFrame, rate: float, pad: int) -> DataFrame:
-    sizes = samples.groupBy("rec").agg(F.count("*").alias("n")).withColumn("rate", F.lit(float(rate)))
+    sizes = require_columns(samples, ["rec", "idx"]).groupBy("rec").agg(F.count("*").alias("n")).withColumn("rate", F.lit(float(rate)))
     return sizes.withColumn("status", F.when(F.col("n") <= pad, f"needs over {pad} samples").otherwise("ok"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks
+from .guards import require_columns
 
 # Behaviours that are marks and no states.
 NO_STATES = ("Entry in arena", "Gate opens", "Tail suspension")
@@ -49,8 +50,9 @@ def window_samples(events: DataFrame, samples: DataFrame, before: int, after: in
     window touches, by recording and array number, and what lies outside is cut off before the
     rest is unpacked.  The join gets rows in proportion to events, not to their windows.
     """
+    require_columns(events, ["rec", at])
     lo, hi = F.col(at) + before, F.col(at) + after
-    held = samples.where("rec is not null and idx is not null").groupBy(F.col("rec").alias("_rec"), blocks.block_of("idx", size).alias("_array"))
+    held = require_columns(samples, ["rec", "idx", value]).where("rec is not null and idx is not null").groupBy(F.col("rec").alias("_rec"), blocks.block_of("idx", size).alias("_array"))
     held = held.agg(F.sort_array(F.collect_list(F.struct(F.col("idx").alias("_idx"), F.col(value).alias("value")))).alias("_held"))
     touched = events.withColumn("_array", F.explode(F.sequence(blocks.block_of(lo, size), blocks.block_of(hi, size))))
     rows = touched.alias("e").join(held.alias("h"), (F.col("e.rec") == F.col("h._rec")) & (F.col("e._array") == F.col("h._array"))).drop("_rec", "_array")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fluxtrace.operators import align, artifacts, blocks, dff, edges, fill, runs, sampling, smooth, stats
+from fluxtrace.operators import align, artifacts, blocks, dff, edges, fill, kernels, runs, sampling, smooth, stats
 
 SIZES = [1, 7, 100, 4096]
 SCHEMA = "rec long, idx long, time_s double, x double, level int"
@@ -193,3 +193,10 @@ def test_totals_of_recordings(spark, samples):
     same(rounded(fill.mean_pad(some, "x", "y"), "y"), rounded(some.withColumn("y", F.coalesce("x", F.avg("x").over(rec))), "y"))
     line = F.regr_slope("x", "idx").over(rec) * F.col("idx") + F.regr_intercept("x", "idx").over(rec)
     same(rounded(smooth.detrend(some, "x", "y"), "y"), rounded(some.withColumn("y", F.col("x") - line), "y"))
+
+
+def test_operators_say_which_column_is_missing(samples):
+    calls = (lambda f: edges.derive(f.drop("idx")), lambda f: runs.fuse(f.drop("level"), 1, 10), lambda f: smooth.moving_average(f.drop("rec"), "x", 3, "y"), lambda f: stats.window_samples(f, f, -1, 1, "nothing"), lambda f: kernels.low_pass(f.drop("time_s"), "x"), lambda f: kernels.band_pass(f.drop("idx"), "x", 0.1, 1.0, 10.0))
+    for call in calls:
+        with pytest.raises(ValueError, match="no column"):
+            call(samples)
