@@ -113,11 +113,8 @@ def _keys(hashes: np.ndarray, cuts: np.ndarray, lengths: np.ndarray) -> np.ndarr
     return mix64(np.add.reduceat(values, cuts[:-1]) + lengths.astype(np.uint64) * GOLDEN).view(np.int64)
 
 
-_BLANK = np.array([0x20, *range(0x09, 0x0E)], np.uint32)
-
-
 def _with_words(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    solid = np.concatenate([[0], np.cumsum(~np.isin(codes, _BLANK))])
+    solid = np.concatenate([[0], np.cumsum((codes != 0x20) & (codes - np.uint32(0x09) > 4))])
     return solid[bounds[1]] > solid[bounds[0]]
 
 
@@ -171,7 +168,14 @@ def _line_sets(width: int):
         if len(codes) != len(data):
             bounds = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[bounds]
         hashes, cuts = _shingles(codes, np.stack([bounds[:-1], bounds[1:]]), width)
-        return [np.unique(hashes[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        first = np.zeros(len(hashes) + 1, bool)
+        first[cuts] = True
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            hashes[a:b].sort()
+        fresh = first[:-1]
+        fresh[1:] |= hashes[1:] != hashes[:-1]
+        hashes, cuts = hashes[fresh], np.concatenate([[0], np.cumsum(fresh)])[cuts].tolist()
+        return [hashes[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     return unpack
 

@@ -26,6 +26,8 @@ TURNS = 8
 LEAVES = 256
 #: Pairs of rows that are compared together, of one such row at most, and cells of an incidence matrix.
 PAIRS, SMALL, CELLS = 1 << 18, 4096, 1 << 22
+#: Pairs of a row of blocks that are compared one by one, at most; more are compared as matrices.
+FEW = 64
 
 
 Sets = Callable[[pa.Array], list[np.ndarray]]
@@ -36,6 +38,12 @@ def stored_sets(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
 
 
+def _shared(one: np.ndarray, other: np.ndarray) -> int:
+    """The size of the intersection of two sorted sets."""
+    few, many = (one, other) if len(one) <= len(other) else (other, one)
+    return int(np.count_nonzero(many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few)) if len(few) else 0
+
+
 def _confirmed(percent: int, unpack: Sets):
     """Rows (a, share, b, elements), sorted so that a row without b, which holds the set of a, comes
     before those of its leaves, to the linked (a, b).  Only the set of the current a is held."""
@@ -50,7 +58,7 @@ def _confirmed(percent: int, unpack: Sets):
                     continue
                 if a != hub:
                     raise RuntimeError(f"no set came for node {a}")
-                both = len(np.intersect1d(centre, own, assume_unique=True))
+                both = _shared(centre, own)
                 if 100 * both >= percent * (len(centre) + len(own) - both):
                     linked.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in linked], pa.int64()), pa.array([y for _, y in linked], pa.int64())], ["a", "b"])
@@ -154,6 +162,14 @@ def _linked_blocks(words: int, percent: int, far_bits: int, unpack: Sets):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[int, int]] = []
+            # Components that links of this batch have joined.
+            parent: dict[int, int] = {}
+
+            def find(x: int, parent: dict[int, int] = parent) -> int:
+                while (up := parent.get(x, x)) != x:
+                    x = up
+                return x
+
             flat = [batch.column(c).flatten() for c in (0, 1)]
             nodes, parts = [f.field("node").to_numpy() for f in flat], [f.field("component").to_numpy() for f in flat]
             found = list(_fitting(batch, 0, 1, words, percent, far_bits))
@@ -164,23 +180,19 @@ def _linked_blocks(words: int, percent: int, far_bits: int, unpack: Sets):
                 names, first = np.unique(np.concatenate([nodes[side][u] for side, u in enumerate(needed)]), return_index=True)
                 texts = pa.concat_arrays([f.field("elements").take(pa.array(u)) for f, u in zip(flat, needed, strict=True)])
                 sets = unpack(texts.take(pa.array(first)))
+                places = [np.searchsorted(names, n[u]) for n, u in zip(nodes, needed, strict=True)]
                 for _, i, j in group:
-                    (ua, ia), (ub, ib) = (np.unique(np.searchsorted(names, nodes[side][x]), return_inverse=True) for side, x in ((0, i), (1, j)))
-                    s1, s2 = [sets[k] for k in ua], [sets[k] for k in ub]
-                    both = _overlaps(s1, s2)[ia, ib]
-                    size = np.array([len(s) for s in s1])[ia] + np.array([len(s) for s in s2])[ib]
-                    parent: dict[int, int] = {}
-
-                    def find(x: int, parent: dict[int, int] = parent) -> int:
-                        while (up := parent.get(x, x)) != x:
-                            x = up
-                        return x
-
-                    for k in np.flatnonzero(100 * both >= percent * (size - both)).tolist():
-                        c, d = find(int(parts[0][i[k]])), find(int(parts[1][j[k]]))
-                        if c != d:
+                    p, q = (place[np.searchsorted(u, x)] for place, u, x in zip(places, needed, (i, j), strict=True))
+                    if len(p) > FEW:
+                        (ua, ia), (ub, ib) = np.unique(p, return_inverse=True), np.unique(q, return_inverse=True)
+                        shared = _overlaps([sets[k] for k in ua], [sets[k] for k in ub])[ia, ib].tolist()
+                    for k, (x, y, c, d) in enumerate(zip(p.tolist(), q.tolist(), parts[0][i].tolist(), parts[1][j].tolist(), strict=True)):
+                        if (c := find(c)) == (d := find(d)):
+                            continue
+                        both = shared[k] if len(p) > FEW else _shared(sets[x], sets[y])
+                        if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
                             parent[max(c, d)] = min(c, d)
-                            out.append((int(nodes[0][i[k]]), int(nodes[1][j[k]])))
+                            out.append((int(names[x]), int(names[y])))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
     return run
