@@ -3,10 +3,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import SPACES, components, corpus, shingles, similar
 
-from fluxtrace.llm import lsh, skew
+from fluxtrace.llm import line_dedup, lsh, skew
 from fluxtrace.llm.components import connected_components
 from fluxtrace.llm.line_dedup import LineDedupParams, line_report, without_duplicate_lines
 from fluxtrace.llm.near_dedup import drop_near_duplicates, near_duplicates
@@ -160,3 +161,17 @@ def test_lines_edge_cases(spark):
 def test_sketch_cut_of_lines_keeps_its_bound():
     beyond = sum(math.comb(64, k) * 7 ** (64 - k) for k in range(LineDedupParams().far_bits + 1, 65)) / 8**64
     assert beyond < 1e-7
+
+
+def test_sets_and_their_overlaps_match_plain_ones():
+    texts = ["", "a", "abc", "hello hello hello", "äöü ÄÖÜ äöü ÄÖÜ äöü", "x" * 500, "", "the cat sat on the mat", ""]
+    unpack = line_dedup._line_sets(8)
+    sets = unpack(pa.array(texts))
+    for text, found in zip(texts, sets, strict=True):
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        assert np.array_equal(found, np.unique(line_dedup._shingles(codes, np.array([[0], [len(codes)]]), 8)[0]))
+    rng = np.random.default_rng(0)
+    drawn = [np.unique(rng.integers(0, 200, n).astype(np.uint64)) for n in (0, 1, 5, 40, 80, 200)]
+    for x in [*sets, *drawn]:
+        for y in [*sets, *drawn]:
+            assert lsh._shared(x, y) == len(np.intersect1d(x, y))
