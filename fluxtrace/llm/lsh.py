@@ -202,15 +202,16 @@ def _meetings(members: DataFrame, size: int, fields: list, work: Workspace, name
     """(bucket, members, other_members): the blocks of about ``size`` members that a bucket's are dealt into, by
     pairs, but for pairs within one component.
 
-    members: (bucket, node, component, fields).  A component of ``size`` members of a bucket, or more,
-    has blocks of its own; the others share mixed blocks.
+    members: (bucket, salt, hot, node, component, fields).  A component of ``size`` members of a bucket, or
+    more, has blocks of its own; the others share mixed blocks.  A hot bucket's members meet the counts by
+    bucket and salt, so they lie in no task whole.
     """
-    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("k"))
-    large = sizes.where(F.col("k") >= size).select("bucket", "component", F.ceil(F.col("k") / size).alias("own_parts"))
-    rest = sizes.where(F.col("k") < size).groupBy("bucket").agg(F.ceil(F.sum("k") / size).alias("mixed_parts"))
+    sizes = members.groupBy("bucket", "hot", "component").agg(F.count("*").alias("k"))
+    large = sizes.where(F.col("k") >= size).select("bucket", "hot", "component", F.ceil(F.col("k") / size).alias("own_parts"))
+    rest = sizes.where(F.col("k") < size).groupBy("bucket", "hot").agg(F.ceil(F.sum("k") / size).alias("mixed_parts"))
     groups = large.select("bucket", F.col("component").alias("own"), F.lit(False).alias("mixed"), F.col("own_parts").alias("parts"))
     groups = work.save(groups.unionByName(rest.select("bucket", F.lit(0).cast("long").alias("own"), F.lit(True).alias("mixed"), F.col("mixed_parts").alias("parts"))), f"{name}-groups")
-    dealt = members.join(large, ["bucket", "component"], "left").join(rest, "bucket", "left").withColumn("mixed", F.col("own_parts").isNull())
+    dealt = members.join(skew.repeated(large), ["bucket", "salt", "component"], "left").join(skew.repeated(rest), ["bucket", "salt"], "left").withColumn("mixed", F.col("own_parts").isNull())
     part = F.when(F.col("mixed"), F.pmod(F.xxhash64("component"), "mixed_parts")).otherwise(F.pmod(F.xxhash64("node"), "own_parts"))
     dealt = dealt.select("bucket", "mixed", F.when(F.col("mixed"), 0).otherwise(F.col("component")).alias("own"), part.alias("part"), F.struct("node", "component", *fields).alias("member"))
     blocks = work.save(dealt.groupBy("bucket", "mixed", "own", "part").agg(F.collect_list("member").alias("members")), name)
@@ -329,9 +330,9 @@ def linked_components(
 
     if left.isEmpty():
         return found
-    met = _meetings(left.select("bucket", "node", "component").join(sketched, "node"), SKETCH_BLOCK, fields, work, "sketch-blocks")
+    met = _meetings(left.join(sketched, "node"), SKETCH_BLOCK, fields, work, "sketch-blocks")
     near = work.save(met.mapInArrow(_partners(words, percent, far_bits), _PARTNERS).select("bucket", "node").distinct(), "near")
-    rows = left.select("bucket", "node", "component").join(near, ["bucket", "node"], "left_semi").join(sketched, "node").join(sets_of(near.select("node").distinct()), "node")
+    rows = left.join(near, ["bucket", "node"], "left_semi").join(sketched, "node").join(sets_of(near.select("node").distinct()), "node")
     met = _meetings(work.save(rows, "partner-sets"), BLOCK, [*fields, "elements"], work, "blocks").select("members", "other_members")
     more = work.save(met.mapInArrow(_linked_blocks(words, percent, far_bits, unpack), "a long, b long"), "links-left", rows_per_batch=rows_per_batch)
     if not more.isEmpty():

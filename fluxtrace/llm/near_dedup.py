@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import skew
 from .lsh import linked_components
 from .superminhash import SuperMinHash, band_keys, bit_sketch
 from .textbuf import GOLDEN, hashed_words, lower_ascii, mix64, shingle_hashes, slices, utf8_buffer
@@ -103,7 +104,7 @@ def near_duplicates(docs: DataFrame, params: NearDedupParams | None = None, id_c
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     prints = work.save(source.mapInArrow(_fingerprints(p), _FINGERPRINT), "prints")
     known = prints.where("n_shingles > 0 and doc_id is not null")
-    classes = work.save(known.groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = work.save(known.groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = work.save(known.alias("k").join(classes.alias("c"), (F.col("k.doc_id") == F.col("c.rep")) & (F.col("k.key_a") == F.col("c.key_a")) & (F.col("k.key_b") == F.col("c.key_b")), "left_semi"), "reps")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
@@ -114,18 +115,25 @@ def near_duplicates(docs: DataFrame, params: NearDedupParams | None = None, id_c
     entries = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"))
     found = linked_components(entries, sketches, 4, p.far_bits, p.percent, sets_of, linking)
 
-    whole = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key_a", "key_b", F.col("n_shingles").alias("size"), F.coalesce("component", "rep").alias("component"))
+    of_set = F.struct("key_a", "key_b", "n_shingles").alias("of_set")
+    whole = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(of_set, F.coalesce("component", "rep").alias("component"), "copies")
     whole = work.save(whole, "components")
     linking.remove()
     work.drop("classes", "reps")
-    by_class = prints.select("doc_id", "n_shingles", "key_a", "key_b")
-    joined = by_class.join(whole, (by_class.key_a == whole.key_a) & (by_class.key_b == whole.key_b) & (by_class.n_shingles == whole.size), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    # Sets with very many copies are spread over tasks; rows without a set or an id don't join at all.
+    hot = skew.hot_keys(whole, "of_set", "copies", whole.agg(F.sum("copies")).first()[0] or 0)
+    joined = skew.joined(known.select("doc_id", "n_shingles", of_set), whole.select("of_set", "component"), "of_set", hot, "doc_id")
+    alone = prints.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
+    every = joined.select("doc_id", "n_shingles", "component").unionByName(alone)
+    return every.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, params: NearDedupParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of documents that are kept, all columns as they are; of rows that repeat an id all stay or go."""
-    kept = near_duplicates(docs, params, id_col, text_col).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).cast("long").alias("id"))
-    return rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").select("doc.*")
+    found = near_duplicates(docs, params, id_col, text_col).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    gone = found.where("not kept").select(F.col("doc_id").alias("gone_id"), F.lit(0).alias("gone_salt"))
+    number = F.col(id_col).cast("long")
+    # Rows with a null id all stay; the second key spreads them over tasks.
+    salt = F.when(number.isNull(), F.pmod(F.xxhash64(text_col), F.lit(skew.SALTS))).otherwise(0).cast("int")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), number.alias("id"), salt.alias("salt"))
+    return rows.join(gone, (F.col("id") == F.col("gone_id")) & (F.col("salt") == F.col("gone_salt")), "left_anti").select("doc.*")

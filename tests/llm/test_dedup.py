@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from brute import SPACES, components, corpus, shingles, similar
 
+from fluxtrace.llm import components as link_components
 from fluxtrace.llm import line_dedup, lsh, skew
 from fluxtrace.llm.components import connected_components
 from fluxtrace.llm.line_dedup import LineDedupParams, line_report, without_duplicate_lines
@@ -92,6 +93,50 @@ def test_near_duplicates_edge_cases(spark):
     assert kept.columns == clash.columns and [r.doc_id for r in kept.collect()] == [0]
 
 
+@pytest.mark.parametrize("least", [20_000, 5])
+def test_a_set_on_nine_rows_of_ten_is_split(spark, monkeypatch, least):
+    monkeypatch.setattr(skew, "LEAST", least)
+    copy = "one and the same text on nearly all rows"
+    texts = [*[copy] * 90, *["", None, " \n"] * 2, *corpus(4)]
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    want = components(sets, similar({i: s for i, s in sets.items() if s}, 75))
+    found = near_duplicates(docs_of(spark, texts, [(None, copy)] * 3))
+    assert Counter((r.doc_id, r.component_id) for r in found.collect()) == Counter([*want.items(), *[(None, None)] * 3])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert ("salt" in plan) == (least == 5)
+    kept = drop_near_duplicates(docs_of(spark, texts, [(None, copy)] * 3)).collect()
+    assert Counter(r.doc_id for r in kept) == Counter([*(i for i in want if want[i] == i), *[None] * 3])
+
+
+def similar_pairs(n, size, width, low, high, seed, word, glue):
+    """2n texts of tokens, and for each i the texts 2i and 2i + 1 differ in one run of tokens, at similarities from low to high."""
+    rng, out = random.Random(seed), []
+    for i in range(n):
+        share = low + (high - low) * i / n
+        base = [word(rng) for _ in range(size)]
+        # A changed run of k tokens costs k + width - 1 of each side's shingles.
+        lost = int(size * (1 - share) / (1 + share))
+        k = max(1, lost - width + 1)
+        out += [base, [*base[:7], *(word(rng) for _ in range(k)), *base[7 + k :]]]
+    return [glue.join(t) for t in out]
+
+
+def test_recall_between_75_and_85_percent(spark):
+    """The measured share of linked pairs just above the threshold: all of the documents, 99 % of the lines."""
+    texts = similar_pairs(300, 150, 5, 0.74, 0.85, 11, lambda rng: f"w{rng.randrange(10**6)}", " ")
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    linked = [i for i in range(0, len(texts), 2) if 75 * len(sets[i] | sets[i + 1]) <= 100 * len(sets[i] & sets[i + 1])]
+    assert len(linked) > 200 and any(100 * len(sets[i] & sets[i + 1]) < 78 * len(sets[i] | sets[i + 1]) for i in linked)
+    got = {r.doc_id for r in near_duplicates(docs_of(spark, texts)).where("not kept").collect()}
+    assert got == {i + 1 for i in linked}
+
+    lines = similar_pairs(400, 150, 8, 0.74, 0.85, 12, lambda rng: rng.choice("abcdefghijklmnopqrstuvwxyz"), "")
+    sets = {i: {t[k : k + 8] for k in range(len(t) - 7)} for i, t in enumerate(lines)}
+    linked = {i + 1 for i in range(0, len(lines), 2) if 75 * len(sets[i] | sets[i + 1]) <= 100 * len(sets[i] & sets[i + 1])}
+    got = {r.doc_id for r in line_report(docs_of(spark, lines)).where("n_dropped > 0").collect()}
+    assert got <= linked and len(linked) > 200 and len(got) >= 0.99 * len(linked)
+
+
 def test_signatures_estimate_similarity():
     hasher, rng = SuperMinHash(256), np.random.default_rng(5)
     for size, share in ((3, 0.5), (400, 0.75), (400, 0.3), (5000, 0.6)):
@@ -108,9 +153,13 @@ def test_signatures_estimate_similarity():
     assert (hasher.signatures(np.zeros(0, np.uint64), np.array([0, 0])) == EMPTY).all()
 
 
-def test_components_of_random_graphs(spark):
+@pytest.mark.parametrize("least", [20_000, 2])
+def test_components_of_random_graphs(spark, monkeypatch, least):
+    """Also where every node of over two links is hot, and each task holds few links."""
+    monkeypatch.setattr(skew, "LEAST", least)
+    monkeypatch.setattr(link_components, "LOCAL_LINKS", 20_000 if least > 2 else 40)
     rng = random.Random(2)
-    links = [(rng.randrange(120), rng.randrange(120)) for _ in range(70)] + [(i, i + 1) for i in range(200, 260)] + [(5, 5)]
+    links = [(rng.randrange(120), rng.randrange(120)) for _ in range(70)] + [(i, i + 1) for i in range(200, 260)] + [(300, i) for i in range(301, 400)] + [(5, 5)]
     frame = spark.createDataFrame([*links, (None, 3)], "a long, b long").repartition(7)
     got = {r.node: r.component for r in connected_components(frame, Workspace(spark, "t")).collect()}
     want = components({x for p in links for x in p}, links)
