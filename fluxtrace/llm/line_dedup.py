@@ -202,13 +202,14 @@ def duplicate_lines(docs: DataFrame, params: LineDedupParams | None = None, id_c
     def sets_of(nodes: DataFrame) -> DataFrame:
         # The lines that a task met first: a very common line has few of these.
         met = prints.where("s0 is not null").join(nodes.withColumnRenamed("node", "key").hint("shuffle_hash"), "key")
-        placed = met.groupBy("key").agg(F.min(where).alias("first"))
-        placed = placed.groupBy("first.doc_id", "first.row_key").agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "key")).alias("lines"))
-        rows = source.hint("merge").join(placed, ["doc_id", "row_key"]).select("lines", F.split("text", "\n").alias("texts"))
+        # Any of a key's places will do, as their texts are equal; the columns of the first come from one row, without a sort.
+        placed = met.groupBy("key").agg(*(F.first(c).alias(c) for c in ("doc_id", "row_key", "line_no")))
+        placed = placed.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("line_no", "key")).alias("lines"))
+        rows = source.join(placed.hint("shuffle_hash"), ["doc_id", "row_key"]).select("lines", F.split("text", "\n").alias("texts"))
         texts = rows.select("texts", F.explode("lines").alias("line")).select(F.col("line.key").alias("node"), F.get("texts", "line.line_no").alias("elements"))
         return texts.groupBy("node").agg(F.first("elements").alias("elements"))
 
-    entries = bands.select(F.explode("bands").alias("bucket"), F.col("key").alias("node"))
+    entries = bands.where("s0 is not null").select(F.col("key").alias("node"), "bands", F.lit(1).cast("long").alias("n"), "s0")
     found = linked_components(entries, sketches, 1, p.far_bits, p.percent, sets_of, linking, _line_sets(p.width), lambda: work.drop("prints"), 128)
     alone = known.where("copies > 1").select("key").join(found.select(F.col("node").alias("key")), "key", "left_anti").select("key", F.col("key").alias("component"))
     shared = found.select(F.col("node").alias("key"), "component").unionByName(alone)

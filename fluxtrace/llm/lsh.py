@@ -18,6 +18,9 @@ from .workspace import Workspace
 BLOCK = 192
 #: The same where members carry only their sketches.
 SKETCH_BLOCK = 1024
+#: Entries that a task gets all of whose buckets it searches, on average; the ranges of buckets that these are of; and
+#: members that it compares together.
+ENTRIES, RANGES, TOGETHER = 1 << 19, 8, 1 << 16
 #: Rows of blocks whose sets are unpacked together.
 GROUP = 64
 #: Further rounds of centres for buckets that hold several components, at most.
@@ -72,14 +75,14 @@ def _members(column: pa.Array, fields: list[str]) -> tuple[np.ndarray, dict[str,
     return np.concatenate([[0], np.cumsum(np.diff(column.offsets.to_numpy()))]), {f: flat.field(f).to_numpy() for f in fields}
 
 
-def _fitting(batch: pa.RecordBatch, x: int, y: int, words: int, percent: int, far_bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For rows, the pairs of members of two block columns, of different components, that may link:
-    row, and places in either column's flat members.  A block that meets itself gives each pair
-    once.  Small rows are compared together, larger ones as matrices."""
-    fields = ["node", "n", "component", *(f"s{w}" for w in range(words))]
-    (starts, left), (others, right) = (_members(batch.column(c), fields) for c in (x, y))
+Fields = dict[str, np.ndarray]
+
+
+def _fits(starts: np.ndarray, left: Fields, others: np.ndarray, right: Fields, itself: np.ndarray, words: int, percent: int, far_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For rows of two columns of members, the pairs of different components that may link: row,
+    ascending, and places in either column's members.  itself: which rows meet themselves; these give each
+    pair once.  Small rows are compared together, larger ones as matrices."""
     work = np.diff(starts) * np.diff(others)
-    itself = np.array([p - o == q - r and (left["node"][o:p] == right["node"][r:q]).all() for o, p, r, q in zip(starts, starts[1:], others, others[1:], strict=False)])
 
     def fit(i: np.ndarray, j: np.ndarray, once: np.ndarray | bool) -> np.ndarray:
         out = np.where(once, left["node"][i] < right["node"][j], left["node"][i] != right["node"][j])
@@ -96,43 +99,115 @@ def _fitting(batch: pa.RecordBatch, x: int, y: int, words: int, percent: int, fa
         wide = np.maximum(np.diff(others), 1)[row]
         i, j = starts[row] + k // wide, others[row] + k % wide
         keep = fit(i, j, itself[row])
-        row, i, j = row[keep], i[keep], j[keep]
-        cuts = np.flatnonzero(np.diff(row, prepend=-1, append=-1)) if len(row) else []
-        for p, q in zip(cuts[:-1], cuts[1:], strict=True):
-            yield int(row[p]), i[p:q], j[p:q]
+        yield row[keep], i[keep], j[keep]
     for row in np.flatnonzero(work > SMALL).tolist():
         i, j = np.arange(starts[row], starts[row + 1])[:, None], np.arange(others[row], others[row + 1])
         p, q = np.nonzero(fit(i, j, itself[row]))
-        if len(p):
-            yield row, p + starts[row], q + others[row]
+        yield np.full(len(p), row), p + starts[row], q + others[row]
+
+
+def _fitting(batch: pa.RecordBatch, x: int, y: int, words: int, percent: int, far_bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For rows, the pairs of members of two block columns, of different components, that may link:
+    row, and places in either column's flat members.  A block that meets itself gives each pair once."""
+    fields = ["node", "n", "component", *(f"s{w}" for w in range(words))]
+    (starts, left), (others, right) = (_members(batch.column(c), fields) for c in (x, y))
+    itself = np.array([p - o == q - r and (left["node"][o:p] == right["node"][r:q]).all() for o, p, r, q in zip(starts, starts[1:], others, others[1:], strict=False)])
+    for row, i, j in _fits(starts, left, others, right, itself, words, percent, far_bits):
+        cuts = np.flatnonzero(np.diff(row, prepend=-1, append=-1)) if len(row) else []
+        for p, q in zip(cuts[:-1], cuts[1:], strict=True):
+            yield int(row[p]), i[p:q], j[p:q]
+
+
+def _shared_buckets(rows: Fields) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the distinct entries of buckets with several, by bucket and node, and each bucket's bounds."""
+    bucket, node = rows["bucket"], rows["node"]
+    order = np.argsort(bucket)
+    same = np.diff(bucket[order]) == 0
+    kept = order[np.append(same, False) | np.append(False, same)]
+    kept = kept[np.lexsort((node[kept], bucket[kept]))]
+    kept = kept[np.append(True, np.any([np.diff(c[kept]) != 0 for c in rows.values()], axis=0))[: len(kept)]]
+    sizes = np.diff(np.flatnonzero(np.concatenate([[True], np.diff(bucket[kept]) != 0, [True]]))) if len(kept) else np.zeros(0, np.int64)
+    kept, sizes = kept[np.repeat(sizes > 1, sizes)], sizes[sizes > 1]  # copies may have left a bucket with one
+    return kept, np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _by_range(words: int, ranges: int, hot: np.ndarray):
+    """Rows (node, bands, n, sketch) to (range, buckets, and as many nodes, sizes and words of sketches): entries
+    by ranges of buckets, those of hot buckets left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bands = batch.column(1)
+            bucket = bands.flatten().to_numpy()
+            of = np.repeat(np.arange(len(batch)), np.diff(bands.offsets.to_numpy()))
+            part = (bucket.view(np.uint64) % np.uint64(ranges)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            if len(hot):
+                order = order[~np.isin(bucket[order], hot)]
+            found, first = np.unique(part[order], return_index=True)
+            cuts = pa.array(np.append(first, len(order)), pa.int32())
+            of = of[order]
+            columns = [bucket[order], *(batch.column(c).to_numpy()[of] for c in (0, 2, *range(3, 3 + words)))]
+            yield pa.RecordBatch.from_arrays([pa.array(found), *(pa.ListArray.from_arrays(cuts, pa.array(c)) for c in columns)], ["range", "bucket", "node", "n", *(f"s{w}" for w in range(words))])
+
+    return run
+
+
+def _bucket_partners(words: int, percent: int, far_bits: int):
+    """Rows of ``_by_range``, a range's in one task, to (bucket, node, centre, of), of being the bucket's
+    number of nodes: all nodes of buckets of more than ``SKETCH_BLOCK``, without a centre; of smaller ones those that
+    may link with another node there, and the least of them if it is a node's possible partner, or the node itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[c.flatten().to_numpy() for c in batch.columns[1:]] for batch in batches]
+        if not held:
+            return
+        names = ["bucket", "node", "n", *(f"s{w}" for w in range(words))]
+        rows = {name: np.concatenate(c) for name, c in zip(names, zip(*held, strict=True), strict=True)}
+        held.clear()
+        kept, bounds = _shared_buckets(rows)
+        rows = {name: c[kept] for name, c in rows.items()}
+        rows["component"] = rows["node"]
+        for first, last in slices(bounds, TOGETHER):
+            part = {name: c[bounds[first] : bounds[last]] for name, c in rows.items()}
+            starts = bounds[first : last + 1] - bounds[first]
+            of = np.repeat(np.diff(starts), np.diff(starts))
+            hit, fit, centre = of > SKETCH_BLOCK, np.zeros(len(of), bool), np.zeros(len(of), np.int64)
+            met = np.concatenate([[0], np.cumsum(~hit)])[starts]
+            inside = {name: c[~hit] for name, c in part.items()}
+            place = np.flatnonzero(~hit)
+            for row, i, j in _fits(met, inside, met, inside, np.ones(len(starts) - 1, bool), words, percent, far_bits):
+                if not len(row):
+                    continue
+                cuts = np.flatnonzero(np.diff(row, prepend=-1))
+                low = np.repeat(np.minimum.reduceat(inside["node"][i], cuts), np.diff(np.append(cuts, len(row))))
+                i, j = place[i], place[j]
+                hit[i] = hit[j] = True
+                mine = part["node"][i] == low
+                for x in (i[mine], j[mine]):
+                    centre[x], fit[x] = low[mine], True
+            yield pa.RecordBatch.from_arrays([pa.array(part["bucket"][hit]), pa.array(part["node"][hit]), pa.array(centre[hit], mask=~fit[hit]), pa.array(of[hit])], ["bucket", "node", "centre", "of"])
+
+    return run
 
 
 def _partners(words: int, percent: int, far_bits: int):
-    """Rows (bucket, block, block) to (bucket, node, centre): the nodes that may link with one of another
-    component there, and the least of them if it is a node's possible partner, or the node itself."""
+    """Rows (bucket, block, block) to (bucket, node): the nodes that may link with one of another component there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buckets = batch.column(0).to_numpy()
             sides = [_members(batch.column(c), ["node"]) for c in (1, 2)]
             hits = [np.zeros(starts[-1], bool) for starts, _ in sides]
-            centres = [np.zeros(len(hit), np.int64) for hit in hits]
-            fits = [np.zeros(len(hit), bool) for hit in hits]
-            left, right = (fields["node"] for _, fields in sides)
             for _, i, j in _fitting(batch, 1, 2, words, percent, far_bits):
                 hits[0][i] = hits[1][j] = True
-                low = left[i].min()
-                mine = j[left[i] == low]
-                centres[1][mine], fits[1][mine] = low, True
-                own = i[left[i] == low]
-                centres[0][own], fits[0][own] = low, True
-            for (starts, fields), hit, centre, fit in zip(sides, hits, centres, fits, strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(buckets, np.diff(starts))[hit]), pa.array(fields["node"][hit]), pa.array(centre[hit], mask=~fit[hit])], ["bucket", "node", "centre"])
+            for (starts, fields), hit in zip(sides, hits, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(buckets, np.diff(starts))[hit]), pa.array(fields["node"][hit])], ["bucket", "node"])
 
     return run
 
 
-_PARTNERS = "bucket long, node long, centre long"
+_PARTNERS = "bucket long, node long"
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -226,6 +301,17 @@ def _meetings(members: DataFrame, size: int, fields: list, work: Workspace, name
     return met.select("bucket", F.col("members_1").alias("members"), F.col("members_2").alias("other_members"))
 
 
+def _hot_buckets(entries: DataFrame, total: int, work: Workspace) -> DataFrame | None:
+    """(bucket) of the hot buckets, for a broadcast, or None: those of which a sample of the entries has more than
+    half of what a hot one's would be.  It decides only where members meet, not whether."""
+    least = max(skew.LEAST, total // skew.SHARE)
+    share = min(1.0, 128 / least)
+    some = entries if share == 1 else entries.sample(share, 7)
+    counts = some.select(F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    hot = work.save(counts.where(F.col("n") > least * share / 2).select("bucket"), "hot-buckets")
+    return None if hot.isEmpty() else F.broadcast(hot)
+
+
 def _pairs_a_member(left: DataFrame) -> float:
     """How many members of its bucket in other components a member has, on average."""
     by_component = left.groupBy("bucket", "component").agg(F.count("*").cast("double").alias("k"))
@@ -240,13 +326,15 @@ def linked_components(
     """(node, component) of every node with a link; component is the least node.
 
     Nodes that share a bucket are candidates; they link if their sets' Jaccard similarity
-    is at least percent.  entries: (bucket, node).  sketches: (node, n, s0 ...), the set's
-    size, or 1 throughout if it isn't known, and ``words`` words of bits; nodes whose sizes
-    rule a link out, or that differ in over far_bits bits, are taken not to link.
+    is at least percent.  entries: (node, bands, n, s0 ...), a node's buckets, once or more.
+    sketches: (node, n, s0 ...), the set's size, or 1 throughout if it isn't known, and
+    ``words`` words of bits, the same in both; nodes whose sizes rule a link out, or that
+    differ in over far_bits bits, are taken not to link.
     sets_of: a table of nodes to (node, elements), which ``unpack`` turns into arrays of
     sorted distinct hashes.  release is called once entries aren't needed any more.
     rows_per_batch: pairs of blocks, with their members' elements, that a task gets at once.
 
+    One shuffle of the entries brings each bucket's members, with their sketches, into a task.
     Members of buckets of at most ``SKETCH_BLOCK`` whose sketches leave them no partner there
     go first.  Then each bucket's least node is paired with its other members, so pairs grow with
     the members.  Buckets whose members then lie in one component are done.  As long as the
@@ -255,29 +343,30 @@ def linked_components(
     dealt into blocks by component, and blocks of different components are compared as
     matrices: first the sketches, then the sets of those that may link.
 
-    A hot bucket (``skew``) is split by salt: each part has a centre of its own, and the
-    centres are paired with the least of them.  A centre's set goes out once for
+    A hot bucket (``skew``), which a sample of the entries shows, doesn't join that shuffle; it is
+    split by salt: each part has a centre of its own, and the centres are paired with the least of them.  A centre's set goes out once for
     ``LEAVES`` pairs.
     """
     bits = [f"s{i}" for i in range(words)]
-    buckets = work.save(entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high"), "buckets")
-    total = buckets.agg(F.sum("n")).first()[0] or 0
-    hot = skew.hot_keys(buckets, "bucket", "n", total)
-    large = skew.marked(buckets.where("n > 2"), "bucket", hot).select("bucket", F.col("n").alias("of"), "hot")
-    if hot is None:
-        members = entries.join(large.hint("shuffle_hash"), "bucket").withColumn("salt", F.lit(0))
-    else:
-        members = skew.flagged(entries, "bucket", hot, "node").drop("hot").join(skew.repeated(large.withColumn("is_hot", F.col("hot"))).hint("shuffle_hash"), ["bucket", "salt"]).withColumnRenamed("is_hot", "hot")
-    members = work.save(members.select("bucket", "salt", "hot", "of", "node").distinct(), "members")
+    each = entries.select(F.size("bands").alias("k")).first()
+    total = entries.count() * each.k if each else 0
+    entries = entries.select("node", "bands", F.col("n").cast("long").alias("n"), *bits)
+    hot = _hot_buckets(entries, total, work)
+    hot_ids = np.array([] if hot is None else [r.bucket for r in hot.collect()], np.int64)
+    tasks = max(2 * entries.sparkSession.sparkContext.defaultParallelism, -(-total // ENTRIES))
+    ranged = entries.mapInArrow(_by_range(words, RANGES * tasks, hot_ids), f"range int, {', '.join(f'{c} array<long>' for c in ('bucket', 'node', 'n', *bits))}")
+    met = ranged.repartition(tasks, "range").mapInArrow(_bucket_partners(words, percent, far_bits), "bucket long, node long, centre long, of long")
+    met = work.save(met, "partners", rows_per_batch=1 << 14)
+    large = met.where(F.col("of") > SKETCH_BLOCK).select("bucket", F.lit(0).alias("salt"), F.lit(False).alias("hot"), "node")
+    if hot is not None:
+        salt = F.pmod(F.xxhash64("node"), F.lit(skew.SALTS)).cast("int")
+        split = entries.select(F.explode("bands").alias("bucket"), "node").join(hot, "bucket", "left_semi").select("bucket", salt.alias("salt"), F.lit(True).alias("hot"), "node").distinct()
+        large = large.unionByName(work.save(split, "members"))
     if release:
         release()
     sketched = sketches.select("node", F.col("n").alias("size"), *bits)
     fields = [F.col("size").alias("n"), *bits]
-    small = members.where(F.col("of") <= SKETCH_BLOCK).join(sketched, "node").groupBy("bucket").agg(F.collect_list(F.struct("node", F.col("node").alias("component"), *fields)).alias("members"))
-    small = small.where(F.size("members") > 1).select("bucket", "members", F.col("members").alias("other_members"))
-    near = small.mapInArrow(_partners(words, percent, far_bits), _PARTNERS).groupBy("bucket", "node").agg(F.min("centre").alias("centre"))
-    partners = work.save(near, "partners")
-    large = members.where(F.col("of") > SKETCH_BLOCK).select("bucket", "salt", "hot", "node")
+    partners = met.where(F.col("of") <= SKETCH_BLOCK)
 
     def centred(rows: DataFrame, turn: int) -> DataFrame:
         """(a, b): the pairs of each part's centre and its members, and of a hot bucket's centres."""
@@ -287,23 +376,27 @@ def linked_components(
         stars = rows.join(centres.drop("hot"), ["bucket", "salt"]).select(F.col("centre").alias("a"), F.col("node").alias("b"))
         return stars.unionByName(centres.join(heads, "bucket").select(F.col("head").alias("a"), F.col("centre").alias("b")))
 
-    def confirmed(pairs: DataFrame, turn: int, tried: DataFrame | None = None) -> DataFrame:
-        """The pairs that link; of those that are tried, the sketches have been compared."""
+    def compared(pairs: DataFrame) -> DataFrame:
+        """The distinct pairs whose sketches let them link."""
         pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         near = pairs.join(sketches.alias("x"), F.col("a") == F.col("x.node")).join(sketches.alias("y"), F.col("b") == F.col("y.node"))
         n, m = F.col("x.n"), F.col("y.n")
         apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in bits), F.lit(0))
-        near = near.where((F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (apart <= far_bits)).select("a", "b")
-        near = work.save(near if tried is None else near.unionByName(tried.where("a != b")).distinct(), f"pairs-{turn}")
-        sets = work.save(sets_of(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()), f"sets-{turn}")
+        return near.where((F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (apart <= far_bits)).select("a", "b")
+
+    def confirmed(near: DataFrame, turn: int, also: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """The pairs that link, and the sets, which stay if others are wanted: those of the nodes of also."""
+        near = work.save(near, f"pairs-{turn}")
+        nodes = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node")))
+        sets = work.save(sets_of((nodes if also is None else nodes.unionByName(also)).distinct()), f"sets-{turn}")
         shares = near.groupBy("a").agg(F.ceil(F.count("*") / LEAVES).alias("shares"))
         dealt = near.join(shares, "a").select("a", F.pmod(F.xxhash64("b"), "shares").alias("share"), "b")
         heads = shares.join(sets, shares.a == sets.node).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("b"), "elements")
         leaves = dealt.join(sets, dealt.b == sets.node).select("a", "share", "b", "elements")
         rows = heads.unionByName(leaves).repartition("a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
         found = work.save(rows.mapInArrow(_confirmed(percent, unpack), "a long, b long"), f"links-{turn}")
-        work.drop(f"pairs-{turn}", f"sets-{turn}")
-        return found
+        work.drop(f"pairs-{turn}", *([f"sets-{turn}"] if also is None else []))
+        return found, sets
 
     def unfinished(rows: DataFrame, found: DataFrame, name: str) -> DataFrame:
         """The members of buckets that hold several components, with these."""
@@ -311,16 +404,17 @@ def linked_components(
         several = labelled.groupBy("bucket", "hot").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
         return work.save(labelled.join(skew.repeated(several.select("bucket", "hot")), ["bucket", "salt"], "left_semi"), name)
 
-    two = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    tried = partners.where("centre is not null").select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    links = confirmed(two.unionByName(centred(large, 0)), 0, tried)
+    tried = partners.where("centre != node").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    if not large.isEmpty():
+        tried = tried.unionByName(compared(centred(large, 0)))
+    links, sets = confirmed(tried.distinct(), 0, partners.where("of > 2").select("node"))
     found = connected_components(links, work, "components-0")
-    left = unfinished(partners.select("bucket", F.lit(0).alias("salt"), F.lit(False).alias("hot"), "node").unionByName(large), found, "left-0")
-    work.drop("buckets", "members", "partners", "left-0-all")
+    left = unfinished(partners.where("of > 2").select("bucket", F.lit(0).alias("salt"), F.lit(False).alias("hot"), "node").unionByName(large), found, "left-0")
+    work.drop("hot-buckets", "members", "partners", "left-0-all")
     turn = 0
     while turn < TURNS and _pairs_a_member(left) > SKETCH_BLOCK:
         turn += 1
-        more = confirmed(centred(left.select("bucket", "salt", "hot", "node"), turn), turn)
+        more, _ = confirmed(compared(centred(left.select("bucket", "salt", "hot", "node"), turn)), turn)
         if more.isEmpty():
             continue
         links = links.unionByName(more)
@@ -329,13 +423,19 @@ def linked_components(
         work.drop(*(f"left-{k}" for k in range(turn)), f"left-{turn}-all")
 
     if left.isEmpty():
+        work.drop("sets-0")
         return found
     met = _meetings(left.join(sketched, "node"), SKETCH_BLOCK, fields, work, "sketch-blocks")
     near = work.save(met.mapInArrow(_partners(words, percent, far_bits), _PARTNERS).select("bucket", "node").distinct(), "near")
-    rows = left.join(near, ["bucket", "node"], "left_semi").join(sketched, "node").join(sets_of(near.select("node").distinct()), "node")
+    # Sets of the first comparison serve again; only members of large buckets may lack theirs.
+    nodes = near.select("node").distinct()
+    lacking = work.save(nodes.join(sets.select("node"), "node", "left_anti"), "lacking")
+    if not lacking.isEmpty():
+        sets = sets.unionByName(sets_of(lacking))
+    rows = left.join(near, ["bucket", "node"], "left_semi").join(sketched, "node").join(sets, "node")
     met = _meetings(work.save(rows, "partner-sets"), BLOCK, [*fields, "elements"], work, "blocks").select("members", "other_members")
     more = work.save(met.mapInArrow(_linked_blocks(words, percent, far_bits, unpack), "a long, b long"), "links-left", rows_per_batch=rows_per_batch)
     if not more.isEmpty():
         found = connected_components(links.unionByName(more), work, "components-left")
-    work.drop(*(f"{name}-{k}" for k in range(turn + 1) for name in ("links", "left")), "sketch-blocks", "sketch-blocks-groups", "near", "partner-sets", "blocks", "blocks-groups", "links-left")
+    work.drop(*(f"{name}-{k}" for k in range(turn + 1) for name in ("links", "left")), "sets-0", "lacking", "sketch-blocks", "sketch-blocks-groups", "near", "partner-sets", "blocks", "blocks-groups", "links-left")
     return found

@@ -112,8 +112,7 @@ def near_duplicates(docs: DataFrame, params: NearDedupParams | None = None, id_c
         return rows.mapInArrow(_full_sets(p.width), "node long, elements binary")
 
     sketches = reps.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "s0", "s1", "s2", "s3")
-    entries = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"))
-    found = linked_components(entries, sketches, 4, p.far_bits, p.percent, sets_of, linking)
+    found = linked_components(reps.selectExpr("doc_id as node", "bands", "n_shingles as n", "s0", "s1", "s2", "s3"), sketches, 4, p.far_bits, p.percent, sets_of, linking)
 
     of_set = F.struct("key_a", "key_b", "n_shingles").alias("of_set")
     whole = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(of_set, F.coalesce("component", "rep").alias("component"), "copies")

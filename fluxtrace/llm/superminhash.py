@@ -42,21 +42,21 @@ class SuperMinHash:
         n = len(bounds) - 1
         out = np.full(n * self.size, EMPTY, np.uint32)
         grid = out.reshape(n, self.size)
-        owner = np.repeat(np.arange(n), np.diff(bounds))
-        mask = np.uint64(self.size - 1)
+        counts = np.diff(bounds)
+        base = np.repeat(np.arange(n, dtype=np.int64) * self.size, counts)
+        table = (elements >> np.uint64(52)).view(np.int64)
+        flip = (elements >> np.uint64(40)).astype(np.uint8) & np.uint8(self.size - 1)
+        live = np.flatnonzero(counts)
         for rank in range(self.size):
-            if not len(elements):
+            if not len(live):
                 break
             mixed = mix64(elements + _step(rank)) if rank else elements  # the low bits take no part in the place
-            fraction = (mixed & np.uint64(0xFFFFFF)).astype(np.uint32)
-            place = self._ranked[rank][(elements >> np.uint64(52)).astype(np.int64)] ^ ((elements >> np.uint64(40)) & mask).astype(np.uint8)
-            np.minimum.at(out, owner * self.size + place, fraction | np.uint32(rank << 24))
-            live = np.unique(owner) if rank else np.arange(n)
-            still = np.zeros(n, bool)
-            still[live] = (grid[live] == EMPTY).any(axis=1)
-            on = still[owner]
-            if not on.all():
-                elements, owner = elements[on], owner[on]
+            value = mixed.astype(np.uint32) & np.uint32(0xFFFFFF) | np.uint32(rank << 24)
+            np.minimum.at(out, base + (self._ranked[rank][table] ^ flip), value)
+            still = (grid[live] == EMPTY).any(axis=1)
+            if not still.all():
+                on = np.repeat(still, counts[live])
+                elements, base, table, flip, live = elements[on], base[on], table[on], flip[on], live[still]
         return grid
 
 

@@ -224,3 +224,42 @@ def test_sets_and_their_overlaps_match_plain_ones():
     for x in [*sets, *drawn]:
         for y in [*sets, *drawn]:
             assert lsh._shared(x, y) == len(np.intersect1d(x, y))
+
+
+def entries_in_batches(rows, words=1, size=7):
+    names = ["node", "bands", "n", *(f"s{w}" for w in range(words))]
+    types = [pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * (1 + words)]
+    for at in range(0, len(rows), size):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + size], strict=True), types, strict=True)], names)
+
+
+@pytest.mark.parametrize("block", [1024, 5])
+def test_partners_of_buckets_match_pairs_by_hand(monkeypatch, block):
+    """One pass by ranges of buckets finds what comparing all members of each bucket finds; hot buckets are left out."""
+    monkeypatch.setattr(lsh, "SKETCH_BLOCK", block)
+    rng = random.Random(6)
+    rows = [(rng.randrange(50), [rng.randrange(-15, 15) for _ in range(3)], 1, rng.choice([0, 1, -1])) for _ in range(80)]
+    sketch = {node: s for node, _, _, s in rows}
+    rows = [(node, bands, n, sketch[node]) for node, bands, n, _ in rows] + [(99, [1000], 1, 0), (99, [1000], 1, 0)]
+    members = {}
+    for node, bands, *_ in rows:
+        for b in bands:
+            members.setdefault(b, set()).add(node)
+    want, hot = set(), 3
+    for b, nodes in members.items():
+        near = [(x, y) for x in nodes for y in nodes if x < y and bin((sketch.get(x, 0) ^ sketch.get(y, 0)) & (2**64 - 1)).count("1") <= 4]
+        if b == hot or len(nodes) < 2:
+            continue
+        if len(nodes) > block:
+            want |= {(b, x, None, len(nodes)) for x in nodes}
+            continue
+        low = min((x for x, _ in near), default=None)
+        for x in {x for p in near for x in p}:
+            want.add((b, x, low if x == low or (low, x) in near else None, len(nodes)))
+    ranged = list(lsh._by_range(1, 4, np.array([hot]))(entries_in_batches(rows)))
+    got = Counter()
+    for r in range(4):  # all rows of a range reach one task
+        mine = (b.filter(pa.array(b.column(0).to_numpy() == r)) for b in ranged)
+        for out in lsh._bucket_partners(1, 75, 4)(mine):
+            got.update(zip(*(c.to_pylist() for c in out.columns), strict=True))
+    assert got == Counter(want) and len(want) > 40
