@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Hashable, Iterator
+from collections.abc import Hashable, Iterable, Iterator
 from contextlib import contextmanager
 from typing import Any, TypeVar
 
@@ -42,6 +42,23 @@ class Generations(dict):
         self.held += size
         self[key] = value
 
+    def keep_all(self, entries: dict) -> None:
+        """Remembers entries whose values are bytes; at once if the generation has room for them all."""
+        size = self.ENTRY * len(entries) + 4 * sum(map(len, entries)) + sum(map(len, entries.values()))
+        if self.held + size > self.most // 2:
+            for key, value in entries.items():
+                self.keep(key, value)
+        else:
+            self.held += size
+            self.update(entries)
+
+    def recall_all(self, keys: Iterable[Hashable]) -> dict:
+        """The entries of keys that only the older generation may hold; these come back."""
+        older = self.older
+        found = {key: value for key in keys if (value := older.get(key)) is not None}
+        self.keep_all(found)
+        return found
+
     def recall(self, key: Hashable) -> Any:
         """An entry, or None."""
         value = self.get(key)

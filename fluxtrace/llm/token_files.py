@@ -76,9 +76,10 @@ class PieceEncoder:
     def _learn(self, new: list[str]) -> dict[str, bytes]:
         """The ids of pre-tokens.  Words with one space before them go together in texts of ``_TOGETHER``
         words, which the library splits at the spaces again; tokens that begin with a space tell where."""
-        words = [p for p in new if p[0] == " " and p[1:].isalpha()]
+        words, alone = [], []
+        for p in new:
+            (words if p[0] == " " and p[1:].isalpha() else alone).append(p)
         groups = [words[i : i + _TOGETHER] for i in range(0, len(words), _TOGETHER)]
-        alone = [p for p in new if not (p[0] == " " and p[1:].isalpha())]
         learnt: dict[str, bytes] = {}
         for group, found in zip(groups, self._ids(["".join(g) for g in groups]), strict=True):
             starts = np.flatnonzero(self.opens[found])
@@ -88,8 +89,7 @@ class PieceEncoder:
             raw, cuts = found.tobytes(), (np.append(starts, len(found)) * self.dtype.itemsize).tolist()
             learnt.update(zip(group, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
         learnt.update(zip(alone, [x.tobytes() for x in self._ids(alone)], strict=True))
-        for piece, ids in learnt.items():
-            self.known.keep(piece, ids)
+        self.known.keep_all(learnt)
         return learnt
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -110,8 +110,8 @@ class PieceEncoder:
             gaps = [i for i, x in enumerate(parts) if x is None]
             if gaps:
                 wanted = {pieces[i] for i in gaps}
-                found = {p: ids for p in wanted if (ids := self.known.recall(p)) is not None}
-                found |= self._learn(list(wanted - found.keys()))
+                found = self.known.recall_all(wanted)
+                found |= self._learn([p for p in wanted if p not in found])
                 for i in gaps:
                     parts[i] = found[pieces[i]]
             rows = by_row.tolist()

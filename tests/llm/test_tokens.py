@@ -182,3 +182,19 @@ def test_caches_keep_what_is_in_use_within_their_bytes():
     assert "x" * 5000 not in cache and cache.recall("nothing") is None
     cache.forget()
     assert not cache and not cache.older
+
+
+def test_entries_kept_together_stay_within_the_bytes():
+    """As if kept one by one: both generations bounded, the older one's entries come back."""
+    together, single = Generations(20_000), Generations(20_000)
+    for start in range(0, 600, 20):
+        entries = {f"k{i}": bytes(8) for i in range(start, start + 20)}
+        together.keep_all(entries)
+        for key, value in entries.items():
+            single.keep(key, value)
+        assert together.held <= 10_000 and together.keys() == single.keys() and together.older.keys() == single.older.keys()
+    old = list(together.older)[:5]
+    assert together.recall_all([*old, "nothing"]) == dict.fromkeys(old, bytes(8)) and {*old} <= together.keys() | together.older.keys()
+    together.keep_all({f"x{i}": bytes(8) for i in range(500)})  # more than a generation
+    assert together.held <= 10_000 and "x499" in together
+    assert len(together.keys() | together.older.keys()) < 160
