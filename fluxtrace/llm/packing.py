@@ -8,16 +8,16 @@ attention mask is needed.  Everything happens in one pass over the texts, withou
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from contextlib import AbstractContextManager
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -58,11 +58,15 @@ class ChunkEncoder(Generations):
 
     #: Bytes of chunks that the library gets in one call.
     TOGETHER = 1 << 20
+    #: Bytes of text whose words are looked up together.
+    SLICE = 1 << 17
     LETTERS = "a-zß-öø-ÿ"
     PLAIN = re.compile("[ \\t-\\r!-~À-ÖØ-öø-ÿ¡¿«»–—‘’“”…]*")
-    SPLIT = re.compile(WORDS.replace(r"[\p{L}]", f"[{LETTERS}]").replace(r"[\p{N}]", "[0-9]").replace(r"[^\s\p{L}\p{N}]", f"[^{LETTERS}0-9 \\t-\\r]"))
-    #: Bytes that the byte-level alphabet writes as other characters: its rule for what isn't printable.
-    UNPRINTABLE = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}
+    #: What ``WORDS`` takes beside runs of letters; spaces around it leave words to split at white space.
+    APART = re.compile(f"[^{LETTERS} \\t-\\r](?:(?<=')(?:s|t|re|ve|m|ll|d)|(?<![0-9])[^{LETTERS}0-9 \\t-\\r]+)?")
+    #: Bytes that the byte-level alphabet writes as other characters: its rule for what isn't printable.  The space stays, it parts words here.
+    UNPRINTABLE = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173]) if b != 32}
+    WRITTEN = "".join(map(chr, range(256))).translate(UNPRINTABLE)
 
     def __init__(self, path: str, most: int = 64 << 20) -> None:
         super().__init__(most)
@@ -89,41 +93,49 @@ class ChunkEncoder(Generations):
         """A text's words where they are plain, its chunks elsewhere."""
         text = raw.decode("utf-8")
         if self._plain(text):
-            return self.SPLIT.findall(text.lower())
+            return self.words(text)
         chunks = [c.decode("utf-8") for c in raw.split()]
-        return list(chain.from_iterable(self.SPLIT.findall(c.lower()) if self._plain(c) else [c] for c in chunks))
-
-    def make(self, word: str) -> bytes:
-        """The ids of a plain word as the splitter leaves it."""
-        written = word if word.isascii() else word.encode().decode("latin-1").translate(self.UNPRINTABLE)
-        return array("I", [t.id for t in self.merge(written)]).tobytes()
+        return list(chain.from_iterable(self.words(c) if self._plain(c) else [c] for c in chunks))
+
+    def words(self, text: str) -> list[str]:
+        """A plain text's words."""
+        return self.APART.sub(r" \g<0> ", text.lower()).split()
+
+    def merged(self, words: list[str]) -> list[bytes]:
+        """The ids of plain words."""
+        text = " ".join(words)
+        if not text.isascii():
+            text, _ = codecs.charmap_decode(text.encode(), "strict", self.WRITTEN)
+        found = [[t.id for t in self.merge(word)] for word in text.split()]
+        ends = np.cumsum([0, *map(len, found)]) * 4
+        raw = np.fromiter(chain.from_iterable(found), "<u4", ends[-1] // 4).tobytes()
+        return [raw[a:b] for a, b in pairwise(ends.tolist())]
 
     def _learn(self, keys: list[str]) -> dict[str, bytes]:
         """The ids of words and chunks that aren't remembered."""
-        odd = [k for k in keys if not self._plain(k)]
+        odd = [] if self._plain(" ".join(keys)) else [k for k in keys if not self._plain(k)]
         learnt, at, size = dict.fromkeys(odd, b""), 0, 0
         for end, chunk in enumerate(odd, 1):
             size += len(chunk)
             if size >= self.TOGETHER or end == len(odd):
                 learnt.update(zip(odd[at:end], self._ids(odd[at:end]), strict=True))
                 at, size = end, 0
-        for key in keys:
-            if key not in learnt:
-                learnt[key] = self.make(key)
-            self.keep(key, learnt[key])
+        words = [k for k in keys if k not in learnt] if odd else keys
+        learnt.update(zip(words, self.merged(words), strict=True))
+        self.keep_all(learnt)
         return learnt
 
     def rows(self, column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         """For slices of rows: the first row's number and each row's ids."""
         data, bounds = utf8_buffer(column)
-        for lo, hi in slices(bounds, 1 << 19):
+        for lo, hi in slices(bounds, self.SLICE):
             keys = [self._keys(data[bounds[i] : bounds[i + 1]].tobytes()) for i in range(lo, hi)]
             flat = list(chain.from_iterable(keys))
             parts = list(map(self.get, flat))
             gaps = [i for i, x in enumerate(parts) if x is None]
             if gaps:
-                wanted = dict.fromkeys(flat[i] for i in gaps)
-                found = {c: ids for c in wanted if (ids := self.recall(c)) is not None}
+                wanted = dict.fromkeys([flat[i] for i in gaps])
+                found = self.recall_all(wanted)
                 found |= self._learn([c for c in wanted if c not in found])
                 for i in gaps:
                     parts[i] = found[flat[i]]

@@ -1,3 +1,5 @@
+import re
+import sys
 import zlib
 
 import numpy as np
@@ -60,6 +62,27 @@ def test_all_plain_characters_match_the_library():
     assert [np.frombuffer(x, "<u4").tolist() for _, rows in coder.rows(pa.array(texts)) for x in rows] == [plain(t)[:-1] for t in texts]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from(list("'sTtreVvLlMmDd aÉ×÷ÿß–“90!?<|\t\x0b")), max_size=16))
+def test_spaces_part_the_words_that_the_pattern_finds(text):
+    letters = "a-zß-öø-ÿ"
+    pattern = packing.WORDS.replace(r"[\p{L}]", f"[{letters}]").replace(r"[\p{N}]", "[0-9]").replace(r"[^\s\p{L}\p{N}]", rf"[^\s{letters}0-9]")
+    with packing.encoder(packing.TOKENIZER) as coder:
+        assert coder.words(text) == re.findall(pattern, text.lower())
+
+
+def test_new_words_cost_no_python_calls_of_their_own():
+    coder, calls = packing.ChunkEncoder(packing.TOKENIZER), []
+    text = " ".join(f"ab{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}é{chr(97 + i // 676)}" for i in range(3000))
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event == "call" else None)
+    try:
+        found = list(coder.rows(pa.array([text, text])))
+    finally:
+        sys.setprofile(None)
+    assert [np.frombuffer(x, "<u4").tolist() for _, rows in found for x in rows] == [plain(text)[:-1]] * 2
+    assert len(coder) == 3000 and len(calls) < 300
+
+
 def test_query_matches_the_library(spark):
     texts = dict(map(tuple, spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()))
     checked(QUERIES["op13_packing"](spark, DATA).collect(), texts)
